@@ -15,6 +15,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.suffixes import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.substring import substring_dedup
+
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrand.llm.exact import exact_dedup
 
@@ -39,6 +51,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrand.llm.langid import identify
 
@@ -46,7 +64,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op9_language_id)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_substring_dedup, op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op7_minhash, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
