@@ -63,8 +63,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array, op2_substring_dedup, op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op7_minhash, op9_language_id)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_substring_dedup, op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op7_minhash, op9_language_id, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

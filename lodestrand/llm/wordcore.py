@@ -22,6 +22,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: ASCII lower case with everything but letters and digits as a space; other bytes stay.
+PLAIN = np.where((np.arange(256) < 128) & ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)]), 32, _LOWER).astype(np.uint8)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -51,9 +53,9 @@ class Words:
 
     __slots__ = ("buf", "starts", "ends", "ptr", "first_row", "rows", "_prefix")
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, first_row: int, lower: bool = False):
-        if lower:
-            buf = _LOWER[buf]
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, first_row: int, lower: bool = False, table: np.ndarray | None = None):
+        if lower or table is not None:
+            buf = (_LOWER if table is None else table)[buf]
         self.buf, self.first_row, self.rows = buf, first_row, len(offs) - 1
         space = _SPACE[buf]
         n = len(buf)
@@ -179,8 +181,8 @@ def pieces(offs: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def word_batches(column: pa.Array, lower: bool = False, size: int = 1 << 20) -> Iterator[Words]:
+def word_batches(column: pa.Array, lower: bool = False, size: int = 1 << 20, table: np.ndarray | None = None) -> Iterator[Words]:
     """Words of a text column in pieces that fit the processor's cache."""
     buf, offs = raw(binary(column))
     for lo, hi in pieces(offs, size):
-        yield Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lo, lower)
+        yield Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lo, lower, table)
