@@ -187,7 +187,7 @@ def lowered(column: pa.Array) -> pa.Array:
     return pa.array([x.as_py().decode().lower() for x in wordcore.binary(column)], pa.large_string())
 
 
-def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: each document's best passage for each item it copies.
 
     score is the alignment's score over that of the item with itself, from min_score to 1.
@@ -217,7 +217,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.5, id_c
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, min_score: float = 0.5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, min_score: float = 0.4, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, that copy no item."""
     kept = docs
     at = docs.columns.index(text_col)

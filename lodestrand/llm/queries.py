@@ -57,6 +57,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrand.llm.langid import identify
 
@@ -69,8 +75,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array, op2_substring_dedup, op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op7_minhash, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_substring_dedup, op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op7_minhash, op8_html_text, op9_language_id, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
