@@ -83,10 +83,10 @@ def bm25_topk(t: Tables) -> DataFrame:
     return bm25_ranking(t).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {TERMS}, {CORE % 'JOIN documents d USING (doc_id) WHERE d.doc_id % 10 = query_id % 10'} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20")
+@query(f"WITH {TERMS}, {CORE % 'JOIN documents d USING (doc_id) WHERE d.source = 'src' || (query_id % 20)'} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20")
 def bm25_scoped_topk(t: Tables) -> DataFrame:
-    """Each question ranks the documents of its scope only; the statistics stay the collection's."""
-    scope = t.documents.select("doc_id", (F.col("doc_id") % 10).alias("s")).join(t.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("s")), "s").select("query_id", "doc_id")
+    """Each question ranks the documents of one source only; the statistics stay the collection's."""
+    scope = t.documents.select("doc_id", "source").join(t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")), "source").select("query_id", "doc_id")
     return lx.bm25(t.documents, lx.term_sets(t.benchmark), scope=scope).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -202,19 +202,20 @@ def late_materialize(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""{HYBRID}, r AS (SELECT query_id, doc_id, fusion_rank, CASE WHEN doc_id % 3 = 0 THEN round((doc_id % 7) / 7.0, 6) END AS rerank_score FROM f)
+    f"""{HYBRID}, r AS (SELECT query_id, doc_id, fusion_rank, CASE WHEN bm25_rank IS NOT NULL THEN round((doc_id % 7) / 7.0, 6) END AS rerank_score FROM f)
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, fusion_rank) AS final_rank FROM r"""
 )
 def rerank_merge(t: Tables) -> DataFrame:
-    fused = hybrid.fuse(rankings(t)).select("query_id", "doc_id", F.col("fusion_rank").alias("rank"))
-    scored = fused.where("doc_id % 3 = 0").select("query_id", "doc_id", F.round((F.col("doc_id") % 7) / 7.0, 6).alias("rerank_score"))
-    return fusion.rerank_merge(fused, scored).withColumnRenamed("rank", "fusion_rank")
+    """Only what the lexical channel found is reranked; the rest follows in fusion order."""
+    fused = hybrid.fuse(rankings(t)).select("query_id", "doc_id", F.col("fusion_rank").alias("rank"), "bm25_rank")
+    scored = fused.where("bm25_rank IS NOT NULL").select("query_id", "doc_id", F.round((F.col("doc_id") % 7) / 7.0, 6).alias("rerank_score"))
+    return fusion.rerank_merge(fused.drop("bm25_rank"), scored).withColumnRenamed("rank", "fusion_rank")
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 50 = 7 THEN 'missing' ELSE 'changed' END AS fault FROM documents WHERE doc_id % 50 = 7 OR doc_id % 50 = 9 UNION ALL SELECT -doc_id - 1, 'unexpected' FROM documents WHERE doc_id % 200 = 0")
+@query("SELECT doc_id AS id, CASE WHEN source = 'src7' THEN 'missing' ELSE 'changed' END AS fault FROM documents WHERE source IN ('src7', 'src9') UNION ALL SELECT -doc_id - 1, 'unexpected' FROM documents WHERE source = 'src11'")
 def fingerprint_audit(t: Tables) -> DataFrame:
-    """An index that lacks some documents, holds others changed, and some that the source lacks."""
-    d = t.documents.select("doc_id", "text")
-    stored = d.where("doc_id % 50 <> 7").withColumn("text", F.when(F.col("doc_id") % 50 == 9, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
-    extra = d.where("doc_id % 200 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    """An index that lacks one source, holds another changed, and holds ids that the store lacks."""
+    d = t.documents.select("doc_id", "text", "source")
+    stored = d.where("source <> 'src7'").withColumn("text", F.when(F.col("source") == "src9", F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    extra = d.where("source = 'src11'").withColumn("doc_id", -F.col("doc_id") - 1)
     return vectors.audit(vectors.fingerprints(d, "doc_id", "text"), vectors.fingerprints(stored.unionByName(extra), "doc_id", "text"))
