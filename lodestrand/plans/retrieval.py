@@ -83,7 +83,7 @@ def bm25_topk(t: Tables) -> DataFrame:
     return bm25_ranking(t).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {TERMS}, {CORE % 'JOIN documents d USING (doc_id) WHERE d.source = 'src' || (query_id % 20)'} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20")
+@query(f"WITH {TERMS}, {CORE % "JOIN documents d USING (doc_id) WHERE d.source = 'src' || (query_id % 20)"} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20")
 def bm25_scoped_topk(t: Tables) -> DataFrame:
     """Each question ranks the documents of one source only; the statistics stay the collection's."""
     scope = t.documents.select("doc_id", "source").join(t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")), "source").select("query_id", "doc_id")

@@ -49,10 +49,10 @@ def resume(cases: DataFrame, path: str, work: Callable[[DataFrame], DataFrame],
 def prefix_claims(prefixes: DataFrame, files: DataFrame) -> DataFrame:
     """key, name: each file goes to its longest matching prefix, each prefix to one file.
 
-    Joined on the first four letters, which a prefix has, so names are not crossed with prefixes.
+    A name is joined on each of its own prefixes, so the work is that of the names' lengths.
     """
-    p = prefixes.withColumn("__h", F.substring("prefix", 1, 4))
-    j = files.withColumn("__h", F.substring("name", 1, 4)).join(p, "__h").where(F.col("name").startswith(F.col("prefix")))
+    own = F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n)))
+    j = files.where("length(name) > 0").select("name", own.alias("prefix")).join(prefixes.select("key", "prefix"), "prefix")
     best = j.groupBy("name").agg(F.max_by("key", F.length("prefix")).alias("key"))
     return best.groupBy("key").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n")).where("n = 1").select("key", "name")
 
