@@ -35,7 +35,13 @@ def letter_table() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
 
 
-def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+@lru_cache(maxsize=1)
+def _index() -> np.ndarray:
+    """A table from code point to a chunk's letter index; zero between uses."""
+    return np.zeros(0x110000, np.int32)
+
+
+def chunks(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """First row and lower-cased texts of row ranges of about size bytes."""
     texts = wordcore.binary(column)
     _, offs = wordcore.raw(texts)
@@ -59,9 +65,10 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     alphabet = np.flatnonzero(np.bincount(points[letter], minlength=1)) if letter.any() else np.empty(0, np.int64)
     if len(alphabet) >= 1 << LETTER_BITS and len(texts) > 1:
         return row, row, row, alphabet, True
-    index = np.zeros(0x110000, np.int64)
+    index = _index()
     index[alphabet] = np.arange(1, len(alphabet) + 1)
-    s = np.where(letter, index[points], 0)
+    s = np.where(letter, index[points], 0).astype(np.int64)
+    index[alphabet] = 0
     s = np.concatenate([[0], s, [0]])
     r = np.concatenate([row[:1], row, row[-1:]])
     a, b, c = s[:-2], s[1:-1], s[2:]
@@ -73,7 +80,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     codes = np.concatenate(
         [
             (at[one] << CODE_BITS) | b[one],
-            (at[two] << CODE_BITS) | (1 << 3 * pad) | (b[two] << pad) | c[two],
+            (np.where(one, at, r[2:])[two] << CODE_BITS) | (1 << 3 * pad) | (b[two] << pad) | c[two],
             (at[one] << CODE_BITS) | (2 << 3 * pad) | (a[one] << 2 * pad) | (b[one] << pad) | c[one],
         ]
     )
