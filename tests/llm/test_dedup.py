@@ -40,7 +40,7 @@ def corpus(seed=1, n=60):
 
 def test_exact_matches_brute_force(docs, odd):
     rows = corpus() + [(100 + (i or 0), t) for i, t in odd] + odd
-    for budget in (96 << 20, 3000):
+    for budget in (48 << 20, 3000):
         got = exact.exact_dedup(docs(rows), task_bytes=budget).collect()
         groups = Counter(t or "" for _, t in rows)
         top = {}

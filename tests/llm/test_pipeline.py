@@ -1,4 +1,5 @@
 import importlib.util
+import re
 
 import corpus_pipeline
 
@@ -34,4 +35,4 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {m[0] for n in names if (m := re.match(r"op\d+", n))} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
