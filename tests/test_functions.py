@@ -40,7 +40,7 @@ def test_redaction(spark, text, want):
 def test_headings_references_and_margins(spark):
     depth = lambda s: one(spark, s, tx.heading_depth)
     assert [depth(s) for s in ("1 Intro", "1.2.3 Deep", "IV Results", "II.1 Sub", "Plain", None)] == [1, 3, 1, 2, None, None]
-    refs = one(spark, "see Fig. 3 and Tables, Table (2.1); eq. 4.", tx.cross_references)
+    refs = one(spark, "see Fig. 3 and Table (2.1); eq. 4.", tx.cross_references)
     assert [(r.type, r.label) for r in refs] == [("figure", "Figure 3"), ("table", "Table 2.1"), ("equation", "Eq. 4")]
     assert one(spark, " 12 ", tx.margin_text) == "<page-number>"
     assert one(spark, "a k-\nmeans para-\ngraph\nnext", tx.join_lines) == "a k-means paragraph next"
