@@ -6,8 +6,9 @@ anchors are counted first, over the whole corpus, and only windows of recurring
 go on. They travel as segments (windows in a row with one anchor), equal segments of a
 task as one, to the shard of their anchor, where a suffix structure decides which
 of their windows occur twice or more. An anchor with very many places would make a shard
-that one task can't hold; its windows are counted one by one instead, by anchor and
-window fingerprint (128 bits), in a partial aggregate.
+that one task can't hold; its windows are segments of their own instead, equal ones of a
+task again as one, and counted by anchor and window fingerprint (128 bits) in a partial
+aggregate.
 """
 
 from __future__ import annotations
@@ -71,12 +72,12 @@ def _selected(window: int, k: int):
     return run
 
 
-_SEGMENT = "v bigint, fingerprint bigint, sid binary, body binary, anchor int, rks array<bigint>, starts array<int>"
+_SEGMENT = "v bigint, sid binary, body binary, anchor int, rks array<bigint>, starts array<int>"
 
 
 def _segments(window: int, k: int):
     schema = pa.schema(
-        [("v", pa.int64()), ("fingerprint", pa.int64()), ("sid", pa.binary()), ("body", pa.binary()), ("anchor", pa.int32()), ("rks", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))]
+        [("v", pa.int64()), ("sid", pa.binary()), ("body", pa.binary()), ("anchor", pa.int32()), ("rks", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))]
     )
 
     def members(lists: pa.Array, lo: int, n: int) -> np.ndarray:
@@ -89,6 +90,7 @@ def _segments(window: int, k: int):
         for b in batches:
             rk = b.column(1).to_numpy()
             cold: dict[bytes, list] = {}
+            single: list[tuple] = []
             for w in wordcore.word_batches(b.column(0)):
                 grams = wordcore.Grams(w.hashes())
                 g, least, valid = _window_anchors(w, grams, window, k)
@@ -98,7 +100,9 @@ def _segments(window: int, k: int):
                 row = np.searchsorted(w.ptr, at, side="right") - 1
                 key = _row_key(least[at], row)
                 known, hot = (_among(members(b.column(c), w.first_row, w.rows), key) for c in (2, 3))
-                yield from _hot_rows(w, grams, window, least, at[hot], row[hot], rk, schema)
+                if hot.any():
+                    h, r = at[hot], row[hot]
+                    single.append((least[h], grams.spans(h, h + window), rk[w.first_row + r], (h - w.ptr[r]).astype(np.int32)))
                 at, row = at[known & ~hot], row[known & ~hot]
                 if not len(at):
                     continue
@@ -117,8 +121,10 @@ def _segments(window: int, k: int):
                             e = cold[sid] = [int(v[i : i + 1].view(np.int64)[0]), body, here, [], []]
                         e[3].append(int(rk[w.first_row + r]))
                         e[4].append(s - int(w.ptr[r]))
+            if single:
+                yield _single_windows(*(np.concatenate(c) for c in zip(*single)), schema)
             if cold:
-                rows = [(e[0], None, sid, e[1], e[2], e[3], e[4]) for sid, e in cold.items()]
+                rows = [(e[0], sid, e[1], e[2], e[3], e[4]) for sid, e in cold.items()]
                 for lo in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 20_000]), schema.types)], schema=schema)
 
@@ -137,23 +143,17 @@ def _among(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return keys[at] == x
 
 
-def _hot_rows(w, grams, window, least, at, row, rk, schema) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a hot anchor: anchor, window fingerprint, row key and start."""
-    if not len(at):
-        return
-    n = len(at)
-    one = np.arange(n + 1, dtype=np.int32)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(least[at].view(np.int64)),
-            pa.array(grams.spans(at, at + window).view(np.int64)),
-            pa.nulls(n, pa.binary()),
-            pa.nulls(n, pa.binary()),
-            pa.nulls(n, pa.int32()),
-            pa.ListArray.from_arrays(one, rk[w.first_row + row]),
-            pa.ListArray.from_arrays(one, (at - w.ptr[row]).astype(np.int32)),
-        ],
-        schema=schema,
+def _single_windows(v: np.ndarray, print_: np.ndarray, rk: np.ndarray, start: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """A row for each distinct window of hot anchors, with the places that have it; sid is anchor and fingerprint."""
+    order = np.lexsort((print_, v))
+    v, print_, rk, start = v[order], print_[order], rk[order], start[order]
+    first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (print_[1:] != print_[:-1])))
+    offsets = np.append(first, len(v)).astype(np.int32)
+    n = len(first)
+    sid = np.column_stack([v[first], print_[first]])
+    sid = pa.Array.from_buffers(pa.binary(16), n, [None, pa.py_buffer(np.ascontiguousarray(sid).tobytes())]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(v[first].view(np.int64)), sid, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.ListArray.from_arrays(offsets, rk), pa.ListArray.from_arrays(offsets, start)], schema=schema
     )
 
 
@@ -236,21 +236,18 @@ def repeated_windows(rows: DataFrame, window: int, k: int, marker: Marker, hot:
     # Texts are streamed past the smaller side's hash table rather than sorted.
     found = rows.select("text", "rk").join(there.withColumnRenamed("rk", "__rk").hint("shuffle_hash"), F.col("rk") == F.col("__rk")).select("text", "rk", "vs", "hots")
     segments = materialize(found.mapInArrow(_segments(window, k), _SEGMENT), "segments")
-    cold = segments.where("sid is not null")
     marks = (
-        cold.select("v", "sid", "body", "anchor", F.size("rks").alias("n"))
+        segments.where("body is not null")
+        .select("v", "sid", "body", "anchor", F.size("rks").alias("n"))
         .repartition("v")
         .sortWithinPartitions("v", "sid")
         .mapInArrow(_shards(window, marker), "sid binary, mask bigint")
     )
-    of_cold = cold.select("sid", "rks", "starts").join(marks.withColumnRenamed("sid", "__sid"), F.col("sid") == F.col("__sid"))
-    of_cold = of_cold.select(F.explode(F.arrays_zip("rks", "starts")).alias("m"), "mask").select(F.col("m.rks").alias("rk"), F.col("m.starts").alias("start"), "mask")
-    single = segments.where("sid is null")
-    twice = single.groupBy("v", "fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("v").alias("__v"), F.col("fingerprint").alias("__f"))
-    of_hot = single.join(twice, (F.col("v") == F.col("__v")) & (F.col("fingerprint") == F.col("__f"))).select(
-        F.col("rks")[0].alias("rk"), F.col("starts")[0].alias("start"), F.lit(1).cast("bigint").alias("mask")
-    )
-    return of_cold.unionByName(of_hot).groupBy("rk").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
+    twice = segments.where("body is null").groupBy("sid").agg(F.sum(F.size("rks")).alias("n")).where("n > 1").select("sid", F.lit(1).cast("bigint").alias("mask"))
+    marks = marks.unionByName(twice).withColumnRenamed("sid", "__sid")
+    found = segments.select("sid", "rks", "starts").join(marks, F.col("sid") == F.col("__sid"))
+    each = found.select(F.explode(F.arrays_zip("rks", "starts")).alias("m"), "mask")
+    return each.groupBy(F.col("m.rks").alias("rk")).agg(F.collect_set(F.struct(F.col("m.starts").alias("start"), "mask")).alias("marks"))
 
 
 def covered(n_words: int, marks: list[dict], window: int) -> np.ndarray:
