@@ -15,15 +15,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = 15, id_col: str
     """query_id, vec_id, similarity, rank by cosine; ties go by vec_id.
 
     queries: query_id, query_vector (and `same`, a column that must agree, pushed before the
-    ranking). The queries are a stated set against all rows and stay broadcast; each
-    partition keeps its own best before the shuffle.
+    ranking). The queries are a stated set against all rows, broadcast in blocks of about
+    QUERY_BLOCK; each partition keeps its own best before the shuffle.
     """
-    side = F.broadcast(queries) if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else queries
-    on = F.lit(True) if same is None else F.col(same) == F.col(f"__{same}")
     if same is not None:
-        side = side.withColumnRenamed(same, f"__{same}")
-    pairs = vectors.join(side, on)
-    scored = pairs.select("query_id", F.col(id_col).alias("vec_id"), F.round(nm.cosine(F.col("query_vector"), F.col(vector_col)), 9).alias("similarity"))
+        queries = queries.withColumnRenamed(same, f"__{same}")
+    on = F.lit(True) if same is None else F.col(same) == F.col(f"__{same}")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    slim = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("__v"), *([same] if same else []))
+    pairs = None
+    for i in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        joined = slim.join(F.broadcast(part), on)
+        pairs = joined if pairs is None else pairs.unionByName(joined)
+    scored = pairs.select("query_id", "vec_id", F.round(nm.cosine(F.col("query_vector"), F.col("__v")), 9).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
