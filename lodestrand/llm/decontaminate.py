@@ -40,8 +40,7 @@ class Items:
     @classmethod
     def of(cls, ids: list, texts: list[str], n: int) -> Items:
         words, flat, item, position = [], [], [], []
-        column = pa.array([t.lower() for t in texts], pa.large_string())
-        for w in wordcore.word_batches(column, table=wordcore.PLAIN):
+        for w in wordcore.lower_batches(pa.array(texts, pa.large_string()), table=wordcore.PLAIN):
             h = w.hashes()
             g = wordcore.Grams(h).of(n)
             for i in range(w.rows):
@@ -165,7 +164,7 @@ def blocks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col:
             grams = value.value
             seen = np.zeros(len(grams), np.int64)
             for b in batches:
-                for w in wordcore.word_batches(lowered(b.column(0)), table=wordcore.PLAIN):
+                for w in wordcore.lower_batches(b.column(0), table=wordcore.PLAIN):
                     at, gram = found(grams, wordcore.Grams(w.hashes()).of(n))
                     ok = wordcore.inside(w.ptr, len(w), n)[at]
                     row = np.searchsorted(w.ptr, at[ok], side="right") - 1
@@ -182,11 +181,6 @@ def blocks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col:
         yield spark.sparkContext.broadcast(block)
 
 
-def lowered(column: pa.Array) -> pa.Array:
-    """The texts in lower case; null becomes empty."""
-    return pa.array([x.as_py().decode().lower() for x in wordcore.binary(column)], pa.large_string())
-
-
 def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: each document's best passage for each item it copies.
 
@@ -206,7 +200,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, id_c
             for b in batches:
                 ids = b.column(0)
                 rows = []
-                for w in wordcore.word_batches(lowered(b.column(1)), table=wordcore.PLAIN):
+                for w in wordcore.lower_batches(b.column(1), table=wordcore.PLAIN):
                     for r, i, score, lo, hi in matches(block, w, SEED_WORDS, min_score):
                         rows.append((ids[w.first_row + r].as_py(), block.ids[i], round(score, 6), lo, hi))
                 if rows:
@@ -227,7 +221,7 @@ def clean(docs: DataFrame, items: DataFrame, min_score: float = 0.4, text_col: s
             block = value.value
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for w in wordcore.word_batches(lowered(b.column(at)), table=wordcore.PLAIN):
+                for w in wordcore.lower_batches(b.column(at), table=wordcore.PLAIN):
                     for r, *_ in matches(block, w, SEED_WORDS, min_score):
                         keep[w.first_row + r] = False
                 yield b.filter(pa.array(keep))

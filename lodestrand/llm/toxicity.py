@@ -25,17 +25,13 @@ from lodestrand.llm.wordcore import U
 from lodestrand.runtime import materialize, ship
 
 #: Prefix lengths in UTF-8 bytes.
-LEVELS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
+LEVELS = (2, 3, 4, 5, 6, 7, 8, 10)
 #: Windows in words; a document's worst window of each size is normalised by its size.
 WINDOWS = (12, 96)
 DISCOUNT = 0.75
 ROOT = 0
-MIN_COUNT = 2
-
-
-def lowered(column: pa.Array) -> pa.Array:
-    """The texts in lower case; null becomes empty."""
-    return pa.array([x.as_py().decode().lower() for x in wordcore.binary(column)], pa.large_string())
+#: Edges of the sample's prefix tree seen less often are left to the shared counts.
+MIN_COUNT = 3
 
 
 def chains(w: wordcore.Words, which: np.ndarray) -> list[np.ndarray]:
@@ -81,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         toxic, fold = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
         kind = (2 * fold + (1 - toxic)).astype(np.int64)
-        for w in wordcore.word_batches(lowered(b.column(0)), size=4 << 20):
+        for w in wordcore.lower_batches(b.column(0), size=4 << 20):
             if not len(w):
                 continue
             first, inverse = distinct(w)
@@ -187,7 +183,7 @@ def fit_model(parent: np.ndarray, node: np.ndarray, toxic: np.ndarray, plain: np
         on = step >= 0
         reach[on] += delta[step[on]]
         step[on] = up[step[on]]
-    return Model(node, reach, reach + away[:-1], float(away[-1]))
+    return Model(node, reach.astype(np.float32), (reach + away[:-1]).astype(np.float32), float(away[-1]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
@@ -216,7 +212,7 @@ def _shared_counts(nodes_value):
         nodes = nodes_value.value
         seen = np.zeros(len(nodes), np.int64)
         for b in batches:
-            for w in wordcore.word_batches(lowered(b.column(0)), size=4 << 20):
+            for w in wordcore.lower_batches(b.column(0), size=4 << 20):
                 if not len(w):
                     continue
                 first, inverse = distinct(w)
@@ -265,23 +261,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     t0, o0, t1, o1 = (get(c)[order].astype(float) for c in ("t0", "o0", "t1", "o1"))
     shared = np.zeros(len(node))
     if len(node):
-        sums = text.select("text").mapInArrow(_shared_counts(spark.sparkContext.broadcast(node)), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        nodes_value = spark.sparkContext.broadcast(node)
+        sums = text.select("text").mapInArrow(_shared_counts(nodes_value), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         shared[sums["at"].to_numpy()] = sums["n"].to_numpy()
+        nodes_value.destroy()
     whole = fit_model(parent, node, t0 + t1, o0 + o1, shared)
     by_fold = [fit_model(parent, node, t1, o1, shared), fit_model(parent, node, t0, o0, shared)]  # each fold is scored by the other's
+    by_fold[1].nodes = by_fold[0].nodes
     value = spark.sparkContext.broadcast(by_fold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = value.value
         for b in batches:
             fold = b.column(2).to_numpy(zero_copy_only=False)
-            low = lowered(b.column(0))
-            f = [np.concatenate([m.features(w) for w in wordcore.word_batches(low)]) for m in models]
+            f = [np.concatenate([m.features(w) for w in wordcore.lower_batches(b.column(0))]) for m in models]
             f = np.where((fold == 0)[:, None], f[0], f[1])
             yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(f.shape[1])), b.column(1)], names=[*names, "y"])
 
     names = [f"f{i}" for i in range(3 + len(WINDOWS))]
     seen = rows.mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", y int").toArrow()
+    value.destroy()
     x = np.column_stack([seen[c].to_numpy() for c in names]) if seen.num_rows else np.zeros((0, len(names)))
     y = seen["y"].to_numpy().astype(float) if seen.num_rows else np.zeros(0)
     if len(y) == 0 or y.min() == y.max():
@@ -304,7 +303,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = value.value
         for b in batches:
-            f = [s.model.features(w) for w in wordcore.word_batches(lowered(b.column(1)))]
+            f = [s.model.features(w) for w in wordcore.lower_batches(b.column(1))]
             p = s.probability(np.concatenate(f)) if f else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], schema=schema)
 

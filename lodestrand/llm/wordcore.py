@@ -186,3 +186,13 @@ def word_batches(column: pa.Array, lower: bool = False, size: int = 1 << 20, tab
     buf, offs = raw(binary(column))
     for lo, hi in pieces(offs, size):
         yield Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lo, lower, table)
+
+
+def lower_batches(column: pa.Array, size: int = 1 << 20, table: np.ndarray | None = None) -> Iterator[Words]:
+    """As word_batches, over the texts in lower case, which is done piece by piece."""
+    texts = binary(column)
+    _, offs = raw(texts)
+    for lo, hi in pieces(offs, size):
+        low = pa.array([x.as_py().decode().lower() for x in texts.slice(lo, hi - lo)], pa.large_string()).cast(pa.large_binary())
+        buf, o = raw(low)
+        yield Words(buf[o[0] : o[-1]], o - o[0], lo, table=table)
