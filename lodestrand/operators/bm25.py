@@ -24,10 +24,15 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = "sou
     return docs.select(F.col(id_col).alias("doc_id"), title.alias("title"), tx.word_tokens(F.col(text_col)).alias("body"))
 
 
+def _fields():
+    """The tokens of both fields as structs of term and one mark for its field."""
+    mark = lambda name, t: F.transform(name, lambda x: F.struct(x.alias("term"), F.lit(t).alias("t"), F.lit(1 - t).alias("b")))
+    return F.concat(mark("title", 1), mark("body", 0))
+
+
 def postings(docs: DataFrame, **columns) -> DataFrame:
     """term, doc_id, tf_title, tf_body: one row for each term of a document."""
-    t = tokens(docs, **columns)
-    each = t.select("doc_id", F.explode(F.concat(F.transform("title", lambda x: F.struct(x.alias("term"), F.lit(1).alias("t"), F.lit(0).alias("b"))), F.transform("body", lambda x: F.struct(x.alias("term"), F.lit(0).alias("t"), F.lit(1).alias("b"))))).alias("x"))
+    each = tokens(docs, **columns).select("doc_id", F.explode(_fields()).alias("x"))
     return each.groupBy(F.col("x.term").alias("term"), "doc_id").agg(F.sum("x.t").alias("tf_title"), F.sum("x.b").alias("tf_body"))
 
 
@@ -53,20 +58,20 @@ def bm25(docs: DataFrame, terms: DataFrame, top_k: int = 20, scope: DataFrame |
     negative, lower is better, as full-text engines give them; ties go by doc_id.
     """
     wanted = terms.select("query_id", "set_id", "term").distinct()
-    vocabulary = small(wanted.select("term").distinct())
-    stats = collection_stats(docs, **columns)
-    hits = postings(docs, **columns).join(vocabulary, "term", "left_semi")
+    # One check of the query side decides for its terms and their statistics, which are no more rows.
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = F.broadcast if few else (lambda df: df)
+    read = tokens(docs, **columns).withColumn("length", F.size("title") + F.size("body"))
+    each = read.select("doc_id", "length", F.explode(_fields()).alias("x")).select("doc_id", "length", "x.*")
+    hits = each.join(side(wanted.select("term").distinct()), "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
+    stats = read.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
     frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # stats is one row.
-    idf = frequency.crossJoin(F.broadcast(stats.select("n_docs", "avgdl"))).select(
-        "term",
-        "avgdl",
-        F.when(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) > 0, F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).otherwise(LEAST_IDF).alias("idf"),
-    )
+    idf = frequency.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
     tf = TITLE_WEIGHT * F.col("tf_title") + BODY_WEIGHT * F.col("tf_body")
-    weighed = hits.join(small(idf), "term").join(lengths(docs, **columns), "doc_id")
-    weighed = weighed.select("term", "doc_id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))).alias("part"))
-    scored = weighed.join(small(wanted), "term")
+    weighed = hits.join(side(idf), "term").select("term", "doc_id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))).alias("part"))
+    scored = weighed.join(side(wanted), "term")
     if scope is not None:
         scored = scored.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
     scored = scored.groupBy("query_id", "set_id", "doc_id").agg(F.round(-F.sum("part"), 9).alias("score"))
