@@ -16,15 +16,21 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    stars = _least(down)
+    """edges have u > v, as large stars do."""
+    stars = _least(edges)
     return stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is also a u; edges are distinct."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("u"), F.lit(0).alias("v")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("u"), F.lit(1).alias("v")))
+    return ends.groupBy("x").agg(F.sum("u").alias("u"), F.max("v").alias("v")).where("u > 1 OR (u = 1 AND v = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, label for each node of an undirected edge table (u, v); the label is the component's least node.
 
@@ -32,13 +38,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     round is written to the shared folder; the number of rounds grows with the logarithm
     of the longest path.
     """
-    state = materialize(edges.where("u <> v").select("u", "v").distinct(), name)
-    before = None
-    while True:
-        now = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now["n"] == 0 or (before is not None and before == (now["n"], now["h"])):
-            break
-        before = (now["n"], now["h"])
+    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    state = materialize(down.distinct(), name)
+    while not _all_stars(state):
         state = materialize(_small_star(_large_star(state)), name)
     nodes = state.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return nodes.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    return nodes.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
