@@ -157,7 +157,7 @@ def _fold_bucket(budget: int):
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 96 << 20) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 48 << 20) -> DataFrame:
     """Groups of two or more rows with equal text: text_sha256, top_id, n_rows."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
@@ -165,7 +165,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tas
     return local.repartition("digest").mapInArrow(_fold_bucket(task_bytes), _CLASS)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 96 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 48 << 20) -> DataFrame:
     """Every row with its class: the input's columns, keep_id, group_size, kept, text_sha256.
 
     Null text equals the empty text. Of equal texts the row with the largest id stays;

@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from lodestrand.llm import vocab, wordcore
 from lodestrand.runtime import ship
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 class ByteBpe(dict):
