@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of test items are counted over all documents; those that are common for their
-item are no seeds. A passage that holds a seed is aligned with the item around it, word
-by word, so that edited copies score by what they kept. Items travel to the documents in
+The n-grams of test items are counted over all documents; those that are rare for their
+item are its seeds. A passage that holds a seed is aligned with the item around it, word
+by word, so that edited copies score by what they kept. A copy that recurs makes its own
+n-grams common, so a passage that holds only common ones is aligned as well, unless the
+words that it shares with the item bound its score below the limit. Items travel to the documents in
 blocks of bounded size, each broadcast in turn; documents are never shuffled.
 """
 
@@ -35,7 +37,7 @@ class Items:
     gram_of: np.ndarray  # index into grams of each (item, position)
     item: np.ndarray
     position: np.ndarray
-    seed: np.ndarray  # by (item, position)
+    rare: np.ndarray  # by (item, position)
 
     @classmethod
     def of(cls, ids: list, texts: list[str], n: int) -> Items:
@@ -56,18 +58,17 @@ class Items:
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return cls(ids, words, grams, of, join(item), join(position), np.ones(len(every), bool))
 
-    def keep_rare(self, frequency: np.ndarray) -> None:
-        """Seeds are the n-grams in at most four times as many documents, and 16, as the item's lower quartile."""
+    def mark_rare(self, frequency: np.ndarray) -> None:
+        """Rare are the n-grams in at most four times as many documents, and 16, as the item's lower quartile."""
         f = frequency[self.gram_of]
         for i in np.unique(self.item):
             own = self.item == i
-            self.seed[own] = f[own] <= 4 * np.quantile(f[own], 0.25, method="lower") + 16
+            self.rare[own] = f[own] <= 4 * np.quantile(f[own], 0.25, method="lower") + 16
 
     def index(self) -> None:
         """Order places by n-gram, for lookups."""
-        keep = np.flatnonzero(self.seed)
-        keep = keep[np.argsort(self.gram_of[keep], kind="stable")]
-        self.item, self.position, of = self.item[keep], self.position[keep], self.gram_of[keep]
+        order = np.argsort(self.gram_of, kind="stable")
+        self.item, self.position, self.rare, of = self.item[order], self.position[order], self.rare[order], self.gram_of[order]
         used, first = np.unique(of, return_index=True)
         self.grams = self.grams[used]
         self.first = np.append(first, len(of))
@@ -104,6 +105,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def in_common(item: np.ndarray, passage: np.ndarray) -> int:
+    """How many words the two have in common, repeats counted: no alignment matches more."""
+    words, n = np.unique(item, return_counts=True)
+    there, k = np.unique(passage[np.isin(passage, words)], return_counts=True)
+    return int(np.minimum(n[np.searchsorted(words, there)], k).sum())
+
+
 def matches(items: Items, w: wordcore.Words, n: int, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, score, from, to) of the best passage of each row and item that reaches min_score."""
     h = w.hashes()
@@ -116,10 +124,10 @@ def matches(items: Items, w: wordcore.Words, n: int, min_score: float) -> Iterat
     size = items.first[gram + 1] - items.first[gram]
     place = np.repeat(items.first[gram] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     at = np.repeat(at, size)
-    item, position = items.item[place], items.position[place]
+    item, position, rare = items.item[place], items.position[place], items.rare[place]
     row = np.searchsorted(w.ptr, at, side="right") - 1
     order = np.lexsort((at - position, item, row))
-    row, item, start = row[order], item[order], (at - position)[order]
+    row, item, start, rare = row[order], item[order], (at - position)[order], rare[order]
     new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(row) else []
     for a, b in zip(new, [*new[1:], len(row)]):
         r, i = int(row[a]), int(item[a])
@@ -129,27 +137,28 @@ def matches(items: Items, w: wordcore.Words, n: int, min_score: float) -> Iterat
         lo_row, hi_row = int(w.ptr[r]), int(w.ptr[r + 1])
         best = (0, 0, 0)
         lo = hi = None
-        for s in [*np.unique(start[a:b]).tolist(), None]:
+        seeded = False
+        for s, seed in [*zip(start[a:b].tolist(), rare[a:b].tolist()), (None, False)]:
             if s is not None and hi is not None and s - pad <= hi:
-                hi = s + m + pad
+                hi, seeded = s + m + pad, seeded or seed
                 continue
             if hi is not None:
                 x, y = max(lo, lo_row), min(hi, hi_row)
                 passage = h[x:y]
                 # No alignment can match more words than the two have in common.
-                if np.isin(words, passage).sum() >= min_score * m:
+                if np.isin(words, passage).sum() >= min_score * m and (seeded or in_common(words, passage) >= min_score * m):
                     score, end = align(words, passage)
                     if score > best[0]:
                         best = (score, x, x + end)
             if s is not None:
-                lo, hi = s - pad, s + m + pad
+                lo, hi, seeded = s - pad, s + m + pad, seed
         score = best[0] / (MATCH * m)
         if score >= min_score:
             yield r, i, score, max(best[1], best[2] - m) - lo_row, best[2] - lo_row
 
 
 def blocks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_text: str = "text", n: int = SEED_WORDS, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
-    """The items as broadcast blocks of about block_bytes of text each, with their seeds chosen over all documents."""
+    """The items as broadcast blocks of about block_bytes of text each, with their rare n-grams marked over all documents."""
     spark = docs.sparkSession
     ship(spark)
     slim = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -176,7 +185,7 @@ def blocks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col:
         sums = text.mapInArrow(count_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         frequency = np.zeros(len(block.grams), np.int64)
         frequency[sums["gram"].to_numpy()] = sums["n"].to_numpy()
-        block.keep_rare(frequency)
+        block.mark_rare(frequency)
         block.index()
         yield spark.sparkContext.broadcast(block)
 

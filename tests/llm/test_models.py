@@ -195,6 +195,30 @@ def test_decontamination_finds_edited_copies(spark, docs, odd, block_bytes):
     assert kept.count() == len(rows) + len(odd) - len(planted)
 
 
+def test_decontamination_finds_a_repeated_edited_copy(spark, docs):
+    r = random.Random(13)
+    item = ["".join(r.choice("klmnopqrst") for _ in range(7)) for _ in range(40)]
+    edited = list(item)
+    for at in (5, 14, 23, 32):
+        edited[at] = "edited"
+    table = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    rows = [(i, f"plain words {i} before " + " ".join(edited) + f" and after {i}") for i in range(50)]
+    # A part shared by many documents that is too short for a match.
+    rows += [(i, f"other words {i} before " + " ".join(item[6:14]) + f" and after {i}") for i in range(100, 150)]
+    got = decontaminate.contaminated(docs(rows), table).collect()
+    assert {(x.doc_id, x.score) for x in got} == {(i, 0.85) for i in range(50)}
+    kept = decontaminate.clean(docs(rows), table)
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(100, 150))
+
+
+def test_common_words_bound_the_alignment():
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = (np.array([r.randrange(5) for _ in range(r.randint(1, 12))]) for _ in range(2))
+        assert decontaminate.in_common(a, b) == sum(min((a == x).sum(), (b == x).sum()) for x in range(5))
+        assert decontaminate.align(a, b)[0] <= 2 * decontaminate.in_common(a, b)
+
+
 def test_alignment_matches_a_plain_table():
     r = random.Random(2)
     for _ in range(100):
