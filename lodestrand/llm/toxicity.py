@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,23 +26,27 @@ from lodestrand.llm.wordcore import U
 from lodestrand.runtime import materialize, ship
 
 #: Prefix lengths in UTF-8 bytes.
-LEVELS = (2, 3, 4, 5, 6, 7, 8, 10)
+LEVELS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
 #: Windows in words; a document's worst window of each size is normalised by its size.
 WINDOWS = (12, 96)
 DISCOUNT = 0.75
 ROOT = 0
-#: Edges of the sample's prefix tree seen less often are left to the shared counts.
-MIN_COUNT = 3
+#: Words whose edges are made at a time.
+CHUNK = 100_000
 
 
 def chains(w: wordcore.Words, which: np.ndarray) -> list[np.ndarray]:
     """For the words chosen: node of each level (0 where the word is shorter), then that of the whole word."""
-    n = len(w.buf)
+    return chains_at(w.buf, w.starts[which], w.ends[which])
+
+
+def chains_at(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+    """The chains of the words that lie from s to e in a buffer."""
+    n = len(buf)
     p, q = wordcore.powers(n)
     c = np.empty(n + 1, np.uint64)
     c[0] = 0
-    np.cumsum(wordcore._TABLE[w.buf] * p[:n], out=c[1:])
-    s, e = w.starts[which], w.ends[which]
+    np.cumsum(wordcore._TABLE[buf] * p[:n], out=c[1:])
     out = []
     for level in LEVELS:
         to = np.minimum(s + level, e)
@@ -69,11 +74,19 @@ def edges(levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parents), np.concatenate(nodes)
 
 
-_COUNTS = "parent bigint, node bigint, t0 bigint, o0 bigint, t1 bigint, o1 bigint"
+_COUNTS = "word binary, t0 int, o0 int, t1 int, o1 int"
+
+
+def _spelled(w: wordcore.Words, which: np.ndarray) -> pa.Array:
+    """The bytes of the words chosen."""
+    s, e = w.starts[which], w.ends[which]
+    to = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32)
+    data = w.buf[np.repeat(s - to[:-1], e - s) + np.arange(to[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(data, np.uint8))])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edge counts by fold and class over (text, toxic, fold)."""
+    """Word counts by fold and class over (text, toxic, fold); a word stands for all its edges."""
     for b in batches:
         toxic, fold = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
         kind = (2 * fold + (1 - toxic)).astype(np.int64)
@@ -82,19 +95,46 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             first, inverse = distinct(w)
             cls = np.repeat(kind[w.first_row : w.first_row + w.rows], np.diff(w.ptr))
-            per = np.bincount(inverse * 4 + cls, minlength=4 * len(first)).reshape(-1, 4)
-            parents, nodes = edges(chains(w, first))
-            per = np.tile(per, (len(LEVELS) + 1, 1))
-            there = nodes != 0
-            parents, nodes, per = parents[there], nodes[there], per[there]
-            keys, at = np.unique(nodes, return_inverse=True)
-            sums = np.stack([np.bincount(at, per[:, i], len(keys)) for i in range(4)]).astype(np.int64)
-            of = np.zeros(len(keys), np.uint64)
-            of[at] = parents
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(of.view(np.int64)), pa.array(keys.view(np.int64)), *(pa.array(x) for x in sums)],
-                names=["parent", "node", "t0", "o0", "t1", "o1"],
-            )
+            per = np.bincount(inverse * 4 + cls, minlength=4 * len(first)).reshape(-1, 4).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([_spelled(w, first), *(pa.array(np.ascontiguousarray(per[:, i])) for i in range(4))], names=["word", "t0", "o0", "t1", "o1"])
+
+
+def prefix_tree(words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parents, nodes (sorted) and counts of all edges of distinct words with counts in columns."""
+    order = pc.sort_indices(words).to_numpy()  # words of a prefix lie together, so chunks share few edges
+    parts = [(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty((0, counts.shape[1]), np.int32))]
+    for i in range(0, len(order), CHUNK):
+        on = order[i : i + CHUNK]
+        chunk = words.take(pa.array(on)).cast(pa.large_binary())
+        to = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(on) + 1]
+        buf = np.frombuffer(chunk.buffers()[2], np.uint8)[to[0] : to[-1]]
+        parents, nodes = edges(chains_at(buf, to[:-1] - to[0], to[1:] - to[0]))
+        there = np.flatnonzero(nodes)
+        parts.append(_folded(parents[there], nodes[there], counts[on][there % len(on)]))
+    return _folded(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _folded(parents: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges sorted by node, those of one node added up."""
+    order = np.argsort(nodes)
+    nodes = nodes[order]
+    first = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])) if len(nodes) else np.empty(0, np.int64)
+    sums = [np.add.reduceat(counts[order, i], first) if len(first) else counts[:0, i] for i in range(counts.shape[1])]
+    return parents[order[first]], nodes[first], np.stack(sums, axis=1)
+
+
+def rolled_up(up: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What ends at each node or below it; up is the parent's index or -1."""
+    depth = np.zeros(len(up), np.int8)
+    step = up.copy()
+    while (on := np.flatnonzero(step >= 0)).size:  # as many rounds as there are levels
+        depth[on] += 1
+        step[on] = up[step[on]]
+    total = own.copy()
+    for d in range(int(depth.max(initial=0)), 0, -1):
+        on = np.flatnonzero(depth == d)
+        total += np.bincount(up[on], total[on], len(total)).astype(total.dtype)
+    return total
 
 
 def lookup(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -150,37 +190,28 @@ class Model:
         return out
 
 
-def fit_model(parent: np.ndarray, node: np.ndarray, toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray) -> Model:
-    """Kneser-Ney ratios of a prefix tree; parents are nodes of the tree or the root."""
-    order = np.argsort(node)
-    parent, node, toxic, plain, shared = (x[order] for x in (parent, node, toxic, plain, shared))
+def fit_model(parent: np.ndarray, node: np.ndarray, toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray, words: float) -> Model:
+    """Kneser-Ney ratios of a prefix tree by sorted nodes; parents are nodes or the root, which all words of the corpus leave."""
     up = lookup(node, parent)  # -1: the root
     at = np.where(up < 0, len(node), up)
-    size = len(node) + 1
-
-    def part(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        total = np.bincount(at, counts, size)
-        kinds = np.bincount(at, counts > 0, size)
-        # A node's own count also holds words that go on to edges below the least count.
-        total[:-1] = np.maximum(total[:-1], counts)
-        total[-1] = max(total[-1], 1)
-        freed = np.where(total > 0, total - np.bincount(at, np.maximum(counts - DISCOUNT, 0), size), 1.0)
-        back = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-        return total, np.clip(back, 1e-4, 1.0), kinds
-
-    total_t, back_t, _ = part(toxic)
-    total_o, back_o, _ = part(plain)
-    total_s = np.bincount(at, shared, size)
-    total_s[:-1] = np.maximum(total_s[:-1], shared)
-    low = (shared + 0.5) / (total_s[at] + 1.0)
-    p_t = np.maximum(toxic - DISCOUNT, 0) / np.maximum(total_t[at], 1) + back_t[at] * low
-    p_o = np.maximum(plain - DISCOUNT, 0) / np.maximum(total_o[at], 1) + back_o[at] * low
-    delta = np.log(p_t) - np.log(p_o)
-    away = np.log(back_t) - np.log(back_o)
+    # A node's shared count also holds words of the corpus that go on to none of the sample's edges.
+    low = (shared + 0.5) / (np.append(shared, words)[at] + 1.0)
+
+    def part(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the probabilities of the edges and of the mass freed at the nodes."""
+        total = np.bincount(at, counts, len(node) + 1)
+        kept = np.maximum(counts - DISCOUNT, 0)
+        freed = total - np.bincount(at, kept, len(node) + 1)
+        back = np.clip(np.where(total > 0, freed / np.maximum(total, 1), 1.0), 1e-4, 1.0)
+        return np.log(kept / np.maximum(total[at], 1) + back[at] * low), np.log(back)
+
+    delta, away = part(toxic)
+    plain_delta, plain_away = part(plain)
+    delta -= plain_delta
+    away -= plain_away
     reach = delta.copy()
     step = up.copy()
-    while (step >= 0).any():  # as many rounds as there are levels
-        on = step >= 0
+    while (on := np.flatnonzero(step >= 0)).size:  # as many rounds as there are levels
         reach[on] += delta[step[on]]
         step[on] = up[step[on]]
     return Model(node, reach.astype(np.float32), (reach + away[:-1]).astype(np.float32), float(away[-1]))
@@ -208,19 +239,25 @@ def shape(f: np.ndarray) -> np.ndarray:
 
 
 def _shared_counts(nodes_value):
+    """Occurrences of words by the last node of the tree that their chain has; the number of nodes stands for the root."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = nodes_value.value
-        seen = np.zeros(len(nodes), np.int64)
+        seen = np.zeros(len(nodes) + 1, np.int64)
         for b in batches:
             for w in wordcore.lower_batches(b.column(0), size=4 << 20):
                 if not len(w):
                     continue
                 first, inverse = distinct(w)
-                per = np.bincount(inverse, minlength=len(first))
+                last = np.full(len(first), len(nodes))
+                live = np.arange(len(first))
                 for h in chains(w, first):
-                    at = lookup(nodes, h)
-                    hit = at >= 0
-                    seen += np.bincount(at[hit], per[hit], len(nodes)).astype(np.int64)
+                    there = h[live] != 0
+                    at = lookup(nodes, h[live[there]])
+                    last[live[there][at >= 0]] = at[at >= 0]
+                    there[there] = at < 0
+                    live = live[~there]
+                seen += np.bincount(last, np.bincount(inverse, minlength=len(first)), len(nodes) + 1).astype(np.int64)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
 
@@ -241,7 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on about fit_rows labelled rows outside the held-out fold, drawn by a hash of the id.
 
     The shared counts are taken over all documents. Everything that comes to the driver is
-    bounded by fit_rows: the edges of the sample's prefix tree and their counts.
+    bounded by fit_rows: the distinct words of the sample, the edges of their prefix tree, and counts.
+    Words cross the shuffle once each, and not by edge.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -252,35 +290,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("text"))
     # The sample is bounded by fit_rows, whatever the input.
     rows = materialize(text.join(F.broadcast(sample), "__id").select("text", "toxic", "fold"), "toxic-sample")
-    counted = rows.mapInArrow(_count, _COUNTS).groupBy("parent", "node").agg(*(F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")))
-    tree = counted.where(F.col("t0") + F.col("o0") + F.col("t1") + F.col("o1") >= MIN_COUNT).toArrow()
-    get = lambda c: tree[c].to_numpy()
-    parent, node = get("parent").view(np.uint64), get("node").view(np.uint64)
-    order = np.argsort(node)
-    parent, node = parent[order], node[order]
-    t0, o0, t1, o1 = (get(c)[order].astype(float) for c in ("t0", "o0", "t1", "o1"))
-    shared = np.zeros(len(node))
+    kinds = ("t0", "o0", "t1", "o1")
+    counted = rows.mapInArrow(_count, _COUNTS).groupBy("word").agg(*(F.sum(c).cast("int").alias(c) for c in kinds)).toArrow()
+    parent, node, counts = prefix_tree(counted["word"].combine_chunks(), np.column_stack([counted[c].to_numpy() for c in kinds]))
+    del counted
+    t0, o0, t1, o1 = counts.T
+    own = np.zeros(len(node) + 1, np.int64)
     if len(node):
         nodes_value = spark.sparkContext.broadcast(node)
         sums = text.select("text").mapInArrow(_shared_counts(nodes_value), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-        shared[sums["at"].to_numpy()] = sums["n"].to_numpy()
+        own[sums["at"].to_numpy()] = sums["n"].to_numpy()
         nodes_value.destroy()
-    whole = fit_model(parent, node, t0 + t1, o0 + o1, shared)
-    by_fold = [fit_model(parent, node, t1, o1, shared), fit_model(parent, node, t0, o0, shared)]  # each fold is scored by the other's
-    by_fold[1].nodes = by_fold[0].nodes
-    value = spark.sparkContext.broadcast(by_fold)
+    shared, words = rolled_up(lookup(node, parent), own[:-1]), float(own.sum())
+    names = [f"f{i}" for i in range(3 + len(WINDOWS))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = value.value
-        for b in batches:
-            fold = b.column(2).to_numpy(zero_copy_only=False)
-            f = [np.concatenate([m.features(w) for w in wordcore.lower_batches(b.column(0))]) for m in models]
-            f = np.where((fold == 0)[:, None], f[0], f[1])
-            yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(f.shape[1])), b.column(1)], names=[*names, "y"])
+    def folded(fold: int, t: np.ndarray, o: np.ndarray) -> pa.Table:
+        """Features of a fold's rows by the model of the other."""
+        value = spark.sparkContext.broadcast(fit_model(parent, node, t, o, shared, words))
 
-    names = [f"f{i}" for i in range(3 + len(WINDOWS))]
-    seen = rows.mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", y int").toArrow()
-    value.destroy()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = value.value
+            for b in batches:
+                f = [model.features(w) for w in wordcore.lower_batches(b.column(0))]
+                f = np.concatenate(f) if f else np.zeros((0, len(names)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(f.shape[1])), b.column(1)], names=[*names, "y"])
+
+        out = rows.where(F.col("fold") == fold).select("text", "toxic").mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", y int").toArrow()
+        value.destroy()
+        return out
+
+    seen = pa.concat_tables([folded(0, t1, o1), folded(1, t0, o0)])
+    whole = fit_model(parent, node, t0 + t1, o0 + o1, shared, words)
     x = np.column_stack([seen[c].to_numpy() for c in names]) if seen.num_rows else np.zeros((0, len(names)))
     y = seen["y"].to_numpy().astype(float) if seen.num_rows else np.zeros(0)
     if len(y) == 0 or y.min() == y.max():

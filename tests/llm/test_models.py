@@ -156,6 +156,39 @@ def test_toxicity_learns_held_out(spark, docs, odd):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in got)
 
 
+def test_toxicity_keeps_all_edges_and_counts(spark, docs):
+    """Every prefix of every labelled word is in the model, and its shared count is that of the whole corpus."""
+    rows = [(i, f"plain text goes on here {'x' * (i % 14)} w{i}") for i in range(60)] + [(99, "vilexxpression once"), (98, "vilexxpressive here"), (97, None), (96, "a a a")]
+    labels = spark.createDataFrame([(i, 1, int(i >= 96)) for i, _ in rows if i % 3 == 0], "doc_id bigint, quality int, toxic int")
+    called = []
+    fit = toxicity.fit_model
+
+    def keep(parent, node, toxic, plain, shared, words=None):
+        called.append((parent, node, toxic, plain, shared, words))
+        return fit(parent, node, toxic, plain, shared, words)
+
+    toxicity.fit_model = keep
+    try:
+        toxicity.train(docs(rows), labels)
+    finally:
+        toxicity.fit_model = fit
+    _, node, toxic, plain, shared, words = called[-1]
+    got = {n: (a, b, c) for n, a, b, c in zip(node.tolist(), toxic.tolist(), plain.tolist(), shared.tolist())}
+    truth = {x.doc_id: x.toxic for x in labels.where(~toxicity.held_out(toxicity.F.col("doc_id"))).collect()}
+    want = defaultdict(lambda: [0, 0, 0])
+    total = 0
+    for i, t in rows:
+        for word in (t or "").split():
+            raw = np.frombuffer(word.encode(), np.uint8)
+            total += 1
+            for h in {int(h[0]) for h in toxicity.chains_at(raw, np.array([0]), np.array([len(raw)]))} - {0}:
+                want[h][2] += 1
+                if i in truth:
+                    want[h][0 if truth[i] else 1] += 1
+    assert got == {h: tuple(c) for h, c in want.items() if c[0] + c[1]}
+    assert words == total and min(a + b for a, b, _ in got.values()) == 1
+
+
 def test_toxicity_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = toxicity.toxicity(docs([(1, "a b"), (2, None)]), empty).collect()
