@@ -74,6 +74,28 @@ def redact_secrets(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", red.alias("redacted"), F.contains(red, F.concat(F.col("doc_id").cast("string"), F.lit("!"))).alias("leaks"))
 
 
+# The values to hide in each of SHAPES.
+SECRETS = (("abc{n}.def",), ("zz{n}",), ("sk-live{n}_x",), ("plain{n}",), ("t{n}", "k{n}"))
+
+
+def _lengths_of(secret, column):
+    """Characters of a text that are occurrences of the secret."""
+    return F.length(column) - F.length(F.replace(column, secret, F.lit("")))
+
+
+@query()
+def redact_documents(t: Tables) -> DataFrame:
+    """Every whole text with its secret at the end; it leaks if its value is left more often than in the text alone."""
+    own = F.coalesce("text", F.lit(""))
+    d = t.documents.select("doc_id", tx.redact(own).alias("own"), tx.redact(F.concat(own, F.lit("\n"), F.coalesce(_shape("doc_id"), F.lit("")))).alias("redacted"))
+    leaks = F.lit(False)
+    for i, values in enumerate(SECRETS):
+        for v in values:
+            secret = F.replace(F.lit(v), F.lit("{n}"), F.col("doc_id").cast("string"))
+            leaks = leaks | F.coalesce((F.col("doc_id") % 5 == i) & (_lengths_of(secret, F.col("redacted")) > _lengths_of(secret, F.col("own"))), F.lit(False))
+    return d.select("doc_id", "redacted", leaks.alias("leaks"))
+
+
 @query(r"""SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: true) AS mails,
     regexp_matches(coalesce(text, ''), '(?i)(?:[?&#]|%3f|%26)(?:api[_-]?key|token|authorization|access[_-]?token|apikey|auth)(?:=|%3d)') AS secret_url FROM documents""")
 def url_filter(t: Tables) -> DataFrame:
@@ -87,11 +109,11 @@ def page_urls(t: Tables) -> DataFrame:
     return t.pages.select("page_id", ((u.startswith("http://") | u.startswith("https://")) & ~F.contains(u, F.lit(" "))).alias("is_http"), F.regexp_extract(u, "^https?://([^/?#]+)", 1).alias("host"))
 
 
-def _numbered(t: Tables) -> DataFrame:
+def _numbered(documents: DataFrame) -> DataFrame:
     """Headings and references made of each document's id and first words."""
     head = F.regexp_replace(F.regexp_extract(F.coalesce("text", F.lit("")), r"^(\S+)", 1), "[^A-Za-z]", "")
     number = F.when(F.col("doc_id") % 4 == 0, F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit("."), (F.col("doc_id") % 7).cast("string"))).when(F.col("doc_id") % 4 == 1, "IV").when(F.col("doc_id") % 4 == 2, "1.2.3").otherwise("")
-    return t.documents.select("doc_id", F.concat(number, F.lit(" "), head).alias("heading"))
+    return documents.select("doc_id", "text", F.concat(number, F.lit(" "), head).alias("heading"))
 
 
 _HEADING = "CASE doc_id % 4 WHEN 0 THEN CAST(doc_id % 9 + 1 AS VARCHAR) || '.' || CAST(doc_id % 7 AS VARCHAR) WHEN 1 THEN 'IV' WHEN 2 THEN '1.2.3' ELSE '' END || ' ' || regexp_replace(regexp_extract(coalesce(text, ''), '^(\\S+)', 1), '[^A-Za-z]', '', 'g')"
@@ -101,7 +123,14 @@ _HEADING = "CASE doc_id % 4 WHEN 0 THEN CAST(doc_id % 9 + 1 AS VARCHAR) || '.' |
     WHEN regexp_matches(h, '^[IVXLCDM]+(?:\.[0-9]+)*\.?\s+\S') THEN length(regexp_extract(h, '^[IVXLCDM]+((?:\.[0-9]+)*)', 1)) - length(replace(regexp_extract(h, '^[IVXLCDM]+((?:\.[0-9]+)*)', 1), '.', '')) + 1 END AS depth
     FROM (SELECT doc_id, heading, {SQZ.format(c='heading')} AS h FROM (SELECT doc_id, {_HEADING} AS heading FROM documents))""")
 def heading_depth(t: Tables) -> DataFrame:
-    return _numbered(t).withColumn("depth", tx.heading_depth(F.col("heading")))
+    return _numbered(t.documents).drop("text").withColumn("depth", tx.heading_depth(F.col("heading")))
+
+
+@query()
+def document_headings(t: Tables) -> DataFrame:
+    """Every line of every text, then the numbered one made of it, with the depth of its heading number."""
+    lines = _numbered(t.documents).select("doc_id", F.posexplode(F.split(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.coalesce("heading", F.lit(""))), r"\r?\n")).alias("i", "heading"))
+    return lines.select("doc_id", (F.col("i") + 1).alias("line_no"), "heading", tx.heading_depth(F.col("heading")).alias("depth"))
 
 
 _REF_TEXT = "'See Fig. ' || (doc_id % 12) || ' and Table ' || (doc_id % 5 + 1) || '.' || (doc_id % 3) || ', eq. (' || (doc_id % 9) || ') in Section IV; also figure ' || (doc_id % 12 + 1) || '.'"
@@ -117,9 +146,16 @@ def cross_refs(t: Tables) -> DataFrame:
     return _references(t).select("doc_id", "pos", "text", "type", "label")
 
 
-def _references(t: Tables) -> DataFrame:
-    made = t.documents.select("doc_id", F.expr("concat('See Fig. ', doc_id % 12, ' and Table ', doc_id % 5 + 1, '.', doc_id % 3, ', eq. (', doc_id % 9, ') in Section IV; also figure ', doc_id % 12 + 1, '.')").alias("x"))
-    return made.select("doc_id", F.posexplode(tx.cross_references(F.col("x"))).alias("pos", "r")).select("doc_id", "pos", "r.*")
+def _references(t: Tables, whole: bool = False) -> DataFrame:
+    made = t.documents.select("doc_id", "text", F.expr("concat('See Fig. ', doc_id % 12, ' and Table ', doc_id % 5 + 1, '.', doc_id % 3, ', eq. (', doc_id % 9, ') in Section IV; also figure ', doc_id % 12 + 1, '.')").alias("x"))
+    x = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.coalesce("x", F.lit(""))) if whole else F.col("x")
+    return made.select("doc_id", F.posexplode(tx.cross_references(x)).alias("pos", "r")).select("doc_id", "pos", "r.*")
+
+
+@query()
+def document_refs(t: Tables) -> DataFrame:
+    """References of every whole text and of the sentence made for it."""
+    return _references(t, True).select("doc_id", "pos", "text", "type", "label")
 
 
 @query(
@@ -131,9 +167,19 @@ def _references(t: Tables) -> DataFrame:
 )
 def resolve_refs(t: Tables) -> DataFrame:
     """Nations stand for the figures, some under one label, and regions for the equations."""
+    return structure.unique_targets(_references(t).withColumnRenamed("doc_id", "source"), _targets(t))
+
+
+@query()
+def resolve_document_refs(t: Tables) -> DataFrame:
+    """The references of whole texts against the same targets."""
+    return structure.unique_targets(_references(t, True).withColumnRenamed("doc_id", "source"), _targets(t))
+
+
+def _targets(t: Tables) -> DataFrame:
     f = t.nation.select(F.col("n_nationkey").alias("target"), F.lit("figure").alias("type"), F.expr("concat('Figure ', n_nationkey % 20)").alias("label"))
     e = t.region.select(F.col("r_regionkey").alias("target"), F.lit("equation").alias("type"), F.expr("concat('Eq. ', r_regionkey)").alias("label"))
-    return structure.unique_targets(_references(t).withColumnRenamed("doc_id", "source"), f.unionByName(e))
+    return f.unionByName(e)
 
 
 @query(f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{tx.MOJIBAKE_PATTERN}') AS mojibake, regexp_matches(coalesce(text, ''), '{tx.CJK_PATTERN}') AS cjk FROM documents")
