@@ -7,7 +7,7 @@ from html import unescape
 
 # Element names of HTML by how they lay out or parse.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg iframe object textarea select math title head".split())
+SKIPPED = frozenset("script style noscript template svg iframe textarea select title head".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset(

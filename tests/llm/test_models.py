@@ -295,6 +295,14 @@ def test_main_text_of_pages(spark):
     assert {x.text for x in got if x.page_id in (2, 3)} == {""}
 
 
+def test_math_and_object_fallback_are_left_to_the_trees(spark):
+    """Text of math and object elements inside prose is kept as that of other nodes is."""
+    prose = "This sentence is long enough to count as prose in the main text of a page, and goes on."
+    page = f"<html><body><article><h1>A title</h1><p>{prose} The sum <math><mi>alpha</mi><mo>=</mo><mn>42</mn></math> holds here. {prose}</p><p>{prose} <object>fallback words</object> {prose}</p></article></body></html>"
+    got = html_text.main_text(spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")).first().text
+    assert "alpha" in got and "42" in got and "fallback words" in got
+
+
 def test_trees_separate_composed_pages():
     trees = html_text.trained()
     composer = html_text._Composer(123)
