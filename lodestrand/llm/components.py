@@ -5,23 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.runtime import materialize
+from lodestrand.runtime import materialize, release
 
+#: Edges of a node that one task may take; nodes with more are hubs.
+DEGREE = 1_000
+#: Hubs that are broadcast at most. The degree that makes a hub grows with the edges so that there are never more.
+HUBS = 100_000
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with m, the least of u and u's neighbours; a partial aggregate, so a hub is no single task."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m"))
-    return edges.join(least, F.col("u") == F.col("__u")).select("u", "v", "m")
 
+def _least(edges: DataFrame, degree: int) -> DataFrame:
+    """Each (u, v) with m, the least of u and u's neighbours.
 
-def _large_star(edges: DataFrame) -> DataFrame:
+    A node of more than `degree` edges learns m by broadcast, so that its edges stay where they lie.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m"), "n")
+    hubs = materialize(least.where(F.col("n") > degree).select(F.col("__u").alias("__h"), "m"), "hubs")
+    if hubs.isEmpty():
+        release(hubs)
+        return edges.join(least, F.col("u") == F.col("__u")).select("u", "v", "m")
+    few = F.broadcast(hubs)  # at most edges / degree rows, which is HUBS or fewer
+    of_hubs = edges.join(few, F.col("u") == F.col("__h")).select("u", "v", "m")
+    rest = edges.join(few, F.col("u") == F.col("__h"), "left_anti")
+    own = rest.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m"))
+    return rest.join(own, F.col("u") == F.col("__u")).select("u", "v", "m").unionByName(of_hubs)
+
+
+def _large_star(edges: DataFrame, degree: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _least(both, degree).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, degree: int) -> DataFrame:
     """edges have u > v, as large stars do."""
-    stars = _least(edges)
+    stars = _least(edges, degree)
     return stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -31,16 +47,20 @@ def _all_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("u").alias("u"), F.max("v").alias("v")).where("u > 1 OR (u = 1 AND v = 1)").isEmpty()
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", degree: int = DEGREE) -> DataFrame:
     """node, label for each node of an undirected edge table (u, v); the label is the component's least node.
 
     Self-loops and repeated edges are allowed; nodes without another are not returned. Each
-    round is written to the shared folder; the number of rounds grows with the logarithm
-    of the longest path.
+    round is written to the shared folder and the one before it deleted; the number of
+    rounds grows with the logarithm of the longest path.
     """
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     state = materialize(down.distinct(), name)
     while not _all_stars(state):
-        state = materialize(_small_star(_large_star(state)), name)
+        hub = max(degree, 2 * state.count() // HUBS)
+        large = materialize(_large_star(state, hub), name)
+        release(state)
+        state = materialize(_small_star(large, hub), name)
+        release(large)
     nodes = state.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

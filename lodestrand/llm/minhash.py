@@ -17,18 +17,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm import repeats, wordcore
 from lodestrand.llm.components import connected_components
 from lodestrand.llm.wordcore import U
-from lodestrand.runtime import materialize, ship
+from lodestrand.runtime import materialize, release, ship
 
 BANDS, ROWS, BITS = 32, 6, 4
 HASHES = BANDS * ROWS
-#: Rows of a bucket or component that one task compares; larger ones are dealt in blocks.
-BLOCK = 20_000
+#: Rows of a bucket or component, and bytes of their full sets, that one task compares; larger ones are dealt in blocks.
+BLOCK, BLOCK_BYTES = 20_000, 64 << 20
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -138,11 +138,11 @@ def jaccard_checker(sets: list[np.ndarray], percent: int) -> Callable:
     return check
 
 
-_SIGNED = "doc_id bigint, rk bigint, n_shingles bigint, set_id binary, bands array<bigint>, sig binary"
+_SIGNED = "doc_id bigint, key binary, n_shingles bigint, set_id binary, bands array<bigint>, sig binary"
 
 
 def _sign(words: int, lower: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,30 +253,42 @@ def _linked_to_hub(percent: int, slack: float):
     return run
 
 
-def dealt(rows: DataFrame, percent: int, slack: float, block: int, name: str) -> DataFrame:
-    """rows (key, set_id, n, sig, body) with a block number, so that no (key, block) has many over `block` rows.
+def dealt(rows: DataFrame, percent: int, slack: float, block: int, name: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame | None]:
+    """rows (key, set_id, n, sig, body) with a block number, and links found on the way.
 
-    In a key with more, every row is first compared with one of its rows, the hub. Rows
-    linked to it are dealt over blocks; the others, which may link to any row, and the hub
-    itself go to every block. So all links not between two linked rows are seen, and
-    linked rows are joined through the hub. Where no key has more, rows pass as they are.
+    No (key, block) has many over 2 * block rows or 2 * block_bytes of sets. In a key with
+    more than half of that, every row is first compared with one of its rows, the hub. Rows
+    linked to it need no comparison with each other; the rest may link to any row. Both are
+    cut into blocks, and each block of the rest meets each other block of the rest and each
+    block of linked rows (with the hub, which holds those together).
     """
     columns = ["key", "block", "set_id", "n", "sig", "body"]
-    plain = rows.withColumn("block", F.lit(0)).select(*columns)
-    large = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("set_id").alias("hub")).where(F.col("m") > block).select(F.col("key").alias("__key"), "m", "hub"), name)
+    plain = rows.withColumn("block", F.lit(0).cast("bigint")).select(*columns)
+    weight = F.sum(F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint"))
+    many = (F.col("m") > block) | (F.col("b") > block_bytes)
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), weight.alias("b"), F.min("set_id").alias("hub")).where(many & (F.col("m") > 1)).select(F.col("key").alias("__key"), "hub")
+    large = materialize(large, name)
     if large.isEmpty():
-        return plain
+        release(large)
+        return plain, None
     on = F.col("key") == F.col("__key")
     of_large = rows.join(large, on)
     hubs = of_large.where("set_id = hub").dropDuplicates(["key"]).select(F.col("key").alias("__hkey"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"), F.col("body").alias("hub_body"))
-    told = of_large.select("key", "set_id", "n", "sig", "body", "m", "hub").join(hubs, F.col("key") == F.col("__hkey")).drop("__hkey")
-    fields = "key binary, set_id binary, n bigint, sig binary, body binary, m bigint, hub binary, linked boolean"
+    told = of_large.select("key", "set_id", "n", "sig", "body", "hub").join(hubs, F.col("key") == F.col("__hkey")).drop("__hkey")
+    fields = "key binary, set_id binary, n bigint, sig binary, body binary, hub binary, linked boolean"
     told = materialize(told.mapInArrow(_linked_to_hub(percent, slack), fields), name)
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    alone = F.col("linked") & (F.col("set_id") != F.col("hub"))
-    which = F.when(alone, F.array(F.pmod(F.xxhash64("set_id"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    spread = told.withColumn("block", F.explode(which)).select(*columns)
-    return plain.join(large, on, "left_anti").unionByName(spread)
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(weight / block_bytes)).cast("bigint")
+    sizes = told.groupBy("key", "linked").agg(blocks.alias("blocks")).groupBy(F.col("key").alias("__key"))
+    sizes = sizes.agg(F.max(F.when(F.col("linked"), F.col("blocks"))).alias("nc"), F.coalesce(F.max(F.when(~F.col("linked"), F.col("blocks"))), F.lit(0)).alias("nu"))
+    mine = F.pmod(F.xxhash64("set_id"), F.when(F.col("linked"), F.col("nc")).otherwise(F.col("nu")))
+    others, clusters = F.sequence(F.lit(0), F.col("nu") - 1), F.sequence(F.lit(0), F.col("nc") - 1)
+    rest_rest = F.transform(others, lambda j: F.least(j, F.col("own")) * F.col("nu") + F.greatest(j, F.col("own")))
+    cell = lambda c, u: F.col("nu") * F.col("nu") + c * F.col("nu") + u
+    of_hub = F.flatten(F.transform(clusters, lambda c: F.transform(others, lambda u: cell(c, u))))
+    which = F.when(F.col("set_id") == F.col("hub"), of_hub).when(F.col("linked"), F.transform(others, lambda u: cell(F.col("own"), u))).otherwise(F.concat(rest_rest, F.transform(clusters, lambda c: cell(c, F.col("own")))))
+    spread = told.join(sizes, on).where("nu > 0").withColumn("own", mine).withColumn("block", F.explode(which)).select(*columns)
+    links = told.where("linked AND set_id <> hub").select(F.col("hub").alias("u"), F.col("set_id").alias("v"))
+    return plain.join(large.select("__key"), on, "left_anti").unionByName(spread), links
 
 
 def _with_sets(words: int, lower: bool):
@@ -291,37 +303,57 @@ def _with_sets(words: int, lower: bool):
     return run
 
 
+def _compared(rows: DataFrame, percent: int, slack: float, block: int, name: str, search: Callable) -> DataFrame:
+    """Links among the rows of each key, by a search within each block."""
+    rows, links = dealt(rows, percent, slack, block, name)
+    found = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(search, "u binary, v binary")
+    return found if links is None else found.unionByName(links)
+
+
+def _node() -> Column:
+    """A class's name: whether its least id is null, that id, and its set, so the least node of a component has its least id."""
+    number = F.lpad(F.hex(F.col("least_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    head = F.when(F.col("least_id").isNull(), F.lit("01" + "00" * 8)).otherwise(F.concat(F.lit("00"), number))
+    return F.concat(F.unhex(head), F.col("set_id"))
+
+
+def _least_id(node: Column) -> Column:
+    """The id that a node begins with."""
+    number = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("bigint")
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", number.bitwiseXOR(F.lit(-(2**63))))
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.15, block: int = BLOCK
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row.
+    """doc_id, text_key, n_shingles, component_id, kept for each row.
 
     Rows are linked when 100 * intersection >= percent * union of their distinct word
     shingles (words ASCII-lower-cased if lower); a text of fewer words is one shingle. A
     null text, or one without words, is linked with nothing and is its own component.
-    component_id is the least id reachable and kept tells the row that has it; rows that
-    repeat an id share its decision. An empty table gives no rows.
+    component_id is the least id reachable (null only where no row of the component has an
+    id) and kept tells the rows that have it; text_key is 128 bits of the text. Rows that
+    repeat an id and a text share their decision. Other columns are not read. An empty table
+    gives no rows.
     """
     ship(docs.sparkSession)
     rows = repeats.keyed(docs, id_col, text_col)
     signed = materialize(rows.mapInArrow(_sign(words, lower), _SIGNED), "signed")
     full = signed.where("n_shingles > 0")
-    # One row of each class of equal sets stands for it.
-    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("m"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
-    bucketed = classes.select(F.explode(F.transform("bands", lambda x: x.cast("string").cast("binary"))).alias("key"), "set_id", "n", "sig", F.lit(None).cast("binary").alias("body"))
-    bucketed = dealt(bucketed, percent, slack, block, "buckets").select("key", "block", "set_id", "n", "sig")
-    links = bucketed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_bucket_forest(percent, slack), "u binary, v binary")
-    groups = materialize(connected_components(links, "candidate-groups"), "groups")
-    # Full sets of the rows that stand for classes with a candidate.
-    chosen = classes.select("set_id", "rk", "n", "sig").join(groups, F.col("set_id") == F.col("node")).select(F.col("rk").alias("__rk"), F.col("label").alias("key"), "set_id", "n", "sig")
-    bodies = rows.select("text", "rk").join(chosen.hint("shuffle_hash"), F.col("rk") == F.col("__rk")).select("text", "key", "set_id", "n", "sig")
+    # One text of each class of equal sets stands for it.
+    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("text_key"), F.count(F.lit(1)).alias("m"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select(_node().alias("node"), "text_key", "set_id", "m", "n", "bands", "sig"), "classes")
+    bucketed = classes.select(F.explode(F.transform("bands", lambda x: x.cast("string").cast("binary"))).alias("key"), F.col("node").alias("set_id"), "n", "sig", F.lit(None).cast("binary").alias("body"))
+    links = _compared(bucketed, percent, slack, block, "buckets", _bucket_forest(percent, slack))
+    groups = connected_components(links, "candidate-groups").select(F.col("node").alias("__node"), "label")
+    # Full sets of the texts that stand for classes with a candidate.
+    chosen = classes.join(groups, F.col("node") == F.col("__node")).select(F.col("text_key").alias("__key"), F.col("label").alias("group"), F.col("node").alias("set_id"), "n", "sig")
+    bodies = repeats.texts_of(rows).join(chosen.hint("shuffle_hash"), F.col("key") == F.col("__key")).select("text", "group", "set_id", "n", "sig")
     sets = materialize(bodies.mapInArrow(_with_sets(words, lower), "key binary, set_id binary, n bigint, sig binary, body binary"), "sets")
-    checked = dealt(sets, percent, slack, block, "groups").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_set_forest(percent, slack), "u binary, v binary")
+    checked = _compared(sets, percent, slack, block, "groups", _set_forest(percent, slack))
     components = connected_components(checked, "components").select(F.col("node").alias("__node"), "label")
-    labelled = classes.select("set_id", "least_id", "m").join(components, F.col("set_id") == F.col("__node"), "left").select("set_id", "least_id", "m", F.coalesce("label", "set_id").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"), F.sum("m").alias("size")).where("size > 1").select(F.col("label").alias("__label"), "component_id")
-    named = labelled.join(least, F.col("label") == F.col("__label")).select(F.col("set_id").alias("__set"), "component_id")
-    joined = signed.select("doc_id", "n_shingles", "set_id").join(named, F.col("set_id") == F.col("__set"), "left")
+    release(sets)
+    named = classes.join(components, F.col("node") == F.col("__node"), "left").where("m > 1 OR label IS NOT NULL").select(F.col("set_id").alias("__set"), _least_id(F.coalesce("label", "node")).alias("component_id"))
+    joined = signed.select("doc_id", F.col("key").alias("text_key"), "n_shingles", "set_id").join(named, F.col("set_id") == F.col("__set"), "left")
     component = F.when(F.col("__set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

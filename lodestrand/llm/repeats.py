@@ -1,14 +1,18 @@
 """Repeated windows of words across a corpus: the routing that suffix structures work on.
 
-Every window of L words has an anchor, the least hash of its runs of k words, which equal
-windows share. A window can recur only if its anchor occurs at two selected places, so
-anchors are counted first, over the whole corpus, and only windows of recurring anchors
-go on. They travel as segments (windows in a row with one anchor), equal segments of a
-task as one, to the shard of their anchor, where a suffix structure decides which
-of their windows occur twice or more. An anchor with very many places would make a shard
-that one task can't hold; its windows are segments of their own instead, equal ones of a
-task again as one, and counted by anchor and window fingerprint (128 bits) in a partial
-aggregate.
+Equal texts are folded first, to one text and whether more rows hold it, so a group of
+copies weighs as much as one document. Every window of L words has an anchor, the leftmost
+of its least-hashed runs of k words, which equal windows share at the same place. A window
+can recur only if its anchor occurs at two places, so anchors are counted over all texts,
+and only windows of recurring anchors go on. They travel as segments (the windows in a row
+with one anchor), equal segments of a task as one, to the shard of their anchor, where a
+suffix structure decides which of their windows occur twice or more. An anchor with more
+places than a shard may hold is split by content: its windows go one by one to a shard of
+the anchor and the window's fingerprint, where the same structure decides.
+
+Texts cross the network once: the exchange that deals them by key serves the search for
+segments and the final cut (Spark reuses it), and only anchors, segments and marks move
+besides.
 """
 
 from __future__ import annotations
@@ -20,173 +24,193 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.llm import wordcore
-from lodestrand.llm.wordcore import TOP, U
-from lodestrand.runtime import materialize, ship
-
-#: Windows of a segment; their marks fit one 64-bit value.
-MOST_WINDOWS = 32
-#: Places of an anchor that one shard may hold.
-HOT = 10_000
-
-#: Distinct segments of a shard, each (words, anchor offset, rows that have it), to the marks of each.
+from lodestrand.llm.wordcore import TOP
+from lodestrand.runtime import materialize, release, ship
+
+#: Places of an anchor that one shard may hold; anchors with more are split by content.
+SHARD = 4_000
+#: Keys of texts that a task remembers in order to fold equal ones.
+REMEMBERED = 500_000
+#: Bytes of distinct segments that a task holds before it sends them.
+HELD = 16 << 20
+MEMBER = np.dtype([("key", "V16"), ("start", "<i4")])
+
+#: Distinct segments of a shard, each (words, anchor offset, places that have it), to the marks of each.
 Marker = Callable[[list[tuple[list[bytes], int, int]], int], list[int]]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and rk, a key of the row's id and text; rows that agree in both share a key and so a result."""
+    """doc_id, text (null as empty) and key, 128 bits of the text; equal texts share it."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return slim.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
+    return slim.select("doc_id", "text", F.unhex(F.md5("text")).alias("key"))
+
+
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text) of a task, equal ones once as far as the memory of keys reaches."""
+    seen: set[bytes] = set()
+    for b in batches:
+        keep = np.zeros(b.num_rows, bool)
+        for i, key in enumerate(b.column(0).to_pylist()):
+            if key not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
+                keep[i] = True
+        yield b.filter(pa.array(keep))
+
 
+_TEXT = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField("text", T.StringType(), False)])
 
-def _window_anchors(w: wordcore.Words, grams: wordcore.Grams, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of runs of k words (the greatest value over row borders), each window's anchor, and which windows lie in one row."""
+
+def texts_of(rows: DataFrame) -> DataFrame:
+    """key and text of the rows, equal ones of a task once."""
+    return rows.select("key", "text").mapInArrow(_first_seen, _TEXT)
+
+
+def _anchors(w: wordcore.Words, grams: wordcore.Grams, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of runs of k words, the windows that lie in one row, and where each has its anchor."""
     g = grams.of(k)
     g[~wordcore.inside(w.ptr, len(w), k)] = TOP
-    return g, wordcore.sliding(g, window - k + 1, np.minimum), wordcore.inside(w.ptr, len(w), window)
+    at = np.flatnonzero(wordcore.inside(w.ptr, len(w), window))
+    return g, at, wordcore.leftmost_least(g, window - k + 1)[at]
 
 
 def _selected(window: int, k: int):
-    schema = pa.schema([("v", pa.int64()), ("rk", pa.int64()), ("c", pa.int64())])
+    """A row for each anchor of a text: its hash, the text's key, and at how many places of the text it is one."""
+    schema = pa.schema([("v", pa.int64()), ("key", pa.binary()), ("c", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rk = b.column(1).to_numpy()
-            for w in wordcore.word_batches(b.column(0)):
+            for w in wordcore.word_batches(b.column(1)):
                 if len(w) < window:
                     continue
-                g, least, valid = _window_anchors(w, wordcore.Grams(w.hashes()), window, k)
-                span = window - k + 1
-                pad = np.zeros(span - 1, np.uint64)
-                reach = wordcore.sliding(np.concatenate([pad, np.where(valid, least, U(0)), pad]), span, np.maximum)
-                at = np.flatnonzero(reach[: len(g)] == g)
-                v, row = g[at], np.searchsorted(w.ptr, at, side="right") - 1
+                g, _, place = _anchors(w, wordcore.Grams(w.hashes()), window, k)
+                place = np.unique(place)
+                v, row = g[place], np.searchsorted(w.ptr, place, side="right") - 1
                 order = np.lexsort((v, row))
                 v, row = v[order], row[order]
                 first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (row[1:] != row[:-1]))) if len(v) else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[first].view(np.int64)), pa.array(rk[w.first_row + row[first]]), pa.array(np.diff(np.append(first, len(v))))], schema=schema
+                    [pa.array(v[first].view(np.int64)), b.column(0).take(pa.array(w.first_row + row[first])), pa.array(np.diff(np.append(first, len(v))).astype(np.int32))], schema=schema
                 )
 
     return run
 
 
-_SEGMENT = "v bigint, sid binary, body binary, anchor int, rks array<bigint>, starts array<int>"
+_SEGMENT = "v bigint, part int, sid binary, body binary, anchor int, members binary"
 
 
-def _segments(window: int, k: int):
-    schema = pa.schema(
-        [("v", pa.int64()), ("sid", pa.binary()), ("body", pa.binary()), ("anchor", pa.int32()), ("rks", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))]
-    )
+class _Held:
+    """Distinct segments of a task with the places that have them."""
+
+    schema = pa.schema([("v", pa.int64()), ("part", pa.int32()), ("sid", pa.binary()), ("body", pa.binary()), ("anchor", pa.int32()), ("members", pa.binary())])
 
-    def members(lists: pa.Array, lo: int, n: int) -> np.ndarray:
-        """Sorted keys of (row, value) for rows lo..lo+n-1 of a list column."""
-        part = lists.slice(lo, n)
-        sizes = np.diff(part.offsets.to_numpy())
-        return np.sort(_row_key(part.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(n), sizes)))
+    def __init__(self) -> None:
+        self.rows: dict[bytes, list] = {}
+        self.bytes = 0
+
+    def add(self, v: int, part: int, anchor: int, body: bytes, key: bytes, start: int) -> None:
+        sid = hashlib.md5(b"%d %d " % (v, anchor) + body, usedforsecurity=False).digest()
+        e = self.rows.get(sid)
+        if e is None:
+            e = self.rows[sid] = [v, part, body, anchor, bytearray()]
+            self.bytes += len(body) + 200
+        e[4] += key + start.to_bytes(4, "little")
+        self.bytes += 20
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        rows = [(e[0], e[1], sid, e[2], e[3], bytes(e[4])) for sid, e in self.rows.items()]
+        self.rows, self.bytes = {}, 0
+        for lo in range(0, len(rows), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 20_000]), self.schema.types)], schema=self.schema)
+
+
+def _segments(window: int, k: int):
+    """Segments of the windows whose anchors are among those listed for their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for b in batches:
-            rk = b.column(1).to_numpy()
-            cold: dict[bytes, list] = {}
-            single: list[tuple] = []
-            for w in wordcore.word_batches(b.column(0)):
+            keys, listed, cuts = b.column(0), b.column(2), b.column(3)
+            for w in wordcore.word_batches(b.column(1)):
+                known, parts = _row_keys(listed.slice(w.first_row, w.rows), cuts.slice(w.first_row, w.rows))
                 grams = wordcore.Grams(w.hashes())
-                g, least, valid = _window_anchors(w, grams, window, k)
-                at = np.flatnonzero(valid)
-                if not len(at):
+                g, at, place = _anchors(w, grams, window, k)
+                if not len(at) or not len(known):
                     continue
                 row = np.searchsorted(w.ptr, at, side="right") - 1
-                key = _row_key(least[at], row)
-                known, hot = (_among(members(b.column(c), w.first_row, w.rows), key) for c in (2, 3))
-                if hot.any():
-                    h, r = at[hot], row[hot]
-                    single.append((least[h], grams.spans(h, h + window), rk[w.first_row + r], (h - w.ptr[r]).astype(np.int32)))
-                at, row = at[known & ~hot], row[known & ~hot]
+                found = np.searchsorted(known, own := _row_key(g[place], row))
+                found[found == len(known)] = 0
+                there = known[found] == own
+                at, row, place, split = at[there], row[there], place[there], parts[found[there]]
                 if not len(at):
                     continue
-                v = least[at]
-                new = np.append(True, (at[1:] != at[:-1] + 1) | (v[1:] != v[:-1]) | (row[1:] != row[:-1]))
+                v = g[place].view(np.int64)
+                name = [keys[w.first_row + r].as_py() for r in range(w.rows)]
+                # Windows of split anchors are segments of their own.
+                new = np.append(True, (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1]) | (split[1:] > 1))
                 begin = np.flatnonzero(new)
                 length = np.diff(np.append(begin, len(at)))
-                for i, n, r in zip(begin.tolist(), length.tolist(), row[begin].tolist()):
-                    for j in range(0, n, MOST_WINDOWS):
-                        s, m = int(at[i + j]), min(MOST_WINDOWS, n - j)
-                        body = w.text(s, s + m + window - 1)
-                        sid = hashlib.md5(body + int(v[i]).to_bytes(8, "little"), usedforsecurity=False).digest()
-                        e = cold.get(sid)
-                        if e is None:
-                            here = int(np.argmax(g[s : s + window - k + 1] == v[i]))
-                            e = cold[sid] = [int(v[i : i + 1].view(np.int64)[0]), body, here, [], []]
-                        e[3].append(int(rk[w.first_row + r]))
-                        e[4].append(s - int(w.ptr[r]))
-            if single:
-                yield _single_windows(*(np.concatenate(c) for c in zip(*single)), schema)
-            if cold:
-                rows = [(e[0], sid, e[1], e[2], e[3], e[4]) for sid, e in cold.items()]
-                for lo in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 20_000]), schema.types)], schema=schema)
+                s, r, a, cut = at[begin], row[begin], place[begin] - at[begin], split[begin]
+                part = np.where(cut > 1, (grams.spans(s, s + window) % cut.astype(np.uint64)).astype(np.int64), 0)
+                start = s - w.ptr[r]
+                for x in zip(v[begin].tolist(), part.tolist(), a.tolist(), s.tolist(), length.tolist(), r.tolist(), start.tolist()):
+                    held.add(x[0], x[1], x[2], w.text(x[3], x[3] + x[4] + window - 1), name[x[5]], x[6])
+                if held.bytes > HELD:
+                    yield from held.flush()
+        yield from held.flush()
 
     return run
 
 
 def _row_key(v: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return wordcore.mix(v + wordcore.mix(row.astype(np.uint64) + U(1)))
-
-
-def _among(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(keys, x)
-    at[at == len(keys)] = 0
-    return keys[at] == x
+    return wordcore.mix(v + wordcore.mix(row.astype(np.uint64) + wordcore.U(1)))
 
 
-def _single_windows(v: np.ndarray, print_: np.ndarray, rk: np.ndarray, start: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    """A row for each distinct window of hot anchors, with the places that have it; sid is anchor and fingerprint."""
-    order = np.lexsort((print_, v))
-    v, print_, rk, start = v[order], print_[order], rk[order], start[order]
-    first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (print_[1:] != print_[:-1])))
-    offsets = np.append(first, len(v)).astype(np.int32)
-    n = len(first)
-    sid = np.column_stack([v[first], print_[first]])
-    sid = pa.Array.from_buffers(pa.binary(16), n, [None, pa.py_buffer(np.ascontiguousarray(sid).tobytes())]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(v[first].view(np.int64)), sid, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.ListArray.from_arrays(offsets, rk), pa.ListArray.from_arrays(offsets, start)], schema=schema
-    )
+def _row_keys(listed: pa.Array, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of (row, anchor) for the lists of some rows, and the parts of each anchor."""
+    sizes = np.diff(listed.offsets.to_numpy())
+    keys = _row_key(listed.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes)), sizes))
+    order = np.argsort(keys)
+    return keys[order], cuts.flatten().to_numpy()[order]
 
 
 def _shards(window: int, marker: Marker):
-    schema = pa.schema([("sid", pa.binary()), ("mask", pa.int64())])
+    """Marks (key, start, mask) of the members of each shard's segments."""
+    schema = pa.schema([("key", pa.binary()), ("start", pa.int32()), ("mask", pa.int64())])
 
     def marked(group: dict[bytes, list]) -> list[tuple[bytes, int]]:
-        if len(group) == 1:
-            (only,) = group.values()
-            if only[2] < 2 and len(only[0]) == len(set(only[0])):
-                return []
-        masks = marker([tuple(e) for e in group.values()], window)
-        return [(sid, m - (1 << 64) if m >> 63 else m) for sid, m in zip(group, masks) if m]
+        if len(group) == 1 and len(next(iter(group.values()))[2]) == MEMBER.itemsize:
+            return []
+        masks = marker([(words, anchor, len(members) // MEMBER.itemsize) for words, anchor, members in group.values()], window)
+        return [(e[2], m - (1 << 64) if m >> 63 else m) for e, m in zip(group.values(), masks) if m]
 
-    def batch(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+    def batch(out: list[tuple[bytes, int]]) -> pa.RecordBatch:
+        members = np.frombuffer(b"".join(x for x, _ in out), MEMBER)
+        masks = np.repeat(np.array([m for _, m in out], np.int64), [len(x) // MEMBER.itemsize for x, _ in out])
+        keys = pa.Array.from_buffers(pa.binary(16), len(members), [None, pa.py_buffer(np.ascontiguousarray(members["key"]).tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.ascontiguousarray(members["start"])), pa.array(masks)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, group, now = [], {}, None
+        out, size, group, now = [], 0, {}, None
         for b in batches:
-            for v, sid, body, anchor, n in zip(*(c.to_pylist() for c in b.columns)):
-                if v != now:
-                    if group:
-                        out += marked(group)
-                    group, now = {}, v
-                    if len(out) > 20_000:
+            for v, part, sid, body, anchor, members in zip(*(c.to_pylist() for c in b.columns)):
+                if (v, part) != now:
+                    found = marked(group) if group else []
+                    out += found
+                    size += sum(len(x) for x, _ in found)
+                    group, now = {}, (v, part)
+                    if size > 1 << 20:
                         yield batch(out)
-                        out = []
+                        out, size = [], 0
                 e = group.get(sid)
                 if e is None:
-                    group[sid] = [body.split(b" "), anchor, n]
+                    group[sid] = [body.split(b" "), anchor, bytearray(members)]
                 else:
-                    e[2] += n
+                    e[2] += members
         if group:
             out += marked(group)
         if out:
@@ -224,36 +248,41 @@ def word_counts(segments: list[tuple[list[bytes], int, int]]) -> dict[bytes, int
     return counts
 
 
-def repeated_windows(rows: DataFrame, window: int, k: int, marker: Marker, hot: int = HOT) -> DataFrame:
-    """rk and marks, an array of (start, mask): bit i of mask says that the window at word start + i recurs.
+def marked_texts(rows: DataFrame, window: int, k: int, marker: Marker, shard: int = SHARD, all_texts: bool = False) -> DataFrame:
+    """key, text, whole, marks of each text (a text of several rows at least once, all of them in one task).
 
-    rows: text and rk, from keyed(). Rows without a recurring window are not returned.
+    rows: from keyed(). marks is an array of (start, mask): bit i of mask says that the window at word
+    start + i occurs elsewhere; whole says that more than one row has the text. Texts without either
+    are returned only with all_texts.
     """
     ship(rows.sparkSession)
-    places = materialize(rows.select("text", "rk").mapInArrow(_selected(window, k), "v bigint, rk bigint, c bigint"), "anchors")
-    many = places.groupBy("v").agg(F.sum("c").alias("n")).where("n > 1").select(F.col("v").alias("__v"), (F.col("n") > hot).alias("hot"))
-    there = places.join(many, places.v == F.col("__v")).groupBy("rk").agg(F.collect_set("v").alias("vs"), F.collect_set(F.when(F.col("hot"), F.col("v"))).alias("hots"))
+    rows = rows if all_texts else rows.where(F.octet_length("text") >= 2 * window - 1)
+    texts = texts_of(rows)
+    places = materialize(texts.mapInArrow(_selected(window, k), "v bigint, key binary, c int"), "anchors")
+    # Copies that tasks could not fold are one text: an anchor recurs if two texts, or two places of one, have it.
+    counted = places.groupBy("v").agg(F.sum("c").alias("n"), F.max("c").alias("c"), F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi"))
+    many = counted.where("n > 1 AND (c > 1 OR lo <> hi)").select(F.col("v").alias("w"), F.ceil(F.col("n") / shard).cast("int").alias("part"))
+    there = places.select("v", "key").join(many, F.col("v") == F.col("w")).groupBy("key").agg(F.collect_list(F.struct("v", "part")).alias("known"))
+    listed = materialize(there.select(F.col("key").alias("k1"), F.col("known.v").alias("vs"), F.col("known.part").alias("parts")), "known-anchors")
+    release(places)
+    dealt = texts.repartition("key")
     # Texts are streamed past the smaller side's hash table rather than sorted.
-    found = rows.select("text", "rk").join(there.withColumnRenamed("rk", "__rk").hint("shuffle_hash"), F.col("rk") == F.col("__rk")).select("text", "rk", "vs", "hots")
-    segments = materialize(found.mapInArrow(_segments(window, k), _SEGMENT), "segments")
-    marks = (
-        segments.where("body is not null")
-        .select("v", "sid", "body", "anchor", F.size("rks").alias("n"))
-        .repartition("v")
-        .sortWithinPartitions("v", "sid")
-        .mapInArrow(_shards(window, marker), "sid binary, mask bigint")
-    )
-    twice = segments.where("body is null").groupBy("sid").agg(F.sum(F.size("rks")).alias("n")).where("n > 1").select("sid", F.lit(1).cast("bigint").alias("mask"))
-    marks = marks.unionByName(twice).withColumnRenamed("sid", "__sid")
-    found = segments.select("sid", "rks", "starts").join(marks, F.col("sid") == F.col("__sid"))
-    each = found.select(F.explode(F.arrays_zip("rks", "starts")).alias("m"), "mask")
-    return each.groupBy(F.col("m.rks").alias("rk")).agg(F.collect_set(F.struct(F.col("m.starts").alias("start"), "mask")).alias("marks"))
-
-
-def covered(n_words: int, marks: list[dict], window: int) -> np.ndarray:
-    """Which words of a row lie in a recurring window."""
+    found = dealt.join(listed.hint("shuffle_hash"), F.col("key") == F.col("k1")).select("key", "text", "vs", "parts")
+    segments = found.mapInArrow(_segments(window, k), _SEGMENT)
+    shards = segments.repartition("v", "part").sortWithinPartitions("v", "part")
+    marks = shards.mapInArrow(_shards(window, marker), "key binary, start int, mask bigint").select("key", F.struct("start", "mask").alias("mark"), F.lit(False).alias("whole"))
+    copies = rows.groupBy("key").count().where("count > 1").select("key", F.lit(None).cast("struct<start:int,mask:bigint>").alias("mark"), F.lit(True).alias("whole"))
+    by_text = marks.unionByName(copies).groupBy(F.col("key").alias("k2")).agg(F.collect_list("mark").alias("marks"), F.max("whole").alias("whole"))
+    joined = dealt.join(by_text.hint("shuffle_hash"), F.col("key") == F.col("k2"), "left" if all_texts else "inner")
+    return joined.select("key", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "marks")
+
+
+def covered(n_words: int, whole: bool, marks: list[dict] | None, window: int) -> np.ndarray:
+    """Which words of a text lie in a recurring window."""
+    if whole and n_words >= window:
+        return np.ones(n_words, bool)
     edge = np.zeros(n_words + 1, np.int64)
-    for m in marks:
+    for m in marks or ():
         mask, s = m["mask"] & (2**64 - 1), m["start"]
         while mask:
             low = mask & -mask
@@ -262,3 +291,13 @@ def covered(n_words: int, marks: list[dict], window: int) -> np.ndarray:
             edge[i + window] -= 1
             mask ^= low
     return np.cumsum(edge[:-1]) > 0
+
+
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, bool, list[dict] | None]]:
+    """key, text, whole, marks of batches of marked_texts, each text once."""
+    seen: set[bytes] = set()
+    for b in batches:
+        for row in zip(b.column(0).to_pylist(), wordcore.binary(b.column(1)), b.column(2).to_pylist(), b.column(3)):
+            if row[0] not in seen:
+                seen.add(row[0])
+                yield row[0], row[1].as_py(), row[2], row[3].as_py()

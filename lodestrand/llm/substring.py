@@ -1,6 +1,7 @@
 """Substring deduplication with suffix automata of reference shards.
 
-A shard holds the text that can recur at one anchor (see repeats), so it is bounded. Its
+A shard holds the text that can recur at one anchor (see repeats), split by content where
+an anchor has more than a shard may hold, so it is bounded. Its
 suffix automaton, over words, knows how often each of its substrings occurs; the shard's
 documents are then streamed through it for matching statistics, and every match of at
 least the threshold that occurs twice or more is marked. What the marks cover is removed.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm import repeats, wordcore
+from lodestrand.llm import repeats
 
 
 class SuffixAutomaton:
@@ -120,38 +121,40 @@ def automaton_marks(segments: list[tuple[list[bytes], int, int]], window: int) -
     return masks
 
 
+_CUT = "key binary, n_words bigint, n_removed bigint, kept_sha256 string"
+
+
 def _cleaned(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    schema = pa.schema([("key", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc_id, text, marks in zip(b.column(0).to_pylist(), wordcore.binary(b.column(1)).to_pylist(), b.column(2)):
-                words = text.split()
-                if marks.is_valid:
-                    gone = repeats.covered(len(words), marks.as_py(), window)
-                    kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    kept = words
-                out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            if out:
+        out = []
+        for key, text, whole, marks in repeats.once(batches):
+            words = text.split()
+            kept = words
+            if whole or marks:
+                gone = repeats.covered(len(words), whole, marks, window)
+                kept = [w for w, g in zip(words, gone.tolist()) if not g]
+            out.append((key, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            if len(out) == 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", k: int = 18, hot: int = repeats.HOT) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", k: int = 12, shard: int = repeats.SHARD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row.
 
     Each word covered by a run of `window` words that also starts anywhere else in the
     input, the same row included, counts as removed; runs are judged on the input. A null
     text has no words; repeated rows are copies of each other, so both lose their runs.
-    Rows shorter than the window keep all. An empty table gives no rows.
+    Rows shorter than the window keep all. Other columns are not read. An empty table gives
+    no rows.
     """
     rows = repeats.keyed(docs, id_col, text_col)
-    marks = repeats.repeated_windows(rows, window, k, automaton_marks, hot).withColumnRenamed("rk", "__rk")
-    joined = rows.join(marks.hint("shuffle_hash"), F.col("rk") == F.col("__rk"), "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_cleaned(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
-
-
-
+    cut = repeats.marked_texts(rows, window, k, automaton_marks, shard, all_texts=True).mapInArrow(_cleaned(window), _CUT)
+    joined = rows.select("doc_id", F.col("key").alias("own")).join(cut, F.col("own") == F.col("key"))
+    return joined.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -1,12 +1,12 @@
 """Repeated spans by sparse suffix arrays.
 
 Suffixes are kept only where minimisers choose a place from the content (see repeats), so
-two copies of a span keep suffixes at the same places of it. Suffixes with one minimiser
-are sorted and compared with their neighbours in that order and in the order of their
-reversed prefixes; matches are extended left and right, and those of at least the
-threshold are marked. Where three or more differing suffixes meet, the neighbour with the
-longest match to the right may not be the one that matches to the left, so windows that
-no neighbour has marked are looked up among the shard's windows.
+two copies of a span keep suffixes at the same places of it. The suffixes of one minimiser
+are sorted, and so are the reversed prefixes before them; comparing neighbours gives, for
+every depth, the intervals of suffixes that agree so far to the right and to the left. A
+window that begins o words before its minimiser and has r words from there on occurs
+twice exactly where two suffixes share an interval of depth r to the right and one of depth
+o to the left, so matches are extended both ways without looking at windows one by one.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm import repeats, wordcore
+from lodestrand.llm import repeats
 
 
 def _common(a: list, b: list) -> int:
@@ -35,72 +36,86 @@ def _common(a: list, b: list) -> int:
     return lo
 
 
+def _intervals(keys: list[list[bytes]], depths: np.ndarray) -> np.ndarray:
+    """For each sequence and depth the interval of sequences, in sorted order, that agree with it so far."""
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    alike = np.array([_common(keys[i], keys[j]) for i, j in zip(order, order[1:])])
+    out = np.zeros((len(keys), len(depths)), np.int64)
+    out[order[1:]] = np.cumsum(alike[:, None] < depths[None, :], axis=0)
+    return out
+
+
 def suffix_marks(segments: list[tuple[list[bytes], int, int]], window: int) -> list[int]:
-    """Marks of a shard's segments: bit i where the window at word i occurs twice or more."""
+    """Marks of a shard's segments: bit i where the window at word i occurs twice or more.
+
+    Segments are distinct, and equal windows have the anchor at the same place of them.
+    """
     full = [(1 << (len(words) - window + 1)) - 1 for words, _, _ in segments]
     masks = [f if n > 1 else 0 for f, (_, _, n) in zip(full, segments)]
-    if len(segments) > 1:
-        right = [words[a:] for words, a, _ in segments]
-        left = [words[:a][::-1] for words, a, _ in segments]
-        for keys in (right, left):
-            order = sorted(range(len(segments)), key=keys.__getitem__)
-            for i, j in zip(order, order[1:]):
-                r, l = _common(right[i], right[j]), _common(left[i], left[j])
-                if r + l >= window:
-                    bits = (1 << (r + l - window + 1)) - 1
-                    for x in (i, j):
-                        masks[x] |= bits << (segments[x][1] - l)
-    if masks == full:
+    if masks == full or len(segments) < 2:
         return masks
-    if len(segments) > 2 or any(len(words) != len(set(words)) for words, _, _ in segments):
-        seen: dict[tuple, int] = {}
-        runs = repeats.recurring(repeats.word_counts(segments), segments, window)
-        for i, lo, hi in runs:
-            words, _, n = segments[i]
-            for s in range(lo, hi - window + 1):
-                key = tuple(words[s : s + window])
-                seen[key] = seen.get(key, 0) + n
-        for i, lo, hi in runs:
-            words = segments[i][0]
-            for s in range(lo, hi - window + 1):
-                if not masks[i] >> s & 1 and seen[tuple(words[s : s + window])] > 1:
-                    masks[i] |= 1 << s
+    right = [words[a:] for words, a, _ in segments]
+    left = [words[:a][::-1] for words, a, _ in segments]
+    if len(segments) == 2:
+        r, l = _common(*right), _common(*left)
+        if r + l >= window:
+            bits = (1 << (r + l - window + 1)) - 1
+            for x in (0, 1):
+                masks[x] |= bits << (segments[x][1] - l)
+        return masks
+    anchor = np.array([a for _, a, _ in segments])
+    windows = np.array([len(words) - window + 1 for words, _, _ in segments])
+    before = np.arange(min(int(anchor.max()) + 1, window))  # words of a window before its anchor
+    both = _intervals(right, window - before) * len(segments) + _intervals(left, before)
+    at = anchor[:, None] - before[None, :]
+    both[(at < 0) | (at >= windows[:, None])] = -1
+    order = np.argsort(both, axis=0)
+    ranked = np.take_along_axis(both, order, axis=0)
+    twice = (ranked[1:] == ranked[:-1]) & (ranked[1:] >= 0)
+    hit = np.zeros(both.shape, bool)
+    np.put_along_axis(hit, order, np.pad(twice, ((1, 0), (0, 0))) | np.pad(twice, ((0, 1), (0, 0))), axis=0)
+    for x, o in zip(*(i.tolist() for i in np.nonzero(hit))):
+        masks[x] |= 1 << (segments[x][1] - o)
     return masks
 
 
+_SPAN = "key binary, start_word bigint, span_words bigint, doc_words bigint, span_sha256 string"
+
+
 def _spans(window: int):
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("start_word", pa.int64()), ("span_words", pa.int64()), ("doc_words", pa.int64()), ("span_sha256", pa.string())]
-    )
+    schema = pa.schema([("key", pa.binary()), ("start_word", pa.int64()), ("span_words", pa.int64()), ("doc_words", pa.int64()), ("span_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc_id, text, marks in zip(b.column(0).to_pylist(), wordcore.binary(b.column(1)).to_pylist(), b.column(2).to_pylist()):
-                words = text.split()
-                hit = repeats.covered(len(words), marks, window).tolist()
-                lo = None
-                for i, h in enumerate([*hit, False]):
-                    if h and lo is None:
-                        lo = i
-                    elif not h and lo is not None:
-                        out.append((doc_id, lo, i - lo, len(words), hashlib.sha256(b" ".join(words[lo:i])).hexdigest()))
-                        lo = None
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        out = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+        for key, text, whole, marks in repeats.once(batches):
+            words = text.split()
+            hit = np.concatenate([[False], repeats.covered(len(words), whole, marks, window), [False]])
+            edge = np.flatnonzero(hit[1:] != hit[:-1])
+            for lo, hi in edge.reshape(-1, 2).tolist():
+                out.append((key, lo, hi - lo, len(words), hashlib.sha256(b" ".join(words[lo:hi])).hexdigest()))
+            if len(out) > 20_000:
+                yield batch()
+                out = []
+        if out:
+            yield batch()
 
     return run
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", k: int = 25, hot: int = repeats.HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", k: int = 16, shard: int = repeats.SHARD) -> DataFrame:
     """A row for each span: doc_id, start_word, span_words, doc_words, span_sha256.
 
     A span is a longest run of words each covered by min_words words in a row that also
     occur elsewhere in the input (another row, or another place of the row). Rows without
     a span, among them null, empty and shorter texts, give none; repeated rows are copies
-    of each other and give their spans each. An empty table gives no rows.
+    of each other and give their spans each. Other columns are not read. An empty table
+    gives no rows.
     """
     rows = repeats.keyed(docs, id_col, text_col)
-    marks = repeats.repeated_windows(rows, min_words, k, suffix_marks, hot).withColumnRenamed("rk", "__rk")
-    joined = rows.join(marks.hint("shuffle_hash"), F.col("rk") == F.col("__rk")).select("doc_id", "text", "marks")
-    return joined.mapInArrow(_spans(min_words), "doc_id bigint, start_word bigint, span_words bigint, doc_words bigint, span_sha256 string")
+    spans = repeats.marked_texts(rows, min_words, k, suffix_marks, shard).mapInArrow(_spans(min_words), _SPAN)
+    joined = rows.select("doc_id", F.col("key").alias("own")).join(spans, F.col("own") == F.col("key"))
+    return joined.select("doc_id", "start_word", "span_words", "doc_words", "span_sha256")

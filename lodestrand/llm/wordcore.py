@@ -154,6 +154,22 @@ def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return x
 
 
+def leftmost_least(x: np.ndarray, w: int) -> np.ndarray:
+    """Where each run of w values has its least, the leftmost of equal ones."""
+    if len(x) < w:
+        return np.empty(0, np.int64)
+    at = np.arange(len(x))
+    step, rest = 1, w
+    while rest > 1:
+        step = min(step, rest - 1)
+        right = x[step:] < x[:-step]
+        x = np.where(right, x[step:], x[:-step])
+        at = np.where(right, at[step:], at[:-step])
+        rest -= step
+        step *= 2
+    return at
+
+
 def binary(column: pa.Array) -> pa.Array:
     """A string column as large_binary; null becomes the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -93,18 +93,18 @@ def covered_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 2])
-def test_substring_matches_brute_force(docs, odd, hot):
+@pytest.mark.parametrize("shard", [repeats.SHARD, 2])
+def test_substring_matches_brute_force(docs, odd, shard):
     rows = corpus(2) + odd
-    got = substring.substring_dedup(docs(rows), hot=hot).collect()
+    got = substring.substring_dedup(docs(rows), shard=shard).collect()
     want = [(d, len(w), sum(g), hashlib.sha256(b" ".join(x for x, y in zip(w, g) if not y)).hexdigest()) for d, w, g in covered_words(rows, 35)]
     assert Counter(map(tuple, got)) == Counter(want)
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 2])
-def test_suffix_spans_match_brute_force(docs, odd, hot):
+@pytest.mark.parametrize("shard", [repeats.SHARD, 2])
+def test_suffix_spans_match_brute_force(docs, odd, shard):
     rows = corpus(3) + odd
-    got = suffixes.repeated_spans(docs(rows), hot=hot).collect()
+    got = suffixes.repeated_spans(docs(rows), shard=shard).collect()
     want = Counter()
     for d, w, g in covered_words(rows, 50):
         lo = None
@@ -124,19 +124,37 @@ def test_repeats_of_empty_tables(docs):
 
 @pytest.mark.parametrize("marker", [substring.automaton_marks, suffixes.suffix_marks])
 def test_markers_on_random_shards(marker):
+    """Segments as routing makes them: distinct, windows with one anchor, which equal windows have at the same place."""
     r = random.Random(7)
-    for _ in range(300):
-        window = r.randint(2, 5)
-        segments = []
-        for _ in range(r.randint(1, 6)):
-            words = [r.choice([b"a", b"b", b"c"]) for _ in range(window + r.randint(0, 6))]
-            segments.append((words, r.randrange(len(words)), r.randint(1, 2)))
-        count = Counter()
-        for words, _, n in segments:
-            for i in range(len(words) - window + 1):
-                count[tuple(words[i : i + window])] += n
-        want = [sum(1 << i for i in range(len(w) - window + 1) if count[tuple(w[i : i + window])] > 1) for w, _, _ in segments]
-        assert marker(segments, window) == want
+    for _ in range(400):
+        window, k = r.choice([(4, 2), (6, 2), (5, 3)])
+        rank = {}
+        shards = {}
+        for _ in range(r.randint(1, 8)):
+            words = [r.choice([b"a", b"b", b"c"]) for _ in range(window + r.randint(0, 12))]
+            run = [rank.setdefault(tuple(words[i : i + k]), r.random()) for i in range(len(words) - k + 1)]
+            anchors = [min(range(i, i + window - k + 1), key=lambda p: (run[p], p)) for i in range(len(words) - window + 1)]
+            for p in sorted(set(anchors)):
+                at = [i for i, x in enumerate(anchors) if x == p]
+                segment = (tuple(words[at[0] : at[-1] + window]), p - at[0])
+                shard = shards.setdefault(run[p], {})
+                shard[segment] = shard.get(segment, 0) + 1
+        for shard in shards.values():
+            segments = [(list(words), a, n) for (words, a), n in shard.items()]
+            count = Counter()
+            for words, _, n in segments:
+                for i in range(len(words) - window + 1):
+                    count[tuple(words[i : i + window])] += n
+            want = [sum(1 << i for i in range(len(w) - window + 1) if count[tuple(w[i : i + window])] > 1) for w, _, _ in segments]
+            assert marker(segments, window) == want
+
+
+def test_repeats_with_other_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a", 0, 1), (1, text, "b", 0, 1), (None, text + " more", "c", 0, 1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, key string, marks int, n_words int")
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.substring_dedup(d).collect()) == [(0, 61, 60), (1, 60, 60), (1, 60, 60)]
+    assert sorted((r.doc_id or 0, r.start_word, r.span_words) for r in suffixes.repeated_spans(d).collect()) == [(0, 0, 60), (1, 0, 60), (1, 0, 60)]
 
 
 def test_automaton_counts_and_streams():
@@ -182,6 +200,38 @@ def test_near_duplicates_match_brute_force(docs, odd, words, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_blocks_stay_small_where_nothing_is_linked(spark):
+    rows = [(b"k", f"{i:02}".encode(), 1, hashlib.sha512(b"%d" % i).digest() + bytes(32), f"{i:08}".encode()) for i in range(30)]
+    table = spark.createDataFrame(rows, "key binary, set_id binary, n bigint, sig binary, body binary")
+    spread, links = minhash.dealt(table, 80, 0.15, 5, "test")
+    blocks = {}
+    for x in spread.collect():
+        blocks.setdefault(x.block, set()).add(bytes(x.set_id))
+    assert links.count() == 0 and max(map(len, blocks.values())) < 25
+    pairs = {(a, b) for members in blocks.values() for a in members for b in members if a < b}
+    assert len(pairs) == 30 * 29 // 2
+
+
+def test_no_link_of_the_table_is_lost(spark):
+    """All pairs of the table at hand, by five and by two words."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    for words in (2, 5):
+        got = minhash.near_duplicates(table, words=words).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, words, 80)
+
+
+def test_near_duplicates_with_other_columns_and_extreme_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    ids = [2**63 - 1, -(2**63), None, None, 5, 5]
+    texts = [text, text + " x", text, "alone here", "two copies of it", "two copies of it"]
+    rows = [(i, t, "a", "b", 1) for i, t in zip(ids, texts)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, set_id string, label string, component_id int")
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(d).collect()]
+    low = -(2**63)
+    assert sorted(got, key=repr) == sorted([(2**63 - 1, low, False), (low, low, True), (None, low, False), (None, None, True), (5, 5, True), (5, 5, True)], key=repr)
+
+
 def test_near_duplicates_of_an_empty_table(docs):
     assert minhash.near_duplicates(docs([])).count() == 0
 
@@ -205,5 +255,6 @@ def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 160)]
     edges = spark.createDataFrame([(f"{a:04}", f"{b:04}") for a, b in path + star + [(500, 500)]], "u string, v string")
+    assert {r.node: r.label for r in connected_components(edges, degree=4).collect()} == {r.node: r.label for r in connected_components(edges).collect()}
     got = {r.node: r.label for r in connected_components(edges).collect()}
     assert got == {f"{i:04}": "0000" for i in range(41)} | {f"{i:04}": "0100" for i in range(100, 160)}
