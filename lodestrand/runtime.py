@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Where materialize() wrote the frames that are still referred to.
+_paths: dict[int, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,7 +32,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one is set only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a temporary one is set on a local master, whose executors share the
+    driver's disk; elsewhere it is an error, as executors would write to disks of their own.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -37,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="lodestrand-checkpoint-")
     sc.setCheckpointDir(folder)
     return "file://" + folder
@@ -47,4 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths[id(back)] = path
+    weakref.finalize(back, _paths.pop, id(back), None)
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what materialize() wrote for frames that nothing reads any more, and let Spark drop the shuffles of ended jobs."""
+    for df in frames:
+        if path := _paths.pop(id(df), None):
+            sc = df.sparkSession.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            sc._jvm.System.gc()  # shuffle files go when the driver's objects for them do
