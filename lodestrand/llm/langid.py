@@ -15,12 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.llm import wordcore
-from lodestrand.llm.folds import held_out
+from lodestrand.llm.folds import drawn, held_out, threshold
 from lodestrand.runtime import ship
 
 PROFILE = 300
@@ -196,23 +196,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 2000, length: int = PROFILE) -> Profiles:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 2000, length: int = PROFILE, most_langs: int = 5_000) -> Profiles:
     """Profiles from labelled rows outside the held-out fold.
 
     About rows_per_lang rows of each language are drawn by a hash of the id (all, where a
-    language has fewer): the bound on the fitted sample. Ties in frequency go by code.
+    language has fewer): the bound on the fitted sample. Ties in frequency go by code. More
+    than most_langs languages are an error, as every task holds all profiles.
     """
     ship(docs.sparkSession)
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    sizes = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col).cast("string")).count().collect()}  # one row per language
+    lang = F.col(lang_col).cast("string")
+    usable = docs.where(lang.isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages: profiles would not fit one task")
     if not sizes:
         return Profiles([], np.empty(0, np.int64), np.empty((0, 0)), length)
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(1_000_000 * min(1.0, rows_per_lang / n)))))
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1_000_000))
-    sample = usable.where(draw < share[F.col(lang_col).cast("string")]).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    limits = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, threshold(min(1.0, rows_per_lang / n)))))
+    sample = usable.where(drawn(F.col("id"), limits[F.col("lang")], 11)).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # The best of each language, as (count, code) pairs: an aggregate with bounded state, not a window.
-    ranked = counted.groupBy("lang").agg(F.expr(f"slice(sort_array(collect_list(struct(-n AS m, gram))), 1, {length})").alias("best")).collect()
+    # The best of each share of a language's n-grams, then of those: no task sorts all that a language has.
+    best = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram"))
+    few = counted.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64))).withColumn("rank", best).where(F.col("rank") <= length)
+    ranked = few.groupBy("lang").agg(F.expr(f"slice(sort_array(collect_list(struct(-n AS m, gram))), 1, {length})").alias("best")).collect()
     langs = sorted(r["lang"] for r in ranked)
     by = {r["lang"]: [x["gram"] for x in r["best"]] for r in ranked}
     grams = np.array(sorted({g for x in by.values() for g in x}), np.int64)
@@ -222,14 +227,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Profiles(langs, grams, ranks, length)
 
 
-def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", drop: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
-    """The input's columns with lang_pred and score; `und` with score 0 where a text is null or has no letter."""
+def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The input's columns with lang_pred and score; `und` with score 0 where a text is null or has no letter.
+
+    Input columns with the names of the two, in any case, are an error: choose other names.
+    """
     spark = docs.sparkSession
     ship(spark)
+    if {c.lower() for c in docs.columns} & {pred_col.lower(), score_col.lower()}:
+        raise ValueError(f"the input has a column {pred_col} or {score_col}")
     value = spark.sparkContext.broadcast(profiles)
-    names = [c for c in docs.columns if c not in drop]
-    frame = docs.select(*names)
-    at = names.index(text_col)
+    frame = docs
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = value.value
@@ -240,10 +249,10 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", drop: t
                 langs += a
                 scores.append(s)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*b.schema.names, "lang_pred", "score"]
+                [*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*b.schema.names, pred_col, score_col]
             )
 
-    out = T.StructType([*frame.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*frame.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return frame.mapInArrow(run, out)
 
 

@@ -83,7 +83,7 @@ def _selected(window: int, k: int):
     schema = pa.schema([("v", pa.int64()), ("key", pa.binary()), ("c", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _first_seen(batches):  # in this worker, as a second one would hold as much again
             for w in wordcore.word_batches(b.column(1)):
                 if len(w) < window:
                     continue
@@ -258,7 +258,7 @@ def marked_texts(rows: DataFrame, window: int, k: int, marker: Marker, shard: in
     ship(rows.sparkSession)
     rows = rows if all_texts else rows.where(F.octet_length("text") >= 2 * window - 1)
     texts = texts_of(rows)
-    places = materialize(texts.mapInArrow(_selected(window, k), "v bigint, key binary, c int"), "anchors")
+    places = materialize(rows.select("key", "text").mapInArrow(_selected(window, k), "v bigint, key binary, c int"), "anchors")
     # Copies that tasks could not fold are one text: an anchor recurs if two texts, or two places of one, have it.
     counted = places.groupBy("v").agg(F.sum("c").alias("n"), F.max("c").alias("c"), F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi"))
     many = counted.where("n > 1 AND (c > 1 OR lo <> hi)").select(F.col("v").alias("w"), F.ceil(F.col("n") / shard).cast("int").alias("part"))

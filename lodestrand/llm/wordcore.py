@@ -24,6 +24,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: ASCII lower case with everything but letters and digits as a space; other bytes stay.
 PLAIN = np.where((np.arange(256) < 128) & ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)]), 32, _LOWER).astype(np.uint8)
+#: Bytes of a text that are hashed at a time.
+PART = 8 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -66,6 +68,7 @@ class Words:
         else:
             change[0] = False
         edge = np.flatnonzero(change)
+        del change
         # A row border inside a run of word bytes ends one word and begins another.
         inner = offs[1:-1]
         inner = inner[(inner > 0) & (inner < n)]
@@ -80,15 +83,35 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def slices(self, wanted: list[tuple]) -> list[np.ndarray]:
+        """64-bit hashes of bytes s..e-1 for each (s, e, salt) of arrays s and e within words; salt is a value or one for each.
+
+        Long texts are hashed in parts that end where words do, so what is held besides the text is bounded.
+        """
+        out = [np.empty(len(s), np.uint64) for s, _, _ in wanted]
+        lo, n = 0, len(self.buf)
+        while lo < n:
+            hi = n
+            if n - lo > PART and len(self.ends):
+                i = int(np.searchsorted(self.ends, lo + PART, side="right")) - 1
+                i = max(i, min(int(np.searchsorted(self.starts, lo)), len(self.ends) - 1))  # one word at least
+                hi = int(self.ends[i]) if self.ends[i] > lo else n
+            p, q = powers(hi - lo)
+            c = np.empty(hi - lo + 1, np.uint64)
+            c[0] = 0
+            np.cumsum(_TABLE[self.buf[lo:hi]] * p[: hi - lo], out=c[1:])
+            for x, (s, e, _) in zip(out, wanted):
+                if lo == 0 and hi == n:
+                    x[:] = (c[e] - c[s]) * q[s]
+                else:
+                    on = np.flatnonzero((s >= lo) & (s < hi))
+                    x[on] = (c[e[on] - lo] - c[s[on] - lo]) * q[s[on] - lo]
+            lo = hi
+        return [mix(x + salt) for x, (_, _, salt) in zip(out, wanted)]
+
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word."""
-        n = len(self.buf)
-        p, q = powers(n)
-        c = np.empty(n + 1, np.uint64)
-        c[0] = 0
-        np.cumsum(_TABLE[self.buf] * p[:n], out=c[1:])
-        h = (c[self.ends] - c[self.starts]) * q[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+        return self.slices([(self.starts, self.ends, (self.ends - self.starts).astype(np.uint64))])[0]
 
     def row_of(self) -> np.ndarray:
         """Row (within these rows) of each word."""

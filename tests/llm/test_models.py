@@ -1,13 +1,14 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lodestrand.llm import bpe_count, decontaminate, dom, html_text, langid, packing, toxicity
+from lodestrand.llm import bpe_count, decontaminate, dom, folds, html_text, langid, packing, toxicity
 
 ODD_TEXTS = [
     "",
@@ -113,6 +114,50 @@ def test_language_without_labels(docs):
     assert langid.identify(docs([])).count() == 0
 
 
+def plain_grams(text):
+    """n-grams of one to three letters with word borders, counted one by one."""
+    got = Counter()
+    for word in "".join(ch if ch.isalpha() else " " for ch in text.lower()).split():
+        p = f"_{word}_"
+        got.update(word)
+        got.update(p[j : j + 2] for j in range(len(p) - 1))
+        got.update(p[j : j + 3] for j in range(len(p) - 2))
+    return got
+
+
+def plain_ranks(grams, length):
+    point = lambda g: [0 if ch == "_" else ord(ch) for ch in g]
+    return {g: i for i, g in enumerate(sorted(grams, key=lambda g: (-grams[g], len(g), point(g)))[:length])}
+
+
+def test_languages_equal_plain_out_of_place_distance(spark):
+    """Profiles, distances and choices over the whole table, by dictionaries."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in table.collect()]
+    profiles = defaultdict(Counter)
+    for i, t, lang in rows:
+        if lang is not None and t is not None and not held_out(i):
+            profiles[lang].update(plain_grams(t))
+    profiles = {lang: plain_ranks(g, 300) for lang, g in sorted(profiles.items())}
+    want = {}
+    for i, t, _ in rows:
+        mine = plain_ranks(plain_grams(t or ""), 300)
+        d = {lang: sum(abs(p[g] - r) if g in p else 300 for g, r in mine.items()) for lang, p in profiles.items()}
+        want[i] = min(d, key=lambda lang: (d[lang], lang)) if mine else "und"
+    got = {r.doc_id: r.lang_pred for r in langid.identify(table).collect()}
+    assert got == want
+
+
+def test_draws_hold_at_any_size(spark):
+    """Shares as small as a large table needs are not rounded to nothing."""
+    share = 2000 / 1e10
+    assert folds.threshold(share) + 2**63 == pytest.approx(share * 2**64, rel=1e-3)
+    assert folds.threshold(0) == -(2**63) and folds.threshold(1) == 2**63 - 1
+    ids = spark.range(200_000)
+    n = ids.where(folds.drawn(toxicity.F.col("id"), toxicity.F.lit(folds.threshold(0.01)), 3)).count()
+    assert 1800 < n < 2200
+
+
 def test_ngrams_match_a_plain_count():
     texts = ["ab,b", "", "é", "x1y"]
     rows, codes, counts, alphabet, _ = langid.ngrams(texts)
@@ -156,37 +201,94 @@ def test_toxicity_learns_held_out(spark, docs, odd):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in got)
 
 
-def test_toxicity_keeps_all_edges_and_counts(spark, docs):
-    """Every prefix of every labelled word is in the model, and its shared count is that of the whole corpus."""
+def plain_model(rows, corpus, order=3, d=toxicity.DISCOUNT):
+    """Kneser-Ney by dictionaries: rows of one class, the corpus for the shared counts; returns the probability function."""
+    grams = Counter()
+    for words in rows:
+        u = v = None
+        for x in words:
+            grams[u, v, x] += 1
+            u, v = v, x
+    pairs = Counter((v, x) for _, v, x in grams)
+    single = Counter(x for _, x in pairs)
+    chain = lambda x: [x.encode()[:n] for n in toxicity.LEVELS if n <= len(x.encode())] + [("whole", x)]
+    types, nodes = Counter(), Counter()
+    for x in set(corpus):
+        types.update([(), *chain(x)])
+    for x, n in single.items():
+        for node in [(), *chain(x)]:
+            nodes[node] += n
+    children = defaultdict(set)
+    for x in single:
+        path = [(), *chain(x)]
+        for a, b in zip(path, path[1:]):
+            children[a].add(b)
+
+    def alone(x):
+        p, path = 1.0, [(), *chain(x)]
+        for a, b in zip(path, path[1:]):
+            low = max(types[b], 1) / max(types[a], 1)
+            p *= low if not nodes[a] else max(nodes[b] - d, 0) / nodes[a] + d * len(children[a]) / nodes[a] * low
+        return p
+
+    def seen(counts, key, context, low):
+        inside = [n for k, n in counts.items() if k[:-1] == context]
+        return low if not inside else max(counts[key] - d, 0) / sum(inside) + d * len(inside) / sum(inside) * low
+
+    return alone, lambda u, v, x: seen(grams, (u, v, x), (u, v), seen(pairs, (v, x), (v,), alone(x)))
+
+
+def test_ratios_equal_plain_kneser_ney():
+    r = random.Random(21)
+    words = ["idiot", "idiots", "idle", "the", "a", "clown", "clownish-lie", "ünder", "unter", "x"]
+    texts = [[r.choice(words[: 6 + 4 * (i % 2)]) for _ in range(r.randint(0, 25))] for i in range(30)]
+    toxic = [i % 3 == 0 for i in range(30)]
+    corpus = [x for t in texts for x in t] + ["idioms", "undone", "zz"]
+    sample = toxicity.Sample.of(pa.array([" ".join(t) for t in texts]))
+    types = np.zeros(len(sample.up) + 1, np.int64)
+    w = next(toxicity.wordcore.lower_batches(pa.array([" ".join(sorted(set(corpus)))])))
+    np.add.at(types, toxicity.last_nodes(sample.nodes, toxicity.chains(w, np.arange(len(w)))), 1)
+    shared = toxicity.shares(sample.up, toxicity.rolled_up(sample.up, types[:-1]), float(types.sum()))
+    kind = np.array(toxic)[sample.row]
+    model = toxicity.Model.fit(sample, np.flatnonzero(kind), np.flatnonzero(~kind), shared)
+    (alone_t, full_t), (alone_o, full_o) = (plain_model([t for t, k in zip(texts, toxic) if k == c], corpus) for c in (True, False))
+    for t in [*texts, ["the", "idiot", "the", "a", "x", "clown", "idiot"], ["x"], ["idiots", "x", "idiots"]]:
+        w = next(toxicity.wordcore.lower_batches(pa.array([" ".join(t)])))
+        f = model.features(w, toxicity.Memory())[0]
+        history = list(zip([None, None, *t], [None, *t], t))
+        want = [np.mean([np.log(p(x) / q(x)) for x in t]) if t else 0.0 for p, q in [(alone_t, alone_o)]]
+        want += [np.mean([np.log(full_t(*h) / full_o(*h)) for h in history]) if t else 0.0]
+        assert np.allclose([f[1], f[3 + len(toxicity.WINDOWS)]], want, atol=1e-4)
+
+
+def test_shared_counts_are_of_different_words_of_the_whole_corpus(spark, docs):
     rows = [(i, f"plain text goes on here {'x' * (i % 14)} w{i}") for i in range(60)] + [(99, "vilexxpression once"), (98, "vilexxpressive here"), (97, None), (96, "a a a")]
     labels = spark.createDataFrame([(i, 1, int(i >= 96)) for i, _ in rows if i % 3 == 0], "doc_id bigint, quality int, toxic int")
     called = []
-    fit = toxicity.fit_model
+    real = toxicity.shares
 
-    def keep(parent, node, toxic, plain, shared, words=None):
-        called.append((parent, node, toxic, plain, shared, words))
-        return fit(parent, node, toxic, plain, shared, words)
+    def keep(up, types, all_types):
+        called.append((types, all_types))
+        return real(up, types, all_types)
 
-    toxicity.fit_model = keep
+    toxicity.shares = keep
     try:
-        toxicity.train(docs(rows), labels)
+        scorer = toxicity.train(docs(rows), labels)
     finally:
-        toxicity.fit_model = fit
-    _, node, toxic, plain, shared, words = called[-1]
-    got = {n: (a, b, c) for n, a, b, c in zip(node.tolist(), toxic.tolist(), plain.tolist(), shared.tolist())}
-    truth = {x.doc_id: x.toxic for x in labels.where(~toxicity.held_out(toxicity.F.col("doc_id"))).collect()}
-    want = defaultdict(lambda: [0, 0, 0])
-    total = 0
-    for i, t in rows:
-        for word in (t or "").split():
-            raw = np.frombuffer(word.encode(), np.uint8)
-            total += 1
-            for h in {int(h[0]) for h in toxicity.chains_at(raw, np.array([0]), np.array([len(raw)]))} - {0}:
-                want[h][2] += 1
-                if i in truth:
-                    want[h][0 if truth[i] else 1] += 1
-    assert got == {h: tuple(c) for h, c in want.items() if c[0] + c[1]}
-    assert words == total and min(a + b for a, b, _ in got.values()) == 1
+        toxicity.shares = real
+    (types, every), nodes = called[-1], scorer.model.nodes
+    vocabulary = sorted({x for _, t in rows for x in (t or "").split()})
+    want = Counter()
+    for x in vocabulary:
+        w = next(toxicity.wordcore.lower_batches(pa.array([x])))
+        want.update({int(h[0]) for h in toxicity.chains(w, np.arange(1))} - {0})
+    got = dict(zip(nodes.keys.tolist(), types.tolist()))
+    assert every == len(vocabulary) and all(want[h] == n for h, n in got.items())
+    # Every prefix of every labelled word outside the held-out fold is in the model.
+    learned = {x for i, t in rows if i % 3 == 0 and not held_out(i) for x in (t or "").split()}
+    for x in learned:
+        w = next(toxicity.wordcore.lower_batches(pa.array([x])))
+        assert {int(h[0]) for h in toxicity.chains(w, np.arange(1))} - {0} <= got.keys()
 
 
 def test_toxicity_without_labels(spark, docs):

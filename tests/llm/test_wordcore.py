@@ -40,3 +40,18 @@ def test_sliding():
     for w in range(1, 8):
         assert wc.sliding(x, w, np.minimum).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]
     assert len(wc.sliding(x, 9, np.minimum)) == 0
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    texts = ["ab cd  ", "x" * 50 + " y é日A tail", "", "one two three four five six"]
+    whole = [w.hashes().tolist() for w in wc.word_batches(pa.array(texts))]
+    for part in (1, 4, 7, 30):
+        monkeypatch.setattr(wc, "PART", part)
+        assert [w.hashes().tolist() for w in wc.word_batches(pa.array(texts))] == whole
+
+
+def test_leftmost_least():
+    x = np.array([3, 1, 2, 1, 4, 0, 0, 7])
+    for w in range(1, 9):
+        assert wc.leftmost_least(x, w).tolist() == [i + int(x[i : i + w].argmin()) for i in range(len(x) - w + 1)]
+    assert len(wc.leftmost_least(x, 9)) == 0
