@@ -4,13 +4,14 @@ The n-grams of test items are counted over all documents; those that are rare fo
 item are its seeds. A passage that holds a seed is aligned with the item around it, word
 by word, so that edited copies score by what they kept. A copy that recurs makes its own
 n-grams common, so a passage that holds only common ones is aligned as well, unless the
-words that it shares with the item bound its score below the limit. Items travel to the documents in
-blocks of bounded size, each broadcast in turn; documents are never shuffled.
+words that it shares with the item bound its score below the limit. Items travel to the
+documents in blocks of bounded size, each broadcast in turn and gone before the next;
+alignment never moves a document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +19,12 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestrand.llm import wordcore
-from lodestrand.runtime import ship
+from lodestrand.llm.rows import own, private, text_key
+from lodestrand.runtime import materialize, ship
 
 SEED_WORDS = 3
 BLOCK_BYTES = 8 << 20
@@ -157,15 +161,19 @@ def matches(items: Items, w: wordcore.Words, n: int, min_score: float) -> Iterat
             yield r, i, score, max(best[1], best[2] - m) - lo_row, best[2] - lo_row
 
 
-def blocks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_text: str = "text", n: int = SEED_WORDS, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
-    """The items as broadcast blocks of about block_bytes of text each, with their rare n-grams marked over all documents."""
+def blocks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_text: str = "text", n: int = SEED_WORDS, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[bool, Broadcast]]:
+    """The items as broadcast blocks of about block_bytes of text each, with their rare n-grams marked over all documents,
+    and whether a block is the only one.
+
+    One block is alive at a time: the caller destroys it before it asks for the next.
+    """
     spark = docs.sparkSession
     ship(spark)
     slim = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // block_bytes) or 1
     for i in range(count):
-        part = slim.where(F.pmod(F.xxhash64("text"), F.lit(count)) == i).collect() if count > 1 else slim.collect()
+        part = slim.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == i).collect() if count > 1 else slim.collect()
         block = Items.of([r["id"] for r in part], [r["text"] for r in part], n)
         value = spark.sparkContext.broadcast(block.grams)
 
@@ -183,11 +191,25 @@ def blocks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col:
 
         text = docs.select(F.col(doc_text).cast("string").alias("text"))
         sums = text.mapInArrow(count_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        value.destroy()
         frequency = np.zeros(len(block.grams), np.int64)
         frequency[sums["gram"].to_numpy()] = sums["n"].to_numpy()
         block.mark_rare(frequency)
         block.index()
-        yield spark.sparkContext.broadcast(block)
+        yield count == 1, spark.sparkContext.broadcast(block)
+
+
+def _over_blocks(docs: DataFrame, items: DataFrame, found_by: Callable[[Broadcast], DataFrame], item_id: str, item_text: str, text_col: str, block_bytes: int) -> DataFrame:
+    """What found_by gives for every block; with more than one, each block's rows are written before the next is made."""
+    out = None
+    for only, value in blocks(docs, items, item_id, item_text, text_col, block_bytes=block_bytes):
+        part = found_by(value)
+        if only:
+            return part
+        part = materialize(part, "contaminated")
+        value.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -195,16 +217,17 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, id_c
 
     score is the alignment's score over that of the item with itself, from min_score to 1.
     Words are lower-cased runs of letters and digits. Items of fewer than three words, or
-    null, are no evidence and match nothing; null and empty texts hold nothing. Repeated
-    rows are reported each; without items or documents there are no rows.
+    null, are no evidence and match nothing; null and empty texts hold nothing. Item ids keep
+    their type; items that repeat are reported each, as are repeated rows. Other columns are
+    not read. Without items or documents there are no rows.
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
-    ddl = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint"
-    out = None
-    for value in blocks(docs, items, item_id, item_text, text_col, block_bytes=block_bytes):
+    kind = items.schema[item_id].dataType
+    fields = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", kind), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())])
+    schema = to_arrow_schema(fields)
 
-        def run(batches: Iterator[pa.RecordBatch], value=value) -> Iterator[pa.RecordBatch]:
+    def found_by(value: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = value.value
             for b in batches:
                 ids = b.column(0)
@@ -215,25 +238,51 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, id_c
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-        part = slim.mapInArrow(run, ddl)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return slim.mapInArrow(run, fields)
+
+    return _over_blocks(docs, items, found_by, item_id, item_text, text_col, block_bytes)
 
 
 def clean(docs: DataFrame, items: DataFrame, min_score: float = 0.4, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, with all their columns, that copy no item."""
-    kept = docs
+    """The documents, with all their columns, that copy no item.
+
+    Null and empty texts copy nothing and stay; repeated rows are judged each, by their text
+    alone. Without items all stay; an empty table gives no rows. Other columns may have any
+    names.
+    """
     at = docs.columns.index(text_col)
-    for value in blocks(docs, items, item_id, item_text, text_col, block_bytes=block_bytes):
+    name = text_col
+
+    def kept_by(value: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = value.value
+            for b in batches:
+                yield b.filter(pa.array(~_holds(block, b.column(at), min_score)))
+
+        return docs.mapInArrow(run, docs.schema)
 
-        def run(batches: Iterator[pa.RecordBatch], value=value) -> Iterator[pa.RecordBatch]:
+    def texts_by(value: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = value.value
             for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for w in wordcore.lower_batches(b.column(at), table=wordcore.PLAIN):
-                    for r, *_ in matches(block, w, SEED_WORDS, min_score):
-                        keep[w.first_row + r] = False
-                yield b.filter(pa.array(keep))
-
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+                hit = pa.array(_holds(block, b.column(1), min_score))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(hit)], names=["key"])
+
+        return docs.select(text_key(F.col(name)).alias("key"), F.col(name).cast("string").alias("text")).mapInArrow(run, "key binary")
+
+    total = items.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0
+    if total <= block_bytes:
+        return _over_blocks(docs, items, kept_by, item_id, item_text, text_col, block_bytes)
+    key, gone = private(docs, "key", "gone")
+    texts = _over_blocks(docs, items, texts_by, item_id, item_text, text_col, block_bytes).distinct().toDF(gone)
+    rows = docs.select(*own(docs), text_key(F.col(name)).alias(key))
+    return rows.join(texts.hint("shuffle_hash"), F.col(key) == F.col(gone), "left_anti").select(*own(docs))
+
+
+def _holds(block: Items, texts: pa.Array, min_score: float) -> np.ndarray:
+    """Whether each text copies an item of the block."""
+    hit = np.zeros(len(texts), bool)
+    for w in wordcore.lower_batches(texts, table=wordcore.PLAIN):
+        for r, *_ in matches(block, w, SEED_WORDS, min_score):
+            hit[w.first_row + r] = True
+    return hit

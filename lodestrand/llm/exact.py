@@ -16,37 +16,40 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm import wordcore
-from lodestrand.runtime import ship
+from lodestrand.llm.rows import own, private
+from lodestrand.runtime import materialize, ship
 
 FAN_OUT = 16
-Record = tuple[bytes, bytes, int | None, int]  # digest, content, largest doc_id, rows
+Record = tuple[bytes, bytes, int | None, int, int]  # digest, content, largest doc_id, rows, rows that have that id
 
 
 class OpenTable:
-    """Linear-probing table from complete content to (largest doc_id, rows)."""
+    """Linear-probing table from complete content to (largest doc_id, rows, rows that have that id)."""
 
     def __init__(self) -> None:
         self.mask, self.bytes = 1023, 0
         self.slots: list[int] = [-1] * 1024
         self.entries: list[list] = []
 
-    def add(self, digest: bytes, content: bytes, doc_id: int | None, rows: int) -> bool:
+    def add(self, digest: bytes, content: bytes, doc_id: int | None, rows: int, tops: int) -> bool:
         """Fold a record in; true if its content is new."""
         at = int.from_bytes(digest[8:16], "little") & self.mask
         while (i := self.slots[at]) >= 0:
             e = self.entries[i]
             if e[0] == digest and e[1] == content:
-                if doc_id is not None and (e[2] is None or doc_id > e[2]):
-                    e[2] = doc_id
+                if doc_id == e[2]:
+                    e[4] += tops
+                elif doc_id is not None and (e[2] is None or doc_id > e[2]):
+                    e[2], e[4] = doc_id, tops
                 e[3] += rows
                 return False
             at = (at + 1) & self.mask
         self.slots[at] = len(self.entries)
-        self.entries.append([digest, content, doc_id, rows])
+        self.entries.append([digest, content, doc_id, rows, tops])
         self.bytes += len(content) + 200
         if 2 * len(self.entries) > self.mask:
             self._grow()
@@ -108,8 +111,8 @@ def _spilled(path: str) -> Iterator[Record]:
                 return
 
 
-_LOCAL = "digest binary, content binary, top_id bigint, n_rows bigint"
-_CLASS = "text_sha256 string, top_id bigint, n_rows bigint"
+_LOCAL = "digest binary, content binary, top_id bigint, n_rows bigint, n_top bigint"
+_CLASS = "text_sha256 string, top_id bigint, n_rows bigint, n_top bigint"
 
 
 def _emit(entries: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -124,13 +127,13 @@ def _emit(entries: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def _fold_local(budget: int):
-    schema = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("top_id", pa.int64()), ("n_rows", pa.int64())])
+    schema = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("top_id", pa.int64()), ("n_rows", pa.int64()), ("n_top", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = OpenTable()
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), wordcore.binary(b.column(1)).to_pylist()):
-                table.add(hashlib.sha256(text).digest(), text, doc_id, 1)
+                table.add(hashlib.sha256(text).digest(), text, doc_id, 1, 1)
                 if table.bytes > budget:
                     yield from _emit(table.entries, schema)
                     table = OpenTable()
@@ -140,14 +143,14 @@ def _fold_local(budget: int):
 
 
 def _fold_bucket(budget: int):
-    schema = pa.schema([("text_sha256", pa.string()), ("top_id", pa.int64()), ("n_rows", pa.int64())])
+    schema = pa.schema([("text_sha256", pa.string()), ("top_id", pa.int64()), ("n_rows", pa.int64()), ("n_top", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out = []
-        for digest, _, top, rows in grace(records, budget):
+        for digest, _, top, rows, tops in grace(records, budget):
             if rows > 1:
-                out.append((digest.hex(), top, rows))
+                out.append((digest.hex(), top, rows, tops))
                 if len(out) == 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                     out = []
@@ -158,31 +161,54 @@ def _fold_bucket(budget: int):
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 48 << 20) -> DataFrame:
-    """Groups of two or more rows with equal text: text_sha256, top_id, n_rows."""
+    """Groups of two or more rows with equal text: text_sha256, top_id, n_rows, n_top (rows of that id)."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     local = slim.mapInArrow(_fold_local(task_bytes // 3), _LOCAL)
     return local.repartition("digest").mapInArrow(_fold_bucket(task_bytes), _CLASS)
 
 
+def _joined(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, names: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """Rows with their class, under names that no column has, and the id that stays of each row's class."""
+    sha, id_, its, top, n, tops = names
+    rows = docs.select(*own(docs), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias(sha), F.col(id_col).cast("bigint").alias(id_))
+    joined = rows.join(found.toDF(its, top, n, tops), F.col(sha) == F.col(its), "left")
+    return joined, F.when(F.col(n).isNull(), F.col(id_)).otherwise(F.col(top))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 48 << 20) -> DataFrame:
     """Every row with its class: the input's columns, keep_id, group_size, kept, text_sha256.
 
     Null text equals the empty text. Of equal texts the row with the largest id stays;
     rows that repeat both id and text share one decision. A null id never stays where
-    another row of its class has an id. Input columns named like an output are replaced.
-    An empty table gives no rows.
+    another row of its class has an id. Input columns named like an output, in any case, are
+    replaced; any other name may occur. An empty table gives no rows.
     """
     out = ("keep_id", "group_size", "kept", "text_sha256")
-    names = [c for c in docs.columns if c not in out]
-    found = classes(docs, id_col, text_col, task_bytes).withColumnsRenamed({"text_sha256": "__sha", "top_id": "__top", "n_rows": "__n"})
-    rows = docs.select(*names, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
-    joined = rows.join(found, rows.text_sha256 == found["__sha"], "left")
-    keep = F.when(F.col("__n").isNull(), F.col(id_col).cast("bigint")).otherwise(F.col("__top"))
+    names = private(docs, "sha", "id", "its", "top", "n", "tops")
+    joined, keep = _joined(docs, classes(docs, id_col, text_col, task_bytes), id_col, text_col, names)
     return joined.select(
-        *names,
+        *(x for c, x in zip(docs.columns, own(docs)) if c.lower() not in out),
         keep.alias("keep_id"),
-        F.coalesce("__n", F.lit(1)).cast("bigint").alias("group_size"),
-        F.col(id_col).cast("bigint").eqNullSafe(keep).alias("kept"),
-        "text_sha256",
+        F.coalesce(F.col(names[4]), F.lit(1)).cast("bigint").alias("group_size"),
+        F.col(names[1]).eqNullSafe(keep).alias("kept"),
+        F.col(names[0]).alias("text_sha256"),
     )
+
+
+def unlike_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 48 << 20) -> DataFrame:
+    """The input without exact copies: of equal texts one row, that of the largest id.
+
+    Null text equals the empty text. A null id comes before all others; of rows that repeat
+    both id and text one stays. All columns of the input are returned as they are, whatever
+    their names. An empty table gives no rows.
+    """
+    names = private(docs, "sha", "id", "its", "top", "n", "tops")
+    found = materialize(classes(docs, id_col, text_col, task_bytes), "classes")
+    joined, keep = _joined(docs, found, id_col, text_col, names)
+    kept = joined.where(F.col(names[1]).eqNullSafe(keep))
+    if found.where("n_top > 1").isEmpty():
+        return kept.select(*own(docs))
+    repeated = F.coalesce(F.col(names[5]), F.lit(1)) > 1
+    once = kept.where(repeated).dropDuplicates([names[0]])
+    return kept.where(~repeated).select(*own(docs)).unionByName(once.select(*own(docs)))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from lodestrand.llm import wordcore
 from lodestrand.llm.folds import drawn, held_out, threshold
+from lodestrand.llm.rows import own, private
 from lodestrand.runtime import ship
 
 PROFILE = 300
@@ -256,6 +257,20 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_co
     return frame.mapInArrow(run, out)
 
 
+def known_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that have a language: text that is not null and holds a letter.
+
+    All columns of the input are returned as they are, whatever their names; repeated rows
+    are judged each, and an empty table gives none. Where there is no label to learn from,
+    rows can't be told apart and all with a letter stay.
+    """
+    pred, score = private(docs, "pred", "score")
+    profiles = train(docs, id_col, text_col, lang_col)
+    if not profiles.langs:
+        return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
+    return predict(docs, profiles, text_col, pred, score).where(F.col(pred) != UNKNOWN).select(*own(docs))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 2000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row.
 

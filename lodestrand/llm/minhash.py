@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import repeats, wordcore
 from lodestrand.llm.components import connected_components
+from lodestrand.llm.rows import one_each
 from lodestrand.llm.wordcore import U
 from lodestrand.runtime import materialize, release, ship
 
 BANDS, ROWS, BITS = 32, 6, 4
 HASHES = BANDS * ROWS
 #: Rows of a bucket or component, and bytes of their full sets, that one task compares; larger ones are dealt in blocks.
-BLOCK, BLOCK_BYTES = 20_000, 64 << 20
+BLOCK, BLOCK_BYTES = 2_000, 32 << 20
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -326,15 +327,17 @@ def _least_id(node: Column) -> Column:
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.15, block: int = BLOCK
 ) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id, kept for each row.
+    """doc_id, text_key, n_shingles, component_id, kept, component, first for each row.
 
     Rows are linked when 100 * intersection >= percent * union of their distinct word
     shingles (words ASCII-lower-cased if lower); a text of fewer words is one shingle. A
     null text, or one without words, is linked with nothing and is its own component.
     component_id is the least id reachable (null only where no row of the component has an
-    id) and kept tells the rows that have it; text_key is 128 bits of the text. Rows that
-    repeat an id and a text share their decision. Other columns are not read. An empty table
-    gives no rows.
+    id) and kept tells the rows that have it; text_key is 128 bits of the text. component
+    names the component apart from ids, which unlike rows may repeat (null where a row is
+    alone in it), and first tells the rows of its least id and, at a tie, least shingle set.
+    Rows that repeat an id and a text share their decision. Other columns are not read. An
+    empty table gives no rows.
     """
     ship(docs.sparkSession)
     rows = repeats.keyed(docs, id_col, text_col)
@@ -353,7 +356,23 @@ def near_duplicates(
     checked = _compared(sets, percent, slack, block, "groups", _set_forest(percent, slack))
     components = connected_components(checked, "components").select(F.col("node").alias("__node"), "label")
     release(sets)
-    named = classes.join(components, F.col("node") == F.col("__node"), "left").where("m > 1 OR label IS NOT NULL").select(F.col("set_id").alias("__set"), _least_id(F.coalesce("label", "node")).alias("component_id"))
+    label = F.coalesce("label", "node")
+    named = classes.join(components, F.col("node") == F.col("__node"), "left").where("m > 1 OR label IS NOT NULL").select(F.col("set_id").alias("__set"), label.alias("component"), _least_id(label).alias("component_id"))
     joined = signed.select("doc_id", F.col("key").alias("text_key"), "n_shingles", "set_id").join(named, F.col("set_id") == F.col("__set"), "left")
     component = F.when(F.col("__set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    first = F.col("component").isNull() | (kept & (F.col("set_id") == F.substring("component", 10, 16)))
+    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"), "component", first.alias("first"))
+
+
+def unlike_rows(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input without near-duplicates: of each component one row, that of the least id.
+
+    Rows are told apart by id and text, so unlike texts that share an id are decided each
+    for itself. A null id comes after all others; ties of the least id go to the least
+    shingle set and then the least hash of the text, and of rows that repeat both id and
+    text one stays. Null texts and those without words are linked with nothing and stay. All
+    columns of the input are returned as they are, whatever their names. An empty table
+    gives no rows.
+    """
+    return one_each(docs, near_duplicates(docs, words, percent, lower, id_col, text_col), id_col, text_col)

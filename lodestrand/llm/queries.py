@@ -54,7 +54,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrand.llm.minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), words=2).drop("text_key")
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ counts had not seen.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from lodestrand.runtime import ship
 #: Prefix lengths in UTF-8 bytes.
 LEVELS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
 #: Windows in words; a document's worst window of each size is normalised by its size.
-WINDOWS = (12, 96)
+WINDOWS = (1, 4, 12, 96)
 #: The length, and for either score its mean, its sum over the root of the length, and its worst windows.
 FEATURES = 1 + 2 * (2 + len(WINDOWS))
 DISCOUNT = 0.75
@@ -169,6 +170,7 @@ class Sample:
         del nodes
         parent = join(parents, np.uint64)[at]
         del parents, at
+        settle()
         tree = Index(every[every != 0])
         up = tree.find(parent[every != 0]).astype(np.int32)
         del every, parent
@@ -178,6 +180,7 @@ class Sample:
         pairs, at, of2 = ranked(key)
         leaf_of_pair, leaf_before = tree.find(words[at]).astype(np.int32), np.where(new[at], len(tree.keys), tree.find(before[at])).astype(np.int32)
         del before
+        settle()
         key = pair_keys(np.where(new, START, np.roll(key, 1)), words)
         del words
         triples, at, of3 = ranked(key)
@@ -185,6 +188,14 @@ class Sample:
         return cls(tree, up, pairs, triples, leaf_of_pair, leaf_before, of2[at], pair_before, of3, row)
 
 
+def settle() -> None:
+    """Give freed memory back to the system, where the C library can; the driver has little."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, where each occurs, and the rank of each key among them."""
     order = np.argsort(keys).astype(np.int32)
@@ -217,7 +228,7 @@ def class_model(s: Sample, tokens: np.ndarray, shared: np.ndarray) -> tuple[np.n
     last), of what each word frees as a history (by node), of what each pair frees, and of the
     probabilities of the pairs and the triples.
     """
-    small = lambda x: np.log(x).astype(np.float32)
+    small = lambda x: np.log(x, out=x).astype(np.float32)
     n3 = np.bincount(s.triple[tokens], minlength=len(s.triples)).astype(np.int32)
     n2 = np.bincount(s.pair_of_triple[n3 > 0], minlength=len(s.pairs)).astype(np.int32)  # histories of a pair
     n1 = np.bincount(s.leaf_of_pair[n2 > 0], minlength=len(s.up))  # histories of a word
@@ -231,9 +242,11 @@ def class_model(s: Sample, tokens: np.ndarray, shared: np.ndarray) -> tuple[np.n
     del kept, step_log, step
     p2, freed2 = discounted(n2, s.leaf_before, len(s.up))
     p2 += freed2[s.leaf_before] * np.exp(reach[s.leaf_of_pair])
+    reach = reach.astype(np.float32)
     p3, freed3 = discounted(n3, s.pair_before, len(s.pairs))
+    del n1, n2, n3, at
     p3 += freed3[s.pair_before] * p2[s.pair_of_triple]
-    return reach.astype(np.float32), small(freed), small(freed2), small(freed3), small(p2), small(p3)
+    return reach, small(freed), small(freed2), small(freed3), small(p2), small(p3)
 
 
 @dataclass
@@ -411,7 +424,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows, share = sample_of(docs, labels, id_col, text_col, rows_per_class, bytes_per_class)
     text = rows["text"].combine_chunks()
     toxic, fold = rows["toxic"].to_numpy(), rows["fold"].to_numpy()
+    del rows
     sample = Sample.of(text)
+    settle()
     own = np.zeros(len(sample.up) + 1, np.int64)
     if len(sample.up):
         value = spark.sparkContext.broadcast(sample.nodes)
@@ -422,13 +437,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = shares(sample.up, rolled_up(sample.up, own[:-1]), float(own.sum()))
 
     def fitted(inside: np.ndarray) -> Model:
-        return Model.fit(sample, *(np.flatnonzero((inside & (toxic == c))[sample.row]) for c in (1, 0)), shared)
+        model = Model.fit(sample, *(np.flatnonzero((inside & (toxic == c))[sample.row]) for c in (1, 0)), shared)
+        settle()
+        return model
+
+    def crossed(k: int) -> np.ndarray:
+        """Features of a fold's rows by the model of the other."""
+        model, memory = fitted(fold != k), Memory()
+        parts = [model.features(w, memory) for w in wordcore.lower_batches(text.take(pa.array(np.flatnonzero(fold == k))), size=1 << 20)]
+        return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
 
     f = np.zeros((len(toxic), FEATURES))
-    for k in (0, 1):  # features of a fold's rows by the model of the other
-        model, memory, on = fitted(fold != k), Memory(), np.flatnonzero(fold == k)
-        parts = [model.features(w, memory) for w in wordcore.lower_batches(text.take(pa.array(on)), size=PIECE)]
-        f[on] = np.concatenate(parts) if parts else 0
+    for k in (0, 1):
+        f[fold == k] = crossed(k)
+        settle()
     if len(toxic) == 0 or toxic.min() == toxic.max():
         weights = np.append(np.zeros(shape(f).shape[1]), 30.0 if len(toxic) and toxic.max() else -30.0)
     else:

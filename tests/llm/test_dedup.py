@@ -55,22 +55,37 @@ def test_exact_matches_brute_force(docs, odd):
 
 
 def test_grace_spills_recursively_and_cleans_up(tmp_path):
-    rows = [(hashlib.sha256(t := str(i % 700).encode() * 20).digest(), t, i, 1) for i in range(3000)]
+    rows = [(hashlib.sha256(t := str(i % 700).encode() * 20).digest(), t, i, 1, 1) for i in range(3000)]
     got = list(exact.grace(iter(rows), 4000, str(tmp_path)))
-    assert {(c, n) for _, c, _, n in got} == {(str(i).encode() * 20, len(range(i, 3000, 700))) for i in range(700)}
+    assert {(c, n) for _, c, _, n, _ in got} == {(str(i).encode() * 20, len(range(i, 3000, 700))) for i in range(700)}
     assert os.listdir(tmp_path) == []
 
 
 def test_open_table_compares_contents_not_digests():
     t = exact.OpenTable()
-    assert t.add(b"d" * 32, b"a", 1, 1) and t.add(b"d" * 32, b"b", 2, 1) and not t.add(b"d" * 32, b"a", 5, 1)
-    assert [e[1:] for e in t.entries] == [[b"a", 5, 2], [b"b", 2, 1]]
+    assert t.add(b"d" * 32, b"a", 1, 1, 1) and t.add(b"d" * 32, b"b", 2, 1, 1) and not t.add(b"d" * 32, b"a", 5, 1, 1)
+    assert not t.add(b"d" * 32, b"b", None, 1, 1) and not t.add(b"d" * 32, b"b", 2, 3, 2)
+    assert [e[1:] for e in t.entries] == [[b"a", 5, 2, 1], [b"b", 2, 5, 3]]
 
 
 def test_exact_with_clashing_columns_and_empty_table(spark, docs):
     d = docs([(1, "a"), (2, "a")]).selectExpr("*", "1 AS keep_id", "'x' AS kept", "5 AS digest")
     assert sorted((r.doc_id, r.keep_id, r.digest) for r in exact.exact_dedup(d).collect()) == [(1, 2, 5), (2, 2, 5)]
-    assert exact.exact_dedup(docs([])).count() == 0
+    d = docs([(1, "a"), (2, "a"), (2, "a"), (None, "b"), (None, "b")]).selectExpr("*", "7 AS __n", "8 AS __sha", "9 AS __top", "'y' AS KEPT", "1.5 AS `a.b`")
+    got = exact.exact_dedup(d)
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r["__n"], r.kept) for r in got.collect()) == [(0, 0, 7, True), (0, 0, 7, True), (1, 2, 7, False), (2, 2, 7, True), (2, 2, 7, True)]
+    once = exact.unlike_rows(d)
+    assert once.columns == d.columns and sorted((r.doc_id or 0, r.text, r.KEPT, r["a.b"]) for r in once.collect()) == [(0, "b", "y", 1.5), (2, "a", "y", 1.5)]
+    assert exact.exact_dedup(docs([])).count() == 0 and exact.unlike_rows(docs([])).count() == 0
+
+
+def test_unlike_rows_keeps_what_shares_only_an_id(docs, odd):
+    rows = [(3, "A"), (7, "A"), (7, "B"), (None, "A"), (7, "A"), (5, ""), (6, None), *odd]
+    got = [(r.doc_id, r.text or "") for r in exact.unlike_rows(docs(rows)).collect()]
+    want = {}
+    for i, t in rows:
+        want[t or ""] = max(want.get(t or "", -1), -1 if i is None else i)
+    assert Counter((-1 if i is None else i, t) for i, t in got) == Counter((i, t) for t, i in want.items())
 
 
 # ---- repeated windows ----
@@ -232,6 +247,22 @@ def test_near_duplicates_with_other_columns_and_extreme_ids(spark):
     assert sorted(got, key=repr) == sorted([(2**63 - 1, low, False), (low, low, True), (None, low, False), (None, None, True), (5, 5, True), (5, 5, True)], key=repr)
 
 
+def test_unlike_rows_keeps_one_of_each_group(spark, docs):
+    words = [f"w{i}" for i in range(60)]
+    a, a2, b = " ".join(words), " ".join([*words[:-1], "x"]), "quite another text that is like no other at all here"
+    rows = [(7, a), (7, b), (3, a2), (3, a2), (None, a + " y"), (9, None), (9, ""), (9, ""), (4, b + " z"), (4, b.upper() + " z")]
+    d = docs(rows).selectExpr("*", "1 AS __gone", "2 AS __set", "'k' AS kept", "'c' AS component", "'f' AS first")
+    got = minhash.unlike_rows(d)
+    assert got.columns == d.columns
+    left = Counter((r.doc_id, r.text) for r in got.collect())
+    # b with id 7 stays apart from a with id 7; b + z differs in one of 8 shingles more: 6 of 7, linked.
+    assert left[(3, a2)] == 1 and left[(7, a)] == left[(None, a + " y")] == 0
+    assert left[(9, None)] == 1 and left[(9, "")] == 2
+    assert sum(n for (_, t), n in left.items() if t and t.lower().startswith("quite")) == 1
+    assert sum(left.values()) == 5
+    assert minhash.unlike_rows(docs([])).count() == 0
+
+
 def test_near_duplicates_of_an_empty_table(docs):
     assert minhash.near_duplicates(docs([])).count() == 0
 

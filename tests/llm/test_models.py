@@ -130,6 +130,17 @@ def plain_ranks(grams, length):
     return {g: i for i, g in enumerate(sorted(grams, key=lambda g: (-grams[g], len(g), point(g)))[:length])}
 
 
+def test_known_rows_keep_their_columns(docs, odd):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(WORDS[lang]) for _ in range(60)), lang) for i in range(10, 80) for lang in [r.choice(list(WORDS))]]
+    rows += [(i, t, None) for i, t in odd] + [(900, "1234 !!!", "en")]
+    d = docs(rows).selectExpr("*", "'mine' AS score", "'too' AS lang_pred", "1 AS held_out")
+    got = langid.known_rows(d)
+    assert got.columns == d.columns and {(x.score, x.lang_pred) for x in got.collect()} == {("mine", "too")}
+    assert Counter(repr(x.doc_id) for x in got.collect()) == Counter(repr(i) for i, t, *_ in rows if any(ch.isalpha() for ch in t or ""))
+    assert {x.doc_id for x in langid.known_rows(docs([(1, "a b", None), (2, "12", None), (3, None, None)])).collect()} == {1}
+
+
 def test_languages_equal_plain_out_of_place_distance(spark):
     """Profiles, distances and choices over the whole table, by dictionaries."""
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -346,6 +357,55 @@ def test_decontamination_finds_a_repeated_edited_copy(spark, docs):
     assert sorted(x.doc_id for x in kept.collect()) == list(range(100, 150))
 
 
+def plain_matches(rows, items, limit=0.4, n=3):
+    """Every document against every item with which it shares three words in a row, by a full Smith-Waterman table."""
+    split = lambda t: "".join(ch if ch.isascii() and ch.isalnum() or not ch.isascii() else " " for ch in (t or "").lower()).split()
+    out = {}
+    for d, t in rows:
+        words = split(t)
+        grams = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+        for i, x in items:
+            item = split(x)
+            if len(item) < n or not any(tuple(item[j : j + n]) in grams for j in range(len(item) - n + 1)):
+                continue
+            best, above = 0, [0] * (len(words) + 1)
+            for w in item:
+                row = [0]
+                for j, y in enumerate(words, 1):
+                    row.append(max(0, above[j - 1] + (2 if w == y else -1), above[j] - 1, row[-1] - 1))
+                best, above = max(best, max(row)), row
+            if best / (2 * len(item)) >= limit:
+                out[d, i] = round(best / (2 * len(item)), 6)
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 700])
+def test_decontamination_equals_all_pairs(spark, docs, odd, block_bytes):
+    texts, _ = items(spark)
+    table = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(texts)] + [("none", None), ("short", "too short"), ("i0", texts[0])], "item_id string, text string")
+    r = random.Random(31)
+    rows = list(odd)
+    for i in range(100, 170):
+        words = [r.choice(["some", "plain", "words", "about", "nothing"]) for _ in range(30)]
+        for _ in range(r.randint(0, 2)):
+            part = r.choice(texts).split()
+            lo = r.randint(0, len(part) // 2)
+            part = part[lo : lo + r.randint(4, len(part))]
+            for _ in range(r.randint(0, len(part) // 3)):
+                part[r.randrange(len(part))] = r.choice(["edited", "words"])
+            at = r.randint(0, len(words))
+            words[at:at] = part
+        rows.append((i, " ".join(words)))
+    want = plain_matches(rows, [(f"i{i}", t) for i, t in enumerate(texts)])
+    got = decontaminate.contaminated(docs(rows), table, block_bytes=block_bytes).collect()
+    assert {(x.doc_id, x.item_id): x.score for x in got} == want and len(want) > 20
+    assert len(got) == len(want) + sum(i == "i0" for _, i in want)
+    d = docs(rows).selectExpr("*", "1 AS key", "2 AS gone")
+    kept = decontaminate.clean(d, table, block_bytes=block_bytes)
+    assert kept.columns == d.columns
+    assert Counter(repr(x.doc_id) for x in kept.collect()) == Counter(repr(i) for i, _ in rows if all((i, f"i{k}") not in want for k in range(len(texts))))
+
+
 def test_common_words_bound_the_alignment():
     r = random.Random(3)
     for _ in range(200):

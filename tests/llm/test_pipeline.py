@@ -1,5 +1,6 @@
 import importlib.util
 import re
+from collections import Counter
 
 import corpus_pipeline
 
@@ -30,6 +31,25 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert pieces.select("doc_id").distinct().count() == sizes[-1]
 
 
+def test_stages_on_odd_rows(spark, docs, odd):
+    """Nulls, ties, repeated ids and rows, clashing columns and empty tables, stage by stage."""
+    folder = "/root/testdata/sf0.001"
+    clash = "1 AS __gone", "2 AS __n", "'a' AS KEPT", "'b' AS score", "'c' AS lang_pred", "4 AS component", "5 AS key", "6 AS sequence_id"
+    full = docs([*odd, (7, "unlike but of one id"), (None, "another without an id")]).selectExpr("*", *clash)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, full, folder)
+        ids = [r.doc_id for r in got.collect()]
+        if name == "packing":
+            assert set(ids) == {r.doc_id for r in full.collect()}
+        else:
+            assert got.columns == full.columns
+            texts = Counter(r.text or "" for r in got.collect())
+            assert texts["unlike but of one id"] == texts["another without an id"] == 1
+            if name in ("exact_dedup", "near_dedup"):
+                assert texts["tie tie tie"] == 1
+        assert stage(spark, full.where("false"), folder).count() == 0
+
+
 def test_every_operator_is_registered():
     assert importlib.util.find_spec("lodestrand.llm") is not None
     import __spark_entry__
