@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from lodestrand.llm import exact as copies
+from lodestrand.llm import langid, minhash
 from lodestrand.llm.decontaminate import clean
-from lodestrand.llm.exact import exact_dedup
-from lodestrand.llm.langid import UNKNOWN, predict, train
-from lodestrand.llm.minhash import near_duplicates
 from lodestrand.llm.packing import pack
 from lodestrand.runtime import materialize
 
@@ -23,29 +21,50 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those with no text or no letter go."""
-    named = predict(docs, train(docs))
-    return named.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Documents with a language; those with null or empty text, or no letter, go.
+
+    Learns from the labelled rows of its input. Repeated rows are judged each; other columns
+    stay as they are, whatever their names; an empty table gives no rows.
+    """
+    return langid.known_rows(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    """Of equal texts, one document: that with the largest id.
+
+    Null and empty texts are equal. A null id is less than any other; of rows that repeat id
+    and text one stays. Other columns stay as they are, whatever their names; an empty table
+    gives no rows.
+    """
+    return copies.unlike_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the document with the least id."""
-    gone = near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), one document: that with the least id.
+
+    Rows are told apart by id and text, so unlike texts with one id are judged each. A null
+    id is greater than any other; ties go by shingle set and text, and of rows that repeat
+    id and text one stays. Null and empty texts are like no other and stay. Other columns
+    stay as they are, whatever their names; an empty table gives no rows.
+    """
+    return minhash.unlike_rows(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy, exact or edited, of a benchmark item."""
+    """Documents that hold no copy, exact or edited, of a benchmark item.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged each by their text.
+    Other columns stay as they are, whatever their names; an empty table gives no rows.
+    """
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, in sequences of at most 1024 tokens."""
+    """Pieces of the documents left, in sequences of at most 1024 tokens.
+
+    Every row gives a piece at least, null and empty texts that of their end token, and
+    repeated rows each their own. Other columns are not read; an empty table gives no rows.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
