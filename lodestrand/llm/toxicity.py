@@ -209,10 +209,12 @@ def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def discounted(n: np.ndarray, context: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
     """Discounted relative counts within their contexts, and the mass that each context frees (1 where it was not seen)."""
-    total = np.bincount(context, n, contexts + 1)
-    kinds = np.bincount(context, n > 0, contexts + 1)
-    safe = np.maximum(total, 1)
-    return np.maximum(n - DISCOUNT, 0) / safe[context], np.where(total > 0, DISCOUNT * kinds / safe, 1.0)
+    total = np.maximum(np.bincount(context, n, contexts + 1), 1)
+    kinds = np.bincount(context[n > 0], minlength=contexts + 1)
+    freed = np.where(kinds > 0, DISCOUNT * kinds / total, 1.0)
+    kept = np.maximum(n - DISCOUNT, 0)
+    kept /= total[context]
+    return kept, freed
 
 
 def shares(up: np.ndarray, types: np.ndarray, all_types: float) -> np.ndarray:
@@ -246,6 +248,7 @@ def class_model(s: Sample, tokens: np.ndarray, shared: np.ndarray) -> tuple[np.n
     p3, freed3 = discounted(n3, s.pair_before, len(s.pairs))
     del n1, n2, n3, at
     p3 += freed3[s.pair_before] * p2[s.pair_of_triple]
+    settle()
     return reach, small(freed), small(freed2), small(freed3), small(p2), small(p3)
 
 
@@ -412,7 +415,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ro
     return text.join(F.broadcast(few), "id").select("text", "toxic", "fold").toArrow(), share
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 3_000, bytes_per_class: int = 16 << 20) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 2_000, bytes_per_class: int = 16 << 20) -> Scorer:
     """Fit on about rows_per_class labelled rows of either class outside the held-out fold (and bytes_per_class of text).
 
     Those bounds hold for all that comes to the driver: the sample's text, and the counts
@@ -435,6 +438,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own[sums["at"].to_numpy()] = sums["n"].to_numpy()
         value.destroy()
     shared = shares(sample.up, rolled_up(sample.up, own[:-1]), float(own.sum()))
+    settle()
 
     def fitted(inside: np.ndarray) -> Model:
         model = Model.fit(sample, *(np.flatnonzero((inside & (toxic == c))[sample.row]) for c in (1, 0)), shared)
@@ -481,7 +485,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 3_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 2_000) -> DataFrame:
     """Train on the labelled rows outside the held-out fold and score every document.
 
     Ties at 0.5 are toxic. Labels of ids without a document, null labels and null ids are
