@@ -144,6 +144,12 @@ def mixed_tokens_udf(text: pd.Series) -> pd.Series:
     return text.map(mixed_tokens)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def all_tokens(text: pd.Series) -> pd.Series:
+    """Every token of a text, repeats kept: what an index counts."""
+    return text.map(lambda x: mixed_tokens(x, distinct=False))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility form."""

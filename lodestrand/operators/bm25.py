@@ -1,27 +1,40 @@
 """Lexical ranking: postings, corpus statistics and BM25 over batches of queries.
 
-Postings are a grouped DataFrame (term, doc_id, tf_title, tf_body). Statistics are always
-those of the whole collection; a query's scope only limits which rows are ranked.
+Postings are rows of term and document, kept in order of terms as a stored index, so that a
+question reads what its terms need and not the collection. Statistics are always those of
+the whole collection; a query's scope only limits which rows are ranked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
+from lodestrand.runtime import shared_dir
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
 LEAST_IDF = 1e-6
 #: Rows up to which the query side of a join may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Distinct query terms up to which they are a filter of the scan, which then skips row groups of other terms.
+PUSHED_TERMS = 1_000
+
 
+def tokens(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = "source", text_col: str = "text", mixed: bool = False) -> DataFrame:
+    """doc_id, title and body token arrays: plain words, or with mixed the full tokenizer (NFKC, stems, CJK)."""
+    if mixed:
+        from lodestrand.functions.stemming import all_tokens
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = "source", text_col: str = "text") -> DataFrame:
-    """doc_id, title and body token arrays."""
-    title = tx.word_tokens(F.col(title_col)) if title_col else F.array().cast("array<string>")
-    return docs.select(F.col(id_col).alias("doc_id"), title.alias("title"), tx.word_tokens(F.col(text_col)).alias("body"))
+        split = lambda name: all_tokens(F.col(name))
+    else:
+        split = lambda name: tx.word_tokens(F.col(name))
+    title = split(title_col) if title_col else F.array().cast("array<string>")
+    return docs.select(F.col(id_col).alias("doc_id"), title.alias("title"), split(text_col).alias("body"))
 
 
 def _fields():
@@ -51,27 +64,82 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bm25(docs: DataFrame, terms: DataFrame, top_k: int = 20, scope: DataFrame | None = None, **columns) -> DataFrame:
+@dataclass
+class Index:
+    """A collection ready for ranking: postings with lengths, each term's documents, and the collection's size."""
+
+    postings: DataFrame  # term, doc_id, length, tf_title, tf_body
+    terms: DataFrame  # term, df
+    stats: DataFrame  # n_docs, avgdl: one row
+
+    @classmethod
+    def of(cls, docs: DataFrame, **columns) -> Index:
+        """Of documents as they are; nothing is stored."""
+        read = tokens(docs, **columns).withColumn("length", F.size("title") + F.size("body"))
+        each = read.select("doc_id", "length", F.explode(_fields()).alias("x")).select("doc_id", "length", "x.*")
+        found = each.groupBy("term", "doc_id", "length").agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
+        stats = read.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
+        return cls(found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+
+    def save(self, path: str) -> Index:
+        """Write the index and read it back; postings lie in order of terms, so a scan for a few terms skips the rest."""
+        spark = self.postings.sparkSession
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")  # last: an index with statistics is whole
+        return Index.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")))
+
+    @classmethod
+    def stored(cls, docs: DataFrame, **columns) -> Index:
+        """The index of a table of files, built where the shared folder has none for its present files and these columns.
+
+        A table whose files change gets a new index, as their names, sizes and times name it.
+        """
+        spark = docs.sparkSession
+        sc = spark.sparkContext
+        hadoop, path_of = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
+        facts = []
+        for f in sorted(docs.inputFiles()):
+            at = path_of(f)
+            status = at.getFileSystem(hadoop).getFileStatus(at)
+            facts.append((f, status.getLen(), status.getModificationTime()))
+        name = hashlib.sha256(repr((facts, docs.columns, sorted(columns.items()))).encode()).hexdigest()[:24]
+        path = f"{shared_dir(spark)}/lexical-index-{name}"
+        whole = path_of(f"{path}/stats/_SUCCESS")
+        if whole.getFileSystem(hadoop).exists(whole):
+            return cls.load(spark, path)
+        return cls.of(docs, **columns).save(path)
+
+
+def bm25(source: DataFrame | Index, terms: DataFrame, top_k: int = 20, scope: DataFrame | None = None, **columns) -> DataFrame:
     """query_id, set_id, doc_id, score, rank of the best documents of each query's term set.
 
-    terms: query_id, set_id, term. scope (query_id, doc_id) limits what is ranked. Scores are
-    negative, lower is better, as full-text engines give them; ties go by doc_id.
+    source: an index, or documents. terms: query_id, set_id, term. scope (query_id, doc_id)
+    limits what is ranked. Scores are negative, lower is better, as full-text engines give
+    them; ties go by doc_id.
     """
+    index = source if isinstance(source, Index) else Index.of(source, **columns)
     wanted = terms.select("query_id", "set_id", "term").distinct()
     # One check of the query side decides for its terms and their statistics, which are no more rows.
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast if few else (lambda df: df)
-    read = tokens(docs, **columns).withColumn("length", F.size("title") + F.size("body"))
-    each = read.select("doc_id", "length", F.explode(_fields()).alias("x")).select("doc_id", "length", "x.*")
-    hits = each.join(side(wanted.select("term").distinct()), "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
-    stats = read.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
-    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    few = wanted.select("term").distinct().limit(BROADCAST_ROWS + 1).collect()
+    side = F.broadcast if len(few) <= BROADCAST_ROWS else (lambda df: df)
+    named = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    there, known = index.postings, index.terms
+    if len(few) <= PUSHED_TERMS:
+        words = [r[0] for r in few]
+        there, known = there.where(F.col("term").isin(words)), known.where(F.col("term").isin(words))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # stats is one row.
-    idf = frequency.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
+    known = known.join(side(wanted.select("term").distinct()), "term", "left_semi")
+    idf = known.crossJoin(F.broadcast(index.stats)).select("term", "avgdl", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
     tf = TITLE_WEIGHT * F.col("tf_title") + BODY_WEIGHT * F.col("tf_body")
-    weighed = hits.join(side(idf), "term").select("term", "doc_id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))).alias("part"))
-    scored = weighed.join(side(wanted), "term")
+    weighed = there.join(side(idf), "term").select("term", "doc_id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))).alias("part"))
+    scored = weighed.join(F.broadcast(wanted) if named else wanted, "term")
     if scope is not None:
         scored = scored.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
     scored = scored.groupBy("query_id", "set_id", "doc_id").agg(F.round(-F.sum("part"), 9).alias("score"))
@@ -79,9 +147,15 @@ def bm25(docs: DataFrame, terms: DataFrame, top_k: int = 20, scope: DataFrame |
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def term_sets(queries: DataFrame, n: int = 8, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def term_sets(queries: DataFrame, n: int = 8, id_col: str = "item_id", text_col: str = "text", mixed: bool = False) -> DataFrame:
     """query_id, set_id 1, term: the first n distinct tokens of each query."""
-    return queries.select(F.col(id_col).alias("query_id"), F.lit(1).alias("set_id"), F.explode(tx.query_terms(F.col(text_col), n)).alias("term"))
+    if mixed:
+        from lodestrand.functions.stemming import mixed_tokens_udf
+
+        terms = F.slice(mixed_tokens_udf(F.col(text_col)), 1, n)
+    else:
+        terms = tx.query_terms(F.col(text_col), n)
+    return queries.select(F.col(id_col).alias("query_id"), F.lit(1).alias("set_id"), F.explode(terms).alias("term"))
 
 
 def synonym_sets(plans: DataFrame) -> DataFrame:

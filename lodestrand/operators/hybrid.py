@@ -35,9 +35,13 @@ def fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     """query_id, doc_id, score, fusion_rank with bm25_rank and vector_rank, the places within each channel's own fusion."""
     keyed = rankings.withColumn("query_id", F.struct("query_id", "channel", "channel_no"))
     inner = rrf(keyed, k).select("query_id.*", "doc_id", "rank")
-    outer = rrf(inner.withColumnRenamed("channel_no", "list_id").select("query_id", "list_id", "doc_id", "rank"), k)
-    places = inner.groupBy("query_id", "doc_id").agg(F.min(F.when(F.col("channel") == "bm25", F.col("rank"))).alias("bm25_rank"), F.min(F.when(F.col("channel") == "vector", F.col("rank"))).alias("vector_rank"))
-    return outer.withColumnRenamed("rank", "fusion_rank").join(places, ["query_id", "doc_id"])
+    # A channel's fusion holds a document once, with places from 1, so they are the outer ranks as they stand.
+    of = lambda name: F.min(F.when(F.col("channel") == name, F.col("rank")))
+    outer = inner.groupBy("query_id", "doc_id").agg(
+        F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.min(F.struct("channel_no", "rank")).alias("first_seen"), of("bm25").alias("bm25_rank"), of("vector").alias("vector_rank")
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_seen", F.col("doc_id").cast("string"))
+    return outer.withColumn("fusion_rank", F.row_number().over(order)).select("query_id", "doc_id", "score", "fusion_rank", "bm25_rank", "vector_rank")
 
 
 def hybrid_search(

@@ -40,7 +40,7 @@ RANKED = CORE % ""
 
 
 def bm25_ranking(t: Tables, n: int = 8) -> DataFrame:
-    return lx.bm25(t.documents, lx.term_sets(t.benchmark, n))
+    return lx.bm25(lx.Index.stored(t.documents), lx.term_sets(t.benchmark, n))
 
 
 def plans(t: Tables) -> DataFrame:
@@ -87,12 +87,27 @@ def bm25_topk(t: Tables) -> DataFrame:
 def bm25_scoped_topk(t: Tables) -> DataFrame:
     """Each question ranks the documents of one source only; the statistics stay the collection's."""
     scope = t.documents.select("doc_id", "source").join(t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")), "source").select("query_id", "doc_id")
-    return lx.bm25(t.documents, lx.term_sets(t.benchmark), scope=scope).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return lx.bm25(lx.Index.stored(t.documents), lx.term_sets(t.benchmark), scope=scope).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def bm25_mixed_topk(t: Tables) -> DataFrame:
+    """The ranking by the full tokenizer: compatibility forms, words with their stems, CJK runs."""
+    return lx.bm25(lx.Index.stored(t.documents, mixed=True), lx.term_sets(t.benchmark, mixed=True)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def hybrid_mixed(t: Tables) -> DataFrame:
+    """Hybrid retrieval with the full tokenizer in the lexical channel."""
+    lexical = lx.bm25(lx.Index.stored(t.documents, mixed=True), lx.term_sets(t.benchmark, mixed=True)).withColumnRenamed("set_id", "list_id")
+    semantic = vectors.nearest(t.embeddings, vector_queries(t)).select("query_id", F.lit(0).alias("list_id"), F.col("vec_id").alias("doc_id"), "rank")
+    out = hybrid.hybrid_search(hybrid.channels(lexical, semantic), t.documents.select("doc_id", "lang", "n_chars"))
+    return out.select("query_id", "doc_id", "fusion_rank", "final_rank", "lang", "n_chars")
 
 
 @query(f"WITH {TERMS2}, {RANKED} SELECT query_id, set_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20")
 def bm25_synonym_pair(t: Tables) -> DataFrame:
-    return lx.bm25(t.documents, lx.synonym_sets(plans(t))).select("query_id", "set_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return lx.bm25(lx.Index.stored(t.documents), lx.synonym_sets(plans(t))).select("query_id", "set_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -146,7 +161,7 @@ LISTS = "lists AS (SELECT query_id, set_id AS list_id, doc_id, rank FROM ranked
 @query(f"WITH {TERMS2}, {RANKED}, {LISTS} SELECT query_id, doc_id, round(score, 9) AS score, rank FROM {RRF.format(lists='lists')}")
 def rrf_two_lists(t: Tables) -> DataFrame:
     """Fusion of the lexical list with the list of lexical terms and synonyms."""
-    lists = lx.bm25(t.documents, lx.synonym_sets(plans(t))).withColumnRenamed("set_id", "list_id")
+    lists = lx.bm25(lx.Index.stored(t.documents), lx.synonym_sets(plans(t))).withColumnRenamed("set_id", "list_id")
     return fusion.rrf(lists).withColumn("score", F.round("score", 9))
 
 
@@ -161,7 +176,7 @@ f AS (SELECT f.query_id, f.doc_id, f.score, f.rank AS fusion_rank, b.rank AS bm2
 
 
 def rankings(t: Tables) -> DataFrame:
-    lexical = lx.bm25(t.documents, lx.synonym_sets(plans(t))).withColumnRenamed("set_id", "list_id")
+    lexical = lx.bm25(lx.Index.stored(t.documents), lx.synonym_sets(plans(t))).withColumnRenamed("set_id", "list_id")
     semantic = vectors.nearest(t.embeddings, vector_queries(t)).select("query_id", F.lit(0).alias("list_id"), F.col("vec_id").alias("doc_id"), "rank")
     return hybrid.channels(lexical, semantic)
 
