@@ -14,42 +14,45 @@ import pickle
 import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from lodestrand.llm import wordcore
 from lodestrand.llm.rows import own, private
-from lodestrand.runtime import materialize, ship
+from lodestrand.runtime import ship
 
 FAN_OUT = 16
-Record = tuple[bytes, bytes, int | None, int, int]  # digest, content, largest doc_id, rows, rows that have that id
+Record = tuple[bytes, bytes, int | None, int, object]  # digest, content, largest doc_id, rows, the rest of a row of that id
 
 
 class OpenTable:
-    """Linear-probing table from complete content to (largest doc_id, rows, rows that have that id)."""
+    """Linear-probing table from complete content to (largest doc_id, rows, the rest of a row of that id)."""
 
     def __init__(self) -> None:
         self.mask, self.bytes = 1023, 0
         self.slots: list[int] = [-1] * 1024
         self.entries: list[list] = []
 
-    def add(self, digest: bytes, content: bytes, doc_id: int | None, rows: int, tops: int) -> bool:
-        """Fold a record in; true if its content is new."""
+    def add(self, digest: bytes, content: bytes, doc_id: int | None, rows: int, rest: object = None) -> bool:
+        """Fold a record in; true if its content is new. Of rows with one content and id the least rest, as text, stays."""
         at = int.from_bytes(digest[8:16], "little") & self.mask
         while (i := self.slots[at]) >= 0:
             e = self.entries[i]
             if e[0] == digest and e[1] == content:
-                if doc_id == e[2]:
-                    e[4] += tops
-                elif doc_id is not None and (e[2] is None or doc_id > e[2]):
-                    e[2], e[4] = doc_id, tops
+                if doc_id is not None and (e[2] is None or doc_id > e[2]):
+                    e[2], e[4] = doc_id, rest
+                elif doc_id == e[2] and rest != e[4] and repr(rest) < repr(e[4]):
+                    e[4] = rest
                 e[3] += rows
                 return False
             at = (at + 1) & self.mask
         self.slots[at] = len(self.entries)
-        self.entries.append([digest, content, doc_id, rows, tops])
+        self.entries.append([digest, content, doc_id, rows, rest])
         self.bytes += len(content) + 200
         if 2 * len(self.entries) > self.mask:
             self._grow()
@@ -111,8 +114,8 @@ def _spilled(path: str) -> Iterator[Record]:
                 return
 
 
-_LOCAL = "digest binary, content binary, top_id bigint, n_rows bigint, n_top bigint"
-_CLASS = "text_sha256 string, top_id bigint, n_rows bigint, n_top bigint"
+_LOCAL = "digest binary, content binary, top_id bigint, n_rows bigint"
+_CLASS = "text_sha256 string, top_id bigint, n_rows bigint"
 
 
 def _emit(entries: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -126,14 +129,17 @@ def _emit(entries: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
             lo, size = i + 1, 0
 
 
-def _fold_local(budget: int):
-    schema = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("top_id", pa.int64()), ("n_rows", pa.int64()), ("n_top", pa.int64())])
+def _fold_local(budget: int, rest: pa.DataType | None = None):
+    """Records of (id, text, the rest if any) rows, equal texts of a task as one."""
+    fields = [("digest", pa.binary()), ("content", pa.binary()), ("top_id", pa.int64()), ("n_rows", pa.int64())]
+    schema = pa.schema([*fields, ("rest", rest)] if rest is not None else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = OpenTable()
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), wordcore.binary(b.column(1)).to_pylist()):
-                table.add(hashlib.sha256(text).digest(), text, doc_id, 1, 1)
+            others = b.column(2).to_pylist() if rest is not None else repeat(None)
+            for doc_id, text, other in zip(b.column(0).to_pylist(), wordcore.binary(b.column(1)).to_pylist(), others):
+                table.add(hashlib.sha256(text).digest(), text, doc_id, 1, other)
                 if table.bytes > budget:
                     yield from _emit(table.entries, schema)
                     table = OpenTable()
@@ -143,14 +149,14 @@ def _fold_local(budget: int):
 
 
 def _fold_bucket(budget: int):
-    schema = pa.schema([("text_sha256", pa.string()), ("top_id", pa.int64()), ("n_rows", pa.int64()), ("n_top", pa.int64())])
+    schema = pa.schema([("text_sha256", pa.string()), ("top_id", pa.int64()), ("n_rows", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        records = ((*r, None) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out = []
-        for digest, _, top, rows, tops in grace(records, budget):
+        for digest, _, top, rows, _ in grace(records, budget):
             if rows > 1:
-                out.append((digest.hex(), top, rows, tops))
+                out.append((digest.hex(), top, rows))
                 if len(out) == 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                     out = []
@@ -160,22 +166,42 @@ def _fold_bucket(budget: int):
     return run
 
 
+def _kept_rows(budget: int, names: list[str], text_col: str, schema: pa.Schema):
+    """The row that stays of each class of a bucket, whole: its content as the text, and its rest."""
+
+    def batch(part: list) -> pa.RecordBatch:
+        columns = []
+        for name, field in zip(names, schema):
+            if name == text_col:
+                texts = pa.array([None if e[4]["null"] else e[1] for e in part], pa.binary())
+                columns.append(texts.view(pa.string()))
+            else:
+                columns.append(pa.array([e[4]["row"][name] for e in part], field.type))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        part, size = [], 0
+        for e in grace(records, budget):
+            part.append(e)
+            size += len(e[1]) + 200
+            if size > 8 << 20:
+                yield batch(part)
+                part, size = [], 0
+        if part:
+            yield batch(part)
+
+    return run
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 48 << 20) -> DataFrame:
-    """Groups of two or more rows with equal text: text_sha256, top_id, n_rows, n_top (rows of that id)."""
+    """Groups of two or more rows with equal text: text_sha256, top_id, n_rows."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     local = slim.mapInArrow(_fold_local(task_bytes // 3), _LOCAL)
     return local.repartition("digest").mapInArrow(_fold_bucket(task_bytes), _CLASS)
 
 
-def _joined(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, names: tuple[str, ...]) -> tuple[DataFrame, Column]:
-    """Rows with their class, under names that no column has, and the id that stays of each row's class."""
-    sha, id_, its, top, n, tops = names
-    rows = docs.select(*own(docs), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias(sha), F.col(id_col).cast("bigint").alias(id_))
-    joined = rows.join(found.toDF(its, top, n, tops), F.col(sha) == F.col(its), "left")
-    return joined, F.when(F.col(n).isNull(), F.col(id_)).otherwise(F.col(top))
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 48 << 20) -> DataFrame:
     """Every row with its class: the input's columns, keep_id, group_size, kept, text_sha256.
 
@@ -185,14 +211,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     replaced; any other name may occur. An empty table gives no rows.
     """
     out = ("keep_id", "group_size", "kept", "text_sha256")
-    names = private(docs, "sha", "id", "its", "top", "n", "tops")
-    joined, keep = _joined(docs, classes(docs, id_col, text_col, task_bytes), id_col, text_col, names)
+    sha, id_, its, top, n = private(docs, "sha", "id", "its", "top", "n")
+    rows = docs.select(*own(docs), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias(sha), F.col(id_col).cast("bigint").alias(id_))
+    joined = rows.join(classes(docs, id_col, text_col, task_bytes).toDF(its, top, n), F.col(sha) == F.col(its), "left")
+    keep = F.when(F.col(n).isNull(), F.col(id_)).otherwise(F.col(top))
     return joined.select(
         *(x for c, x in zip(docs.columns, own(docs)) if c.lower() not in out),
         keep.alias("keep_id"),
-        F.coalesce(F.col(names[4]), F.lit(1)).cast("bigint").alias("group_size"),
-        F.col(names[1]).eqNullSafe(keep).alias("kept"),
-        F.col(names[0]).alias("text_sha256"),
+        F.coalesce(F.col(n), F.lit(1)).cast("bigint").alias("group_size"),
+        F.col(id_).eqNullSafe(keep).alias("kept"),
+        F.col(sha).alias("text_sha256"),
     )
 
 
@@ -200,15 +228,15 @@ def unlike_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input without exact copies: of equal texts one row, that of the largest id.
 
     Null text equals the empty text. A null id comes before all others; of rows that repeat
-    both id and text one stays. All columns of the input are returned as they are, whatever
-    their names. An empty table gives no rows.
+    both id and text the one whose other columns come first as text stays. All columns of
+    the input are returned as they are, whatever their names; text_col is a string. An empty
+    table gives no rows. Rows travel once, with their text, to where it is compared.
     """
-    names = private(docs, "sha", "id", "its", "top", "n", "tops")
-    found = materialize(classes(docs, id_col, text_col, task_bytes), "classes")
-    joined, keep = _joined(docs, found, id_col, text_col, names)
-    kept = joined.where(F.col(names[1]).eqNullSafe(keep))
-    if found.where("n_top > 1").isEmpty():
-        return kept.select(*own(docs))
-    repeated = F.coalesce(F.col(names[5]), F.lit(1)) > 1
-    once = kept.where(repeated).dropDuplicates([names[0]])
-    return kept.where(~repeated).select(*own(docs)).unionByName(once.select(*own(docs)))
+    ship(docs.sparkSession)
+    others = [x.alias(f"c{i}") for i, (c, x) in enumerate(zip(docs.columns, own(docs))) if c != text_col]
+    rest = F.struct(F.col(text_col).isNull().alias("null"), F.struct(*others, F.lit(0).alias("c")).alias("row")).alias("rest")
+    slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), rest)
+    kind = slim.schema["rest"].dataType
+    local = slim.mapInArrow(_fold_local(task_bytes // 3, to_arrow_type(kind)), T.StructType([*T.StructType.fromDDL(_LOCAL), T.StructField("rest", kind)]))
+    names = [text_col if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)]
+    return local.repartition("digest").mapInArrow(_kept_rows(task_bytes, names, text_col, to_arrow_schema(docs.schema)), docs.schema)

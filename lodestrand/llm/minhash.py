@@ -30,6 +30,8 @@ BANDS, ROWS, BITS = 32, 6, 4
 HASHES = BANDS * ROWS
 #: Rows of a bucket or component, and bytes of their full sets, that one task compares; larger ones are dealt in blocks.
 BLOCK, BLOCK_BYTES = 2_000, 32 << 20
+#: Bytes of all hubs up to which they are broadcast.
+HUB_BYTES = 8 << 20
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -275,6 +277,9 @@ def dealt(rows: DataFrame, percent: int, slack: float, block: int, name: str, bl
     on = F.col("key") == F.col("__key")
     of_large = rows.join(large, on)
     hubs = of_large.where("set_id = hub").dropDuplicates(["key"]).select(F.col("key").alias("__hkey"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"), F.col("body").alias("hub_body"))
+    hubs = materialize(hubs, name)
+    if (hubs.agg(F.sum(F.coalesce(F.octet_length("hub_body"), F.lit(0)) + 200)).first()[0] or 0) <= HUB_BYTES:
+        hubs = F.broadcast(hubs)
     told = of_large.select("key", "set_id", "n", "sig", "body", "hub").join(hubs, F.col("key") == F.col("__hkey")).drop("__hkey")
     fields = "key binary, set_id binary, n bigint, sig binary, body binary, hub binary, linked boolean"
     told = materialize(told.mapInArrow(_linked_to_hub(percent, slack), fields), name)

@@ -55,7 +55,7 @@ def test_exact_matches_brute_force(docs, odd):
 
 
 def test_grace_spills_recursively_and_cleans_up(tmp_path):
-    rows = [(hashlib.sha256(t := str(i % 700).encode() * 20).digest(), t, i, 1, 1) for i in range(3000)]
+    rows = [(hashlib.sha256(t := str(i % 700).encode() * 20).digest(), t, i, 1, None) for i in range(3000)]
     got = list(exact.grace(iter(rows), 4000, str(tmp_path)))
     assert {(c, n) for _, c, _, n, _ in got} == {(str(i).encode() * 20, len(range(i, 3000, 700))) for i in range(700)}
     assert os.listdir(tmp_path) == []
@@ -63,9 +63,9 @@ def test_grace_spills_recursively_and_cleans_up(tmp_path):
 
 def test_open_table_compares_contents_not_digests():
     t = exact.OpenTable()
-    assert t.add(b"d" * 32, b"a", 1, 1, 1) and t.add(b"d" * 32, b"b", 2, 1, 1) and not t.add(b"d" * 32, b"a", 5, 1, 1)
-    assert not t.add(b"d" * 32, b"b", None, 1, 1) and not t.add(b"d" * 32, b"b", 2, 3, 2)
-    assert [e[1:] for e in t.entries] == [[b"a", 5, 2, 1], [b"b", 2, 5, 3]]
+    assert t.add(b"d" * 32, b"a", 1, 1, "x") and t.add(b"d" * 32, b"b", 2, 1, "y") and not t.add(b"d" * 32, b"a", 5, 1, "z")
+    assert not t.add(b"d" * 32, b"b", None, 1, "a") and not t.add(b"d" * 32, b"b", 2, 3, "w") and not t.add(b"d" * 32, b"b", 2, 1, "x")
+    assert [e[1:] for e in t.entries] == [[b"a", 5, 2, "z"], [b"b", 2, 6, "w"]]
 
 
 def test_exact_with_clashing_columns_and_empty_table(spark, docs):
@@ -74,6 +74,8 @@ def test_exact_with_clashing_columns_and_empty_table(spark, docs):
     d = docs([(1, "a"), (2, "a"), (2, "a"), (None, "b"), (None, "b")]).selectExpr("*", "7 AS __n", "8 AS __sha", "9 AS __top", "'y' AS KEPT", "1.5 AS `a.b`")
     got = exact.exact_dedup(d)
     assert sorted((r.doc_id or 0, r.keep_id or 0, r["__n"], r.kept) for r in got.collect()) == [(0, 0, 7, True), (0, 0, 7, True), (1, 2, 7, False), (2, 2, 7, True), (2, 2, 7, True)]
+    typed = d.selectExpr("*", "array(1, null) AS list", "map('k', doc_id) AS m", "timestamp'2024-01-02 03:04:05' AS ts", "cast(1.25 AS decimal(10, 2)) AS dec", "struct(text AS t) AS s")
+    assert sorted(map(repr, exact.unlike_rows(typed).collect())) == sorted({repr(r) for r in typed.where("doc_id = 2 OR doc_id IS NULL").collect()})
     once = exact.unlike_rows(d)
     assert once.columns == d.columns and sorted((r.doc_id or 0, r.text, r.KEPT, r["a.b"]) for r in once.collect()) == [(0, "b", "y", 1.5), (2, "a", "y", 1.5)]
     assert exact.exact_dedup(docs([])).count() == 0 and exact.unlike_rows(docs([])).count() == 0
