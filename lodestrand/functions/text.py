@@ -21,6 +21,11 @@ EXPLICIT_MEMORY_PATTERN = (
 )
 EVIDENCE_MARKER_PATTERN = r"\[doc:[0-9]+\|page:|\[(?:E|chunk:)[0-9]+\]"
 SECRET_URL_PATTERN = r"(?i)(?:[?&#]|%3f|%26)(?:api[_-]?key|token|authorization|access[_-]?token|apikey|auth)(?:=|%3d)"
+SEARCH_WORD_PATTERN = r"[\p{L}\p{N}_.-]+"
+ADVANCED_SEARCH_PATTERN = r"(?i)\b(?:AND|OR|ANDNOT)\b|\b(?:all|ti|au|abs|cat|id):"
+KEPT_HYPHEN_PATTERN = r"(?i)\b([A-Za-z])-\r?\n(nearest|means|fold|value|space|NN)\b"
+BROKEN_WORD_PATTERN = r"(?<=[A-Za-z])-\r?\n(?=[a-z])"
+LINE_END_PATTERN = r"[ \t]*\r?\n[ \t]*"
 VALUE = r"[^'\"\s,;}\]]+"
 REDACTIONS = (
     (r"(?i)(['\"]?)(authorization)\1\s*([:=])(\s*)(['\"]?)(Bearer|Basic)\s+" + VALUE + r"\5", "$1$2$1$3$4$5$6 ***$5"),
@@ -128,9 +133,9 @@ def margin_text(column: Column) -> Column:
 
 def join_lines(column: Column) -> Column:
     """Text of a printed page: hyphens of some terms kept over a line break, others joined, lines to one."""
-    kept = F.regexp_replace(column, r"(?i)\b([A-Za-z])-\r?\n(nearest|means|fold|value|space|NN)\b", "$1-$2")
-    joined = F.regexp_replace(kept, r"(?<=[A-Za-z])-\r?\n(?=[a-z])", "")
-    return F.trim(F.regexp_replace(joined, r"[ \t]*\r?\n[ \t]*", " "))
+    for pattern, by in ((KEPT_HYPHEN_PATTERN, "$1-$2"), (BROKEN_WORD_PATTERN, ""), (LINE_END_PATTERN, " ")):
+        column = F.regexp_replace(column, pattern, by)
+    return F.trim(column)
 
 
 def evidence_text(column: Column) -> Column:
@@ -143,8 +148,7 @@ def slug(column: Column) -> Column:
 
 
 def search_query(column: Column) -> Column:
-    """Plain words as all:"w" joined by AND; an advanced query passes."""
+    """Plain words as all:"w" joined by AND; an advanced query, or one without a word, passes trimmed."""
     clean = F.trim(column)
-    words = _all(clean, r"[A-Za-z0-9_.-]+")
-    advanced = clean.rlike(r"(?i)\b(?:AND|OR|ANDNOT)\b|\b(?:all|ti|au|abs|cat|id):")
-    return F.when(advanced | (F.size(words) == 0), clean).otherwise(F.array_join(F.transform(words, lambda w: F.concat(F.lit('all:"'), w, F.lit('"'))), " AND "))
+    plain = F.array_join(F.transform(_all(clean, SEARCH_WORD_PATTERN), lambda w: F.format_string('all:"%s"', w)), " AND ")
+    return F.when(clean.rlike(ADVANCED_SEARCH_PATTERN), clean).otherwise(F.coalesce(F.nullif(plain, F.lit("")), clean))

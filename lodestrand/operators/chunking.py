@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,39 +13,38 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions.text import SENTENCE_PATTERN
 
-# Abbreviations after which a sentence goes on.
+# Abbreviations that do not end a sentence, and where prose is cut after a terminator.
 ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "et al.", "fig.", "eq.", "sec.", "no.", "ref.", "tab.", "cf.")
+PROSE_CUT = r"(?<=[.!?])(?=\s+)|(?<=[。！？])(?=[^\s])"
 _SENTENCE = re.compile(SENTENCE_PATTERN)
 
 
+def _pieces(text: str, size: int, overlap: int) -> Iterator[str]:
+    """Sentences; a longer one as windows of `size` that share `overlap` characters."""
+    found = [m.group().strip() for m in _SENTENCE.finditer(text)]
+    for sentence in filter(None, found or [text]):
+        starts = range(0, max(1, len(sentence) - overlap), max(1, size - overlap)) if len(sentence) > size else (0,)
+        for at in starts:
+            yield sentence[at : at + size]
+            if at + size >= len(sentence):
+                break
+
+
 def char_chunks(text: str | None, size: int = 900, overlap: int = 120) -> list[str]:
     """Whole sentences in chunks of at most `size` characters, the last sentences of a chunk carried over up to `overlap`.
 
-    A longer sentence is cut in windows of `size` that overlap alike.
+    A longer sentence is cut in windows of `size` that overlap alike. A chunk is a range of
+    pieces, found by their places in the joined text.
     """
-    flat = " ".join((text or "").split())
-    units: list[str] = []
-    for s in [x.strip() for x in _SENTENCE.findall(flat) if x.strip()] or ([flat] if flat else []):
-        at = 0
-        while len(s) - at > size:
-            units.append(s[at : at + size])
-            at += max(1, size - overlap)
-        units.append(s[at:])
-    chunks: list[str] = []
-    open_: list[str] = []
-    length = lambda us: sum(map(len, us)) + max(len(us) - 1, 0)
-    for u in units:
-        if open_ and length([*open_, u]) > size:
-            chunks.append(" ".join(open_))
-            carried: list[str] = []
-            for back in reversed(open_):
-                if overlap <= 0 or length([back, *carried]) > overlap:
-                    break
-                carried.insert(0, back)
-            open_ = carried if length([*carried, u]) <= size else []
-        open_.append(u)
-    if open_:
-        chunks.append(" ".join(open_))
+    pieces = list(_pieces(" ".join((text or "").split()), size, overlap))
+    end = list(accumulate((len(p) + 1 for p in pieces), initial=0))  # where each piece would begin
+    chunks, first, done = [], 0, 0
+    while done < len(pieces):
+        stop = max(bisect_right(end, end[first] + size + 1) - 1, done + 1)
+        chunks.append(" ".join(pieces[first:stop]))
+        carried = max(bisect_left(end, end[stop] - overlap - 1), first) if overlap > 0 else stop
+        fits = stop < len(pieces) and end[stop + 1] - 1 - end[min(carried, stop)] <= size
+        first, done = (min(carried, stop) if fits else stop), stop
     return chunks
 
 
@@ -59,19 +60,21 @@ def chunk_documents(docs: DataFrame, size: int = 900, overlap: int = 120, id_col
     return slim.mapInPandas(run, "doc_id long, chunk_index long, content string")
 
 
-def _abbreviated(parts: list[str]) -> list[str]:
-    out: list[str] = []
-    for p in parts:
-        if out and out[-1].casefold() in ABBREVIATIONS:
-            out[-1] += " " + p
-        else:
-            out.append(p)
-    return out
+def split_prose(text: str) -> list[str]:
+    """Sentences by terminators before white space (or, in CJK text, before anything).
 
+    A part that is an abbreviation as a whole goes on with the next one; longer parts that
+    end in one do not.
+    """
+    parts = [p for p in map(str.strip, re.split(PROSE_CUT, text.strip())) if p]
+    # Where a sentence begins: everywhere but after a sentence that so far is a lone abbreviation.
+    begins = [i for i in range(len(parts)) if i == 0 or parts[i - 1].casefold() not in ABBREVIATIONS or (i > 1 and _runs_on(parts, i - 1))]
+    return [" ".join(parts[i:j]) for i, j in zip(begins, [*begins[1:], len(parts)])]
 
-def split_prose(text: str) -> list[str]:
-    """Sentences by terminators before white space (or, in CJK text, before anything), abbreviations joined on."""
-    return _abbreviated([p.strip() for p in re.split(r"(?<=[.!?])(?=\s)|(?<=[。！？])(?=\S)", text.strip()) if p.strip()])
+
+def _runs_on(parts: list[str], i: int) -> bool:
+    """Whether part i continues an abbreviation before it, so that the sentence is no lone abbreviation any more."""
+    return i > 0 and parts[i - 1].casefold() in ABBREVIATIONS and not _runs_on(parts, i - 1)
 
 
 def block_chunks(blocks: list[tuple[str, str]], target: int = 350, least: int = 100, most: int = 800, overlap: float = 0.12) -> list[tuple[str, str]]:

@@ -1,9 +1,9 @@
 """Registered queries over the driver's tables, with DuckDB SQL for those that SQL can express."""
 
-from lodestrand.plans import evaluation, ingestion, retrieval, streams, tables, texts
+from lodestrand.plans import agent, evals, evaluation, ingestion, retrieval, streams, tables, texts
 from lodestrand.plans.registry import ORACLES, QUERIES
 
-__all__ = ["evaluation", "ingestion", "oracle_sql", "queries", "retrieval", "streams", "tables", "texts"]
+__all__ = ["agent", "evals", "evaluation", "ingestion", "oracle_sql", "queries", "retrieval", "streams", "tables", "texts"]
 
 
 def queries() -> dict:

@@ -219,7 +219,7 @@ def protected_tokens(t: Tables) -> DataFrame:
 
 @query(
     r"""SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(source, '') || ' ' || coalesce(lang, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-    array_to_string(list_transform(regexp_extract_all(coalesce(source, '') || ' of ' || coalesce(lang, ''), '[A-Za-z0-9_.-]+'), lambda w: 'all:"' || w || '"'), ' AND ') AS search FROM documents"""
+    array_to_string(list_transform(regexp_extract_all(coalesce(source, '') || ' of ' || coalesce(lang, ''), '[\p{L}\p{N}_.-]+'), lambda w: 'all:"' || w || '"'), ' AND ') AS search FROM documents"""
 )
 def slugs_and_searches(t: Tables) -> DataFrame:
     name = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
