@@ -261,8 +261,8 @@ def marked_texts(rows: DataFrame, window: int, k: int, marker: Marker, shard: in
     places = materialize(rows.select("key", "text").mapInArrow(_selected(window, k), "v bigint, key binary, c int"), "anchors")
     # Copies that tasks could not fold are one text: an anchor recurs if two texts, or two places of one, have it.
     counted = places.groupBy("v").agg(F.sum("c").alias("n"), F.max("c").alias("c"), F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi"))
-    # A place has at most window - k + 1 windows, each a segment where the anchor is split.
-    parts = F.when(F.col("n") > shard, F.ceil(F.col("n") * (window - k + 1) / shard)).otherwise(1).cast("int")
+    # A place has at most window - k + 1 windows, each a segment where the anchor is split; small parts spread evenly.
+    parts = F.when(F.col("n") > shard, F.ceil(4 * F.col("n") * (window - k + 1) / shard)).otherwise(1).cast("int")
     many = counted.where("n > 1 AND (c > 1 OR lo <> hi)").select(F.col("v").alias("w"), parts.alias("part"))
     there = places.select("v", "key").join(many, F.col("v") == F.col("w")).groupBy("key").agg(F.collect_list(F.struct("v", "part")).alias("known"))
     listed = materialize(there.select(F.col("key").alias("k1"), F.col("known.v").alias("vs"), F.col("known.part").alias("parts")), "known-anchors")
