@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.operators.numbering import numbered
+
 
 def claim_status(claims: DataFrame, support: DataFrame, conflicts: DataFrame) -> DataFrame:
     """claim_id, status: conflicted over missing over covered over partial.
@@ -39,7 +39,7 @@ def cover_order(support: DataFrame, conflicts: DataFrame) -> DataFrame:
     edge = conflicts.select(F.col("a").alias("evidence_id")).unionByName(conflicts.select(F.col("b").alias("evidence_id"))).distinct().withColumn("clash", F.lit(True))
     one = support.groupBy("evidence_id").agg(F.max("confidence").alias("confidence"))
     tiered = one.join(best, "evidence_id", "left").join(edge, "evidence_id", "left").select("evidence_id", "confidence", F.when(F.col("cover"), 1).when(F.col("clash"), 2).otherwise(3).alias("tier"))
-    return tiered.select("evidence_id", "tier", F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("confidence"), "evidence_id")).alias("place"))
+    return numbered(tiered, F.desc("confidence"), "evidence_id", groups=("tier",), name="place").select("evidence_id", "tier", "place")
 
 
 def merge(evidence: DataFrame, key: str = "evidence_id") -> DataFrame:
@@ -135,8 +135,3 @@ def answer_faults(answers: DataFrame) -> DataFrame:
             (~is_subset(F.col("required"), F.col("claims")), "claim_not_answered"),
         ).alias("faults"),
     )
-
-
-def ordered_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches unchanged: the place where a judge or planner model plugs in."""
-    yield from batches

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.functions import text as tx
+from lodestrand.operators.numbering import numbered
 
 # Parser item types that carry no content, and words that open special sections.
 IGNORED = ("page_header", "page_footer", "page_number", "header", "footer")
@@ -135,17 +136,8 @@ def embedding_text(*parts: Column) -> Column:
 
 
 def surrogate_keys(rows: DataFrame, *order: str, name: str = "id", start: int = 1) -> DataFrame:
-    """Rows numbered by the order columns without one global sort task: counts of each partition, then offsets.
-
-    Rows are range-partitioned and sorted; a row's number is its partition's offset and its
-    place there. The offsets, one row for each partition, are broadcast.
-    """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy(*order)
-    placed = ranged.withColumn("__i", F.row_number().over(w))
-    sizes = placed.groupBy("__p").agg(F.max("__i").alias("n"))
-    before = sizes.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "offset")
-    return placed.join(F.broadcast(before), "__p").withColumn(name, F.col("offset") + F.col("__i") + (start - 1)).drop("__p", "__i", "offset", "n")
+    """Rows numbered by the order columns without one global sort task."""
+    return numbered(rows, *order, name=name, start=start)
 
 
 def moved_assets(metadata: Column, staging: str, formal: str) -> Column:
@@ -172,8 +164,3 @@ def offline_answer(docs: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame
     best = docs.where(F.col("rank") <= n).select("query_id", "rank", tx.bounded(first, 260).alias("s"))
     joined = best.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]), " ").alias("answer"))
     return queries.select("query_id").join(joined, "query_id", "left").select("query_id", F.coalesce("answer", F.lit("")).alias("answer"))
-
-
-def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches unchanged: the seam for a figure describer or a formula recogniser."""
-    yield from frames

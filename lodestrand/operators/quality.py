@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
+from lodestrand.operators.bm25 import small
+from lodestrand.operators.numbering import numbered
 
 
 def coverage(pages: DataFrame, key: str, text: str) -> DataFrame:
@@ -56,6 +58,6 @@ def quota_faults(rows: DataFrame, expected: DataFrame, *keys: str) -> DataFrame:
 
 def split(rows: DataFrame, group: str, key: str, parts: int = 3) -> DataFrame:
     """rows with `part`: test where a row's place in its group and the group's place agree modulo parts, else dev."""
-    groups = rows.select(group).distinct().withColumn("g", F.dense_rank().over(Window.orderBy(group)) - 1)
-    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1)
-    return placed.join(F.broadcast(groups), group).withColumn("part", F.when(F.col("i") % parts == F.col("g") % parts, "test").otherwise("dev")).drop("g", "i")
+    groups = numbered(rows.select(group).distinct(), group, name="g", start=0)
+    placed = numbered(rows, key, groups=(group,), name="i", start=0)
+    return placed.join(small(groups), group).withColumn("part", F.when(F.col("i") % parts == F.col("g") % parts, "test").otherwise("dev")).drop("g", "i")

@@ -130,43 +130,51 @@ def unique_targets(references: DataFrame, targets: DataFrame) -> DataFrame:
     return j.select("source", "type", "label", F.when(n == 1, F.col("target")).alias("target"), F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved").alias("status"))
 
 
-def captions(captions_: DataFrame, regions: DataFrame, gap: float = 96.0, least: float = 0.15) -> DataFrame:
-    """caption_id, region_id: for each caption the region of its page with the least vertical gap, then most overlap, then least id.
+_PAGE = ("doc_id", "page")
 
-    Both: page key, id, x0, y0, x1, y1. Joined on the page; overlap is of the narrower width.
-    """
-    c = captions_.select("page", F.col("id").alias("caption_id"), *(F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")))
-    j = c.join(regions, "page")
+
+def _near(captions_: DataFrame, regions: DataFrame, least: float) -> DataFrame:
+    """Pairs of one page whose widths overlap by `least` of the narrower one: caption_id, region_id, ratio, apart, above (the region is), height."""
+    c = captions_.select(*_PAGE, F.col("id").alias("caption_id"), *(F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")))
+    j = c.join(regions.withColumnRenamed("id", "region_id"), list(_PAGE))
     shared = F.least("cx1", "x1") - F.greatest("cx0", "x0")
     ratio = shared / F.least(F.col("cx1") - F.col("cx0"), F.col("x1") - F.col("x0"))
     apart = F.greatest(F.col("cy0") - F.col("y1"), F.col("y0") - F.col("cy1"), F.lit(0.0))
-    j = j.withColumn("ratio", ratio).withColumn("apart", apart).where((F.col("ratio") >= least) & (F.col("apart") <= gap))
-    best = Window.partitionBy("page", "caption_id").orderBy("apart", F.desc("ratio"), "id")
-    return j.withColumn("n", F.row_number().over(best)).where("n = 1").select("page", "caption_id", F.col("id").alias("region_id"))
+    return j.withColumn("ratio", ratio).withColumn("apart", apart).withColumn("above", F.col("y1") <= F.col("cy0")).where(F.col("ratio") >= least)
 
 
-def greedy_captions(captions_: DataFrame, regions: DataFrame, gap: float = 96.0, least: float = 0.15) -> DataFrame:
-    """As captions(), but one to one: the nearest pair of a page is taken first, then the next that is free.
+def captions(captions_: DataFrame, regions: DataFrame, gap: float = 96.0, least: float = 0.15) -> DataFrame:
+    """doc_id, page, caption_id, region_id: for each caption the region of its page with the least vertical gap, then most overlap, then least id.
 
-    Exclusive choice depends on earlier choices, so the candidate pairs of a page are one call.
+    Both: doc_id, page, id, x0, y0, x1, y1. Joined on the page; overlap is of the narrower width.
     """
-    c = captions_.select("page", F.col("id").alias("caption_id"), *(F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")))
-    j = c.join(regions, "page")
-    shared = F.least("cx1", "x1") - F.greatest("cx0", "x0")
-    ratio = shared / F.least(F.col("cx1") - F.col("cx0"), F.col("x1") - F.col("x0"))
-    apart = F.greatest(F.col("cy0") - F.col("y1"), F.col("y0") - F.col("cy1"), F.lit(0.0))
-    pairs = j.select("page", "caption_id", F.col("id").alias("region_id"), ratio.alias("ratio"), apart.alias("apart")).where((F.col("ratio") >= least) & (F.col("apart") <= gap))
+    best = Window.partitionBy(*_PAGE, "caption_id").orderBy("apart", F.desc("ratio"), "region_id")
+    j = _near(captions_, regions, least).where(F.col("apart") <= gap)
+    return j.withColumn("n", F.row_number().over(best)).where("n = 1").select(*_PAGE, "caption_id", "region_id")
+
+
+def greedy_captions(captions_: DataFrame, regions: DataFrame, gap: float = 96.0, share: float = 0.12, least: float = 0.15, bonus: float = 0.25) -> DataFrame:
+    """doc_id, page, caption_id, region_id one to one: the pair of best score is taken first, then the next that is free.
+
+    regions also have the page's height. A gap is at most `gap` and `share` of the height;
+    the score is a bonus where the region stands above its caption, the overlap, less the
+    gap's share of the height. Exclusive choice depends on earlier choices, so the
+    candidate pairs of a page, which are few, are one call.
+    """
+    j = _near(captions_, regions, least).where(F.col("apart") <= F.least(F.lit(gap), share * F.col("height")))
+    score = F.when(F.col("above"), bonus).otherwise(0.0) + F.col("ratio") - F.col("apart") / F.col("height")
+    pairs = j.select(*_PAGE, "caption_id", "region_id", F.round(score, 9).alias("score"))
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, out = set(), set(), []
-        for r in pdf.sort_values(["apart", "ratio", "caption_id", "region_id"], ascending=[True, False, True, True]).itertuples():
-            if r.caption_id not in a and r.region_id not in b:
-                a.add(r.caption_id)
-                b.add(r.region_id)
-                out.append((r.page, r.caption_id, r.region_id))
-        return pd.DataFrame(out, columns=["page", "caption_id", "region_id"])
-
-    return pairs.groupBy("page").applyInPandas(take, "page long, caption_id long, region_id long")
+        free, out = {"c": set(), "r": set()}, []
+        for r in pdf.sort_values(["score", "caption_id", "region_id"], ascending=[False, True, True]).itertuples():
+            if r.caption_id not in free["c"] and r.region_id not in free["r"]:
+                free["c"].add(r.caption_id)
+                free["r"].add(r.region_id)
+                out.append((r.doc_id, r.page, r.caption_id, r.region_id))
+        return pd.DataFrame(out, columns=["doc_id", "page", "caption_id", "region_id"])
+
+    return pairs.groupBy(*_PAGE).applyInPandas(take, "doc_id long, page long, caption_id long, region_id long")
 
 
 def cell_of(lines: DataFrame, cells: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from lodestrand.plans.registry import Tables, query, same_sql
 from lodestrand.plans.tables import _B, _blocks
 from lodestrand.plans.texts import SQZ
 
-same_sql("pages_of_a_key", "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} WHERE l_quantity > 10", "lineitem")
+same_sql("pages_of_a_key", "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} WHERE l_orderkey = 7 AND l_linenumber IN (1, 2, 3)", "lineitem")
 same_sql("has_parsed_text", "SELECT source, bool_or(trim(coalesce(text, '')) <> '') AS parsed FROM {documents} GROUP BY source", "documents")
 same_sql("status_counts", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY event_type", "events")
 same_sql("reset_counts", "SELECT 'events' AS tbl, count(*) AS n FROM {events} UNION ALL SELECT 'conversations', count(*) FROM {conversations} UNION ALL SELECT 'embeddings', count(*) FROM {embeddings}", "events", "conversations", "embeddings")
@@ -20,9 +20,9 @@ same_sql("reindex_operations", "SELECT doc_id AS id, 'REINDEX' AS action, 'pendi
 same_sql("element_left_details", "SELECT d.doc_id, l.quality, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", "documents", "labels")
 same_sql("page_semi_filter", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE (l_orderkey, l_linenumber) IN (SELECT o_orderkey, 1 FROM {orders})", "lineitem", "orders")
 same_sql("memory_filter", "SELECT event_id, user_id FROM {events} WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL", "events")
-same_sql("priority_queue", "SELECT user_id, min(event_id) AS event_id, max(CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END) AS priority FROM {events} GROUP BY user_id", "events")
+same_sql("priority_queue", "SELECT user_id, event_type, seq, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, seq) AS place FROM (SELECT user_id, event_type, min(event_id) AS seq, max(CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END) AS priority FROM {events} GROUP BY user_id, event_type) q", "events")
 same_sql("evidence_stats", "SELECT source, count(*) AS items, sum(length(coalesce(text, ''))) AS chars, max(length(coalesce(text, ''))) AS longest FROM {documents} GROUP BY source", "documents", duck="SELECT source, count(*) AS items, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, max(length(coalesce(text, ''))) AS longest FROM {documents} GROUP BY source")
-same_sql("next_chunk_index", "SELECT conv_id, coalesce(max(turn), -1) + 1 AS next_index FROM {conversations} GROUP BY conv_id", "conversations")
+same_sql("next_chunk_index", "SELECT conv_id, CASE WHEN coalesce(max(turn), 0) = 0 THEN 0 ELSE max(turn) + 1 END AS next_index FROM {conversations} GROUP BY conv_id", "conversations")
 same_sql("user_turns", "SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS turns FROM {conversations} GROUP BY conv_id", "conversations", duck="SELECT conv_id, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS turns FROM {conversations} GROUP BY conv_id")
 same_sql("run_completeness", "SELECT event_type, count(*) AS found, count(DISTINCT user_id) AS users, count(*) = count(DISTINCT event_id) AS keys_unique FROM {events} GROUP BY event_type", "events")
 same_sql("label_sets_equal", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM {labels} EXCEPT SELECT doc_id FROM {documents})) = 0 AS all_known", "labels", "documents")

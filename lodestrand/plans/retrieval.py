@@ -51,7 +51,7 @@ def plans(t: Tables) -> DataFrame:
 
 def vector_queries(t: Tables) -> DataFrame:
     """Vectors whose id is an item's stand for its question."""
-    return t.embeddings.join(F.broadcast(t.benchmark.select(F.col("item_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return t.embeddings.join(lx.small(t.benchmark.select(F.col("item_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 COS = "round(CASE WHEN {n} > 0 THEN {d} / ({n}) ELSE 0.0 END, 9)"

@@ -78,8 +78,8 @@ def stream_outbox(t: Tables) -> DataFrame:
     """Operations applied by an idempotent keyed sink: the newest state of each key."""
     base = f"{shared_dir(t.spark)}/outbox-{uuid.uuid4().hex}"
     ops = _events(t).select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("content"))
-    sv.outbox(ops, sv.keyed_upsert(base), f"{base}/state").awaitTermination()
-    return t.spark.read.parquet(f"{base}/v0")
+    sv.outbox(ops, sv.keyed_upsert(f"{base}/rows"), f"{base}/state").awaitTermination()
+    return sv.upserted(t.spark, f"{base}/rows", ["id", "version", "content"])
 
 
 # ---- sinks ----

@@ -10,12 +10,12 @@ from lodestrand.functions import text as tx
 from lodestrand.operators import evidence as ev
 from lodestrand.operators import sessions as ss
 from lodestrand.operators import structure as st
+from lodestrand.operators.numbering import numbered
 from lodestrand.plans.registry import Tables, query, same_sql
 from lodestrand.sources import readers, writers
 
 # ---- look-ups and joins ----
 
-same_sql("documents_newest", "SELECT doc_id, source, row_number() OVER (ORDER BY doc_id DESC) AS place FROM {documents}", "documents")
 same_sql("orders_with_customers", "SELECT o_orderkey, o_custkey, c_name, c_nationkey FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey", "orders", "customer")
 same_sql("customers_without_orders", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON o_custkey = c_custkey", "customer", "orders", duck="SELECT c_custkey FROM {customer} ANTI JOIN {orders} ON o_custkey = c_custkey")
 same_sql("customers_with_orders", "SELECT c_custkey FROM {customer} LEFT SEMI JOIN {orders} ON o_custkey = c_custkey", "customer", "orders", duck="SELECT c_custkey FROM {customer} SEMI JOIN {orders} ON o_custkey = c_custkey")
@@ -26,6 +26,11 @@ same_sql("set_overlap", "SELECT doc_id FROM (SELECT doc_id FROM {documents} WHER
 same_sql("revenue_by_nation", "SELECT n_name, count(DISTINCT o_orderkey) AS n_orders FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name", "orders", "customer", "nation")
 
 
+@query("SELECT doc_id, source, row_number() OVER (ORDER BY doc_id DESC) AS place FROM documents")
+def documents_newest(t: Tables) -> DataFrame:
+    return numbered(t.documents.select("doc_id", "source"), F.desc("doc_id"), name="place")
+
+
 @query("SELECT l_orderkey, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS l_partkey, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY l_orderkey")
 def latest_per_key(t: Tables) -> DataFrame:
     return ss.latest(t.lineitem.select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey"), "l_orderkey", "l_shipdate", "l_linenumber").select("l_orderkey", "l_partkey", "l_shipdate")
@@ -318,15 +323,15 @@ def interval_merge(t: Tables) -> DataFrame:
     return st.merged_intervals(_blocks(t).select("doc_id", "page", F.col("x0").alias("lo"), F.col("x1").alias("hi")), "doc_id", "page")
 
 
-@query(f"WITH {_B}, c AS (SELECT doc_id * 1000 + page AS page, ord AS id, * EXCLUDE (page, ord) FROM b WHERE ord % 8 = 3), g AS (SELECT doc_id * 1000 + page AS page, ord AS id, * EXCLUDE (page, ord) FROM b WHERE ord % 8 IN (2, 4, 5)), j AS (SELECT c.page, c.id AS caption_id, g.id AS region_id, (least(c.x1, g.x1) - greatest(c.x0, g.x0)) / nullif(least(c.x1 - c.x0, g.x1 - g.x0), 0) AS ratio, greatest(c.y0 - g.y1, g.y0 - c.y1, 0.0) AS apart FROM c JOIN g USING (page)) SELECT page, caption_id, region_id FROM (SELECT *, row_number() OVER (PARTITION BY page, caption_id ORDER BY apart, ratio DESC, region_id) AS n FROM j WHERE ratio >= 0.15 AND apart <= 96) WHERE n = 1")
+@query(f"WITH {_B}, c AS (SELECT ord AS id, * EXCLUDE (ord) FROM b WHERE ord % 8 = 3), g AS (SELECT ord AS id, * EXCLUDE (ord) FROM b WHERE ord % 8 IN (2, 4, 5)), j AS (SELECT c.doc_id, c.page, c.id AS caption_id, g.id AS region_id, (least(c.x1, g.x1) - greatest(c.x0, g.x0)) / nullif(least(c.x1 - c.x0, g.x1 - g.x0), 0) AS ratio, greatest(c.y0 - g.y1, g.y0 - c.y1, 0.0) AS apart FROM c JOIN g ON c.doc_id = g.doc_id AND c.page = g.page) SELECT doc_id, page, caption_id, region_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, caption_id ORDER BY apart, ratio DESC, region_id) AS n FROM j WHERE ratio >= 0.15 AND apart <= 96) WHERE n = 1")
 def caption_match(t: Tables) -> DataFrame:
-    b = _blocks(t).select((F.col("doc_id") * 1000 + F.col("page")).alias("page"), F.col("ord").alias("id"), "x0", "y0", "x1", "y1").where("x1 > x0")
+    b = _blocks(t).select("doc_id", "page", F.col("ord").alias("id"), "x0", "y0", "x1", "y1").where("x1 > x0")
     return st.captions(b.where("id % 8 = 3"), b.where("id % 8 IN (2, 4, 5)"))
 
 
 @query()
 def caption_greedy(t: Tables) -> DataFrame:
-    b = _blocks(t).select((F.col("doc_id") * 1000 + F.col("page")).alias("page"), F.col("ord").cast("long").alias("id"), "x0", "y0", "x1", "y1").where("x1 > x0")
+    b = _blocks(t).select("doc_id", "page", F.col("ord").cast("long").alias("id"), "x0", "y0", "x1", "y1", F.lit(720.0).alias("height")).where("x1 > x0")
     return st.greedy_captions(b.where("id % 8 IN (3, 6)"), b.where("id % 8 IN (2, 4, 5)"))
 
 

@@ -136,20 +136,51 @@ def outbox(operations: DataFrame, apply: Callable[[DataFrame, int], None], check
     return operations.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keyed_upsert(path: str, key: str = "id") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the newest row of each key, by (version, key); versions lie in folders of their own."""
+def keyed_upsert(path: str, key: str = "id", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the newest row of each key, by (version, key).
+
+    Keys lie in buckets, and a batch writes a new version of the buckets that it touches
+    and of no other; a replayed batch writes its own version again.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            try:
-                rows = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        rest = [c for c in rows.columns if c not in (key, "version")]
-        newest = rows.groupBy(key).agg(F.max(F.struct("version", *rest)).alias("x")).select(key, "x.*")
-        newest.select(*rows.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most the number of buckets
+        before = newest_buckets(spark, path, number)
+        old = [before[b] for b in touched if b in before]
+        if old:
+            rows = rows.unionByName(spark.read.option("basePath", path).parquet(*old).select(*rows.columns))
+        rest = [c for c in batch.columns if c not in (key, "version")]
+        newest = rows.groupBy("bucket", key).agg(F.max(F.struct("version", *rest)).alias("x")).select("bucket", key, "x.*")
+        newest.select(*batch.columns, "bucket").repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/batch={number}")
 
     return put
+
+
+def newest_buckets(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The folder of each bucket's last version, of batches before a number if given; unfinished batches count for nothing."""
+    sc = spark.sparkContext
+    path_of = sc._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(sc._jsc.hadoopConfiguration())
+    out: dict[int, tuple[int, str]] = {}
+    if not fs.exists(path_of(path)):
+        return {}
+    for batch in fs.listStatus(path_of(path)):
+        name = batch.getPath().getName()
+        if not name.startswith("batch=") or not fs.exists(path_of(f"{path}/{name}/_SUCCESS")):
+            continue
+        number = int(name.split("=")[1])
+        if before is not None and number >= before:
+            continue
+        for folder in fs.listStatus(batch.getPath()):
+            part = folder.getPath().getName()
+            if part.startswith("bucket="):
+                bucket = int(part.split("=")[1])
+                out[bucket] = max(out.get(bucket, (-1, "")), (number, f"{path}/{name}/{part}"))
+    return {b: folder for b, (_, folder) in out.items()}
+
+
+def upserted(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The present state of a keyed_upsert sink: the last version of every bucket."""
+    return spark.read.option("basePath", path).parquet(*newest_buckets(spark, path).values()).select(*columns)

@@ -75,7 +75,9 @@ def test_keyed_upsert_is_idempotent(spark, tmp_path):
     put(a, 0)
     for _ in range(2):  # a replayed batch changes nothing
         put(b, 1)
-    assert {(x.id, x.v) for x in spark.read.parquet(str(tmp_path / "kv/v1")).collect()} == {(1, "z"), (2, "y")}
+        assert {(x.id, x.v) for x in sv.upserted(spark, str(tmp_path / "kv"), ["id", "version", "v"]).collect()} == {(1, "z"), (2, "y")}
+    # Only the bucket of the key that changed was written again.
+    assert len([x for x in (tmp_path / "kv/batch=1").iterdir() if x.name.startswith("bucket=")]) == 1
 
 
 def test_stream_equals_batch(spark):
