@@ -2,35 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrand.functions import numeric as nm
 from lodestrand.operators.bm25 import small
+from lodestrand.runtime import ship
+
+#: Queries that are compared with a batch of vectors at a time, and that one broadcast holds.
+QUERY_BLOCK, QUERY_ROWS = 512, 50_000
+
 
-QUERY_BLOCK = 512
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column in double precision, scaled to length 1; null, empty and zero vectors are zero."""
+    out = np.zeros((len(column), width))
+    sizes = np.diff(column.offsets.to_numpy())
+    full = np.flatnonzero(sizes == width) if width else np.empty(0, np.int64)
+    flat = column.flatten().cast(pa.float64()).fill_null(0.0).to_numpy()
+    starts = np.cumsum(np.concatenate([[0], sizes]))[:-1]
+    out[full] = flat[starts[full][:, None] + np.arange(width)[None, :]]
+    length = np.sqrt((out * out).sum(1))
+    return out / np.where(length > 0, length, 1.0)[:, None]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = 15, id_col: str = "vec_id", vector_col: str = "embedding", same: str | None = None) -> DataFrame:
     """query_id, vec_id, similarity, rank by cosine; ties go by vec_id.
 
-    queries: query_id, query_vector (and `same`, a column that must agree, pushed before the
-    ranking). The queries are a stated set against all rows, broadcast in blocks of about
-    QUERY_BLOCK; each partition keeps its own best before the shuffle.
+    queries: query_id, query_vector (and `same`, a column that must agree before the
+    ranking). The queries are a stated set against all rows: broadcast, QUERY_ROWS at most
+    at a time, and multiplied with each batch of vectors in blocks. A batch passes on only
+    the rows that may be among a query's best, so the shuffle is small. Null and zero
+    vectors are similar to nothing (0); a vector of another width counts as zero.
     """
-    if same is not None:
-        queries = queries.withColumnRenamed(same, f"__{same}")
-    on = F.lit(True) if same is None else F.col(same) == F.col(f"__{same}")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    slim = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("__v"), *([same] if same else []))
+    ship(vectors.sparkSession)
+    slim = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"), *([F.col(same).cast("string").alias("same")] if same else []))
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("query_vector").alias("v"), *([F.col(same).cast("string").alias("same")] if same else []))
+    parts = max(1, -(-asked.count() // QUERY_ROWS))
     pairs = None
-    for i in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        joined = slim.join(F.broadcast(part), on)
-        pairs = joined if pairs is None else pairs.unionByName(joined)
-    scored = pairs.select("query_id", "vec_id", F.round(nm.cosine(F.col("query_vector"), F.col("__v")), 9).alias("similarity"))
+    for i in range(parts):
+        table = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).toArrow().combine_chunks()
+        found = slim.mapInArrow(_best(_Queries.of(vectors.sparkSession, table, same is not None), top_k), "query_id bigint, vec_id bigint, similarity double")
+        pairs = found if pairs is None else pairs.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
+@dataclass
+class _Queries:
+    ids: np.ndarray
+    matrix: np.ndarray
+    same: np.ndarray | None
+
+    @classmethod
+    def of(cls, spark: SparkSession, table: pa.Table, same: bool) -> Broadcast:
+        column = table["v"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64()))
+        width = int(np.diff(column.offsets.to_numpy()).max(initial=0))
+        ids = table["query_id"].to_numpy() if table.num_rows else np.empty(0, np.int64)
+        return spark.sparkContext.broadcast(cls(ids, _matrix(column, width), np.array(table["same"].to_pylist(), object) if same else None))
+
+
+def _best(value: Broadcast, top_k: int):
+    """(query, vector, similarity) of the rows of a batch that a query may rank among its best, all ties included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = value.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, m = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), q.matrix.shape[1])
+            labels = np.array(b.column(2).to_pylist(), object) if q.same is not None else None
+            for lo in range(0, len(q.ids), QUERY_BLOCK):
+                near = np.round(m @ q.matrix[lo : lo + QUERY_BLOCK].T, 9) + 0.0
+                if labels is not None:
+                    mine = q.same[lo : lo + QUERY_BLOCK]
+                    near[(labels[:, None] != mine[None, :]) | (labels == None)[:, None]] = -np.inf  # noqa: E711
+                least = np.partition(near, -top_k, axis=0)[-top_k] if len(near) > top_k else np.full(near.shape[1], -np.inf)
+                row, column = np.nonzero((near >= least[None, :]) & (near > -np.inf))
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(q.ids[lo + column]), pa.array(ids[row]), pa.array(near[row, column])], names=["query_id", "vec_id", "similarity"])
+
+    return run
 
 
 def fingerprints(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
