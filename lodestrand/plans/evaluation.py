@@ -82,8 +82,8 @@ def matched_queries(t: Tables) -> DataFrame:
 
 # ---- routers: each event is a case; what it expects and predicts follows from its id and user ----
 
-_CASES = """cases AS (SELECT event_id AS case_id, ['direct_answer', 'simple_rag', 'agentic_rag'][event_id % 3 + 1] AS expected,
- CASE WHEN event_id % 11 = 0 THEN NULL ELSE ['direct_answer', 'simple_rag', 'agentic_rag'][(event_id + CASE WHEN user_id % 4 = 0 THEN 1 ELSE 0 END) % 3 + 1] END AS predicted,
+_CASES = """cases AS (SELECT event_id AS case_id, ['direct_answer', 'simple_rag', 'agentic_rag'][CAST(floor(value) AS BIGINT) % 3 + 1] AS expected,
+ CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 11 = 0 THEN NULL ELSE ['direct_answer', 'simple_rag', 'agentic_rag'][(CAST(floor(value) AS BIGINT) + CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 25 THEN 1 ELSE 0 END) % 3 + 1] END AS predicted,
  event_type AS scenario, CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'zh' END AS language, event_id // 2 AS pair_id, value AS latency_ms FROM events)"""
 _RIGHT = "coalesce(expected = predicted, false)"
 LABELS = ("agentic_rag", "direct_answer", "simple_rag")
@@ -93,8 +93,8 @@ def cases(t: Tables) -> DataFrame:
     names = "array('direct_answer', 'simple_rag', 'agentic_rag')"
     return t.events.select(
         F.col("event_id").alias("case_id"),
-        F.expr(f"{names}[cast(event_id % 3 as int)]").alias("expected"),
-        F.expr(f"CASE WHEN event_id % 11 <> 0 THEN {names}[cast((event_id + CASE WHEN user_id % 4 = 0 THEN 1 ELSE 0 END) % 3 as int)] END").alias("predicted"),
+        F.expr(f"{names}[cast(floor(value) % 3 as int)]").alias("expected"),
+        F.expr(f"CASE WHEN get_json_object(props, '$.k') % 11 <> 0 THEN {names}[cast((floor(value) + CASE WHEN get_json_object(props, '$.k') < 25 THEN 1 ELSE 0 END) % 3 as int)] END").alias("predicted"),
         F.col("event_type").alias("scenario"),
         F.expr("CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'zh' END").alias("language"),
         F.expr("event_id div 2").alias("pair_id"),

@@ -217,14 +217,14 @@ def late_materialize(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""{HYBRID}, r AS (SELECT query_id, doc_id, fusion_rank, CASE WHEN bm25_rank IS NOT NULL THEN round((doc_id % 7) / 7.0, 6) END AS rerank_score FROM f)
+    f"""{HYBRID}, r AS (SELECT query_id, doc_id, fusion_rank, CASE WHEN bm25_rank IS NOT NULL THEN round(least(n_chars, 20000) / 20000.0, 6) END AS rerank_score FROM f JOIN documents d USING (doc_id))
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, fusion_rank) AS final_rank FROM r"""
 )
 def rerank_merge(t: Tables) -> DataFrame:
-    """Only what the lexical channel found is reranked; the rest follows in fusion order."""
-    fused = hybrid.fuse(rankings(t)).select("query_id", "doc_id", F.col("fusion_rank").alias("rank"), "bm25_rank")
-    scored = fused.where("bm25_rank IS NOT NULL").select("query_id", "doc_id", F.round((F.col("doc_id") % 7) / 7.0, 6).alias("rerank_score"))
-    return fusion.rerank_merge(fused.drop("bm25_rank"), scored).withColumnRenamed("rank", "fusion_rank")
+    """Only what the lexical channel found is reranked, by length; the rest follows in fusion order."""
+    fused = hybrid.fuse(rankings(t)).join(t.documents.select("doc_id", "n_chars"), "doc_id").select("query_id", "doc_id", F.col("fusion_rank").alias("rank"), "bm25_rank", "n_chars")
+    scored = fused.where("bm25_rank IS NOT NULL").select("query_id", "doc_id", F.round(F.least("n_chars", F.lit(20000)) / 20000.0, 6).alias("rerank_score"))
+    return fusion.rerank_merge(fused.drop("bm25_rank", "n_chars"), scored).withColumnRenamed("rank", "fusion_rank")
 
 
 @query("SELECT doc_id AS id, CASE WHEN source = 'src7' THEN 'missing' ELSE 'changed' END AS fault FROM documents WHERE source IN ('src7', 'src9') UNION ALL SELECT -doc_id - 1, 'unexpected' FROM documents WHERE source = 'src11'")

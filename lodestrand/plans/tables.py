@@ -137,12 +137,12 @@ def recency_score(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT user_id AS query_id, event_id AS memory_id, ts, (event_id % 97) / 97.0 AS semantic FROM events),
+    """WITH h AS (SELECT user_id AS query_id, event_id AS memory_id, ts, least(value / 250.0, 1.0) AS semantic FROM events),
     s AS (SELECT *, round(0.8 * semantic + (1 - 0.8) * least(greatest(pow(2.0, -greatest((epoch_us(TIMESTAMP '2026-01-01') - epoch_us(ts)) / 86400e6, 0.0) / 90.0), 0.0), 1.0), 4) AS score FROM h WHERE semantic >= 0.2),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ts DESC, memory_id DESC) AS rank FROM s) SELECT query_id, memory_id, score, rank FROM r WHERE rank <= 3"""
 )
 def memory_rank(t: Tables) -> DataFrame:
-    h = t.events.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("memory_id"), F.col("ts").alias("updated_at"), ((F.col("event_id") % 97) / 97.0).alias("semantic"))
+    h = t.events.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("memory_id"), F.col("ts").alias("updated_at"), F.least(F.col("value") / 250.0, F.lit(1.0)).alias("semantic"))
     return ss.memory_rank(h, F.lit("2026-01-01").cast("timestamp"))
 
 

@@ -187,8 +187,8 @@ def mojibake_and_cjk(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.is_mojibake(F.col("text")).alias("mojibake"), tx.has_cjk(F.col("text")).alias("cjk"))
 
 
-_SAID = "CASE turn % 6 WHEN 0 THEN 'Please remember ' || coalesce(text, '') WHEN 1 THEN coalesce(text, '') || '. From now on be brief' WHEN 2 THEN 'how many papers are in [doc:' || conv_id || '|page:1]' WHEN 3 THEN 'list papers [E' || turn || ']' WHEN 4 THEN 'which had indexing failed' ELSE coalesce(text, '') END"
-_SAID_SPARK = "CASE turn % 6 WHEN 0 THEN concat('Please remember ', coalesce(text, '')) WHEN 1 THEN concat(coalesce(text, ''), '. From now on be brief') WHEN 2 THEN concat('how many papers are in [doc:', conv_id, '|page:1]') WHEN 3 THEN concat('list papers [E', turn, ']') WHEN 4 THEN 'which had indexing failed' ELSE coalesce(text, '') END"
+_SAID = "CASE turn % 6 WHEN 0 THEN 'Please remember ' || coalesce(text, '') WHEN 1 THEN coalesce(text, '') || '. From now on be brief' WHEN 2 THEN 'how many papers are in [doc:' || conv_id || '|page:1] ' || coalesce(text, '') WHEN 3 THEN 'list papers [E' || turn || '] ' || coalesce(text, '') WHEN 4 THEN coalesce(text, '') || ' which had indexing failed' ELSE coalesce(text, '') END"
+_SAID_SPARK = "CASE turn % 6 WHEN 0 THEN concat('Please remember ', coalesce(text, '')) WHEN 1 THEN concat(coalesce(text, ''), '. From now on be brief') WHEN 2 THEN concat('how many papers are in [doc:', conv_id, '|page:1] ', coalesce(text, '')) WHEN 3 THEN concat('list papers [E', turn, '] ', coalesce(text, '')) WHEN 4 THEN concat(coalesce(text, ''), ' which had indexing failed') ELSE coalesce(text, '') END"
 
 
 @query(f"SELECT conv_id, turn, regexp_matches(s, '{_q(tx.EXPLICIT_MEMORY_PATTERN)}') AS explicit, regexp_matches(s, '{_q(tx.EVIDENCE_MARKER_PATTERN)}') AS has_marker FROM (SELECT conv_id, turn, {_SAID} AS s FROM conversations)")

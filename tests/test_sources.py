@@ -86,3 +86,41 @@ def test_stream_equals_batch(spark):
     out = sv.run_available(sv.progress(e, ("error",)).select("event_id"))
     batch = spark.read.parquet(f"{folder}/events.parquet").where("event_type = 'error'").select("event_id")
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
+
+
+def test_sqlite_table_is_read_in_ranges(spark, tmp_path):
+    import sqlite3
+
+    from lodestrand.sources import files
+
+    path = str(tmp_path / "a.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE chunks (id INTEGER PRIMARY KEY, content TEXT, score REAL)")
+        db.executemany("INSERT INTO chunks VALUES (?, ?, ?)", [(i, None if i % 7 == 0 else f"t{i}", i / 2) for i in range(5, 260)])
+        db.execute("CREATE TABLE none (id INTEGER PRIMARY KEY)")
+    schema = "id long, content string, score double"
+    got = files.sqlite_table(spark, path, "chunks", schema, rows_per_task=50)
+    assert got.rdd.getNumPartitions() == 6
+    assert sorted((x.id, x.content or "", x.score) for x in got.collect()) == [(i, "" if i % 7 == 0 else f"t{i}", i / 2) for i in range(5, 260)]
+    assert files.sqlite_table(spark, path, "none", "id long").count() == 0
+    try:
+        files.sqlite_table(spark, path, "a; DROP", schema)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_manifests_skip_malformed_files(spark, tmp_path):
+    from lodestrand.sources import files
+
+    for i, text in enumerate(['{"a": 1, "b": "x"}', "{broken", '{"a": 2}']):
+        (tmp_path / f"m{i}.json").write_text(text)
+    got = files.manifests(spark, str(tmp_path / "m*.json"), "a int, b string")
+    assert sorted((x.a, x.b or "") for x in got.collect()) == [(1, "x"), (2, "")]
+
+
+def test_settings_keep_their_invariants():
+    from lodestrand.operators.service import settings_faults
+
+    assert settings_faults({}) == []
+    assert settings_faults({"semantic_weight": 0.9, "pack_tokens": 30_000, "read_seconds": 500}) == ["weights", "pack_budget", "timeouts"]
