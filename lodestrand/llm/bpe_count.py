@@ -144,4 +144,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_counter(tokenizer_path, limit), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return slim.mapInArrow(wordcore.tidy(_counter(tokenizer_path, limit)), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

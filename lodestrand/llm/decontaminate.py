@@ -190,7 +190,7 @@ def blocks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["gram", "n"])
 
         text = docs.select(F.col(doc_text).cast("string").alias("text"))
-        sums = text.mapInArrow(count_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        sums = text.mapInArrow(wordcore.tidy(count_grams), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         value.destroy()
         frequency = np.zeros(len(block.grams), np.int64)
         frequency[sums["gram"].to_numpy()] = sums["n"].to_numpy()
@@ -238,7 +238,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, id_c
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-        return slim.mapInArrow(run, fields)
+        return slim.mapInArrow(wordcore.tidy(run), fields)
 
     return _over_blocks(docs, items, found_by, item_id, item_text, text_col, block_bytes)
 
@@ -259,7 +259,7 @@ def clean(docs: DataFrame, items: DataFrame, min_score: float = 0.4, text_col: s
             for b in batches:
                 yield b.filter(pa.array(~_holds(block, b.column(at), min_score)))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(wordcore.tidy(run), docs.schema)
 
     def texts_by(value: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def clean(docs: DataFrame, items: DataFrame, min_score: float = 0.4, text_col: s
                 hit = pa.array(_holds(block, b.column(1), min_score))
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(hit)], names=["key"])
 
-        return docs.select(text_key(F.col(name)).alias("key"), F.col(name).cast("string").alias("text")).mapInArrow(run, "key binary")
+        return docs.select(text_key(F.col(name)).alias("key"), F.col(name).cast("string").alias("text")).mapInArrow(wordcore.tidy(run), "key binary")
 
     total = items.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0
     if total <= block_bytes:

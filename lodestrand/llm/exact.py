@@ -133,17 +133,26 @@ def _fold_local(budget: int, rest: pa.DataType | None = None):
     """Records of (id, text, the rest if any) rows, equal texts of a task as one."""
     fields = [("digest", pa.binary()), ("content", pa.binary()), ("top_id", pa.int64()), ("n_rows", pa.int64())]
     schema = pa.schema([*fields, ("rest", rest)] if rest is not None else fields)
+    names = [f.name for f in rest] if rest is not None else []
+
+    def others_of(b: pa.RecordBatch) -> Iterator:
+        """The rest of each row as a tuple, which is smaller than a dict."""
+        return zip(*(b.column(2).field(i).to_pylist() for i in range(len(names)))) if names else repeat(None)
+
+    def emitted(entries: list) -> Iterator[pa.RecordBatch]:
+        for e in entries if names else ():
+            e[4] = dict(zip(names, e[4]))
+        yield from _emit(entries, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = OpenTable()
         for b in batches:
-            others = b.column(2).to_pylist() if rest is not None else repeat(None)
-            for doc_id, text, other in zip(b.column(0).to_pylist(), wordcore.binary(b.column(1)).to_pylist(), others):
+            for doc_id, text, other in zip(b.column(0).to_pylist(), (x.as_py() for x in wordcore.binary(b.column(1))), others_of(b)):
                 table.add(hashlib.sha256(text).digest(), text, doc_id, 1, other)
                 if table.bytes > budget:
-                    yield from _emit(table.entries, schema)
+                    yield from emitted(table.entries)
                     table = OpenTable()
-        yield from _emit(table.entries, schema)
+        yield from emitted(table.entries)
 
     return run
 
@@ -168,19 +177,22 @@ def _fold_bucket(budget: int):
 
 def _kept_rows(budget: int, names: list[str], text_col: str, schema: pa.Schema):
     """The row that stays of each class of a bucket, whole: its content as the text, and its rest."""
+    others = [name for name in names if name != text_col]
+    place, width = {name: i + 1 for i, name in enumerate(others)}, len(others) + 1
 
     def batch(part: list) -> pa.RecordBatch:
         columns = []
         for name, field in zip(names, schema):
             if name == text_col:
-                texts = pa.array([None if e[4]["null"] else e[1] for e in part], pa.binary())
+                texts = pa.array([None if e[4][0] else e[1] for e in part], pa.binary())
                 columns.append(texts.view(pa.string()))
             else:
-                columns.append(pa.array([e[4]["row"][name] for e in part], field.type))
+                columns.append(pa.array([e[4][place[name]] for e in part], field.type))
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        # The rest as a tuple in the order of its fields, which is smaller than a dict.
+        records = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns[:4]), zip(*(b.column(4).field(i).to_pylist() for i in range(width)))))
         part, size = [], 0
         for e in grace(records, budget):
             part.append(e)
@@ -198,8 +210,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tas
     """Groups of two or more rows with equal text: text_sha256, top_id, n_rows."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
-    local = slim.mapInArrow(_fold_local(task_bytes // 3), _LOCAL)
-    return local.repartition("digest").mapInArrow(_fold_bucket(task_bytes), _CLASS)
+    local = slim.mapInArrow(wordcore.tidy(_fold_local(task_bytes // 3)), _LOCAL)
+    return local.repartition("digest").mapInArrow(wordcore.tidy(_fold_bucket(task_bytes)), _CLASS)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 48 << 20) -> DataFrame:
@@ -234,9 +246,9 @@ def unlike_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ship(docs.sparkSession)
     others = [x.alias(f"c{i}") for i, (c, x) in enumerate(zip(docs.columns, own(docs))) if c != text_col]
-    rest = F.struct(F.col(text_col).isNull().alias("null"), F.struct(*others, F.lit(0).alias("c")).alias("row")).alias("rest")
+    rest = F.struct(F.col(text_col).isNull().alias("null"), *others).alias("rest")
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), rest)
     kind = slim.schema["rest"].dataType
-    local = slim.mapInArrow(_fold_local(task_bytes // 3, to_arrow_type(kind)), T.StructType([*T.StructType.fromDDL(_LOCAL), T.StructField("rest", kind)]))
+    local = slim.mapInArrow(wordcore.tidy(_fold_local(task_bytes // 3, to_arrow_type(kind))), T.StructType([*T.StructType.fromDDL(_LOCAL), T.StructField("rest", kind)]))
     names = [text_col if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)]
-    return local.repartition("digest").mapInArrow(_kept_rows(task_bytes, names, text_col, to_arrow_schema(docs.schema)), docs.schema)
+    return local.repartition("digest").mapInArrow(wordcore.tidy(_kept_rows(task_bytes, names, text_col, to_arrow_schema(docs.schema))), docs.schema)

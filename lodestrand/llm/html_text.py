@@ -354,4 +354,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 )
 
     slim = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return slim.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return slim.mapInArrow(wordcore.tidy(run), "page_id bigint, url string, text string, n_chars bigint")

@@ -214,7 +214,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Profiles([], np.empty(0, np.int64), np.empty((0, 0)), length)
     limits = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, threshold(min(1.0, rows_per_lang / n)))))
     sample = usable.where(drawn(F.col("id"), limits[F.col("lang")], 11)).select("lang", "text")
-    counted = sample.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(wordcore.tidy(_count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # The best of each share of a language's n-grams, then of those: no task sorts all that a language has.
     best = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram"))
     few = counted.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64))).withColumn("rank", best).where(F.col("rank") <= length)
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_co
             )
 
     out = T.StructType([*frame.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    return frame.mapInArrow(run, out)
+    return frame.mapInArrow(wordcore.tidy(run), out)
 
 
 def known_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,18 +241,24 @@ def _set_forest(percent: int, slack: float):
     return run
 
 
-def _linked_to_hub(percent: int, slack: float):
-    """Whether a row's full set (or, without one, its signature) links it to the hub of its group."""
+def _linked_to_hub(percent: int, slack: float, value: Broadcast | None):
+    """Whether a row's full set (or, without one, its signature) links it to the hub of its group.
+
+    Hubs come by key in a broadcast, or, where they are too many, with each row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
             flags = []
-            for n, sig, body, hn, hsig, hbody in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("n", "sig", "body", "hub_n", "hub_sig", "hub_body"))):
+            for i in range(b.num_rows):
+                n, sig, body = (column(c)[i].as_py() for c in ("n", "sig", "body"))
+                hn, hsig, hbody = value.value[column("key")[i].as_py()] if value is not None else (column(c)[i].as_py() for c in ("hub_n", "hub_sig", "hub_body"))
                 bodies = [np.frombuffer(x, np.uint64) for x in (hbody, body)] if body is not None else None
                 check = jaccard_checker(bodies, percent) if bodies else None
                 flags.append(bool(forest(_matrix([hsig, sig]), np.array([hn, n]), percent, slack, check)))
             keep = [c for c in b.schema.names if not c.startswith("hub_")]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(flags, pa.bool_())], names=[*keep, "linked"])
+            yield pa.RecordBatch.from_arrays([*(column(c) for c in keep), pa.array(flags, pa.bool_())], names=[*keep, "linked"])
 
     return run
 
@@ -278,11 +285,14 @@ def dealt(rows: DataFrame, percent: int, slack: float, block: int, name: str, bl
     of_large = rows.join(large, on)
     hubs = of_large.where("set_id = hub").dropDuplicates(["key"]).select(F.col("key").alias("__hkey"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"), F.col("body").alias("hub_body"))
     hubs = materialize(hubs, name)
-    if (hubs.agg(F.sum(F.coalesce(F.octet_length("hub_body"), F.lit(0)) + 200)).first()[0] or 0) <= HUB_BYTES:
-        hubs = F.broadcast(hubs)
-    told = of_large.select("key", "set_id", "n", "sig", "body", "hub").join(hubs, F.col("key") == F.col("__hkey")).drop("__hkey")
+    told, value = of_large.select("key", "set_id", "n", "sig", "body", "hub"), None
+    if (hubs.agg(F.sum(F.coalesce(F.octet_length("hub_body"), F.lit(0)) + 300)).first()[0] or 0) <= HUB_BYTES:
+        few = {bytes(r["__hkey"]): (r["hub_n"], bytes(r["hub_sig"]), None if r["hub_body"] is None else bytes(r["hub_body"])) for r in hubs.collect()}
+        value = rows.sparkSession.sparkContext.broadcast(few)
+    else:
+        told = told.join(hubs, F.col("key") == F.col("__hkey")).drop("__hkey")
     fields = "key binary, set_id binary, n bigint, sig binary, body binary, hub binary, linked boolean"
-    told = materialize(told.mapInArrow(_linked_to_hub(percent, slack), fields), name)
+    told = materialize(told.mapInArrow(wordcore.tidy(_linked_to_hub(percent, slack, value)), fields), name)
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(weight / block_bytes)).cast("bigint")
     sizes = told.groupBy("key", "linked").agg(blocks.alias("blocks")).groupBy(F.col("key").alias("__key"))
     sizes = sizes.agg(F.max(F.when(F.col("linked"), F.col("blocks"))).alias("nc"), F.coalesce(F.max(F.when(~F.col("linked"), F.col("blocks"))), F.lit(0)).alias("nu"))
@@ -312,7 +322,7 @@ def _with_sets(words: int, lower: bool):
 def _compared(rows: DataFrame, percent: int, slack: float, block: int, name: str, search: Callable) -> DataFrame:
     """Links among the rows of each key, by a search within each block."""
     rows, links = dealt(rows, percent, slack, block, name)
-    found = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(search, "u binary, v binary")
+    found = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(wordcore.tidy(search), "u binary, v binary")
     return found if links is None else found.unionByName(links)
 
 
@@ -346,7 +356,7 @@ def near_duplicates(
     """
     ship(docs.sparkSession)
     rows = repeats.keyed(docs, id_col, text_col)
-    signed = materialize(rows.mapInArrow(_sign(words, lower), _SIGNED), "signed")
+    signed = materialize(rows.mapInArrow(wordcore.tidy(_sign(words, lower)), _SIGNED), "signed")
     full = signed.where("n_shingles > 0")
     # One text of each class of equal sets stands for it.
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("text_key"), F.count(F.lit(1)).alias("m"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -357,7 +367,7 @@ def near_duplicates(
     # Full sets of the texts that stand for classes with a candidate.
     chosen = classes.join(groups, F.col("node") == F.col("__node")).select(F.col("text_key").alias("__key"), F.col("label").alias("group"), F.col("node").alias("set_id"), "n", "sig")
     bodies = repeats.texts_of(rows).join(chosen.hint("shuffle_hash"), F.col("key") == F.col("__key")).select("text", "group", "set_id", "n", "sig")
-    sets = materialize(bodies.mapInArrow(_with_sets(words, lower), "key binary, set_id binary, n bigint, sig binary, body binary"), "sets")
+    sets = materialize(bodies.mapInArrow(wordcore.tidy(_with_sets(words, lower)), "key binary, set_id binary, n bigint, sig binary, body binary"), "sets")
     checked = _compared(sets, percent, slack, block, "groups", _set_forest(percent, slack))
     components = connected_components(checked, "components").select(F.col("node").alias("__node"), "label")
     release(sets)

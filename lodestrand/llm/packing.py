@@ -203,4 +203,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_packer(tokenizer_path, capacity, block_tokens), _PIECES)
+    return slim.mapInArrow(wordcore.tidy(_packer(tokenizer_path, capacity, block_tokens)), _PIECES)

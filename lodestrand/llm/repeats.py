@@ -67,7 +67,7 @@ _TEXT = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField
 
 def texts_of(rows: DataFrame) -> DataFrame:
     """key and text of the rows, equal ones of a task once."""
-    return rows.select("key", "text").mapInArrow(_first_seen, _TEXT)
+    return rows.select("key", "text").mapInArrow(wordcore.tidy(_first_seen), _TEXT)
 
 
 def _anchors(w: wordcore.Words, grams: wordcore.Grams, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ def marked_texts(rows: DataFrame, window: int, k: int, marker: Marker, shard: in
     ship(rows.sparkSession)
     rows = rows if all_texts else rows.where(F.octet_length("text") >= 2 * window - 1)
     texts = texts_of(rows)
-    places = materialize(rows.select("key", "text").mapInArrow(_selected(window, k), "v bigint, key binary, c int"), "anchors")
+    places = materialize(rows.select("key", "text").mapInArrow(wordcore.tidy(_selected(window, k)), "v bigint, key binary, c int"), "anchors")
     # Copies that tasks could not fold are one text: an anchor recurs if two texts, or two places of one, have it.
     counted = places.groupBy("v").agg(F.sum("c").alias("n"), F.max("c").alias("c"), F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi"))
     # A place has at most window - k + 1 windows, each a segment where the anchor is split; small parts spread evenly.
@@ -270,9 +270,9 @@ def marked_texts(rows: DataFrame, window: int, k: int, marker: Marker, shard: in
     dealt = texts.repartition("key")
     # Texts are streamed past the smaller side's hash table rather than sorted.
     found = dealt.join(listed.hint("shuffle_hash"), F.col("key") == F.col("k1")).select("key", "text", "vs", "parts")
-    segments = found.mapInArrow(_segments(window, k), _SEGMENT)
+    segments = found.mapInArrow(wordcore.tidy(_segments(window, k)), _SEGMENT)
     shards = segments.repartition("v", "part").sortWithinPartitions("v", "part")
-    marks = shards.mapInArrow(_shards(window, marker), "key binary, start int, mask bigint").select("key", F.struct("start", "mask").alias("mark"), F.lit(False).alias("whole"))
+    marks = shards.mapInArrow(wordcore.tidy(_shards(window, marker)), "key binary, start int, mask bigint").select("key", F.struct("start", "mask").alias("mark"), F.lit(False).alias("whole"))
     copies = rows.groupBy("key").count().where("count > 1").select("key", F.lit(None).cast("struct<start:int,mask:bigint>").alias("mark"), F.lit(True).alias("whole"))
     by_text = marks.unionByName(copies).groupBy(F.col("key").alias("k2")).agg(F.collect_list("mark").alias("marks"), F.max("whole").alias("whole"))
     joined = dealt.join(by_text.hint("shuffle_hash"), F.col("key") == F.col("k2"), "left" if all_texts else "inner")

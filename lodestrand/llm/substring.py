@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm import repeats
+from lodestrand.llm import repeats, wordcore
 
 
 class SuffixAutomaton:
@@ -155,6 +155,6 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     no rows.
     """
     rows = repeats.keyed(docs, id_col, text_col)
-    cut = repeats.marked_texts(rows, window, k, automaton_marks, shard, all_texts=True).mapInArrow(_cleaned(window), _CUT)
+    cut = repeats.marked_texts(rows, window, k, automaton_marks, shard, all_texts=True).mapInArrow(wordcore.tidy(_cleaned(window)), _CUT)
     joined = rows.select("doc_id", F.col("key").alias("own")).join(cut, F.col("own") == F.col("key"))
     return joined.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm import repeats
+from lodestrand.llm import repeats, wordcore
 
 
 def _common(a: list, b: list) -> int:
@@ -116,6 +116,6 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     gives no rows.
     """
     rows = repeats.keyed(docs, id_col, text_col)
-    spans = repeats.marked_texts(rows, min_words, k, suffix_marks, shard).mapInArrow(_spans(min_words), _SPAN)
+    spans = repeats.marked_texts(rows, min_words, k, suffix_marks, shard).mapInArrow(wordcore.tidy(_spans(min_words)), _SPAN)
     joined = rows.select("doc_id", F.col("key").alias("own")).join(spans, F.col("own") == F.col("key"))
     return joined.select("doc_id", "start_word", "span_words", "doc_words", "span_sha256")

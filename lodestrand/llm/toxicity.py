@@ -15,7 +15,6 @@ counts had not seen.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import wordcore
 from lodestrand.llm.folds import drawn, held_out, threshold
-from lodestrand.llm.wordcore import U
+from lodestrand.llm.wordcore import U, settle
 from lodestrand.runtime import ship
 
 #: Prefix lengths in UTF-8 bytes.
@@ -188,14 +187,6 @@ class Sample:
         return cls(tree, up, pairs, triples, leaf_of_pair, leaf_before, of2[at], pair_before, of3, row)
 
 
-def settle() -> None:
-    """Give freed memory back to the system, where the C library can; the driver has little."""
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, where each occurs, and the rank of each key among them."""
     order = np.argsort(keys).astype(np.int32)
@@ -433,7 +424,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = np.zeros(len(sample.up) + 1, np.int64)
     if len(sample.up):
         value = spark.sparkContext.broadcast(sample.nodes)
-        words = docs.select(F.col(text_col).cast("string")).mapInArrow(_corpus_words(value), "word bigint, at int")
+        words = docs.select(F.col(text_col).cast("string")).mapInArrow(wordcore.tidy(_corpus_words(value)), "word bigint, at int")
         sums = words.groupBy("word").agg(F.min("at").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n")).toArrow()
         own[sums["at"].to_numpy()] = sums["n"].to_numpy()
         value.destroy()
@@ -481,7 +472,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], schema=schema)
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = slim.mapInArrow(run, "doc_id bigint, score double")
+    scored = slim.mapInArrow(wordcore.tidy(run), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -7,7 +7,8 @@ avalanche step, so equal byte sequences always agree whatever batch they sit in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +194,27 @@ def leftmost_least(x: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
+def settle() -> None:
+    """Give freed memory back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same stage, after which the worker keeps no freed memory: workers wait for the next task beside the executor."""
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            settle()
+
+    return settled
+
+
 def binary(column: pa.Array) -> pa.Array:
     """A string column as large_binary; null becomes the empty text."""
     if isinstance(column, pa.ChunkedArray):
