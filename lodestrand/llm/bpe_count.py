@@ -8,6 +8,7 @@ merges. Counts of pretokens are kept in a bounded table, since most recur.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -90,7 +91,9 @@ class Pretokens:
 
     def __init__(self, path: str):
         self.find = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{vocab.SPACE}\p{{L}}\p{{N}}]+").findall
-        self.cut = vocab.splitter(list(vocab.load(path)["added"]))
+        added = list(vocab.load(path)["added"])
+        self.cut = vocab.splitter(added)
+        self.mark = os.path.commonprefix(added)  # what every special string begins with, if anything
 
     @staticmethod
     def normalize(text: str) -> str:
@@ -104,7 +107,7 @@ class Pretokens:
     def count(self, text: str, table: HeapCounter) -> int:
         special = 0
         parts = [text]
-        if self.cut is not None and "<|" in text:
+        if self.cut is not None and self.mark in text:
             parts = self.cut.split(text)
             special = len(parts) // 2
             parts = parts[::2]

@@ -59,7 +59,7 @@ class ByteBpe(dict):
         if spec["suffix"] or made != sorted(set(made)) or any(c not in byte_of for k in ids for c in k):
             return None
         ranks = {bytes(byte_of[c] for c in k): v for k, v in ids.items()}
-        return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
         ids = self.whole.encode(word, add_special_tokens=False).ids if self.piece is None else self.piece(word)
