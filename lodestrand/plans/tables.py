@@ -17,7 +17,7 @@ from lodestrand.sources import readers, writers
 # ---- look-ups and joins ----
 
 same_sql("orders_with_customers", "SELECT o_orderkey, o_custkey, c_name, c_nationkey FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey", "orders", "customer")
-same_sql("customers_without_orders", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON o_custkey = c_custkey", "customer", "orders", duck="SELECT c_custkey FROM {customer} ANTI JOIN {orders} ON o_custkey = c_custkey")
+same_sql("customers_without_orders", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON o_custkey = c_custkey AND o_orderkey % 7 = 0", "customer", "orders", duck="SELECT c_custkey FROM {customer} ANTI JOIN {orders} ON o_custkey = c_custkey AND o_orderkey % 7 = 0")
 same_sql("customers_with_orders", "SELECT c_custkey FROM {customer} LEFT SEMI JOIN {orders} ON o_custkey = c_custkey", "customer", "orders", duck="SELECT c_custkey FROM {customer} SEMI JOIN {orders} ON o_custkey = c_custkey")
 same_sql("pages_of_documents", "SELECT source, lang, count(*) AS n, sum(n_chars) AS chars FROM {documents} GROUP BY GROUPING SETS ((source), (lang), ())", "documents", duck="SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM {documents} GROUP BY GROUPING SETS ((source), (lang), ())")
 same_sql("id_set_difference", "SELECT doc_id, 'unlabelled' AS side FROM (SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}) UNION ALL SELECT doc_id, 'unknown' AS side FROM (SELECT doc_id FROM {labels} EXCEPT SELECT doc_id FROM {documents})", "documents", "labels")
