@@ -61,3 +61,47 @@ def split(rows: DataFrame, group: str, key: str, parts: int = 3) -> DataFrame:
     groups = numbered(rows.select(group).distinct(), group, name="g", start=0)
     placed = numbered(rows, key, groups=(group,), name="i", start=0)
     return placed.join(small(groups), group).withColumn("part", F.when(F.col("i") % parts == F.col("g") % parts, "test").otherwise("dev")).drop("g", "i")
+
+
+def parse_warnings(reported: DataFrame, pages: DataFrame, blocks: DataFrame, chunks: DataFrame, elements: DataFrame, references: DataFrame) -> DataFrame:
+    """doc_id, code, page, uid of what is amiss in parsed documents, each once.
+
+    reported: doc_id, pages, chars (of body text); pages: doc_id, page, width, height; blocks:
+    doc_id, page, uid, source_index, x0, y0, x1, y1, text; chunks: doc_id, uid, text, sections;
+    elements: doc_id, page, uid, type, status, caption; references: doc_id, page, uid, status.
+    """
+    row = lambda df, code, page=F.lit(None), uid=F.lit(None): df.select("doc_id", F.lit(code).alias("code"), page.cast("int").alias("page"), uid.cast("string").alias("uid"))
+    per = pages.groupBy("doc_id").agg(F.count_distinct("page").alias("there"))
+    filled = blocks.where(F.trim("text") != "").groupBy("doc_id").agg(F.count_distinct("page").alias("filled"))
+    d = reported.join(per, "doc_id", "left").join(filled, "doc_id", "left").na.fill(0, ["there", "filled"])
+    placed = lambda df: df.join(pages, ["doc_id", "page"]).where((F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > F.col("width")) | (F.col("y1") > F.col("height")))
+    twice = lambda df, *keys: df.groupBy(*keys).count().where("count > 1")
+    digest = F.sha1(F.lower(tx.squeeze(F.col("text"))).cast("binary"))
+    told = chunks.where(tx.squeeze(F.col("text")) != "").select("doc_id", "uid", digest.alias("digest")).distinct()
+    first = told.groupBy("doc_id", "digest").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = [
+        row(d.where("pages > 0 AND pages <> there"), "page_count_mismatch"),
+        row(d.where("there = 0"), "no_pages"),
+        row(d.where("there > 0 AND filled < 0.5 * there"), "low_text_coverage"),
+        row(d.where("chars = 0"), "no_usable_text"),
+        row(placed(blocks), "bbox_out_of_bounds", F.col("page"), F.col("uid")),
+        row(blocks.where(tx.is_mojibake(F.col("text"))).select("doc_id").distinct(), "suspicious_characters"),
+        row(twice(blocks, "doc_id", "page", "source_index").select("doc_id", "page").distinct(), "duplicate_source_index", F.col("page")),
+        row(twice(chunks, "doc_id", "uid"), "duplicate_chunk", uid=F.col("uid")),
+        row(told.join(first, ["doc_id", "digest"]).where("uid <> first"), "duplicate_chunk_content", uid=F.col("uid")),
+        row(chunks.where(F.size(F.array_distinct("sections")) > 1), "cross_section_chunk", uid=F.col("uid")),
+        row(elements.where("status <> 'success'"), "partial_element", F.col("page"), F.col("uid")),
+        row(elements.where(F.col("type").isin("figure", "table") & (F.trim(F.coalesce("caption", F.lit(""))) == "")), "missing_caption", F.col("page"), F.col("uid")),
+        row(references.where("status <> 'resolved'"), "unresolved_reference", F.col("page"), F.col("uid")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def parse_status(warned: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, status, warnings: failed without usable text, success_with_warnings, or success."""
+    by = warned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("code") == "no_usable_text").alias("empty"))
+    j = documents.select("doc_id").join(by, "doc_id", "left")
+    return j.select("doc_id", F.when(F.col("empty"), "failed").when(F.col("n") > 0, "success_with_warnings").otherwise("success").alias("status"), F.coalesce("n", F.lit(0)).alias("warnings"))

@@ -399,3 +399,34 @@ def tool_call_faults(t: Tables) -> DataFrame:
     args = F.when(F.col("event_type") == "error", F.lit("{k")).otherwise(F.col("props"))
     calls = t.events.select(F.col("event_id").alias("call_id"), F.col("event_type").alias("tool"), args.alias("args"))
     return agent.tool_call_faults(calls, {"view": ("k", "limit"), "purchase": ("k",), "click": ("limit",), "error": ("k",)})
+
+
+def _findings(t: Tables):
+    from lodestrand.operators import bm25 as lx
+    from lodestrand.operators import loop
+
+    claims = loop.claims_of(t.benchmark.select(F.col("item_id").alias("session_id"), F.col("text").alias("question")))
+    return loop.research(claims, loop.index_retriever(lx.Index.stored(t.documents)), loop.overlap_judge(t.documents.select("doc_id", "text")))
+
+
+@query()
+def research_sessions(t: Tables) -> DataFrame:
+    """Each question settled in rounds of planning, searching and judging; a row for each session."""
+    return _findings(t).sessions
+
+
+@query()
+def research_claims(t: Tables) -> DataFrame:
+    """The claims of the questions with their status and best evidence after the loop."""
+    return _findings(t).claims.withColumn("best", F.round("best", 6))
+
+
+@query("WITH r AS (SELECT conv_id, turn, coalesce(text, '') AS text, CASE role WHEN 'user' THEN 'simple_rag' WHEN 'assistant' THEN 'direct_answer' ELSE 'agentic_rag' END AS intent FROM conversations) SELECT conv_id, turn, intent AS route, CASE intent WHEN 'simple_rag' THEN length(text) WHEN 'direct_answer' THEN 0 ELSE -1 END AS cost FROM r")
+def routed_questions(t: Tables) -> DataFrame:
+    """Messages by the route of their role."""
+    from lodestrand.operators import loop
+
+    intent = F.when(F.col("role") == "user", "simple_rag").when(F.col("role") == "assistant", "direct_answer").otherwise("agentic_rag")
+    q = t.conversations.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), intent.alias("intent"))
+    cost = lambda c: lambda df: df.select("conv_id", "turn", c.cast("int").alias("cost"))
+    return loop.routed(q, {"simple_rag": cost(F.length("text")), "direct_answer": cost(F.lit(0)), "agentic_rag": cost(F.lit(-1))})

@@ -152,3 +152,41 @@ def enriched_chunks(t: Tables) -> DataFrame:
     figures = t.documents.select(F.col("doc_id").alias("uid"), F.coalesce("text", F.lit("")).alias("content"))
     update, add = lay.enriched_chunks(figures, t.labels.select(F.col("doc_id").alias("uid"), F.col("doc_id").alias("chunk_id")))
     return update.select(F.col("chunk_id").alias("uid"), F.lit(False).alias("added")).unionByName(add.select("uid", F.lit(True).alias("added")))
+
+
+_SQZ = SQZ.format(c="text")
+_PARSED = f"""{_B}, bl AS (SELECT *, ord - CASE WHEN ord % 11 = 5 THEN 1 ELSE 0 END AS source_index, CASE WHEN ord % 6 = 0 THEN ' ' ELSE text END AS body FROM b),
+pg AS (SELECT DISTINCT doc_id, page, CASE WHEN page % 2 = 0 THEN 600.0 ELSE 500.0 END AS width, 720.0 AS height FROM b WHERE page % 5 < 4 AND doc_id % 17 > 0),
+rep AS (SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 2 ELSE 1 END AS pages, length(trim(coalesce(text, ''))) AS chars FROM documents d),
+dd AS (SELECT rep.*, coalesce(there, 0) AS there, coalesce(filled, 0) AS filled FROM rep LEFT JOIN (SELECT doc_id, count(DISTINCT page) AS there FROM pg GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT page) AS filled FROM bl WHERE ord % 8 < 3 AND trim(body) <> '' GROUP BY 1) USING (doc_id)),
+ck AS (SELECT doc_id, 'k' || (ord // 2) AS uid, text, CASE WHEN ord % 4 = 0 THEN ['s1', 's2'] ELSE ['s1'] END AS sections FROM b WHERE ord % 8 < 5),
+tl AS (SELECT DISTINCT doc_id, uid, sha1(lower({_SQZ})) AS digest FROM ck WHERE {_SQZ} <> ''), fi AS (SELECT doc_id, digest, min(uid) AS f FROM tl GROUP BY ALL HAVING count(*) > 1),
+el AS (SELECT doc_id, page, uid, CASE ord % 3 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' ELSE 'equation' END AS type, CASE WHEN length(text) < 40 THEN 'partial' ELSE 'success' END AS status, CASE WHEN ord % 2 = 0 THEN text ELSE ' ' END AS caption FROM b WHERE ord % 7 = 2)"""
+
+
+@query(
+    f"""WITH {_PARSED}, w AS (SELECT doc_id, 'page_count_mismatch' AS code, NULL::INT AS page, NULL AS uid FROM dd WHERE pages > 0 AND pages <> there UNION ALL SELECT doc_id, 'no_pages', NULL, NULL FROM dd WHERE there = 0
+    UNION ALL SELECT doc_id, 'low_text_coverage', NULL, NULL FROM dd WHERE there > 0 AND filled < 0.5 * there UNION ALL SELECT doc_id, 'no_usable_text', NULL, NULL FROM dd WHERE chars = 0
+    UNION ALL SELECT bl.doc_id, 'bbox_out_of_bounds', bl.page, uid FROM bl JOIN pg ON pg.doc_id = bl.doc_id AND pg.page = bl.page WHERE ord % 8 < 3 AND (x0 < 0 OR y0 < 0 OR x1 > pg.width OR y1 > pg.height)
+    UNION ALL SELECT DISTINCT doc_id, 'suspicious_characters', NULL::INT, NULL FROM bl WHERE ord % 8 < 3 AND regexp_matches(body, '(?:�|Ã.|Â.){{2,}}')
+    UNION ALL SELECT DISTINCT doc_id, 'duplicate_source_index', page, NULL FROM (SELECT doc_id, page FROM bl WHERE ord % 8 < 3 GROUP BY doc_id, page, source_index HAVING count(*) > 1)
+    UNION ALL SELECT doc_id, 'duplicate_chunk', NULL, uid FROM ck GROUP BY doc_id, uid HAVING count(*) > 1 UNION ALL SELECT tl.doc_id, 'duplicate_chunk_content', NULL, uid FROM tl JOIN fi ON fi.doc_id = tl.doc_id AND fi.digest = tl.digest WHERE uid <> f
+    UNION ALL SELECT doc_id, 'cross_section_chunk', NULL, uid FROM ck WHERE len(list_distinct(sections)) > 1 UNION ALL SELECT doc_id, 'partial_element', page, uid FROM el WHERE status <> 'success'
+    UNION ALL SELECT doc_id, 'missing_caption', page, uid FROM el WHERE type IN ('figure', 'table') AND trim(caption) = '' UNION ALL SELECT doc_id, 'unresolved_reference', page, uid FROM b WHERE ord % 13 = 4)
+    SELECT DISTINCT * FROM w"""
+)
+def parse_warnings(t: Tables) -> DataFrame:
+    """Lines as blocks, chunks, elements and references, some of them spoilt by their place."""
+    from lodestrand.operators import quality
+
+    b = _blocks(t)
+    o = F.col("ord")
+    blocks = b.where("ord % 8 < 3").select("doc_id", "page", "uid", (o - F.when(o % 11 == 5, 1).otherwise(0)).alias("source_index"), "x0", "y0", "x1", "y1", F.when(o % 6 == 0, " ").otherwise(F.col("text")).alias("text"))
+    pages = b.where("page % 5 < 4 AND doc_id % 17 > 0").select("doc_id", "page", F.when(F.col("page") % 2 == 0, 600.0).otherwise(500.0).alias("width"), F.lit(720.0).alias("height")).distinct()
+    reported = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).alias("pages"), F.length(F.trim(F.coalesce("text", F.lit("")))).alias("chars"))
+    one, two = F.array(F.lit("s1")), F.array(F.lit("s1"), F.lit("s2"))
+    chunks = b.where("ord % 8 < 5").select("doc_id", F.concat(F.lit("k"), F.floor(o / 2).cast("string")).alias("uid"), "text", F.when(o % 4 == 0, two).otherwise(one).alias("sections"))
+    kind = F.when(o % 3 == 0, "figure").when(o % 3 == 1, "table").otherwise("equation")
+    elements = b.where("ord % 7 = 2").select("doc_id", "page", "uid", kind.alias("type"), F.when(F.length("text") < 40, "partial").otherwise("success").alias("status"), F.when(o % 2 == 0, F.col("text")).otherwise(" ").alias("caption"))
+    references = b.where("ord % 13 = 4").select("doc_id", "page", "uid", F.lit("unresolved").alias("status"))
+    return quality.parse_warnings(reported, pages, blocks, chunks, elements, references)

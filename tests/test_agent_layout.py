@@ -146,3 +146,32 @@ def test_gold_grades_fall_back_to_keywords(spark):
     grades, unmapped = evals.gold_grades(evidence, chunks, keywords)
     assert {(x.chunk_id, x.grade) for x in grades.collect()} == {(10, 3), (11, 1), (12, 1)}
     assert [(x.case_id, x.idx) for x in unmapped.collect()] == [(1, 2)]
+
+
+def test_research_settles_every_session(spark):
+    """One question is answered by one text, one in parts, one never; none asks the same query twice or beyond its calls."""
+    from lodestrand.operators import bm25 as lx
+    from lodestrand.operators import loop
+
+    texts = {1: "alpha beta gamma delta epsilon zeta eta", 2: "alpha one two three", 3: "omega alone stands here"}
+    docs = spark.createDataFrame([(i, "s", t) for i, t in texts.items()], "doc_id long, source string, text string")
+    rows = [(10, "alpha beta gamma delta epsilon zeta."), (20, "alpha nowhere found seen known heard told said. omega alone."), (30, "qqq www eee.")]
+    claims = loop.claims_of(spark.createDataFrame(rows, "session_id long, question string"))
+    asked = []
+    search = loop.index_retriever(lx.Index.of(docs))
+
+    def spy(actions):
+        asked.extend((x.session_id, x.query) for x in actions.collect())
+        return search(actions)
+
+    found = loop.research(claims, spy, loop.overlap_judge(docs.select("doc_id", "text")))
+    sessions = {x.session_id: x for x in found.sessions.collect()}
+    assert sessions[10].status == "completed" and sessions[10].rounds == 1
+    assert sessions[20].status in ("limit", "stalled") and sessions[30].status == "stalled"
+    status = {(x.session_id, x.claim_id): x.status for x in found.claims.collect()}
+    assert status == {(10, "C1"): "covered", (20, "C1"): "partial", (20, "C2"): "covered", (30, "C1"): "missing"}
+    assert len(asked) == len(set(asked)) and max(Counter(s for s, _ in asked).values()) <= 5
+    evidence = [(x.session_id, x.claim_id, x.doc_id) for x in found.evidence.collect()]
+    assert len(evidence) == len(set(evidence)) and (10, "C1", 1) in evidence
+    with pytest.raises(ValueError):
+        loop.routed(spark.createDataFrame([(1, "x")], "id int, intent string"), {"y": lambda df: df})
