@@ -126,9 +126,9 @@ def bm25(source: DataFrame | Index, terms: DataFrame, top_k: int = 20, scope: Da
     index = source if isinstance(source, Index) else Index.of(source, **columns)
     wanted = terms.select("query_id", "set_id", "term").distinct()
     # One check of the query side decides for its terms and their statistics, which are no more rows.
-    few = wanted.select("term").distinct().limit(BROADCAST_ROWS + 1).collect()
+    few = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).limit(BROADCAST_ROWS + 1).collect()
     side = F.broadcast if len(few) <= BROADCAST_ROWS else (lambda df: df)
-    named = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    named = len(few) <= BROADCAST_ROWS and sum(r["n"] for r in few) <= BROADCAST_ROWS
     there, known = index.postings, index.terms
     if len(few) <= PUSHED_TERMS:
         words = [r[0] for r in few]

@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 RRF_K = 60
 
 
-def rrf(rankings: DataFrame, k: int = RRF_K, key: str = "doc_id") -> DataFrame:
+def rrf(rankings: DataFrame, k: int = RRF_K, key: str = "doc_id", places: bool = False) -> DataFrame:
     """query_id, key, score, rank from rankings (query_id, list_id, key, rank).
 
     A list that holds a key twice counts its best place only, and its ranks are renumbered
-    after that. Ties go by where a key was first seen (list, then place), then by key.
+    after that; with `places` the lists are known to hold a key once, at ranks from 1, and
+    neither needs a shuffle. Ties go by where a key was first seen (list, then place), then
+    by key.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    once = rankings.groupBy("query_id", "list_id", key).agg(F.min("rank").alias("rank"))
-    lists = Window.partitionBy("query_id", "list_id").orderBy("rank", key)
-    placed = once.withColumn("place", F.row_number().over(lists))
+    if places:
+        placed = rankings.withColumn("place", F.col("rank"))
+    else:
+        once = rankings.groupBy("query_id", "list_id", key).agg(F.min("rank").alias("rank"))
+        lists = Window.partitionBy("query_id", "list_id").orderBy("rank", key)
+        placed = once.withColumn("place", F.row_number().over(lists))
     scored = placed.groupBy("query_id", key).agg(F.round(F.sum(1.0 / (k + F.col("place"))), 12).alias("score"), F.min(F.struct("list_id", "place")).alias("first_seen"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_seen", F.col(key).cast("string"))
     return scored.withColumn("rank", F.row_number().over(order)).select("query_id", key, "score", "rank")

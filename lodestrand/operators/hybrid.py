@@ -31,10 +31,10 @@ def channels(lexical: DataFrame | None, semantic: DataFrame | None, mode: str =
     return out
 
 
-def fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
+def fuse(rankings: DataFrame, k: int = RRF_K, places: bool = False) -> DataFrame:
     """query_id, doc_id, score, fusion_rank with bm25_rank and vector_rank, the places within each channel's own fusion."""
     keyed = rankings.withColumn("query_id", F.struct("query_id", "channel", "channel_no"))
-    inner = rrf(keyed, k).select("query_id.*", "doc_id", "rank")
+    inner = rrf(keyed, k, places=places).select("query_id.*", "doc_id", "rank")
     # A channel's fusion holds a document once, with places from 1, so they are the outer ranks as they stand.
     of = lambda name: F.min(F.when(F.col("channel") == name, F.col("rank")))
     outer = inner.groupBy("query_id", "doc_id").agg(
@@ -45,14 +45,14 @@ def fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def hybrid_search(
-    rankings: DataFrame, rows: DataFrame, candidates: int = 20, limit: int = 5, reranker: Callable[[DataFrame], DataFrame] | None = None, k: int = RRF_K
+    rankings: DataFrame, rows: DataFrame, candidates: int = 20, limit: int = 5, reranker: Callable[[DataFrame], DataFrame] | None = None, k: int = RRF_K, places: bool = False
 ) -> DataFrame:
     """The best rows of each query: fused, cut, joined with storage, reranked, cut.
 
     rows: doc_id and what to return. Text is joined only for the candidates. reranker takes
     the candidates and returns query_id, doc_id, rerank_score; without one fusion order stays.
     """
-    fused = fuse(rankings, k)
+    fused = fuse(rankings, k, places)
     stored = late_rows(fused, rows)
     order = Window.partitionBy("query_id").orderBy("fusion_rank")
     cut = stored.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= candidates).drop("__n")

@@ -101,7 +101,7 @@ def hybrid_mixed(t: Tables) -> DataFrame:
     """Hybrid retrieval with the full tokenizer in the lexical channel."""
     lexical = lx.bm25(lx.Index.stored(t.documents, mixed=True), lx.term_sets(t.benchmark, mixed=True)).withColumnRenamed("set_id", "list_id")
     semantic = vectors.nearest(t.embeddings, vector_queries(t)).select("query_id", F.lit(0).alias("list_id"), F.col("vec_id").alias("doc_id"), "rank")
-    out = hybrid.hybrid_search(hybrid.channels(lexical, semantic), t.documents.select("doc_id", "lang", "n_chars"))
+    out = hybrid.hybrid_search(hybrid.channels(lexical, semantic), t.documents.select("doc_id", "lang", "n_chars"), places=True)
     return out.select("query_id", "doc_id", "fusion_rank", "final_rank", "lang", "n_chars")
 
 
@@ -183,7 +183,7 @@ def rankings(t: Tables) -> DataFrame:
 
 @query(f"{HYBRID} SELECT query_id, doc_id, round(score, 9) AS score, fusion_rank, bm25_rank, vector_rank FROM f")
 def rrf_two_level(t: Tables) -> DataFrame:
-    return hybrid.fuse(rankings(t)).withColumn("score", F.round("score", 9))
+    return hybrid.fuse(rankings(t), places=True).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -192,7 +192,7 @@ def rrf_two_level(t: Tables) -> DataFrame:
     SELECT query_id, doc_id, fusion_rank, final_rank, lang, n_chars FROM c WHERE final_rank <= 5"""
 )
 def hybrid_topk(t: Tables) -> DataFrame:
-    out = hybrid.hybrid_search(rankings(t), t.documents.select("doc_id", "lang", "n_chars"))
+    out = hybrid.hybrid_search(rankings(t), t.documents.select("doc_id", "lang", "n_chars"), places=True)
     return out.select("query_id", "doc_id", "fusion_rank", "final_rank", "lang", "n_chars")
 
 
@@ -206,14 +206,14 @@ def hybrid_topk(t: Tables) -> DataFrame:
 )
 def hybrid_reranked(t: Tables) -> DataFrame:
     questions = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_distinct(tx.word_tokens(F.col("text"))).alias("terms"))
-    out = hybrid.hybrid_search(rankings(t), t.documents.select("doc_id", "text"), reranker=hybrid.lexical_overlap(questions))
+    out = hybrid.hybrid_search(rankings(t), t.documents.select("doc_id", "text"), places=True, reranker=hybrid.lexical_overlap(questions))
     return out.select("query_id", "doc_id", "fusion_rank", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
 
 
 @query(f"{HYBRID} SELECT query_id, doc_id, fusion_rank, source, lang FROM f JOIN documents d USING (doc_id) WHERE d.source IS NOT NULL")
 def late_materialize(t: Tables) -> DataFrame:
     """Fused ids joined with storage; missing ids go and ranks keep their gaps."""
-    return fusion.late_rows(hybrid.fuse(rankings(t)).select("query_id", "doc_id", "fusion_rank"), t.documents.where("source IS NOT NULL").select("doc_id", "source", "lang"))
+    return fusion.late_rows(hybrid.fuse(rankings(t), places=True).select("query_id", "doc_id", "fusion_rank"), t.documents.where("source IS NOT NULL").select("doc_id", "source", "lang"))
 
 
 @query(
@@ -222,7 +222,7 @@ def late_materialize(t: Tables) -> DataFrame:
 )
 def rerank_merge(t: Tables) -> DataFrame:
     """Only what the lexical channel found is reranked, by length; the rest follows in fusion order."""
-    fused = hybrid.fuse(rankings(t)).join(t.documents.select("doc_id", "n_chars"), "doc_id").select("query_id", "doc_id", F.col("fusion_rank").alias("rank"), "bm25_rank", "n_chars")
+    fused = hybrid.fuse(rankings(t), places=True).join(t.documents.select("doc_id", "n_chars"), "doc_id").select("query_id", "doc_id", F.col("fusion_rank").alias("rank"), "bm25_rank", "n_chars")
     scored = fused.where("bm25_rank IS NOT NULL").select("query_id", "doc_id", F.round(F.least("n_chars", F.lit(20000)) / 20000.0, 6).alias("rerank_score"))
     return fusion.rerank_merge(fused.drop("bm25_rank", "n_chars"), scored).withColumnRenamed("rank", "fusion_rank")
 
