@@ -263,8 +263,8 @@ def _linked_to_hub(percent: int, slack: float, value: Broadcast | None):
     return run
 
 
-def dealt(rows: DataFrame, percent: int, slack: float, block: int, name: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame | None]:
-    """rows (key, set_id, n, sig, body) with a block number, and links found on the way.
+def dealt(rows: DataFrame, percent: int, slack: float, block: int, name: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """rows (key, set_id, n, sig, body) with a block number, links found on the way, and what to release once both are read.
 
     No (key, block) has many over 2 * block rows or 2 * block_bytes of sets. In a key with
     more than half of that, every row is first compared with one of its rows, the hub. Rows
@@ -280,7 +280,7 @@ def dealt(rows: DataFrame, percent: int, slack: float, block: int, name: str, bl
     large = materialize(large, name)
     if large.isEmpty():
         release(large)
-        return plain, None
+        return plain, None, []
     on = F.col("key") == F.col("__key")
     of_large = rows.join(large, on)
     hubs = of_large.where("set_id = hub").dropDuplicates(["key"]).select(F.col("key").alias("__hkey"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"), F.col("body").alias("hub_body"))
@@ -304,7 +304,7 @@ def dealt(rows: DataFrame, percent: int, slack: float, block: int, name: str, bl
     which = F.when(F.col("set_id") == F.col("hub"), of_hub).when(F.col("linked"), F.transform(others, lambda u: cell(F.col("own"), u))).otherwise(F.concat(rest_rest, F.transform(clusters, lambda c: cell(c, F.col("own")))))
     spread = told.join(sizes, on).where("nu > 0").withColumn("own", mine).withColumn("block", F.explode(which)).select(*columns)
     links = told.where("linked AND set_id <> hub").select(F.col("hub").alias("u"), F.col("set_id").alias("v"))
-    return plain.join(large.select("__key"), on, "left_anti").unionByName(spread), links
+    return plain.join(large.select("__key"), on, "left_anti").unionByName(spread), links, [large, hubs, told]
 
 
 def _with_sets(words: int, lower: bool):
@@ -319,11 +319,13 @@ def _with_sets(words: int, lower: bool):
     return run
 
 
-def _compared(rows: DataFrame, percent: int, slack: float, block: int, name: str, search: Callable) -> DataFrame:
-    """Links among the rows of each key, by a search within each block."""
-    rows, links = dealt(rows, percent, slack, block, name)
+def _components(rows: DataFrame, percent: int, slack: float, block: int, name: str, search: Callable) -> DataFrame:
+    """node, label of the components of the links among the rows of each key, by a search within each block."""
+    rows, links, held = dealt(rows, percent, slack, block, name)
     found = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(wordcore.tidy(search), "u binary, v binary")
-    return found if links is None else found.unionByName(links)
+    out = connected_components(found if links is None else found.unionByName(links), name)
+    release(*held)
+    return out.select(F.col("node").alias("__node"), "label")
 
 
 def _node() -> Column:
@@ -362,14 +364,12 @@ def near_duplicates(
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("text_key"), F.count(F.lit(1)).alias("m"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(classes.select(_node().alias("node"), "text_key", "set_id", "m", "n", "bands", "sig"), "classes")
     bucketed = classes.select(F.explode(F.transform("bands", lambda x: x.cast("string").cast("binary"))).alias("key"), F.col("node").alias("set_id"), "n", "sig", F.lit(None).cast("binary").alias("body"))
-    links = _compared(bucketed, percent, slack, block, "buckets", _bucket_forest(percent, slack))
-    groups = connected_components(links, "candidate-groups").select(F.col("node").alias("__node"), "label")
+    groups = _components(bucketed, percent, slack, block, "buckets", _bucket_forest(percent, slack))
     # Full sets of the texts that stand for classes with a candidate.
     chosen = classes.join(groups, F.col("node") == F.col("__node")).select(F.col("text_key").alias("__key"), F.col("label").alias("group"), F.col("node").alias("set_id"), "n", "sig")
     bodies = repeats.texts_of(rows).join(chosen.hint("shuffle_hash"), F.col("key") == F.col("__key")).select("text", "group", "set_id", "n", "sig")
     sets = materialize(bodies.mapInArrow(wordcore.tidy(_with_sets(words, lower)), "key binary, set_id binary, n bigint, sig binary, body binary"), "sets")
-    checked = _compared(sets, percent, slack, block, "groups", _set_forest(percent, slack))
-    components = connected_components(checked, "components").select(F.col("node").alias("__node"), "label")
+    components = _components(sets, percent, slack, block, "groups", _set_forest(percent, slack))
     release(sets)
     label = F.coalesce("label", "node")
     named = classes.join(components, F.col("node") == F.col("__node"), "left").where("m > 1 OR label IS NOT NULL").select(F.col("set_id").alias("__set"), label.alias("component"), _least_id(label).alias("component_id"))

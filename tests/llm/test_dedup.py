@@ -220,7 +220,7 @@ def test_near_duplicates_match_brute_force(docs, odd, words, block):
 def test_blocks_stay_small_where_nothing_is_linked(spark):
     rows = [(b"k", f"{i:02}".encode(), 1, hashlib.sha512(b"%d" % i).digest() + bytes(32), f"{i:08}".encode()) for i in range(30)]
     table = spark.createDataFrame(rows, "key binary, set_id binary, n bigint, sig binary, body binary")
-    spread, links = minhash.dealt(table, 80, 0.15, 5, "test")
+    spread, links, _ = minhash.dealt(table, 80, 0.15, 5, "test")
     blocks = {}
     for x in spread.collect():
         blocks.setdefault(x.block, set()).add(bytes(x.set_id))
