@@ -175,3 +175,89 @@ def test_research_settles_every_session(spark):
     assert len(evidence) == len(set(evidence)) and (10, "C1", 1) in evidence
     with pytest.raises(ValueError):
         loop.routed(spark.createDataFrame([(1, "x")], "id int, intent string"), {"y": lambda df: df})
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def query(spark, name):
+    import __spark_entry__
+
+    return __spark_entry__.queries()[name](spark, FOLDER).collect()
+
+
+def lines_of_documents(spark):
+    """The lines of every document in order, with the level that the layout queries give short ones."""
+    out = {}
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
+        out[r.doc_id] = [(i, t, i % 3 + 1 if len(t) < 30 else None) for i, t in enumerate((r.text or "").split("\n"))]
+    return out
+
+
+def test_section_stack_equals_a_plain_walk(spark):
+    got = {(r.doc_id, r.ord): r.path for r in query(spark, "section_stack")}
+    want = {}
+    for d, lines in lines_of_documents(spark).items():
+        above = {}
+        for i, text, level in lines:
+            if level is not None:
+                above = {k: v for k, v in above.items() if k < level} | {level: text}
+            want[d, i] = " > ".join(above[k] for k in sorted(above))
+    assert got == want
+
+
+def test_decisions_equal_a_plain_fold(spark):
+    got = {(r.pool_id, r.evidence_id): (r.statement, r.confidence, r.conflicts_with) for r in query(spark, "judge_decisions")}
+    want, pools = {}, defaultdict(list)
+    for r in spark.read.parquet(f"{FOLDER}/events.parquet").collect():
+        pools[r.user_id].append((r.event_id, {"error": "drop", "click": "merge", "signup": "conflict"}.get(r.event_type, "keep"), r.value or 0.0))
+    for pool, rows in pools.items():
+        made = []
+        for i, action, confidence in sorted(rows):
+            if action in ("merge", "conflict") and not made:
+                made = []
+                break
+            if action == "merge":
+                made[0][1] = max(made[0][1], confidence)
+            elif action != "drop":
+                made.append([f"s{i}", confidence, "E1" if action == "conflict" else None])
+        want |= {(pool, f"E{n}"): tuple(x) for n, x in enumerate(made, 1)}
+    assert got == want
+
+
+def test_budget_shrink_equals_a_plain_loop(spark):
+    got = defaultdict(dict)
+    for r in query(spark, "budget_shrink"):
+        got[r.pack][r.place] = r.chars
+    packs = defaultdict(list)
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
+        packs[r.doc_id % 100].append([r.doc_id, r.doc_id % 4 == 0, r.text or ""])
+    for pack, rows in packs.items():
+        rows.sort()
+        lost = False
+        while sum(len(t.split()) for _, _, t in rows) > 800:
+            long = [x for x in rows if len(x[2]) > 160]
+            if long:
+                long[-1][2] = long[-1][2][: max(160, len(long[-1][2]) // 2)]
+                continue
+            spare = [x for x in rows if not x[1]]
+            if not spare:
+                lost = True
+                break
+            rows.remove(spare[-1])
+        assert got.get(pack, {}) == ({-1: 0} if lost else {d: len(t) for d, _, t in rows})
+
+
+def test_offline_answers_join_the_first_sentences(spark):
+    import re
+
+    from lodestrand.functions.text import SENTENCE_PATTERN
+
+    ranked = defaultdict(dict)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    for r in query(spark, "bm25_topk"):
+        if r["rank"] <= 3:
+            ranked[r.query_id][r["rank"]] = texts[r.doc_id]
+    for r in query(spark, "offline_answers"):
+        firsts = [next((s.strip() for s in re.findall(SENTENCE_PATTERN, t) if s.strip()), None) for _, t in sorted(ranked[r.query_id].items())]
+        assert r.answer == " ".join(" ".join((s or "").split())[:260] for s in firsts)
