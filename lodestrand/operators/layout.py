@@ -239,3 +239,54 @@ def enriched_chunks(figures: DataFrame, chunks: DataFrame) -> tuple[DataFrame, D
     """Chunks to update (chunk_id, content) and to add (uid, content) for described figures (uid, content)."""
     j = figures.where(F.trim("content") != "").join(chunks.select("uid", "chunk_id"), "uid", "left")
     return j.where("chunk_id IS NOT NULL").select("chunk_id", "content"), j.where("chunk_id IS NULL").select("uid", "content")
+
+
+# Labels of sections without numbers, and the shapes of captions, lists, citations and formulas.
+HEADING_WORDS = ("introduction", "related work", "background", "method", "methods", "methodology", "experiments", "results", "discussion", "conclusion", "conclusions", "acknowledgements", "references", "appendix")
+CAPTION_SHAPE = r"(?i)^(fig(?:ure)?|tab(?:le)?)\.?\s*(?:[0-9]+|[IVXLCDM]+)"
+NUMBERED_LIST_SHAPE = r"^(?:\([0-9]+\)|[0-9]+\)|[a-z]\))\s+"
+BULLET_SHAPE = r"^[•\-*]\s"
+CITATION_SHAPE = r"^\[[0-9]+\]\s"
+AUTHOR_YEAR_SHAPE = r"\((?:19|20)[0-9]{2}[a-z]?\)"
+FORMULA_SHAPE = r"[=∑∫≤≥]"
+AUTHOR_SHAPE = r"^[^0-9.!?]+(?:,|\band\b)[^0-9.!?]+$"
+
+
+def block_kinds(blocks: DataFrame) -> DataFrame:
+    """uid, kind, confidence, reason of blocks: one of 17 kinds, by the first rule that holds.
+
+    blocks: uid, text, size and body_size of its type, bold, lines, top and bottom as shares of
+    the page, centred, margin (header, footer or null), region (figure, table, equation or
+    null), first_page, title_like, author_like, in_references.
+    """
+    t, rank = tx.squeeze(F.col("text")), F.col("size") / F.col("body_size")
+    b = blocks.withColumn("t", t).withColumn("rank", rank).withColumn("sentence", sentence_like(F.col("text"))).withColumn("depth", tx.heading_depth(F.col("text")))
+    t, label, chars = F.col("t"), F.regexp_replace(F.lower("t"), r"[ :;.\-]+$", ""), F.length("t")
+    plain, first = ~F.col("sentence"), F.col("first_page")
+    bonus = F.when(F.col("centred"), 0.07).otherwise(0.0)
+    caption = F.lower(F.regexp_extract(t, CAPTION_SHAPE, 1))
+    cells = F.size(F.split(t, r"\s*\|\s*")) >= 3
+    kind = lambda name, sure, why: F.struct((F.lit(name) if isinstance(name, str) else name).alias("kind"), F.round(sure if not isinstance(sure, float) else F.lit(sure), 4).alias("confidence"), F.lit(why).alias("reason"))
+    rules = (
+        (F.col("margin").isNotNull() & ~(first & (F.col("title_like") | F.col("author_like"))), kind(F.col("margin"), 0.98, "margin")),
+        (t == "", kind("unknown", 0.05, "empty_text")),
+        (F.col("region").isNotNull(), kind(F.col("region"), 0.88, "element_region")),
+        (caption != "", kind(F.when(caption.startswith("fig"), "figure_caption").otherwise("table_caption"), 0.93, "caption_label")),
+        (t.rlike(NUMBERED_LIST_SHAPE), kind("list", 0.9, "numbered_list_marker")),
+        (t.rlike(FORMULA_SHAPE) & (chars <= 200) & plain, kind("equation", 0.84, "formula")),
+        (cells & plain, kind("table", 0.82, "columns")),
+        (first & F.col("title_like") & (F.col("rank") >= 1.35) & (F.col("lines") <= 3) & (chars <= 180) & plain, kind("title", F.least(F.lit(0.99), 0.78 + 0.08 * F.col("rank")), "first_page_title")),
+        (first & F.col("author_like") & t.rlike(AUTHOR_SHAPE) & plain, kind("author", 0.81, "first_page_author")),
+        (label.isin("abstract", "summary"), kind("abstract", 0.96, "abstract_label")),
+        (F.col("depth").isNotNull() & plain & (chars <= 180), kind(F.when(F.col("depth") == 1, "heading").otherwise("subheading"), F.least(F.lit(0.95), 0.68 + 0.08 * F.greatest(F.col("rank"), F.lit(1.0)) + bonus), "numbered_heading")),
+        (label.isin(*HEADING_WORDS) & (chars <= 120), kind("heading", F.least(F.lit(0.96), 0.72 + 0.08 * F.greatest(F.col("rank"), F.lit(1.0)) + bonus), "known_heading")),
+        ((F.col("rank") >= 1.12) & F.col("bold") & (F.col("lines") <= 2) & (chars <= 140) & plain, kind(F.when(F.col("rank") < 1.35, "subheading").otherwise("heading"), F.least(F.lit(0.95), 0.76 + bonus), "font_rank")),
+        ((F.col("rank") <= 0.85) & (F.col("bottom") >= 0.8), kind("footnote", 0.72, "small_at_the_bottom")),
+        (t.rlike(BULLET_SHAPE), kind("list", 0.9, "bullet")),
+        (t.rlike(CITATION_SHAPE) | (F.col("in_references") & t.rlike(AUTHOR_YEAR_SHAPE)), kind("reference", 0.84, "citation")),
+        (F.col("sentence") | (chars > 90), kind("paragraph", 0.7, "sentence_or_long")),
+    )
+    chosen = kind("unknown", 0.35, "no_evidence")
+    for holds, made in reversed(rules):
+        chosen = F.when(F.coalesce(holds, F.lit(False)), made).otherwise(chosen)
+    return b.select("uid", chosen.alias("k")).select("uid", "k.*")

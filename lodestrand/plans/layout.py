@@ -190,3 +190,38 @@ def parse_warnings(t: Tables) -> DataFrame:
     elements = b.where("ord % 7 = 2").select("doc_id", "page", "uid", kind.alias("type"), F.when(F.length("text") < 40, "partial").otherwise("success").alias("status"), F.when(o % 2 == 0, F.col("text")).otherwise(" ").alias("caption"))
     references = b.where("ord % 13 = 4").select("doc_id", "page", "uid", F.lit("unresolved").alias("status"))
     return quality.parse_warnings(reported, pages, blocks, chunks, elements, references)
+
+
+_KINDED = """CASE ord % 12 WHEN 0 THEN (ord % 3 + 1) || '.' || (ord % 2 + 1) || ' ' || substring(text, 1, 20) WHEN 1 THEN 'Figure ' || ord || ': ' || text WHEN 2 THEN 'Table IV ' || text WHEN 3 THEN 'Summary:' WHEN 4 THEN '(2) ' || text
+WHEN 5 THEN '- ' || substring(text, 1, 12) WHEN 6 THEN 'y = x (' || ord || ')' WHEN 7 THEN '[3] ' || substring(text, 1, 12) WHEN 8 THEN 'Related Work' WHEN 9 THEN 'a | b | c' ELSE text END"""
+_KT = SQZ.format(c="line")
+_KBODY = rf"regexp_replace({_KT}, '^(?:[0-9]+(?:\.[0-9]+)*\.?|[IVXLCDM]+\.)\s+(\S)', '\1')"
+_KL = r"regexp_replace(lower(t), '[ :;.\-]+$', '')"
+_WORDS_OF = "[" + ", ".join(f"'{w}'" for w in lay.HEADING_WORDS) + "]"
+
+
+@query(
+    rf"""WITH {_B}, c AS (SELECT *, {_KINDED} AS line, CASE ord % 5 WHEN 0 THEN 16.0::DOUBLE WHEN 1 THEN 8.0 WHEN 2 THEN 12.0 ELSE 10.0 END / 10.0 AS rank, ord % 5 < 3 AS bold, ord % 4 + 1 AS lines, y1 / 720 AS bottom, x0 > 100 AS centred,
+      CASE WHEN ord % 8 = 7 AND length(text) < 60 THEN 'footer' WHEN ord % 8 = 0 AND length(text) < 30 THEN 'header' END AS margin, CASE WHEN ord % 29 = 3 THEN 'figure' WHEN ord % 31 = 3 THEN 'equation' END AS region, page = 0 AS first, ord < 3 AS title_like, ord BETWEEN 1 AND 4 AS author_like, ord >= 60 AS refs FROM b),
+    s AS (SELECT *, {_KT} AS t, {_KBODY} AS body FROM c), w AS (SELECT *, list_transform(regexp_extract_all(body, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x)) AS words FROM s),
+    z AS (SELECT *, t <> '' AND ((regexp_matches(body, '[.!?。！？;；:]\s*$') AND (len(words) >= 5 OR length(body) >= 28 OR list_has_any(words, {_VERBS}))) OR (len(words) >= 12 AND regexp_matches(body, '[,;，；]'))) AS sent, {_KL} AS label,
+      lower(regexp_extract(t, '(?i)^(fig(?:ure)?|tab(?:le)?)\.?\s*(?:[0-9]+|[IVXLCDM]+)', 1)) AS cap, regexp_extract(t, '^([0-9]+(?:\.[0-9]+)*)\.?\s+\S', 1) AS dec, regexp_extract(t, '^([IVXLCDM]+)(?:\.[0-9]+)*\.?\s+\S', 1) AS rom, regexp_extract(t, '^[IVXLCDM]+((?:\.[0-9]+)*)\.?\s+\S', 1) AS suf FROM w),
+    d AS (SELECT *, CASE WHEN dec <> '' THEN length(dec) - length(replace(dec, '.', '')) + 1 WHEN rom <> '' THEN length(suf) - length(replace(suf, '.', '')) + 1 END AS depth FROM z)
+    SELECT uid, CASE WHEN margin IS NOT NULL AND NOT (first AND (title_like OR author_like)) THEN margin WHEN t = '' THEN 'unknown' WHEN region IS NOT NULL THEN region WHEN cap <> '' THEN CASE WHEN starts_with(cap, 'fig') THEN 'figure_caption' ELSE 'table_caption' END
+      WHEN regexp_matches(t, '{lay.NUMBERED_LIST_SHAPE}') THEN 'list' WHEN regexp_matches(t, '{lay.FORMULA_SHAPE}') AND length(t) <= 200 AND NOT sent THEN 'equation' WHEN len(regexp_split_to_array(t, '\s*\|\s*')) >= 3 AND NOT sent THEN 'table'
+      WHEN first AND title_like AND rank >= 1.35 AND lines <= 3 AND length(t) <= 180 AND NOT sent THEN 'title' WHEN first AND author_like AND regexp_matches(t, '{lay.AUTHOR_SHAPE}') AND NOT sent THEN 'author' WHEN label IN ('abstract', 'summary') THEN 'abstract'
+      WHEN depth IS NOT NULL AND NOT sent AND length(t) <= 180 THEN CASE WHEN depth = 1 THEN 'heading' ELSE 'subheading' END WHEN list_contains({_WORDS_OF}, label) AND length(t) <= 120 THEN 'heading'
+      WHEN rank >= 1.12 AND bold AND lines <= 2 AND length(t) <= 140 AND NOT sent THEN CASE WHEN rank < 1.35 THEN 'subheading' ELSE 'heading' END WHEN rank <= 0.85 AND bottom >= 0.8 THEN 'footnote' WHEN regexp_matches(t, '{lay.BULLET_SHAPE}') THEN 'list'
+      WHEN regexp_matches(t, '{lay.CITATION_SHAPE}') OR (refs AND regexp_matches(t, '{lay.AUTHOR_YEAR_SHAPE}')) THEN 'reference' WHEN sent OR length(t) > 90 THEN 'paragraph' ELSE 'unknown' END AS kind FROM d"""
+)
+def block_kinds(t: Tables) -> DataFrame:
+    """Lines dressed as every kind of block, with type and place by their number."""
+    o = F.col("ord")
+    b = _blocks(t).withColumn("line", F.expr(_KINDED))
+    b = b.select(
+        "uid", F.col("line").alias("text"), F.when(o % 5 == 0, 16.0).when(o % 5 == 1, 8.0).when(o % 5 == 2, 12.0).otherwise(10.0).alias("size"), F.lit(10.0).alias("body_size"), (o % 5 < 3).alias("bold"), (o % 4 + 1).alias("lines"),
+        (F.col("y0") / 720).alias("top"), (F.col("y1") / 720).alias("bottom"), (F.col("x0") > 100).alias("centred"),
+        F.when((o % 8 == 7) & (F.length("text") < 60), "footer").when((o % 8 == 0) & (F.length("text") < 30), "header").alias("margin"), F.when(o % 29 == 3, "figure").when(o % 31 == 3, "equation").alias("region"),
+        (F.col("page") == 0).alias("first_page"), (o < 3).alias("title_like"), o.between(1, 4).alias("author_like"), (o >= 60).alias("in_references"),
+    )
+    return lay.block_kinds(b).select("uid", "kind")
