@@ -143,3 +143,72 @@ def dev_test_k(scores: DataFrame, hit: float = 0.9, documents: float = 0.95) ->
     chosen = dev.select("group_id", F.coalesce("good", "largest").alias("k"))
     test = scores.where("part = 'test'").select("group_id", "k", F.col("hit").alias("test_hit"))
     return chosen.join(test, ["group_id", "k"], "left")
+
+
+def two_phase(log: DataFrame) -> DataFrame:
+    """key, state of memory writes around a checkpoint by their log (key, ord, kind): a write counts once a checkpoint and then a commit follow it.
+
+    kind: prepared, checkpoint, committed. prepared without a checkpoint is to be undone, one
+    with a checkpoint but no commit to be finished.
+    """
+    first = lambda k: F.min(F.when(F.col("kind") == k, F.col("ord")))
+    g = log.groupBy("key").agg(first("prepared").alias("p"), F.max(F.when(F.col("kind") == "checkpoint", F.col("ord"))).alias("c"), F.max(F.when(F.col("kind") == "committed", F.col("ord"))).alias("d"))
+    saved = F.coalesce(F.col("c") > F.col("p"), F.lit(False))
+    state = F.when(F.col("p").isNull(), "none").when(~saved, "undo").when(F.coalesce(F.col("d") > F.col("c"), F.lit(False)), "done").otherwise("finish")
+    return g.select("key", state.alias("state"))
+
+
+def overflow_outcomes(messages: DataFrame, window: int, keep: int) -> DataFrame:
+    """session_id, before, after, outcome: a session over the window is compacted to its last messages within `keep` tokens and tried once more.
+
+    messages: session_id, ord, tokens. fits, retried, or failed where what is kept is still too long.
+    """
+    w = Window.partitionBy("session_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    m = messages.withColumn("recent", F.sum("tokens").over(w)).withColumn("newest", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("ord"))) == 1)
+    kept = F.sum(F.when((F.col("recent") <= keep) | F.col("newest"), F.col("tokens")).otherwise(0))
+    g = m.groupBy("session_id").agg(F.sum("tokens").alias("before"), kept.alias("kept"))
+    fits = F.col("before") < window
+    return g.select("session_id", "before", F.when(fits, F.col("before")).otherwise(F.col("kept")).alias("after"), F.when(fits, "fits").when(F.col("kept") < window, "retried").otherwise("failed").alias("outcome"))
+
+
+def early_external(calls: DataFrame) -> DataFrame:
+    """session_id, ord of external searches that no local search of their session comes before (session_id, ord, tool)."""
+    local = F.min(F.when(F.col("tool") == "local", F.col("ord"))).over(Window.partitionBy("session_id"))
+    return calls.withColumn("first_local", local).where((F.col("tool") == "external") & (F.col("first_local").isNull() | (F.col("ord") < F.col("first_local")))).select("session_id", "ord")
+
+
+def context_faults(ranked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """case_id, chunk_id of the first k hits of each case (case_id, rank, chunk_id) that storage lacks: a run with any must not go on."""
+    return ranked.where(F.col("rank") <= k).join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti").select("case_id", "chunk_id").distinct()
+
+
+def corpus_reuse(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """name, document_id, action: files already stored under the same path are used again, others ingested; a path stored twice is ambiguous.
+
+    Paths are compared with forward slashes, without `.` parts and in lower case.
+    """
+    key = lambda c: F.lower(F.regexp_replace(F.regexp_replace(F.translate(F.col(c), "\\", "/"), r"/(?:\./)+", "/"), "/+", "/"))
+    known = stored.groupBy(key("path").alias("k")).agg(F.min("document_id").alias("document_id"), F.count(F.lit(1)).alias("n"))
+    j = wanted.withColumn("k", key("path")).join(known, "k", "left")
+    return j.select("name", F.when(F.col("n") == 1, F.col("document_id")).alias("document_id"), F.when(F.col("n").isNull(), "ingest").when(F.col("n") == 1, "reuse").otherwise("ambiguous").alias("action"))
+
+
+def loaded_rewrites(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rewrites (source, case_id, query, terms) of JSON files (source, body), and the case ids that a file repeats."""
+    schema = "struct<cases:array<struct<case_id:string,english_query:string,lexical_terms:array<string>>>>"
+    each = files.select("source", F.explode(F.from_json("body", schema)["cases"]).alias("c")).select("source", "c.case_id", F.col("c.english_query").alias("query"), F.col("c.lexical_terms").alias("terms"))
+    return each, each.groupBy("source", "case_id").count().where("count > 1").select("source", "case_id")
+
+
+def raw_spans(pages: DataFrame) -> DataFrame:
+    """page_id, block_no, line_no, span_no, font, text of an extractor's nested JSON (page_id, body)."""
+    schema = "struct<blocks:array<struct<type:int,lines:array<struct<spans:array<struct<font:string,text:string>>>>>>>"
+    b = pages.select("page_id", F.posexplode(F.from_json("body", schema)["blocks"]).alias("block_no", "b")).where("b.type = 0")
+    l = b.select("page_id", "block_no", F.posexplode("b.lines").alias("line_no", "l"))
+    return l.select("page_id", "block_no", "line_no", F.posexplode("l.spans").alias("span_no", "s")).select("page_id", "block_no", "line_no", "span_no", "s.font", "s.text")
+
+
+def rule_summary(flags: DataFrame) -> DataFrame:
+    """doc_id, summary from what was found in a text (doc_id, topic, method, experiment, limitation): a line for each part, a stock one where nothing was."""
+    part = lambda c, name, stock: F.concat(F.lit(f"{name}: "), F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(stock)))
+    return flags.select("doc_id", F.concat_ws("\n", part("topic", "topic", "not stated"), part("method", "method", "not described"), part("experiment", "experiment", "not reported"), part("limitation", "limitation", "none named")).alias("summary"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as tx
 from lodestrand.operators import service
 from lodestrand.plans.agent import _reasons
-from lodestrand.plans.registry import Tables, query
+from lodestrand.plans.registry import Tables, query, same_sql
 from lodestrand.plans.texts import SQZ, _q
 from lodestrand.runtime import shared_dir
 from lodestrand.sources import files
@@ -133,3 +133,78 @@ def json_round_trip(t: Tables) -> DataFrame:
     d = t.documents.where("text IS NOT NULL").select("doc_id", "source", "n_chars")
     files.write_json_lines(d, path)
     return files.manifests(t.spark, path, "doc_id bigint, source string, n_chars bigint")
+
+
+_PHASE = "CASE event_type WHEN 'view' THEN 'prepared' WHEN 'click' THEN 'checkpoint' WHEN 'purchase' THEN 'committed' ELSE 'other' END"
+
+
+@query(
+    f"""WITH l AS (SELECT event_id % 3000 AS key, event_id AS ord, {_PHASE} AS kind FROM events), g AS (SELECT key, min(CASE WHEN kind = 'prepared' THEN ord END) AS p, max(CASE WHEN kind = 'checkpoint' THEN ord END) AS c, max(CASE WHEN kind = 'committed' THEN ord END) AS d FROM l GROUP BY 1)
+    SELECT key, CASE WHEN p IS NULL THEN 'none' WHEN NOT coalesce(c > p, false) THEN 'undo' WHEN coalesce(d > c, false) THEN 'done' ELSE 'finish' END AS state FROM g"""
+)
+def two_phase_states(t: Tables) -> DataFrame:
+    return service.two_phase(t.events.select((F.col("event_id") % 3000).alias("key"), F.col("event_id").alias("ord"), F.expr(_PHASE).alias("kind")))
+
+
+@query(
+    """WITH m AS (SELECT conv_id AS session_id, turn AS ord, length(coalesce(text, '')) AS tokens FROM conversations), r AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY ord DESC ROWS UNBOUNDED PRECEDING) AS recent, row_number() OVER (PARTITION BY session_id ORDER BY ord DESC) = 1 AS newest FROM m),
+    g AS (SELECT session_id, CAST(sum(tokens) AS BIGINT) AS before, CAST(sum(CASE WHEN recent <= 800 OR newest THEN tokens ELSE 0 END) AS BIGINT) AS kept FROM r GROUP BY 1)
+    SELECT session_id, before, CASE WHEN before < 1500 THEN before ELSE kept END AS after, CASE WHEN before < 1500 THEN 'fits' WHEN kept < 1500 THEN 'retried' ELSE 'failed' END AS outcome FROM g"""
+)
+def overflow_outcomes(t: Tables) -> DataFrame:
+    m = t.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), F.length(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return service.overflow_outcomes(m, 1500, 800)
+
+
+@query("WITH c AS (SELECT user_id AS session_id, event_id AS ord, CASE event_type WHEN 'signup' THEN 'local' WHEN 'click' THEN 'external' ELSE 'other' END AS tool FROM events), f AS (SELECT *, min(CASE WHEN tool = 'local' THEN ord END) OVER (PARTITION BY session_id) AS l FROM c) SELECT session_id, ord FROM f WHERE tool = 'external' AND (l IS NULL OR ord < l)")
+def early_external(t: Tables) -> DataFrame:
+    tool = F.when(F.col("event_type") == "signup", "local").when(F.col("event_type") == "click", "external").otherwise("other")
+    return service.early_external(t.events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), tool.alias("tool")))
+
+
+@query("WITH r AS (SELECT o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, o_orderkey AS chunk_id FROM orders) SELECT DISTINCT case_id, chunk_id FROM r ANTI JOIN (SELECT DISTINCT l_orderkey AS chunk_id FROM lineitem WHERE l_quantity > 30) l USING (chunk_id) WHERE rank <= 5")
+def context_faults(t: Tables) -> DataFrame:
+    """Orders as ranked chunks, of which storage holds those with a large line."""
+    from pyspark.sql import Window
+
+    r = t.orders.select(F.col("o_custkey").alias("case_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), F.col("o_orderkey").alias("chunk_id"))
+    return service.context_faults(r, t.lineitem.where("l_quantity > 30").select(F.col("l_orderkey").alias("chunk_id")), 5)
+
+
+@query(
+    r"""WITH w AS (SELECT page_id AS name, CASE WHEN page_id % 2 = 0 THEN upper(url) ELSE replace(url, '/', chr(92)) END AS path FROM pages WHERE url IS NOT NULL), s AS (SELECT page_id AS document_id, regexp_replace(url, '/(es|de|en|fr)', '/./\1') AS path FROM pages WHERE page_id % 3 < 2 AND url IS NOT NULL UNION ALL SELECT page_id + 1000000, url FROM pages WHERE page_id % 9 = 0 AND url IS NOT NULL),
+    n AS (SELECT *, lower(regexp_replace(regexp_replace(replace(path, chr(92), '/'), '/(?:\./)+', '/', 'g'), '/+', '/', 'g')) AS k FROM w), k AS (SELECT lower(regexp_replace(regexp_replace(replace(path, chr(92), '/'), '/(?:\./)+', '/', 'g'), '/+', '/', 'g')) AS k, min(document_id) AS document_id, count(*) AS n FROM s GROUP BY 1)
+    SELECT name, CASE WHEN k.n = 1 THEN document_id END AS document_id, CASE WHEN k.n IS NULL THEN 'ingest' WHEN k.n = 1 THEN 'reuse' ELSE 'ambiguous' END AS action FROM n LEFT JOIN k USING (k)"""
+)
+def corpus_reuse(t: Tables) -> DataFrame:
+    """URLs as paths: in capitals or with other slashes as wanted, with dots as stored, some stored twice."""
+    p = t.pages.where("url IS NOT NULL")
+    wanted = p.select(F.col("page_id").alias("name"), F.when(F.col("page_id") % 2 == 0, F.upper("url")).otherwise(F.translate("url", "/", "\\")).alias("path"))
+    once = p.where("page_id % 3 < 2").select(F.col("page_id").alias("document_id"), F.regexp_replace("url", r"^(.*?)/(es|de|en|fr)", "$1/./$2").alias("path"))
+    again = p.where("page_id % 9 = 0").select((F.col("page_id") + 1000000).alias("document_id"), F.col("url").alias("path"))
+    return service.corpus_reuse(wanted, once.unionByName(again))
+
+
+@query("SELECT source, 'c' || doc_id AS case_id, lang AS query, ['t', lang] AS terms FROM documents WHERE doc_id % 6 <> 5")
+def loaded_rewrites(t: Tables) -> DataFrame:
+    """A file for each document with one case, some malformed."""
+    body = F.when(F.col("doc_id") % 6 == 5, "{no").otherwise(F.concat(F.lit('{"cases": [{"case_id": "c'), F.col("doc_id").cast("string"), F.lit('", "english_query": "'), "lang", F.lit('", "lexical_terms": ["t", "'), "lang", F.lit('"]}]}')))
+    return service.loaded_rewrites(t.documents.select("source", body.alias("body")))[0]
+
+
+@query("SELECT doc_id AS page_id, 0 AS block_no, l AS line_no, s AS span_no, 'f' || s AS font, lang || l AS text FROM documents, (SELECT unnest([0, 1]) AS l), (SELECT unnest([0, 1, 2]) AS s)")
+def raw_spans(t: Tables) -> DataFrame:
+    """Pages of one text block with two lines of three spans, and an image block."""
+    body = F.expr("""concat('{"blocks": [{"type": 0, "lines": [', concat_ws(',', transform(array(0, 1), l -> concat('{"spans": [', concat_ws(',', transform(array(0, 1, 2), s -> concat('{"font": "f', s, '", "text": "', lang, l, '"}'))), ']}'))), ']}, {"type": 1}]}')""")
+    return service.raw_spans(t.documents.select(F.col("doc_id").alias("page_id"), body.alias("body")))
+
+
+@query("SELECT doc_id, 'topic: ' || coalesce(source, 'not stated') || chr(10) || 'method: ' || CASE WHEN lang = 'en' THEN 'read' ELSE 'not described' END || chr(10) || 'experiment: ' || CASE WHEN n_chars > 2000 THEN 'long' ELSE 'not reported' END || chr(10) || 'limitation: none named' AS summary FROM documents")
+def rule_summaries(t: Tables) -> DataFrame:
+    return service.rule_summary(t.documents.select("doc_id", F.col("source").alias("topic"), F.when(F.col("lang") == "en", "read").otherwise(" ").alias("method"), F.when(F.col("n_chars") > 2000, "long").alias("experiment"), F.lit(None).cast("string").alias("limitation")))
+
+
+same_sql("blocks_in_order", "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS reading_order FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_custkey = 10)", "lineitem", "orders")
+same_sql("pending_figures", "SELECT doc_id, source FROM {documents} WHERE text IS NOT NULL AND length(text) > 500 AND lang IN ('fr', 'es')", "documents")
+same_sql("peak_memory", "SELECT user_id % 10 AS run_id, event_type AS scenario, max(value) AS peak FROM {events} WHERE event_type <> 'error' GROUP BY user_id % 10, event_type", "events")
+same_sql("perf_measurements", "SELECT g.scenario, g.fixture, count(e.event_id) AS runs, count(CASE WHEN e.event_type = 'error' THEN 1 END) AS errors, max(e.value) AS slowest FROM (SELECT s.scenario, s.odd, b.item_id AS fixture FROM (SELECT 'cold' AS scenario, 0 AS odd UNION ALL SELECT 'warm', 1) s CROSS JOIN {benchmark} b) g LEFT JOIN {events} e ON e.event_id % 2 = g.odd AND e.user_id = g.fixture GROUP BY g.scenario, g.fixture", "benchmark", "events")
