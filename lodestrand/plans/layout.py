@@ -225,3 +225,16 @@ def block_kinds(t: Tables) -> DataFrame:
         (F.col("page") == 0).alias("first_page"), (o < 3).alias("title_like"), o.between(1, 4).alias("author_like"), (o >= 60).alias("in_references"),
     )
     return lay.block_kinds(b).select("uid", "kind")
+
+
+@query()
+def page_columns(t: Tables) -> DataFrame:
+    """Pages of eight lines, set in two columns where the page is even: every second line stands on the right."""
+    from lodestrand.operators.columns import page_columns
+
+    o, two = F.col("ord"), F.col("page") % 2 == 0
+    right = two & (o % 2 == 1)
+    x0 = F.when(right, 320.0).otherwise(40.0)
+    wide = F.when(two, F.least(F.length("text") * 1.0, F.lit(240.0))).otherwise(F.col("x1") - F.col("x0"))
+    b = _blocks(t).withColumn("x0", x0).withColumn("x1", x0 + wide).withColumn("y0", F.when(two, F.floor(o % 8 / 2) * 180.0).otherwise(F.col("y0")))
+    return page_columns(b.withColumn("y1", F.col("y0") + 60).withColumn("height", F.lit(720.0)))

@@ -261,3 +261,25 @@ def test_offline_answers_join_the_first_sentences(spark):
     for r in query(spark, "offline_answers"):
         firsts = [next((s.strip() for s in re.findall(SENTENCE_PATTERN, t) if s.strip()), None) for _, t in sorted(ranked[r.query_id].items())]
         assert r.answer == " ".join(" ".join((s or "").split())[:260] for s in firsts)
+
+
+def test_columns_need_a_gutter_with_text_on_both_sides():
+    import numpy as np
+
+    from lodestrand.operators import columns
+
+    two = [(40.0 + 300 * s, 60.0 + 40 * i, 280.0 + 300 * s, 90.0 + 40 * i) for i in range(15) for s in (0, 1)]
+    made = lambda boxes, chars=50: columns.diagnose(np.array(boxes).reshape(-1, 4), np.full(len(boxes), chars), 620.0, 720.0)
+    n, left, right, sure, why = made(two)
+    assert (n, left, right, why) == (2, 280.0, 340.0, "stable_center_gap") and 0.9 < sure <= 1
+    assert made([(40.0, 60.0 + 40 * i, 580.0, 90.0 + 40 * i) for i in range(15)])[4] == "no_column_candidates"
+    assert made([])[4] == made(two, 0)[4] == "no_column_candidates"
+    assert made([b for b in two if b[0] < 100])[4] == "no_stable_center_gap"
+    # Sides that stand one below the other are no columns.
+    stairs = [(40.0, 20.0 + 40 * i, 280.0, 50.0 + 40 * i) for i in range(8)] + [(340.0, 380.0 + 40 * i, 580.0, 410.0 + 40 * i) for i in range(8)]
+    assert made(stairs)[4] == "insufficient_vertical_overlap"
+    few = [b for b in two if b[0] < 100] + [(340.0, 60.0, 580.0, 90.0)]
+    assert made(few)[0] == 1
+    assert columns.diagnose(np.zeros((1, 4)), np.ones(1), float("nan"), 1.0)[4] == "invalid_page_geometry"
+    spans = np.array([[3.0, 4.0], [0.0, 2.0], [1.0, 2.5], [4.0, 5.0]])
+    assert columns.union(spans).tolist() == [[0.0, 2.5], [3.0, 5.0]] and columns.shared_length(columns.union(spans), np.array([[2.0, 3.5]])) == 1.0
