@@ -92,31 +92,47 @@ def breaker_steps(rows: list[tuple[float, bool]], state: tuple, limit: int, wind
     return out, (failures, until, half)
 
 
-def circuit_breaker(events: DataFrame, key: str = "user_id", limit: int = 5, window: float = 60.0, opened: float = 30.0) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def circuit_breaker(events: DataFrame, key: str = "user_id", limit: int = 5, window: float = 60.0, opened: float = 30.0, idle_ms: int | None = None) -> DataFrame:
     """key, event_id, decision of a breaker per key: `limit` failures in a window open it, then one trial closes or reopens it.
 
     events: key, event_id, t (seconds), failed. State per key is the failures of one window.
+    With idle_ms, for streams without an end, it goes when the key has had no row for so
+    long, which should be much more than both times; a run over what is available must not
+    set it, as Spark would wait for the timeouts.
     """
     schema = f"{key} long, event_id long, decision string"
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if idle_ms is not None and state.hasTimedOut:
+            state.remove()
+            return
         now = state.get if state.exists else ([], 0.0, False)
         pdf = pd.concat(list(batches)).sort_values(["t", "event_id"])
         out, now = breaker_steps(list(zip(pdf["t"], pdf["failed"])), now, limit, window, opened)
         state.update((list(map(float, now[0])), float(now[1]), bool(now[2])))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: k[0], "event_id": pdf["event_id"].to_numpy(), "decision": out})
 
-    return events.groupBy(key).applyInPandasWithState(step, schema, "failures array<double>, until double, half boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, schema, "failures array<double>, until double, half boolean", "append", _timeout(idle_ms))
 
 
-def token_stream(events: DataFrame, key: str = "request_id") -> DataFrame:
+def token_stream(events: DataFrame, key: str = "request_id", idle_ms: int | None = None) -> DataFrame:
     """key, first_token_ms, total_ms, tokens, text of streamed responses, one row when the terminal piece arrives.
 
-    events: key, seq, ms, piece, terminal.
+    events: key, seq, ms, piece, terminal. With idle_ms, for streams without an end, a
+    response whose pieces stop for so long is given up: its state goes and it has no row.
     """
     schema = f"{key} long, first_token_ms double, total_ms double, tokens long, text string"
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if idle_ms is not None and state.hasTimedOut:
+            state.remove()
+            return
         first, n, text = state.get if state.exists else (-1.0, 0, "")
         for pdf in batches:
             for r in pdf.sort_values("seq").itertuples():
@@ -127,8 +143,10 @@ def token_stream(events: DataFrame, key: str = "request_id") -> DataFrame:
                 first = r.ms if n == 0 else first
                 n, text = n + 1, text + r.piece
         state.update((float(first), int(n), text))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return events.groupBy(key).applyInPandasWithState(step, schema, "first double, n long, text string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, schema, "first double, n long, text string", "append", _timeout(idle_ms))
 
 
 def outbox(operations: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
