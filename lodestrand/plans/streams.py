@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import seams, stemming
@@ -125,14 +125,16 @@ def embed_seam(t: Tables) -> DataFrame:
 
 @query()
 def match_score(t: Tables) -> DataFrame:
-    """Questions against the chunks of one source each: the greater of token F1 and character ratio."""
+    """Each question's 20 nearest chunks of one source by token F1, scored by the greater of that and the character ratio, which only these need."""
     q = t.benchmark.select("item_id", tx.evidence_text(F.col("text")).alias("q"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
     chunks = chunk_documents(t.documents).join(t.documents.select("doc_id", "source"), "doc_id")
     j = chunks.select("doc_id", "chunk_index", "source", tx.evidence_text(F.col("content")).alias("d")).join(small(q), "source")
     a, b = F.array_distinct(F.split("q", " ")), F.array_distinct(F.split("d", " "))
     n = F.size(F.array_intersect(a, b))
     f1 = 2.0 * n / (F.size(a) + F.size(b))
-    return j.select("item_id", "doc_id", "chunk_index", F.round(F.greatest(f1, seams.match_ratio("q", "d")), 6).alias("score"))
+    near = Window.partitionBy("item_id").orderBy(F.desc("f1"), "doc_id", "chunk_index")
+    best = j.withColumn("f1", F.round(f1, 9)).withColumn("n", F.row_number().over(near)).where("n <= 20")
+    return best.select("item_id", "doc_id", "chunk_index", F.round(F.greatest("f1", seams.match_ratio("q", "d")), 6).alias("score"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(q, '(hello|thanks|hi\\b)') THEN 'direct_answer' WHEN regexp_matches(q, '(compare|versus|why|across)') THEN 'agentic_rag' ELSE 'simple_rag' END AS intent FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS q FROM conversations)")
