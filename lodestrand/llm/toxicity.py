@@ -200,12 +200,16 @@ def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def discounted(n: np.ndarray, context: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
     """Discounted relative counts within their contexts, and the mass that each context frees (1 where it was not seen)."""
-    total = np.maximum(np.bincount(context, n, contexts + 1), 1)
-    kinds = np.bincount(context[n > 0], minlength=contexts + 1)
-    freed = np.where(kinds > 0, DISCOUNT * kinds / total, 1.0)
-    kept = np.maximum(n - DISCOUNT, 0)
+    total = np.maximum(np.bincount(context, n, contexts + 1), 1).astype(np.float32)
+    kinds = np.bincount(context[n > 0], minlength=contexts + 1).astype(np.float32)
+    kept = n.astype(np.float32)
+    kept -= np.float32(DISCOUNT)
+    np.maximum(kept, 0, out=kept)
     kept /= total[context]
-    return kept, freed
+    kinds *= np.float32(DISCOUNT)
+    kinds /= total
+    kinds[kinds == 0] = 1
+    return kept, kinds
 
 
 def shares(up: np.ndarray, types: np.ndarray, all_types: float) -> np.ndarray:
@@ -221,24 +225,30 @@ def class_model(s: Sample, tokens: np.ndarray, shared: np.ndarray) -> tuple[np.n
     last), of what each word frees as a history (by node), of what each pair frees, and of the
     probabilities of the pairs and the triples.
     """
-    small = lambda x: np.log(x, out=x).astype(np.float32)
+    small = lambda x: np.log(np.maximum(x, np.float32(1e-37), out=x), out=x)
     n3 = np.bincount(s.triple[tokens], minlength=len(s.triples)).astype(np.int32)
     n2 = np.bincount(s.pair_of_triple[n3 > 0], minlength=len(s.pairs)).astype(np.int32)  # histories of a pair
     n1 = np.bincount(s.leaf_of_pair[n2 > 0], minlength=len(s.up))  # histories of a word
     at = np.where(s.up < 0, len(s.up), s.up)
     kept, freed = discounted(rolled_up(s.up, n1), at, len(s.up))
-    step_log = np.log(kept + freed[at] * shared)
+    step_log = np.log(kept.astype(float) + freed[at] * shared)
     reach, step = step_log.copy(), s.up.copy()
     while (on := np.flatnonzero(step >= 0)).size:  # as many rounds as there are levels
         reach[on] += step_log[step[on]]
         step[on] = s.up[step[on]]
     del kept, step_log, step
     p2, freed2 = discounted(n2, s.leaf_before, len(s.up))
-    p2 += freed2[s.leaf_before] * np.exp(reach[s.leaf_of_pair])
     reach = reach.astype(np.float32)
+    low = np.exp(reach[s.leaf_of_pair])
+    low *= freed2[s.leaf_before]
+    p2 += low
+    del low
     p3, freed3 = discounted(n3, s.pair_before, len(s.pairs))
     del n1, n2, n3, at
-    p3 += freed3[s.pair_before] * p2[s.pair_of_triple]
+    low = p2[s.pair_of_triple]
+    low *= freed3[s.pair_before]
+    p3 += low
+    del low
     settle()
     return reach, small(freed), small(freed2), small(freed3), small(p2), small(p3)
 
@@ -406,7 +416,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ro
     return text.join(F.broadcast(few), "id").select("text", "toxic", "fold").toArrow(), share
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 2_000, bytes_per_class: int = 16 << 20) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 3_000, bytes_per_class: int = 16 << 20) -> Scorer:
     """Fit on about rows_per_class labelled rows of either class outside the held-out fold (and bytes_per_class of text).
 
     Those bounds hold for all that comes to the driver: the sample's text, and the counts
@@ -476,7 +486,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 2_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 3_000) -> DataFrame:
     """Train on the labelled rows outside the held-out fold and score every document.
 
     Ties at 0.5 are toxic. Labels of ids without a document, null labels and null ids are
