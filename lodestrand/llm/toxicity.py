@@ -39,7 +39,7 @@ ROOT = 0
 #: The word before a document's first.
 START = U(1)
 #: Bytes of text that are looked at at a time.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Words whose scores a task remembers.
 REMEMBERED = 1_000_000
 
@@ -270,7 +270,9 @@ class Model:
     @classmethod
     def fit(cls, s: Sample, toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray) -> Model:
         """From the tokens of either class."""
-        parts = [x - y for x, y in zip(class_model(s, toxic, shared), class_model(s, plain, shared))]
+        parts = class_model(s, toxic, shared)
+        for x, y in zip(parts, class_model(s, plain, shared)):
+            x -= y
         reach, freed, freed2, freed3, pair, triple = parts
         return cls(s.nodes, reach, np.append(reach, np.float32(0)) + freed, freed2, Index(s.pairs), pair, freed3, Index(s.triples), triple)
 
@@ -471,6 +473,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     ship(spark)
+    settle()  # of what training held
     value = spark.sparkContext.broadcast(scorer)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
