@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,7 @@ _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 #: Where materialize() wrote the frames that are still referred to.
 _paths: dict[int, str] = {}
+_local = threading.local()
 
 
 def ship(spark: SparkSession) -> None:
@@ -51,10 +55,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + folder
 
 
+class _Lifetime:
+    """Paths that materialize() wrote inside a with-block of lifetime(), and those of them that outlive it."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
+
+    def __call__(self, *frames: DataFrame) -> None:
+        self.kept.update(p for df in frames if (p := _paths.get(id(df))))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    if open_ := _open():
+        open_[-1].paths.append(path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _paths[id(back)] = path
@@ -62,11 +79,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(*frames: DataFrame) -> None:
-    """Delete what materialize() wrote for frames that nothing reads any more, and let Spark drop the shuffles of ended jobs."""
+    """Delete what materialize() wrote for frames that nothing reads any more."""
     for df in frames:
         if path := _paths.pop(id(df), None):
-            sc = df.sparkSession.sparkContext
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-            sc._jvm.System.gc()  # shuffle files go when the driver's objects for them do
+            _delete(df.sparkSession, path)
+
+
+def _open() -> list[_Lifetime]:
+    if not hasattr(_local, "open"):
+        _local.open = []
+    return _local.open
+
+
+@contextlib.contextmanager
+def lifetime(spark: SparkSession) -> Iterator[_Lifetime]:
+    """Frames that materialize() writes inside go at its end, but for those given to what it yields.
+
+    An operator keeps what its result reads; that passes to the lifetime around it, so a
+    caller that writes the result down frees the rest too. At the end of the outermost one
+    the driver collects its garbage once, so that Spark drops the shuffles of ended jobs.
+    """
+    mine, open_ = _Lifetime(), _open()
+    open_.append(mine)
+    try:
+        yield mine
+    finally:
+        open_.remove(mine)
+        gone = [p for p in mine.paths if p not in mine.kept]
+        for path in gone:
+            _delete(spark, path)
+        if open_:
+            open_[-1].paths += [p for p in mine.paths if p in mine.kept]
+        elif gone:
+            spark.sparkContext._jvm.System.gc()
