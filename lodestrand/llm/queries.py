@@ -75,6 +75,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestrand.llm.merkle import audited
+
+    docs = _table(spark, sf_dir, "documents")
+    sevenths = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 0
+    return audited(docs, sevenths, ("n_chars", (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,14 +98,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array, op2_substring_dedup, op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op7_minhash, op8_html_text, op9_language_id, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_substring_dedup, op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op7_minhash, op8_html_text, op9_language_id, op10_decontamination, op12_merkle, op13_resampling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op3_exact_dedup": """
-            SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-                   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-            FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-        """,
-    }
+    from lodestrand.llm import sql
+
+    return {"op3_exact_dedup": sql.EXACT, "op12_merkle": sql.MERKLE, "op13_resampling": sql.RESAMPLING}
