@@ -66,12 +66,18 @@ class _Lifetime:
         self.kept.update(p for df in frames if (p := _paths.get(id(df))))
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which goes with the lifetime around it, if any."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if open_ := _open():
+        open_[-1].paths.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    if open_ := _open():
-        open_[-1].paths.append(path)
+    path = work_path(spark, f"{name}.parquet")
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _paths[id(back)] = path
