@@ -75,6 +75,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.huffman import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -98,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array, op2_substring_dedup, op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op7_minhash, op8_html_text, op9_language_id, op10_decontamination, op12_merkle, op13_resampling, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_substring_dedup, op3_exact_dedup, op4_toxicity, op5_packing, op6_token_counts, op7_minhash, op8_html_text, op9_language_id, op10_decontamination, op11_huffman, op12_merkle, op13_resampling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
