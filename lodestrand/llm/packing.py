@@ -29,20 +29,24 @@ from lodestrand.llm import vocab, wordcore
 from lodestrand.runtime import ship
 
 CACHE_ENTRIES = 200_000
+#: Characters of a text from which its ids are not held as a list.
+LONG_TEXT = 1 << 20
 
 
 class ByteBpe(dict):
-    """Identifiers of a text as little-endian 32-bit bytes.
+    """Identifiers of a text as little-endian 32-bit bytes, as the tokenizers library gives them.
 
-    The library encodes each distinct pretoken once; byte-level pretokens are encoded
-    independently of each other, so joining them gives what it gives for the whole text.
+    Where a vocabulary's ids are in order of its merges, the tiktoken library gives the same
+    for whole texts in less time. Otherwise, and where its pattern gives up on a very long run
+    of white space, each distinct pretoken is encoded once: byte-level pretokens are encoded
+    independently of each other, so joining them gives what the whole text gives.
     """
 
     def __init__(self, path: str, limit: int = CACHE_ENTRIES):
         super().__init__()
         self.path, self.limit = path, limit
         self.whole = Tokenizer.from_file(path)
-        self.piece = self._fast_piece(vocab.load(path))
+        self.fast = self._by_ranks(vocab.load(path))
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in vocab.load(path)["added"].items()}
         self.cut = vocab.splitter(list(self.special))
         white = vocab.SPACE
@@ -51,32 +55,49 @@ class ByteBpe(dict):
         ).findall
 
     @staticmethod
-    def _fast_piece(spec: dict):
-        """An encoder of single pretokens by the same vocabulary, if its ids are in order of its merges."""
+    def _by_ranks(spec: dict) -> tiktoken.Encoding | None:
+        """An encoder by the same vocabulary, if its ids are in order of its merges."""
         byte_of = {c: b for b, c in enumerate(vocab.byte_symbols())}
         ids = {k: v for k, v in spec["vocab"].items() if k not in spec["added"]}
         made = [ids[a + b] for a, b in spec["merges"]]
         if spec["suffix"] or made != sorted(set(made)) or any(c not in byte_of for k in ids for c in k):
             return None
         ranks = {bytes(byte_of[c] for c in k): v for k, v in ids.items()}
-        return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        pattern = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s+"
+        return tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole.encode(word, add_special_tokens=False).ids if self.piece is None else self.piece(word)
-        ids = np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+        ids = array("I", self.whole.encode(word, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
         if len(self) >= self.limit:
             self.clear()
-        self[word] = ids
-        return ids
+        self[word] = ids.tobytes()
+        return self[word]
+
+    def pretokens(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text)))
+
+    def plain(self, text: str) -> bytes:
+        """A text without special strings."""
+        if self.fast is None:
+            return self.pretokens(text)
+        try:
+            if len(text) > LONG_TEXT:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            ids = array("I", self.fast.encode_ordinary(text))
+        except BaseException as e:  # the library's own kind of error for its pattern's limit is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return self.pretokens(text)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
-        get = self.__getitem__
         if self.cut is None or not any(s in text for s in self.special):
-            return b"".join(map(get, self.find(text)))
-        out = []
-        for i, part in enumerate(self.cut.split(text)):
-            out.append(self.special[part] if i % 2 else b"".join(map(get, self.find(part))))
-        return b"".join(out)
+            return self.plain(text)
+        return b"".join(self.special[part] if i % 2 else self.plain(part) for i, part in enumerate(self.cut.split(text)))
 
 
 _encoders: dict[str, ByteBpe] = {}
