@@ -74,11 +74,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
+
+    codec is the compression, if not the session's.
+    """
     spark = df.sparkSession
     path = work_path(spark, f"{name}.parquet")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     back = spark.read.schema(df.schema).parquet(path)
     _paths[id(back)] = path
     weakref.finalize(back, _paths.pop, id(back), None)
