@@ -247,7 +247,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     with lifetime(spark):
         slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        tokens = materialize(slim.mapInArrow(wordcore.tidy(_tokenizer(tokenizer_path, vocabulary, end_id)), _TOKENS), "tokens")
+        tokens = materialize(slim.mapInArrow(wordcore.tidy(_tokenizer(tokenizer_path, vocabulary, end_id)), _TOKENS), "tokens", "zstd")
         zero = np.zeros(vocabulary, np.int64)
         counts = tokens.where("counts IS NOT NULL").select("counts").rdd.map(lambda r: np.frombuffer(r[0], np.int64)).treeAggregate(zero, lambda a, b: a + b, lambda a, b: a + b)
         bits = code_lengths(counts, max_bits)
@@ -292,7 +292,7 @@ def _decoded(coder: Coder, checkpoints: pa.Array, payloads: pa.Array, sizes: lis
         steps = coder.decode([payloads[i].as_py() for i in range(lo, hi)], starts, RUN)
         at = 0
         for i, s in zip(range(lo, hi), starts):
-            yield i, steps[:, at : at + len(s)].T.reshape(-1)[: sizes[i]]
+            yield i, np.ascontiguousarray(steps[:, at : at + len(s)].T).reshape(-1)[: sizes[i]]
             at += len(s)
         lo = hi
 
@@ -328,6 +328,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     columns = ("part", "start", "n_ids", "docs", "checkpoints", "payload")
     found = blocks(spark, folder).select(*columns).mapInArrow(wordcore.tidy(_digester(_book(spark, folder))), _DIGEST)
+    found = materialize(found, "token-documents")  # read twice below
     whole = found.where("before = 0 AND after = 0").select("doc_id", F.col("at").alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     cut = found.where("before > 0 OR after > 0").groupBy(F.col("doc_id"), (F.col("at") - F.col("before")).alias("start")).agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     return whole.unionByName(cut)
@@ -367,6 +368,6 @@ def round_trip(docs: DataFrame, tokenizer_path: str, **how) -> DataFrame:
     with lifetime(spark) as keep:
         folder = work_path(spark, "token-ids")
         write(docs, tokenizer_path, folder, **how)
-        found = materialize(documents(spark, folder), "token-documents")
+        found = materialize(documents(spark, folder), "token-index")
         keep(found)
     return found
