@@ -64,10 +64,13 @@ class Items:
 
     def mark_rare(self, frequency: np.ndarray) -> None:
         """Rare are the n-grams in at most four times as many documents, and 16, as the item's lower quartile."""
+        if not len(self.item):
+            return
         f = frequency[self.gram_of]
-        for i in np.unique(self.item):
-            own = self.item == i
-            self.rare[own] = f[own] <= 4 * np.quantile(f[own], 0.25, method="lower") + 16
+        order = np.lexsort((f, self.item))
+        begin = np.flatnonzero(np.diff(self.item[order], prepend=-1))
+        size = np.diff(np.append(begin, len(order)))
+        self.rare[order] = f[order] <= np.repeat(4 * f[order[begin + (size - 1) // 4]] + 16, size)
 
     def index(self) -> None:
         """Order places by n-gram, for lookups."""
