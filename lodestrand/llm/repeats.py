@@ -36,6 +36,8 @@ SHARD = 4_000
 REMEMBERED = 500_000
 #: Bytes of distinct segments that a task holds before it sends them.
 HELD = 16 << 20
+#: Places of a settled window that travel together.
+SETTLED = 10_000
 MEMBER = np.dtype([("key", "V16"), ("start", "<i4")])
 
 #: Distinct segments of a shard, each (words, anchor offset, places that have it), to the marks of each.
@@ -104,7 +106,12 @@ _SEGMENT = "v bigint, part int, sid binary, body binary, anchor int, members bin
 
 
 class _Held:
-    """Distinct segments of a task with the places that have them."""
+    """Distinct segments of a task with the places that have them.
+
+    Where an anchor is split, a segment is one window, so two places of it settle each other:
+    two go to the shard, for the sake of other tasks, and the rest are marked as they are and
+    dealt evenly (part -1). A shard so gets two places of a window from a task at most.
+    """
 
     schema = pa.schema([("v", pa.int64()), ("part", pa.int32()), ("sid", pa.binary()), ("body", pa.binary()), ("anchor", pa.int32()), ("members", pa.binary())])
 
@@ -112,17 +119,23 @@ class _Held:
         self.rows: dict[bytes, list] = {}
         self.bytes = 0
 
-    def add(self, v: int, part: int, anchor: int, body: bytes, key: bytes, start: int) -> None:
+    def add(self, v: int, part: int, anchor: int, body: bytes, key: bytes, start: int, alone: bool) -> None:
         sid = hashlib.md5(b"%d %d " % (v, anchor) + body, usedforsecurity=False).digest()
         e = self.rows.get(sid)
         if e is None:
-            e = self.rows[sid] = [v, part, body, anchor, bytearray()]
+            e = self.rows[sid] = [v, part, body, anchor, bytearray(), alone]
             self.bytes += len(body) + 200
         e[4] += key + start.to_bytes(4, "little")
         self.bytes += 20
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        rows = [(e[0], e[1], sid, e[2], e[3], bytes(e[4])) for sid, e in self.rows.items()]
+        rows, two = [], 2 * MEMBER.itemsize
+        for sid, e in self.rows.items():
+            settled = e[5] and len(e[4]) > two
+            rows.append((e[0], e[1], sid, e[2], e[3], bytes(e[4][:two] if settled else e[4])))
+            for lo in range(two, len(e[4]) if settled else 0, SETTLED * MEMBER.itemsize):
+                members = bytes(e[4][lo : lo + SETTLED * MEMBER.itemsize])
+                rows.append((int.from_bytes(members[:8], "little", signed=True), -1, b"", b"", 0, members))
         self.rows, self.bytes = {}, 0
         for lo in range(0, len(rows), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 20_000]), self.schema.types)], schema=self.schema)
@@ -157,8 +170,8 @@ def _segments(window: int, k: int):
                 s, r, a, cut = at[begin], row[begin], place[begin] - at[begin], split[begin]
                 part = np.where(cut > 1, (grams.spans(s, s + window) % cut.astype(np.uint64)).astype(np.int64), 0)
                 start = s - w.ptr[r]
-                for x in zip(v[begin].tolist(), part.tolist(), a.tolist(), s.tolist(), length.tolist(), r.tolist(), start.tolist()):
-                    held.add(x[0], x[1], x[2], w.text(x[3], x[3] + x[4] + window - 1), name[x[5]], x[6])
+                for x in zip(v[begin].tolist(), part.tolist(), a.tolist(), s.tolist(), length.tolist(), r.tolist(), start.tolist(), (cut > 1).tolist()):
+                    held.add(x[0], x[1], x[2], w.text(x[3], x[3] + x[4] + window - 1), name[x[5]], x[6], x[7])
                 if held.bytes > HELD:
                     yield from held.flush()
         yield from held.flush()
@@ -198,6 +211,10 @@ def _shards(window: int, marker: Marker):
         out, size, group, now = [], 0, {}, None
         for b in batches:
             for v, part, sid, body, anchor, members in zip(*(c.to_pylist() for c in b.columns)):
+                if part < 0:
+                    out.append((members, 1))
+                    size += len(members)
+                    continue
                 if (v, part) != now:
                     found = marked(group) if group else []
                     out += found
