@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from lodestrand.llm import vocab, wordcore
 from lodestrand.runtime import ship
 
 CACHE_ENTRIES = 600_000
+#: Bytes from which a pretoken's symbols and links are arrays of numbers.
+LONG_WORD = 1 << 16
 
 
 class HeapCounter(dict):
@@ -43,7 +47,8 @@ class HeapCounter(dict):
         n = self.merged(word.encode())
         if len(self) >= self.limit:
             self.clear()
-        self[word] = n
+        if len(word) < LONG_WORD:
+            self[word] = n
         return n
 
     def merged(self, data: bytes) -> int:
@@ -51,6 +56,8 @@ class HeapCounter(dict):
         n = len(data)
         if n < 2:
             return n
+        if n > LONG_WORD:
+            return self.merged_long(data)
         first, get = self.first, self.pairs.get
         ids = [first[b] for b in data]
         ids[-1] = self.last[data[-1]]
@@ -85,6 +92,40 @@ class HeapCounter(dict):
                 heappush(heap, m >> 20 << 32 | h)
         return left
 
+    def merged_long(self, data: bytes) -> int:
+        """The same for a very long word, in arrays of numbers: the first pairs lie sorted beside the heap of those that merges make."""
+        n, get = len(data), self.pairs.get
+        ids = array("i", np.array(self.first, np.int32)[np.frombuffer(data, np.uint8)].tobytes())
+        ids[-1] = self.last[data[-1]]
+        pairs = (get(a << 20 | b) for a, b in zip(ids, islice(ids, 1, None)))
+        start = array("Q", (m >> 20 << 32 | i for i, m in enumerate(pairs) if m is not None))
+        np.frombuffer(start, np.uint64).sort()
+        following, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        heap: list[int] = []
+        left, at, size = n, 0, len(start)
+        while heap or at < size:
+            if at < size and (not heap or start[at] < heap[0]):
+                key, at = start[at], at + 1
+            else:
+                key = heappop(heap)
+            i = key & 0xFFFFFFFF
+            if (j := following[i]) >= n:
+                continue
+            m = get(ids[i] << 20 | ids[j])
+            if m is None or m >> 20 != key >> 32:
+                continue  # one of the two has merged since
+            left -= 1
+            new = ids[i] = m & 0xFFFFF
+            k = following[i] = following[j]
+            following[j] = n
+            if k < n:
+                before[k] = i
+                if (m := get(new << 20 | ids[k])) is not None:
+                    heappush(heap, m >> 20 << 32 | i)
+            if (h := before[i]) >= 0 and (m := get(ids[h] << 20 | new)) is not None:
+                heappush(heap, m >> 20 << 32 | h)
+        return left
+
 
 class Pretokens:
     """Normalisation and pretokens of the lower-case word vocabulary."""
