@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestrand.runtime import materialize, release
+from lodestrand.llm import wordcore
+from lodestrand.runtime import lifetime, materialize, release, ship
 
 #: Edges of a node that one task may take; nodes with more are hubs.
 DEGREE = 1_000
 #: Hubs that are broadcast at most. The degree that makes a hub grows with the edges so that there are never more.
 HUBS = 100_000
+#: Edges that a task joins up before it hands them on.
+HELD = 200_000
 
 
 def _least(edges: DataFrame, degree: int) -> DataFrame:
@@ -47,20 +54,56 @@ def _all_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("u").alias("u"), F.max("v").alias("v")).where("u > 1 OR (u = 1 AND v = 1)").isEmpty()
 
 
+def _joined_up(schema: pa.Schema):
+    """Edges of a task, HELD at a time, as stars: each node with the least one that they link it to."""
+
+    def stars(edges: list[tuple]) -> pa.RecordBatch:
+        root: dict = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for u, v in edges:
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        links = [(u, v) for u in root if (v := find(u)) != u]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple] = []
+        for b in batches:
+            edges += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            if len(edges) >= HELD:
+                yield stars(edges)
+                edges = []
+        if edges:
+            yield stars(edges)
+
+    return run
+
+
 def connected_components(edges: DataFrame, name: str = "components", degree: int = DEGREE) -> DataFrame:
     """node, label for each node of an undirected edge table (u, v); the label is the component's least node.
 
     Self-loops and repeated edges are allowed; nodes without another are not returned. Each
-    round is written to the shared folder and the one before it deleted; the number of
-    rounds grows with the logarithm of the longest path.
+    task first joins up the edges it has, so that only links between tasks are left to the
+    rounds. Each round is written to the shared folder and the one before it deleted; the
+    number of rounds grows with the logarithm of the longest path.
     """
+    ship(edges.sparkSession)
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    state = materialize(down.distinct(), name)
-    while not _all_stars(state):
-        hub = max(degree, 2 * state.count() // HUBS)
-        large = materialize(_large_star(state, hub), name)
-        release(state)
-        state = materialize(_small_star(large, hub), name)
-        release(large)
+    stars = down.mapInArrow(wordcore.tidy(_joined_up(to_arrow_schema(down.schema))), down.schema)
+    with lifetime(edges.sparkSession) as keep:
+        state = materialize(stars.distinct(), name)
+        while not _all_stars(state):
+            hub = max(degree, 2 * state.count() // HUBS)
+            large = materialize(_large_star(state, hub), name)
+            release(state)
+            state = materialize(_small_star(large, hub), name)
+            release(large)
+        keep(state)
     nodes = state.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -25,7 +25,7 @@ from lodestrand.llm import repeats, wordcore
 from lodestrand.llm.components import connected_components
 from lodestrand.llm.rows import one_each
 from lodestrand.llm.wordcore import U
-from lodestrand.runtime import materialize, release, ship
+from lodestrand.runtime import lifetime, materialize, release, ship
 
 BANDS, ROWS, BITS = 32, 6, 4
 HASHES = BANDS * ROWS
@@ -357,6 +357,18 @@ def near_duplicates(
     empty table gives no rows.
     """
     ship(docs.sparkSession)
+    with lifetime(docs.sparkSession) as keep:
+        signed, named = _labelled(docs, words, percent, lower, id_col, text_col, slack, block)
+        keep(signed, named)
+    joined = signed.select("doc_id", F.col("key").alias("text_key"), "n_shingles", "set_id").join(named, F.col("set_id") == F.col("__set"), "left")
+    component = F.when(F.col("__set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    first = F.col("component").isNull() | (kept & (F.col("set_id") == F.substring("component", 10, 16)))
+    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"), "component", first.alias("first"))
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, lower: bool, id_col: str, text_col: str, slack: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with its set (and no bands), and the component of each set that has several rows or a link."""
     rows = repeats.keyed(docs, id_col, text_col)
     signed = materialize(rows.mapInArrow(wordcore.tidy(_sign(words, lower)), _SIGNED), "signed")
     full = signed.where("n_shingles > 0")
@@ -373,11 +385,7 @@ def near_duplicates(
     release(sets)
     label = F.coalesce("label", "node")
     named = classes.join(components, F.col("node") == F.col("__node"), "left").where("m > 1 OR label IS NOT NULL").select(F.col("set_id").alias("__set"), label.alias("component"), _least_id(label).alias("component_id"))
-    joined = signed.select("doc_id", F.col("key").alias("text_key"), "n_shingles", "set_id").join(named, F.col("set_id") == F.col("__set"), "left")
-    component = F.when(F.col("__set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    kept = F.col("doc_id").eqNullSafe(component)
-    first = F.col("component").isNull() | (kept & (F.col("set_id") == F.substring("component", 10, 16)))
-    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"), "component", first.alias("first"))
+    return signed, materialize(named, "named")
 
 
 def unlike_rows(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

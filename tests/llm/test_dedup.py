@@ -293,3 +293,44 @@ def test_components_of_paths_and_stars(spark):
     assert hubs == {f"{i:04}": "0000" for i in range(7)} | {f"{i:04}": "0100" for i in range(100, 160)}
     got = {r.node: r.label for r in connected_components(edges).collect()}
     assert got == {f"{i:04}": "0000" for i in range(25)} | {f"{i:04}": "0100" for i in range(100, 160)}
+
+
+def test_one_window_of_many_texts_is_settled_where_it_lies():
+    """A shard gets two places of a window from each task at most; the others are marked and dealt evenly."""
+    held = repeats._Held()
+    for i in range(50_000):
+        held.add(5, 3, 0, b"same words", hashlib.md5(str(i).encode()).digest(), 7, True)
+    held.add(5, 3, 0, b"other words", b"k" * 16, 9, True)
+    held.add(6, 0, 1, b"a longer segment", b"j" * 16, 2, False)
+    held.add(6, 0, 1, b"a longer segment", b"i" * 16, 4, False)
+    held.add(6, 0, 1, b"a longer segment", b"h" * 16, 6, False)
+    rows = [r for b in held.flush() for r in b.to_pylist()]
+    size = repeats.MEMBER.itemsize
+    shard = {r["body"]: len(r["members"]) // size for r in rows if r["part"] >= 0}
+    assert shard == {b"same words": 2, b"other words": 1, b"a longer segment": 3}
+    rest = [r for r in rows if r["part"] < 0]
+    assert sum(len(r["members"]) // size for r in rest) == 49_998 and max(len(r["members"]) // size for r in rest) <= repeats.SETTLED
+    assert len({r["v"] for r in rest}) == len(rest)
+
+
+def test_a_window_shared_by_many_texts(spark, docs):
+    """One licence line in 3,000 different texts, with anchors split from 100 places on."""
+    line = " ".join(f"lic{i}" for i in range(40))
+    rows = [(i, f"head{i} a{i} b{i} {line} tail{i} c{i}") for i in range(3_000)] + [(9_000, " ".join(f"u{i}" for i in range(60)))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.substring_dedup(docs(rows, 6), shard=100).collect()}
+    assert got == {i: (45, 40) for i in range(3_000)} | {9_000: (60, 0)}
+
+
+def test_near_duplicates_leave_nothing_behind(spark, docs, tmp_path):
+    from pyspark.sql import SparkSession  # noqa: F401
+
+    from lodestrand import runtime
+
+    folder = runtime.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    text = " ".join(f"w{i}" for i in range(50))
+    with runtime.lifetime(spark):
+        got = minhash.near_duplicates(docs([(1, text), (2, text + " more"), (3, "unlike words here now then")]))
+        assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (2, 1), (3, 3)}
+        assert len({x.split("-")[0] for x in set(os.listdir(folder)) - before}) == 2  # what the result reads
+    assert set(os.listdir(folder)) == before

@@ -550,3 +550,55 @@ def test_main_text_of_pages_made_by_hand(spark, page):
     """Pages labelled by hand that no generator composed: their prose is kept whole, what surrounds it goes."""
     got = html_text.main_text(spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")).first().text
     assert got == " ".join(["Bridge gone", *PROSE])
+
+
+def test_letters_beyond_a_chunk_index(spark, docs):
+    """A text of 20,000 different letters: every n-gram of one and two, none of an order that does not exist."""
+    text = "".join(chr(0x4E00 + i) for i in range(20_000))
+    rows, codes, counts, alphabet, pad = langid.ngrams([text])
+    grams = langid.spelled(codes, alphabet, pad)
+    want = plain_grams(text)
+    got = Counter()
+    for g, n in zip(grams.tolist(), counts.tolist()):
+        got["".join(chr(p) if p else "_" for p in ((g >> 40) & 0xFFFFF, (g >> 20) & 0xFFFFF, g & 0xFFFFF)[2 - (g >> 60) :])] += n
+    assert got == want
+    assert langid.ngrams([text, "a b"])[4] == 0
+    both = langid.identify(docs([(i, text if i % 2 else "the of and to in that was", "zh" if i % 2 else "en") for i in range(40)])).collect()
+    assert {(r.doc_id % 2, r.lang_pred) for r in both} == {(0, "en"), (1, "zh")}
+
+
+def test_languages_in_blocks(spark, docs):
+    """Blocks of profiles choose and score as all profiles together, whatever the number of labels."""
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(8)), f"l{i % 60}") for i in range(400)] + [(900, None, "x"), (901, "12", "l1")]
+    table = docs(rows)
+    whole = sorted(map(tuple, langid.identify(table).collect()))
+    for block in (1, 7, 59):
+        assert [(*x[:3], round(x[3], 9)) for x in sorted(map(tuple, langid.identify(table, block=block).collect()))] == [(*x[:3], round(x[3], 9)) for x in whole]
+    many = docs([(i, f"w{i} word", f"lang{i}") for i in range(6_000)])
+    assert langid.identify(many).count() == 6_000
+
+
+def test_rare_grams_of_many_items():
+    r = random.Random(2)
+    texts = [" ".join(str(r.randrange(3000)) for _ in range(r.randrange(2, 40))) for _ in range(300)]
+    items = decontaminate.Items.of(list(range(300)), texts, 3)
+    frequency = np.array([r.randrange(60) for _ in items.grams])
+    items.mark_rare(frequency)
+    f = frequency[items.gram_of]
+    for i in np.unique(items.item):
+        mine = items.item == i
+        assert (items.rare[mine] == (f[mine] <= 4 * np.quantile(f[mine], 0.25, method="lower") + 16)).all()
+    decontaminate.Items.of([], [], 3).mark_rare(np.empty(0, np.int64))
+
+
+def test_very_long_words_count_the_same(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = bpe_count.HeapCounter(path)
+    r = random.Random(3)
+    for data in (b"a" * 5000, bytes(r.choice(b"abcdefgh") for _ in range(20_000)), "é日x".encode() * 900):
+        assert table.merged_long(data) == table.merged(data)
+    monkeypatch.setattr(bpe_count, "LONG_WORD", 100)
+    word = "internationalization" * 50
+    assert table[word] == len(Tokenizer.from_file(path).encode(word, add_special_tokens=False).ids)
+    assert word not in table

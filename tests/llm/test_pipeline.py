@@ -55,4 +55,4 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {m[0] for n in names if (m := re.match(r"op\d+", n))} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {m[0] for n in names if (m := re.match(r"op\d+", n))} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
