@@ -14,7 +14,7 @@ from lodestrand.llm import exact as copies
 from lodestrand.llm import langid, minhash
 from lodestrand.llm.decontaminate import clean
 from lodestrand.llm.packing import pack
-from lodestrand.runtime import materialize
+from lodestrand.runtime import lifetime, materialize, release
 
 #: Packing has no SQL form; the stages are tested against brute-force versions.
 ORACLE_SQL = None
@@ -72,8 +72,12 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", n
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; of what they write, the rows that packing reads stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with lifetime(spark) as keep:
+            kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(kept)
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
