@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import hashlib
+import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -43,10 +45,24 @@ def embedder(embed: Callable[[list[str]], list[list[float]]] | None = None, batc
     return run
 
 
+def _ratio_above(a: str, b: str, floor: float) -> float:
+    """Share of matching characters, or 0 where a bound shows that it is below floor: first by the lengths, then by the letters in common."""
+    if not a or not b:
+        return 0.0
+    found = difflib.SequenceMatcher(None, a, b)
+    return found.ratio() if found.real_quick_ratio() >= floor and found.quick_ratio() >= floor else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
-def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching characters of two normalised texts."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+def match_ratio(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
+    """Share of matching characters of two normalised texts; 0 where it is surely below the row's floor, which spares its work."""
+    return pd.Series([_ratio_above(x, y, f) for x, y, f in zip(a, b, floor)])
+
+
+@F.pandas_udf(T.StringType())
+def evidence_text(text: pd.Series) -> pd.Series:
+    """Letters and digits of a text under compatibility forms and case folding, runs joined by one space."""
+    return text.map(lambda t: " ".join(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", t or "").casefold())))
 
 
 def keyword_router(question):

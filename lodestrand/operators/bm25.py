@@ -8,6 +8,7 @@ the whole collection; a query's scope only limits which rows are ranked.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
 from lodestrand.runtime import shared_dir
+from lodestrand.sources import versions
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
 LEAST_IDF = 1e-6
+#: Goes up when what an index holds, or how texts become tokens, changes.
+FORMAT = 2
 #: Rows up to which the query side of a join may be broadcast.
 BROADCAST_ROWS = 100_000
 #: Distinct query terms up to which they are a filter of the scan, which then skips row groups of other terms.
@@ -84,7 +88,7 @@ class Index:
     def save(self, path: str) -> Index:
         """Write the index and read it back; postings lie in order of terms, so a scan for a few terms skips the rest."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")  # last: an index with statistics is whole
@@ -96,24 +100,36 @@ class Index:
 
     @classmethod
     def stored(cls, docs: DataFrame, **columns) -> Index:
-        """The index of a table of files, built where the shared folder has none for its present files and these columns.
+        """The index of a frame over files, built where the shared folder has none for its plan, its present files and these columns.
 
-        A table whose files change gets a new index, as their names, sizes and times name it.
+        A frame whose files or whose filters and columns differ has an index of its own; one
+        that reads no files is indexed as it is, without being stored. An index is written
+        aside and renamed, so that of two builders the second takes what the first has made.
         """
+        files = sorted(docs.inputFiles())
+        if not files:
+            return cls.of(docs, **columns)
         spark = docs.sparkSession
-        sc = spark.sparkContext
-        hadoop, path_of = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
-        facts = []
-        for f in sorted(docs.inputFiles()):
-            at = path_of(f)
-            status = at.getFileSystem(hadoop).getFileStatus(at)
-            facts.append((f, status.getLen(), status.getModificationTime()))
-        name = hashlib.sha256(repr((facts, docs.columns, sorted(columns.items()))).encode()).hexdigest()[:24]
+        plan = docs._jdf.queryExecution().analyzed().canonicalized().toString()
+        name = hashlib.sha256(repr((FORMAT, _facts(spark, files), plan, docs.semanticHash(), sorted(columns.items()))).encode()).hexdigest()[:24]
         path = f"{shared_dir(spark)}/lexical-index-{name}"
-        whole = path_of(f"{path}/stats/_SUCCESS")
-        if whole.getFileSystem(hadoop).exists(whole):
-            return cls.load(spark, path)
-        return cls.of(docs, **columns).save(path)
+        if not versions.listed(spark, path):
+            aside = f"{path}-{uuid.uuid4().hex}"
+            cls.of(docs, **columns).save(aside)
+            if not versions.move(spark, aside, path):
+                versions.remove(spark, aside)
+        return cls.load(spark, path)
+
+
+def _facts(spark: SparkSession, files: list[str]) -> list[tuple[str, int, int]]:
+    """Name, size and time of each file, by one listing of each folder that holds some."""
+    sc = spark.sparkContext
+    conf, path_of = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
+    wanted, facts = {path_of(f).toUri().getPath() for f in files}, []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        at = path_of(folder)
+        facts += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in at.getFileSystem(conf).listStatus(at) if s.getPath().toUri().getPath() in wanted]
+    return sorted(facts)
 
 
 def bm25(source: DataFrame | Index, terms: DataFrame, top_k: int = 20, scope: DataFrame | None = None, **columns) -> DataFrame:

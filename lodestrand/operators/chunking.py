@@ -66,15 +66,15 @@ def split_prose(text: str) -> list[str]:
     A part that is an abbreviation as a whole goes on with the next one; longer parts that
     end in one do not.
     """
-    parts = [p for p in map(str.strip, re.split(PROSE_CUT, text.strip())) if p]
-    # Where a sentence begins: everywhere but after a sentence that so far is a lone abbreviation.
-    begins = [i for i in range(len(parts)) if i == 0 or parts[i - 1].casefold() not in ABBREVIATIONS or (i > 1 and _runs_on(parts, i - 1))]
-    return [" ".join(parts[i:j]) for i, j in zip(begins, [*begins[1:], len(parts)])]
-
-
-def _runs_on(parts: list[str], i: int) -> bool:
-    """Whether part i continues an abbreviation before it, so that the sentence is no lone abbreviation any more."""
-    return i > 0 and parts[i - 1].casefold() in ABBREVIATIONS and not _runs_on(parts, i - 1)
+    sentences, carried = [], ""
+    for part in filter(None, map(str.strip, re.split(PROSE_CUT, text.strip()))):
+        sentence = carried + part
+        if sentence.casefold() in ABBREVIATIONS:
+            carried = sentence + " "
+        else:
+            sentences.append(sentence)
+            carried = ""
+    return [*sentences, carried.strip()] if carried else sentences
 
 
 def block_chunks(blocks: list[tuple[str, str]], target: int = 350, least: int = 100, most: int = 800, overlap: float = 0.12) -> list[tuple[str, str]]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import numeric as nm
+from lodestrand.functions import seams
 from lodestrand.functions import text as tx
 
 # Gates of a generation run and the failure codes that reports may use.
@@ -22,7 +23,7 @@ def token_f1(a: Column, b: Column) -> Column:
 
 
 def gold_grades(evidence: DataFrame, chunks: DataFrame, keywords: DataFrame, least: float = 0.35) -> tuple[DataFrame, DataFrame]:
-    """Grades (case_id, chunk_id, grade) and unmapped evidence (case_id, idx).
+    """By words alone, which SQL expresses; evidence_map() takes the characters too. Grades (case_id, chunk_id, grade) and unmapped evidence (case_id, idx).
 
     evidence: case_id, idx, doc, page, text; chunks: doc, page, chunk_id, chunk_index,
     content; keywords: case_id, keyword. Evidence meets the chunks of its page only, by
@@ -43,6 +44,57 @@ def gold_grades(evidence: DataFrame, chunks: DataFrame, keywords: DataFrame, lea
     return graded.groupBy("case_id", "chunk_id").agg(F.max("grade").alias("grade")), unmapped
 
 
+def token_overlap(a: Column, b: Column) -> Column:
+    """F1 of the different words of two normalised texts; 0 where either has none."""
+    x, y = (F.array_distinct(F.filter(F.split(c, " "), lambda w: w != "")) for c in (a, b))
+    both = F.size(F.array_intersect(x, y))
+    return F.when(both > 0, 2.0 * both / (F.size(x) + F.size(y))).otherwise(0.0)
+
+
+def page_matches(evidence: DataFrame, chunks: DataFrame, floor: Column | None = None) -> DataFrame:
+    """Every pair of an evidence (case_id, idx, doc, page, text) and a chunk of its page (doc, page, chunk_id, chunk_index, content).
+
+    The score is the greater of the words' F1 and the share of matching characters. The
+    share is worked out only where the texts' lengths and letters let it reach the F1, or
+    floor if that is greater; elsewhere the score is the F1, which then is the greater one (or
+    both are below the floor). Pairs come by equality of document and page alone.
+    """
+    e = evidence.select("case_id", "idx", "doc", "page", seams.evidence_text(F.col("text")).alias("e"))
+    c = chunks.select("doc", "page", "chunk_id", "chunk_index", seams.evidence_text(F.col("content")).alias("c"))
+    j = e.join(c, ["doc", "page"]).withColumn("f1", token_overlap(F.col("e"), F.col("c")))
+    least = F.col("f1") if floor is None else F.greatest("f1", floor)
+    return j.withColumn("score", F.greatest("f1", seams.match_ratio("e", "c", least)))
+
+
+def evidence_map(evidence: DataFrame, chunks: DataFrame, keywords: DataFrame, least: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """Each evidence with its best chunk (case_id, idx, chunk_id, score, by), and grades (case_id, chunk_id, grade).
+
+    by tells how an evidence is bound: `text` to the best chunk of its page, if the score is
+    at least `least` (ties: lower chunk_index, then chunk_id); `keyword` to the page's chunks that hold
+    a keyword of the case, with no chunk of its own; null where neither is there, and for
+    evidence whose page has no chunk. The best chunk has grade 3, other chunks with a keyword 1;
+    of several grades of a chunk the highest holds. An evidence's best F1 bounds the ratios that are
+    worked out: no chunk below it can be best.
+    """
+    key = keywords.select("case_id", seams.evidence_text(F.col("keyword")).alias("k")).where("k <> ''").groupBy("case_id").agg(F.collect_set("k").alias("ks"))
+    e = evidence.select("case_id", "idx", "doc", "page", seams.evidence_text(F.col("text")).alias("e")).join(key, "case_id", "left")
+    c = chunks.select("doc", "page", "chunk_id", "chunk_index", seams.evidence_text(F.col("content")).alias("c"))
+    holds = F.exists(F.coalesce("ks", F.array().cast("array<string>")), lambda k: F.contains(F.col("c"), k))
+    j = e.join(c, ["doc", "page"]).select("case_id", "idx", "chunk_id", "chunk_index", "e", "c", token_overlap(F.col("e"), F.col("c")).alias("f1"), holds.alias("named"))
+    w = Window.partitionBy("case_id", "idx")
+    j = j.withColumn("floor", F.greatest(F.max("f1").over(w), F.lit(least)))
+    j = j.withColumn("score", F.greatest("f1", seams.match_ratio("e", "c", "floor")))
+    j = j.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), "chunk_index", "chunk_id"))).withColumn("best", (F.col("n") == 1) & (F.col("score") >= least))
+    grade = F.when(F.col("best"), 3).when(F.col("named"), 1)
+    grades = j.withColumn("grade", grade).where("grade IS NOT NULL").groupBy("case_id", "chunk_id").agg(F.max("grade").alias("grade"))
+    bound = j.groupBy("case_id", "idx").agg(
+        F.max(F.when(F.col("best"), F.col("chunk_id"))).alias("chunk_id"),
+        F.max(F.when(F.col("best"), F.col("score"))).alias("score"),
+        F.when(F.max("best"), "text").when(F.max("named"), "keyword").alias("by"),
+    )
+    return evidence.select("case_id", "idx").join(bound, ["case_id", "idx"], "left"), grades
+
+
 def judgement_measures(marks: DataFrame) -> DataFrame:
     """case_id with context precision and recall, faithfulness, factual precision, recall and F1.
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodestrand.functions import numeric as nm
 from lodestrand.functions import text as tx
 from lodestrand.operators import bm25 as lx
-from lodestrand.operators import fusion, hybrid, vectors
+from lodestrand.operators import fusion, hybrid, segments, vectors
 from lodestrand.plans.registry import Tables, query
+from lodestrand.runtime import work_path
 
 P = tx.WORD_PATTERN.replace("'", "''")
 TOK = f"list_transform(regexp_extract_all(coalesce(%s, ''), '{P}'), lambda x: lower(x))"
@@ -90,6 +91,57 @@ def bm25_scoped_topk(t: Tables) -> DataFrame:
     return lx.bm25(lx.Index.stored(t.documents), lx.term_sets(t.benchmark), scope=scope).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TITLE}) AS term FROM documents UNION ALL SELECT doc_id, unnest({BODY}) FROM documents) GROUP BY term")
+def bm25_index_build(t: Tables) -> DataFrame:
+    """Every term of a stored index that is built for the purpose."""
+    return lx.Index.of(t.documents).save(work_path(t.spark, "lexical-index")).terms
+
+
+# An index that changed: every third document has new text, every fifth is gone, and some are there for the first time.
+_CHANGED = """changed AS (
+    SELECT doc_id, source, lang, n_chars, CASE WHEN doc_id % 3 = 0 THEN lang || ' revised ' || coalesce(text, '') || ' ' || lang ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0
+    UNION ALL SELECT doc_id + 10000000, source, lang, n_chars, source || ' added ' || coalesce(text, '') FROM documents WHERE doc_id % 7 = 1)"""
+
+
+def _changed_index(t: Tables, path: str) -> segments.LexicalLog:
+    d = t.documents
+    log = segments.LexicalLog(t.spark, path, fan=2)
+    log.upsert(d)
+    log.upsert(d.where("doc_id % 3 = 0").withColumn("text", F.concat("lang", F.lit(" revised "), F.coalesce("text", F.lit("")), F.lit(" "), "lang")))
+    log.delete(d.where("doc_id % 5 = 0").select("doc_id"))
+    log.upsert(d.where("doc_id % 7 = 1").withColumn("text", F.concat("source", F.lit(" added "), F.coalesce("text", F.lit("")))).withColumn("doc_id", F.col("doc_id") + 10_000_000))
+    return log
+
+
+@query(f"WITH {_CHANGED}, {TERMS}, {RANKED.replace('FROM documents', 'FROM changed')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20")
+def index_upsert(t: Tables) -> DataFrame:
+    """Rankings over an index after batches that replaced, deleted and added documents."""
+    log = _changed_index(t, work_path(t.spark, "lexical-log"))
+    return lx.bm25(log.index(), lx.term_sets(t.benchmark)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TITLE}) AS term FROM d UNION ALL SELECT doc_id, unnest({BODY}) FROM d) GROUP BY term".join(("WITH d AS (SELECT * FROM documents WHERE source <> 'src3' AND doc_id % 4 <> 0) ", "")))
+def index_delete(t: Tables) -> DataFrame:
+    """Terms of an index from which a source's and every fourth document were deleted."""
+    log = segments.LexicalLog(t.spark, work_path(t.spark, "lexical-log"), owner="source", fan=3)
+    log.upsert(t.documents)
+    log.upsert(t.documents.where("false"), purge=t.spark.createDataFrame([("src3",)], "owner string"))
+    log.delete(t.documents.where("doc_id % 4 = 0").select("doc_id"))
+    return log.index().terms
+
+
+@query("SELECT vec_id, label, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM embeddings WHERE label <> 1 OR vec_id % 3 = 0")
+def vector_upsert(t: Tables) -> DataFrame:
+    """Vectors of which every third came again; of one label only those that came again stay."""
+    log = segments.VectorLog(t.spark, work_path(t.spark, "vector-log"), owner="label", fan=2)
+    rows = t.embeddings.withColumn("meta", F.create_map(F.lit("state"), F.lit("old"), F.lit("note"), F.lit(None).cast("string")))
+    again = rows.where("vec_id % 3 = 0").withColumn("meta", F.create_map(F.lit("state"), F.lit("new"), F.lit("note"), F.lit(None).cast("string")))
+    log.upsert(rows, metadata="meta")
+    log.upsert(again.where("label <> 1"), metadata="meta")
+    log.upsert(again.where("label = 1"), purge=True, metadata="meta")
+    return log.rows().where("size(meta) = 1").select("vec_id", "label", F.col("meta")["state"].alias("state"))
+
+
 @query()
 def bm25_mixed_topk(t: Tables) -> DataFrame:
     """The ranking by the full tokenizer: compatibility forms, words with their stems, CJK runs."""

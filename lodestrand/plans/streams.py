@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import seams, stemming
-from lodestrand.functions import text as tx
+from lodestrand.operators import evals
 from lodestrand.operators.bm25 import small
 from lodestrand.operators.chunking import chunk_documents
 from lodestrand.plans.registry import Tables, query
@@ -123,18 +123,34 @@ def embed_seam(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", seams.embedder()(F.col("text")).alias("embedding"))
 
 
+def _evidence(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every eighth question as evidence on a page of each document of its turn, chunks four to a page, and the questions' long words."""
+    chunks = chunk_documents(t.documents).withColumn("page", F.floor(F.col("chunk_index") / 4)).withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("chunk_index"))
+    places = chunks.select("doc_id", "page").distinct().withColumn("turn", F.pmod(F.col("doc_id") + 3 * F.col("page"), F.lit(8)))
+    items = t.benchmark.select("item_id", "text", (F.col("item_id") % 8).alias("turn"))
+    e = places.join(small(items), "turn").select(F.col("item_id").alias("case_id"), (F.col("doc_id") * 100_000 + F.col("page")).alias("idx"), F.col("doc_id").alias("doc"), "page", "text")
+    long = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.length(x) >= 9)
+    return e, chunks.select(F.col("doc_id").alias("doc"), "page", "chunk_id", "chunk_index", "content"), t.benchmark.select(F.col("item_id").alias("case_id"), F.explode(long).alias("keyword"))
+
+
 @query()
 def match_score(t: Tables) -> DataFrame:
-    """Each question's 20 nearest chunks of one source by token F1, scored by the greater of that and the character ratio, which only these need."""
-    q = t.benchmark.select("item_id", tx.evidence_text(F.col("text")).alias("q"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
-    chunks = chunk_documents(t.documents).join(t.documents.select("doc_id", "source"), "doc_id")
-    j = chunks.select("doc_id", "chunk_index", "source", tx.evidence_text(F.col("content")).alias("d")).join(small(q), "source")
-    a, b = F.array_distinct(F.split("q", " ")), F.array_distinct(F.split("d", " "))
-    n = F.size(F.array_intersect(a, b))
-    f1 = 2.0 * n / (F.size(a) + F.size(b))
-    near = Window.partitionBy("item_id").orderBy(F.desc("f1"), "doc_id", "chunk_index")
-    best = j.withColumn("f1", F.round(f1, 9)).withColumn("n", F.row_number().over(near)).where("n <= 20")
-    return best.select("item_id", "doc_id", "chunk_index", F.round(F.greatest("f1", seams.match_ratio("q", "d")), 6).alias("score"))
+    """Every evidence against every chunk of its page: the greater of the words' F1 and the ratio of characters."""
+    e, chunks, _ = _evidence(t)
+    return evals.page_matches(e, chunks).select("case_id", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query()
+def evidence_binding(t: Tables) -> DataFrame:
+    """Evidence bound to its best chunk, or to its page's chunks with a keyword."""
+    e, chunks, keywords = _evidence(t)
+    return evals.evidence_map(e, chunks, keywords)[0].select("case_id", "idx", "chunk_id", F.round("score", 9).alias("score"), "by")
+
+
+@query()
+def evidence_grades(t: Tables) -> DataFrame:
+    e, chunks, keywords = _evidence(t)
+    return evals.evidence_map(e, chunks, keywords)[1]
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(q, '(hello|thanks|hi\\b)') THEN 'direct_answer' WHEN regexp_matches(q, '(compare|versus|why|across)') THEN 'agentic_rag' ELSE 'simple_rag' END AS intent FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS q FROM conversations)")
