@@ -15,6 +15,7 @@ from lodestrand.plans.registry import Tables, query
 from lodestrand.runtime import shared_dir
 from lodestrand.sources import writers
 from lodestrand.streaming import events as sv
+from lodestrand.streaming import stateful
 
 
 def _events(t: Tables) -> DataFrame:
@@ -62,6 +63,32 @@ def stream_breaker(t: Tables) -> DataFrame:
     return sv.run_available(sv.circuit_breaker(e, limit=3, window=12 * hour, opened=3 * hour))
 
 
+@query()
+def stream_permits(t: Tables) -> DataFrame:
+    """A breaker with generations per user: each event is a call that ends some minutes later, an error as a transient failure."""
+    e = _events(t).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("long").alias("call_id"), "ts", "event_type")
+    kind = F.when(F.col("event_type") == "error", "transient").when(F.col("event_type") == "purchase", "fatal").otherwise("success")
+    ends = F.col("ts") + F.make_interval(mins=(F.col("call_id") % 240).cast("int"))
+    steps = F.array(F.struct(F.lit(0).alias("seq"), F.col("ts").alias("at"), F.lit("acquire").alias("kind")), F.struct(F.lit(1).alias("seq"), ends.alias("at"), kind.alias("kind")))
+    calls = e.select("key", "call_id", F.explode(steps).alias("s")).select("key", "call_id", "s.seq", F.col("s.at").alias("ts"), "s.kind").withWatermark("ts", "0 seconds")
+    return sv.run_available(stateful.call_permits(calls, limit=2, window_s=48 * 3600, open_s=6 * 3600), provider=stateful.PROVIDER)
+
+
+@query()
+def stream_compactions(t: Tables) -> DataFrame:
+    """Checkpoints of conversations whose messages outgrow a window of 120 tokens."""
+    c = sv.read_stream(t.spark, f"{t.sf_dir}/conversations.parquet")
+    m = c.select(F.col("conv_id").cast("long").alias("session"), F.col("turn").cast("long").alias("turn"), "role", "text", F.timestamp_seconds(F.col("turn")).alias("ts"))
+    return sv.run_available(stateful.compactions(m, window=120, reserve=20, keep_recent=40), provider=stateful.PROVIDER)
+
+
+@query()
+def stream_retries(t: Tables) -> DataFrame:
+    """Attempts of a user's calls, one for each kind of event, under a deadline of days and a shared budget."""
+    e = _events(t).select(F.col("user_id").cast("string").alias("request"), F.pmod(F.xxhash64("event_type"), F.lit(1000)).alias("call_id"), "ts", F.when(F.col("event_type") == "error", "permanent").when(F.col("value") > 40, "transient").otherwise("success").alias("kind"), F.when(F.col("value") > 180, F.col("value") * 1000).alias("retry_after_ms"))
+    return sv.run_available(stateful.retries(e, most=3, budget=5, timeout_s=20 * 86_400.0), provider=stateful.PROVIDER)
+
+
 @query("SELECT conv_id AS request_id, CAST(count(*) AS BIGINT) AS tokens, string_agg(role, '' ORDER BY turn) AS text, CAST(min(turn) * 10.0 AS DOUBLE) AS first_token_ms, CAST(max(turn) * 10.0 + 5 AS DOUBLE) AS total_ms FROM conversations GROUP BY conv_id")
 def stream_tokens(t: Tables) -> DataFrame:
     """Turns as streamed pieces, with a terminal piece after the last."""

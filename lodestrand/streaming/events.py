@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestrand.runtime import shared_dir
+from lodestrand.runtime import work_path
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -27,10 +27,30 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
-def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is there now through the stream, as a table in the shared folder."""
+@contextlib.contextmanager
+def store_provider(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    """Queries that start inside keep their state by this provider; the session's setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    if provider:
+        spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        if provider:
+            spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def run_available(df: DataFrame, mode: str = "append", provider: str | None = None) -> DataFrame:
+    """All that is there now through the stream, as a table in the shared folder. provider: of the state, if not the session's."""
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = work_path(spark, "stream")
+    with store_provider(spark, provider):
+        _ran(df, mode, base)
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def _ran(df: DataFrame, mode: str, base: str) -> None:
     if mode == "append":
         query = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     else:
@@ -40,7 +60,6 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
 
         query = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
 def transcript(events: DataFrame, delay: str = "1 hour") -> DataFrame:
