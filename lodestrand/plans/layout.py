@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.operators import found_tables
 from lodestrand.operators import layout as lay
+from lodestrand.operators import regions as rg
 from lodestrand.plans.registry import Tables, query
 from lodestrand.plans.tables import _B, _blocks
 from lodestrand.plans.texts import SQZ
@@ -238,3 +240,80 @@ def page_columns(t: Tables) -> DataFrame:
     wide = F.when(two, F.least(F.length("text") * 1.0, F.lit(240.0))).otherwise(F.col("x1") - F.col("x0"))
     b = _blocks(t).withColumn("x0", x0).withColumn("x1", x0 + wide).withColumn("y0", F.when(two, F.floor(o % 8 / 2) * 180.0).otherwise(F.col("y0")))
     return page_columns(b.withColumn("y1", F.col("y0") + 60).withColumn("height", F.lit(720.0)))
+
+
+# ---- boxes against boxes ----
+
+_SHIFT = "x0 + (ord * 37) % 50 AS x0, y0 + (ord * 13) % 40 AS y0, x1 + (ord * 37) % 50 AS x1, y1 + (ord * 29) % 160 AS y1"
+_RB = f"{_B}, bx AS (SELECT doc_id, page, uid, ord, text, {_SHIFT} FROM b WHERE x1 > x0), rg AS (SELECT * FROM bx WHERE ord % 3 = 1), bl AS (SELECT * FROM bx WHERE ord % 3 <> 1)"
+_COMMON = "greatest(least(bl.x1, rg.x1) - greatest(bl.x0, rg.x0), 0) * greatest(least(bl.y1, rg.y1) - greatest(bl.y0, rg.y0), 0)"
+
+
+def _shifted(t: Tables) -> DataFrame:
+    """Lines of documents as boxes moved out of their rows, so that some overlap."""
+    b = _blocks(t).where("x1 > x0")
+    return b.select("doc_id", "page", "uid", "ord", "text", *(F.expr(x) for x in _SHIFT.split(", ")))
+
+
+@query(f"WITH {_RB} SELECT DISTINCT bl.doc_id, bl.page, bl.uid FROM bl JOIN rg USING (doc_id, page) WHERE {_COMMON} > 0 AND {_COMMON} / greatest((bl.x1 - bl.x0) * (bl.y1 - bl.y0), 1.0) >= 0.2")
+def blocks_in_regions(t: Tables) -> DataFrame:
+    """Blocks of which a region of their page covers a fifth."""
+    b = _shifted(t)
+    return rg.within_regions(b.where("ord % 3 <> 1"), b.where("ord % 3 = 1"))
+
+
+@query(f"WITH {_RB} SELECT bl.doc_id, bl.page, bl.uid, round(max({_COMMON} / greatest((bl.x1 - bl.x0) * (bl.y1 - bl.y0), 1.0)), 6) AS most, round(sum({_COMMON} / greatest((bl.x1 - bl.x0) * (bl.y1 - bl.y0), 1.0)), 6) AS total FROM bl JOIN rg ON bl.doc_id = rg.doc_id AND bl.page = rg.page AND least(bl.x1, rg.x1) >= greatest(bl.x0, rg.x0) AND least(bl.y1, rg.y1) >= greatest(bl.y0, rg.y0) GROUP BY ALL")
+def covered_shares(t: Tables) -> DataFrame:
+    b = _shifted(t)
+    return rg.covered_share(b.where("ord % 3 <> 1"), b.where("ord % 3 = 1")).select("doc_id", "page", "uid", F.round("most", 6).alias("most"), F.round("total", 6).alias("total"))
+
+
+@query()
+def drawing_clusters(t: Tables) -> DataFrame:
+    return rg.clusters(_shifted(t).where("ord % 2 = 0"))
+
+
+@query()
+def figure_regions(t: Tables) -> DataFrame:
+    """Every third line of a page as an image, others as drawings or as blocks."""
+    b = _shifted(t)
+    images = b.where("ord % 3 = 0").withColumn("xref", F.col("ord") % 7).withColumn("signature", F.concat(F.lit("s"), (F.col("ord") % 2).cast("string")))
+    blocks = b.where("ord % 3 = 2").withColumn("kind", F.when(F.col("ord") % 4 == 2, "table").otherwise("paragraph"))
+    pages = b.select("doc_id", "page").distinct().select("*", F.lit(600.0).alias("width"), F.lit(720.0).alias("height"))
+    return rg.figures(images, b.where("ord % 3 = 1"), blocks, pages, least=0.001)
+
+
+def _formulas(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of a page in one column: every fourth a formula of its first words, some with a label beside or a number at their end."""
+    b = _blocks(t).where("x1 > x0").withColumn("y0", F.col("ord") % 8 * 60.0).withColumn("y1", F.col("y0") + 20).withColumn("x0", F.lit(50.0)).withColumn("x1", F.lit(250.0)).withColumn("section", F.lit(None).cast("string"))
+    first = F.concat_ws(" = ", F.element_at(F.split("text", " "), 1), F.element_at(F.split("text", " "), -1))
+    numbered_ = F.when(F.col("ord") % 8 == 4, F.concat(first, F.lit(" ("), F.col("page") + 1, F.lit(")"))).otherwise(first)
+    e = b.where("ord % 4 = 0").withColumn("text", numbered_)
+    labels = b.where("ord % 8 = 0").withColumn("uid", F.concat("uid", F.lit("-label"))).withColumn("text", F.concat(F.lit("("), F.col("ord") + 1, F.lit(")"))).withColumn("x0", F.lit(300.0)).withColumn("x1", F.lit(320.0))
+    blocks = e.unionByName(labels).unionByName(b.where("ord % 4 <> 0"))
+    return e, blocks, b.select("doc_id", "page").distinct().withColumn("width", F.lit(280.0))
+
+
+@query()
+def assembled_equations(t: Tables) -> DataFrame:
+    return rg.equations(*_formulas(t))
+
+
+def _tabular(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first twelve words of each page's first line as a table of four rows: ruled, with pipes, below a caption, or bare, by turns of documents."""
+    words = F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, 12)
+    p = _blocks(t).where("ord % 8 = 0").select("doc_id", "page", words.alias("w"), (F.col("doc_id") % 4).alias("turn")).where("size(w) = 12")
+    cells = p.select("doc_id", "page", "turn", F.posexplode("w").alias("i", "text")).withColumn("text", F.concat("text", F.when(F.col("i") < 3, F.col("i").cast("string")).otherwise("")))
+    row, col = F.floor(F.col("i") / 3), F.col("i") % 3
+    apart = cells.where("turn <> 1").select("doc_id", "page", "text", (60 + col * 150.0).alias("x0"), (110 + row * 30.0).alias("y0"), (160 + col * 150.0).alias("x1"), (122 + row * 30.0).alias("y1"))
+    piped = cells.where("turn = 1").groupBy("doc_id", "page", row.alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " | ").alias("text"))
+    piped = piped.select("doc_id", "page", "text", F.lit(60.0).alias("x0"), (110 + F.col("r") * 30.0).alias("y0"), F.lit(460.0).alias("x1"), (122 + F.col("r") * 30.0).alias("y1"))
+    caption = p.where("turn IN (1, 2)").select("doc_id", "page", F.concat(F.lit("Table "), F.col("page") + 1, F.lit(": words")).alias("text"), F.lit(60.0).alias("x0"), F.lit(80.0).alias("y0"), F.lit(200.0).alias("x1"), F.lit(92.0).alias("y1"))
+    at = F.explode(F.array(*[F.struct(F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(x1).alias("x1"), F.lit(y1).alias("y1")) for x0, y0, x1, y1 in [*((50.0 + 150 * i, 100.0, 51.0 + 150 * i, 221.0) for i in range(4)), *((50.0, 100.0 + 30 * i, 501.0, 101.0 + 30 * i) for i in range(5))]]))
+    lines = p.where("turn = 0").select("doc_id", "page", at.alias("l")).select("doc_id", "page", "l.*")
+    return p.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(720.0).alias("height")), apart.unionByName(piped).unionByName(caption), lines
+
+
+@query()
+def table_cascade(t: Tables) -> DataFrame:
+    return found_tables.tables(*_tabular(t))
