@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions.tokens import counter
 from lodestrand.operators.numbering import numbered
 
 
@@ -98,6 +102,66 @@ def shrink_to_budget(items: DataFrame, budget: int, key: str, floor: int = 160)
     return slim.groupBy(key).applyInPandas(fit, slim.schema)
 
 
+def shrinking(locals_: list[int], webs: list[int], groups: list[tuple[int, int]], floor: int) -> Iterator[tuple[str, int, int]]:
+    """Steps that make a judge's payload smaller, in order, as (kind, place, new length; -1: gone).
+
+    locals_ and webs are the lengths of their texts by place; groups tells how many of each
+    belong to each group. From the last text back, local ones are halved down to floor
+    characters, then those of the web; then the last local one of the last group that has
+    any goes, and so on, and then the web's.
+    """
+    for kind, lengths in (("local", locals_), ("web", webs)):
+        for place in range(len(lengths) - 1, -1, -1):
+            n = lengths[place]
+            while n > floor:
+                n = max(floor, n // 2)
+                yield kind, place, n
+    for kind, side in (("local", 0), ("web", 1)):
+        ends = [sum(g[side] for g in groups[: i + 1]) for i in range(len(groups))]
+        for end, g in zip(reversed(ends), reversed(groups)):
+            for place in range(end - 1, end - 1 - g[side], -1):
+                yield kind, place, -1
+
+
+def judge_payloads(candidates: DataFrame, budget: int, tokenizer_path: str | None = None, floor: int = 256, most: int = 1_600, key: str = "case_id") -> DataFrame:
+    """key, grp, kind, ord, content, tokens, fault: what of each case's candidates goes to a judge within a budget of tokens.
+
+    candidates: key, question, grp, kind (`local` or `web`), ord, source, content. The payload is JSON of
+    the question and the groups with their candidates in order, contents cut to `most` characters; its
+    tokens are counted by the vocabulary. While it is over the budget it takes the next step of
+    shrinking(). A case that is over it without any candidate has one row, with the fault
+    `judge_context_too_large`. A case's candidates, which are bounded, are one call.
+    """
+    schema = f"{key} long, grp long, kind string, ord long, content string, tokens long, fault string"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        count = counter(tokenizer_path)
+        case, question = pdf[key].iloc[0], " ".join(str(pdf["question"].iloc[0] or "").split())
+        rows = {k: pdf[pdf["kind"] == k].sort_values(["grp", "ord", "source"]).to_dict("records") for k in ("local", "web")}
+        names = sorted(pdf["grp"].unique().tolist())
+        groups = [tuple(sum(r["grp"] == g for r in rows[k]) for k in ("local", "web")) for g in names]
+        texts = {k: [(r["content"] or "")[:most] for r in rows[k]] for k in rows}
+
+        def size() -> int:
+            part = lambda g, k: [{"source": r["source"], "content": x} for r, x in zip(rows[k], texts[k]) if r["grp"] == g and x is not None]
+            return count(json.dumps({"question": question, "groups": [{"id": int(g), "local": part(g, "local"), "web": part(g, "web")} for g in names]}, ensure_ascii=False, separators=(",", ":")))
+
+        tokens, fault = size(), None
+        steps = shrinking([len(x) for x in texts["local"]], [len(x) for x in texts["web"]], groups, floor)
+        while tokens > budget:
+            if (step := next(steps, None)) is None:
+                fault = "judge_context_too_large"
+                break
+            kind, place, n = step
+            texts[kind][place] = None if n < 0 else texts[kind][place][:n]
+            tokens = size()
+        out = [(case, r["grp"], k, r["ord"], x, tokens, fault) for k in rows for r, x in zip(rows[k], texts[k]) if x is not None]
+        return pd.DataFrame(out or [(case, None, None, None, None, tokens, fault)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    slim = candidates.select(F.col(key).cast("long").alias(key), "question", F.col("grp").cast("long").alias("grp"), "kind", F.col("ord").cast("long").alias("ord"), F.col("source").cast("string").alias("source"), "content")
+    return slim.groupBy(key).applyInPandas(fit, schema)
+
+
 def apply_decisions(decisions: DataFrame, key: str = "pool_id") -> DataFrame:
     """Fold decisions (key, ord, action, target, statement, confidence) into evidence E1, E2, ...
 

@@ -262,10 +262,12 @@ def blocks_in_regions(t: Tables) -> DataFrame:
     return rg.within_regions(b.where("ord % 3 <> 1"), b.where("ord % 3 = 1"))
 
 
-@query(f"WITH {_RB} SELECT bl.doc_id, bl.page, bl.uid, round(max({_COMMON} / greatest((bl.x1 - bl.x0) * (bl.y1 - bl.y0), 1.0)), 6) AS most, round(sum({_COMMON} / greatest((bl.x1 - bl.x0) * (bl.y1 - bl.y0), 1.0)), 6) AS total FROM bl JOIN rg ON bl.doc_id = rg.doc_id AND bl.page = rg.page AND least(bl.x1, rg.x1) >= greatest(bl.x0, rg.x0) AND least(bl.y1, rg.y1) >= greatest(bl.y0, rg.y0) GROUP BY ALL")
-def covered_shares(t: Tables) -> DataFrame:
+@query(f"WITH {_RB} SELECT bl.doc_id, bl.page, bl.uid, count(*) AS n, max({_COMMON}) AS most, sum({_COMMON}) AS total FROM bl JOIN rg ON bl.doc_id = rg.doc_id AND bl.page = rg.page AND least(bl.x1, rg.x1) >= greatest(bl.x0, rg.x0) AND least(bl.y1, rg.y1) >= greatest(bl.y0, rg.y0) GROUP BY ALL")
+def covered_areas(t: Tables) -> DataFrame:
+    """Of each block, how many regions meet it and what they cover."""
     b = _shifted(t)
-    return rg.covered_share(b.where("ord % 3 <> 1"), b.where("ord % 3 = 1")).select("doc_id", "page", "uid", F.round("most", 6).alias("most"), F.round("total", 6).alias("total"))
+    found = rg.meeting(b.where("ord % 3 <> 1"), b.where("ord % 3 = 1"))
+    return found.groupBy("doc_id", "page", F.col("a_uid").alias("uid")).agg(F.count(F.lit(1)).alias("n"), F.max("common").alias("most"), F.sum("common").alias("total"))
 
 
 @query()

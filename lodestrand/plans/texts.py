@@ -9,6 +9,7 @@ from lodestrand.functions import contracts as ct
 from lodestrand.functions import text as tx
 from lodestrand.operators import quality, structure, vectors
 from lodestrand.operators.chunking import chunk_blocks, chunk_documents
+from lodestrand.operators.token_chunks import Sizes, chunk_by_tokens
 from lodestrand.plans.registry import Tables, query
 from lodestrand.sources import readers
 
@@ -285,6 +286,20 @@ def structure_chunks(t: Tables) -> DataFrame:
     return chunk_blocks(lines.withColumn("section", F.concat(F.lit("part "), F.floor(F.col("ord") / 10).cast("string"))))
 
 
+@query()
+def token_chunks(t: Tables) -> DataFrame:
+    """Chunks by a public vocabulary's tokens: lines as blocks of sections, every ninth one a reference, eight lines a page."""
+    import public_tokenizers
+
+    lines = t.documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "text"))
+    section = F.floor(F.col("ord") / 16).cast("string")
+    b = lines.select(
+        "doc_id", "ord", F.concat_ws(":", "doc_id", "ord").alias("uid"), F.when(F.col("ord") % 9 == 8, "reference").otherwise("paragraph").alias("kind"), F.concat(F.lit("s"), section).alias("section_uid"),
+        F.concat(F.lit("Part "), section).alias("section"), F.lit(None).cast("string").alias("subsection"), F.floor(F.col("ord") / 8).alias("page"), "text", F.lit(0.0).alias("x0"), (F.col("ord") % 8 * 90.0).alias("y0"), F.lit(600.0).alias("x1"), (F.col("ord") % 8 * 90.0 + 40).alias("y1"),
+    )
+    return chunk_by_tokens(b, public_tokenizers.path("byte_bpe_50k.json"), Sizes(80, 20, 128, 0.12)).select("doc_id", "chunk_uid", "section", "content", "tokens", "block_uids", "page_start", "page_end")
+
+
 @query("SELECT page_id, 0 AS table_no, ['key', 'key_2', 'url'] AS columns, [[CAST(page_id AS VARCHAR), CAST(page_id AS VARCHAR), '<' || length(url)], [CAST(page_id AS VARCHAR), 'x', '<' || length(url)]] AS rows FROM pages")
 def html_tables(t: Tables) -> DataFrame:
     """Every page with a table behind its own content: a header over two columns, a cell over two columns and cells over two rows."""
