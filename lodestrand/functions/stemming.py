@@ -7,9 +7,11 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.functions.segment import Segmenter
 from lodestrand.functions.text import CJK_PATTERN, WORD_PATTERN
 
 # Fixed values of the published English stemmer: exceptional forms, doubles, suffix lists.
@@ -125,8 +127,8 @@ def stem(word: str) -> str:
 _WORD, _CJK = re.compile(WORD_PATTERN), re.compile(CJK_PATTERN)
 
 
-def mixed_tokens(text: str | None, distinct: bool = True) -> list[str]:
-    """Words with their stems, then CJK runs as bigrams; first occurrences only if distinct."""
+def mixed_tokens(text: str | None, distinct: bool = True, segmenter: Segmenter | None = None) -> list[str]:
+    """Words with their stems, then CJK runs as a segmenter's words, or as bigrams without one; first occurrences only if distinct."""
     t = unicodedata.normalize("NFKC", text or "")
     out: list[str] = []
     for w in _WORD.findall(t):
@@ -134,11 +136,25 @@ def mixed_tokens(text: str | None, distinct: bool = True) -> list[str]:
         out.append(w)
         if w.isalpha() and len(w) > 3 and (s := stem(w)) != w:
             out.append(s)
-    for run in _CJK.findall(t):
+    for run in _CJK.findall(t) if segmenter is None else ():
         out += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
+    if segmenter is not None:
+        out += segmenter.words(t)
     return list(dict.fromkeys(out)) if distinct else out
 
 
+def tokens_by(spark: SparkSession, words: dict[str, int] | None, distinct: bool = False):
+    """A column function from text to its tokens, with CJK runs cut by a vocabulary (functions/segment.py), if given."""
+    value = spark.sparkContext.broadcast(words) if words else None
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(text: pd.Series) -> pd.Series:
+        segmenter = Segmenter(value.value) if value is not None else None
+        return text.map(lambda x: mixed_tokens(x, distinct, segmenter))
+
+    return run
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def mixed_tokens_udf(text: pd.Series) -> pd.Series:
     return text.map(mixed_tokens)

@@ -29,12 +29,13 @@ BROADCAST_ROWS = 100_000
 PUSHED_TERMS = 1_000
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = "source", text_col: str = "text", mixed: bool = False) -> DataFrame:
-    """doc_id, title and body token arrays: plain words, or with mixed the full tokenizer (NFKC, stems, CJK)."""
+def tokens(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = "source", text_col: str = "text", mixed: bool = False, words: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, title and body token arrays: plain words, or with mixed the full tokenizer (NFKC, stems, CJK by a vocabulary if given)."""
     if mixed:
-        from lodestrand.functions.stemming import all_tokens
+        from lodestrand.functions.stemming import tokens_by
 
-        split = lambda name: all_tokens(F.col(name))
+        by = tokens_by(docs.sparkSession, words)
+        split = lambda name: by(F.col(name))
     else:
         split = lambda name: tx.word_tokens(F.col(name))
     title = split(title_col) if title_col else F.array().cast("array<string>")
@@ -75,15 +76,23 @@ class Index:
     postings: DataFrame  # term, doc_id, length, tf_title, tf_body
     terms: DataFrame  # term, df
     stats: DataFrame  # n_docs, avgdl: one row
+    words: dict[str, int] | None = None  # what CJK runs were cut by
 
     @classmethod
-    def of(cls, docs: DataFrame, **columns) -> Index:
-        """Of documents as they are; nothing is stored."""
+    def of(cls, docs: DataFrame, segment: bool = False, **columns) -> Index:
+        """Of documents as they are; nothing is stored. With segment, CJK runs are cut by a vocabulary that the documents' texts give."""
+        words = None
+        if segment:
+            from lodestrand.functions.segment import vocabulary
+            from lodestrand.functions.stemming import nfkc
+
+            words = vocabulary(docs.select(nfkc(F.col(columns.get("text_col", "text"))).alias("text")))
+            columns = {**columns, "mixed": True, "words": words}
         read = tokens(docs, **columns).withColumn("length", F.size("title") + F.size("body"))
         each = read.select("doc_id", "length", F.explode(_fields()).alias("x")).select("doc_id", "length", "x.*")
         found = each.groupBy("term", "doc_id", "length").agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
         stats = read.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
-        return cls(found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+        return cls(found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, words)
 
     def save(self, path: str) -> Index:
         """Write the index and read it back; postings lie in order of terms, so a scan for a few terms skips the rest."""
@@ -91,12 +100,17 @@ class Index:
         self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        if self.words is not None:
+            spark.createDataFrame(list(self.words.items()), "word string, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/words")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")  # last: an index with statistics is whole
         return Index.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")))
+        words = None
+        if "words" in versions.listed(spark, path):  # at most segment.WORDS and the script's characters
+            words = {r[0]: r[1] for r in spark.read.schema("word string, n long").parquet(f"{path}/words").collect()}
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")), words)
 
     @classmethod
     def stored(cls, docs: DataFrame, **columns) -> Index:
@@ -163,12 +177,12 @@ def bm25(source: DataFrame | Index, terms: DataFrame, top_k: int = 20, scope: Da
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def term_sets(queries: DataFrame, n: int = 8, id_col: str = "item_id", text_col: str = "text", mixed: bool = False) -> DataFrame:
-    """query_id, set_id 1, term: the first n distinct tokens of each query."""
+def term_sets(queries: DataFrame, n: int = 8, id_col: str = "item_id", text_col: str = "text", mixed: bool = False, words: dict[str, int] | None = None) -> DataFrame:
+    """query_id, set_id 1, term: the first n distinct tokens of each query; words are those of the index, if it has any."""
     if mixed:
-        from lodestrand.functions.stemming import mixed_tokens_udf
+        from lodestrand.functions.stemming import tokens_by
 
-        terms = F.slice(mixed_tokens_udf(F.col(text_col)), 1, n)
+        terms = F.slice(tokens_by(queries.sparkSession, words, True)(F.col(text_col)), 1, n)
     else:
         terms = tx.query_terms(F.col(text_col), n)
     return queries.select(F.col(id_col).alias("query_id"), F.lit(1).alias("set_id"), F.explode(terms).alias("term"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -128,8 +129,8 @@ def judge_payloads(candidates: DataFrame, budget: int, tokenizer_path: str | Non
 
     candidates: key, question, grp, kind (`local` or `web`), ord, source, content. The payload is JSON of
     the question and the groups with their candidates in order, contents cut to `most` characters; its
-    tokens are counted by the vocabulary. While it is over the budget it takes the next step of
-    shrinking(). A case that is over it without any candidate has one row, with the fault
+    tokens are counted by the vocabulary. It takes as few steps of shrinking() as bring it into
+    the budget, found by bisection, as a step never adds tokens. A case that is over it without any candidate has one row, with the fault
     `judge_context_too_large`. A case's candidates, which are bounded, are one call.
     """
     schema = f"{key} long, grp long, kind string, ord long, content string, tokens long, fault string"
@@ -140,21 +141,23 @@ def judge_payloads(candidates: DataFrame, budget: int, tokenizer_path: str | Non
         rows = {k: pdf[pdf["kind"] == k].sort_values(["grp", "ord", "source"]).to_dict("records") for k in ("local", "web")}
         names = sorted(pdf["grp"].unique().tolist())
         groups = [tuple(sum(r["grp"] == g for r in rows[k]) for k in ("local", "web")) for g in names]
-        texts = {k: [(r["content"] or "")[:most] for r in rows[k]] for k in rows}
+        whole = {k: [(r["content"] or "")[:most] for r in rows[k]] for k in rows}
+        steps = list(shrinking([len(x) for x in whole["local"]], [len(x) for x in whole["web"]], groups, floor))
 
-        def size() -> int:
+        def after(n: int) -> dict[str, list[str | None]]:
+            texts = {k: list(x) for k, x in whole.items()}
+            for kind, place, length in steps[:n]:
+                texts[kind][place] = None if length < 0 else whole[kind][place][:length]
+            return texts
+
+        def size(n: int) -> int:
+            texts = after(n)
             part = lambda g, k: [{"source": r["source"], "content": x} for r, x in zip(rows[k], texts[k]) if r["grp"] == g and x is not None]
             return count(json.dumps({"question": question, "groups": [{"id": int(g), "local": part(g, "local"), "web": part(g, "web")} for g in names]}, ensure_ascii=False, separators=(",", ":")))
 
-        tokens, fault = size(), None
-        steps = shrinking([len(x) for x in texts["local"]], [len(x) for x in texts["web"]], groups, floor)
-        while tokens > budget:
-            if (step := next(steps, None)) is None:
-                fault = "judge_context_too_large"
-                break
-            kind, place, n = step
-            texts[kind][place] = None if n < 0 else texts[kind][place][:n]
-            tokens = size()
+        taken = bisect_left(range(len(steps)), True, key=lambda n: size(n) <= budget)
+        texts, tokens = after(taken), size(taken)
+        fault = "judge_context_too_large" if tokens > budget else None
         out = [(case, r["grp"], k, r["ord"], x, tokens, fault) for k in rows for r, x in zip(rows[k], texts[k]) if x is not None]
         return pd.DataFrame(out or [(case, None, None, None, None, tokens, fault)], columns=[c.split()[0] for c in schema.split(", ")])
 

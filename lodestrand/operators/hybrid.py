@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.operators.fusion import RRF_K, late_rows, rerank_merge, rrf
+from lodestrand.runtime import materialize
 
 MODES = ("bm25", "vector", "hybrid")
 
@@ -58,6 +59,7 @@ def hybrid_search(
     cut = stored.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= candidates).drop("__n")
     if reranker is None:
         return cut.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= limit)
+    cut = materialize(cut, "candidates")  # a few rows a query, which the reranker and the merge with it read
     scored = rerank_merge(cut.withColumnRenamed("fusion_rank", "rank"), reranker(cut), top_k=limit)
     return scored.withColumnRenamed("rank", "fusion_rank")
 

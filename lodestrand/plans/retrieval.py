@@ -144,14 +144,16 @@ def vector_upsert(t: Tables) -> DataFrame:
 
 @query()
 def bm25_mixed_topk(t: Tables) -> DataFrame:
-    """The ranking by the full tokenizer: compatibility forms, words with their stems, CJK runs."""
-    return lx.bm25(lx.Index.stored(t.documents, mixed=True), lx.term_sets(t.benchmark, mixed=True)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """The ranking by the full tokenizer: compatibility forms, words with their stems, CJK runs cut by the corpus's own vocabulary."""
+    index = lx.Index.stored(t.documents, segment=True)
+    return lx.bm25(index, lx.term_sets(t.benchmark, mixed=True, words=index.words)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def hybrid_mixed(t: Tables) -> DataFrame:
     """Hybrid retrieval with the full tokenizer in the lexical channel."""
-    lexical = lx.bm25(lx.Index.stored(t.documents, mixed=True), lx.term_sets(t.benchmark, mixed=True)).withColumnRenamed("set_id", "list_id")
+    index = lx.Index.stored(t.documents, segment=True)
+    lexical = lx.bm25(index, lx.term_sets(t.benchmark, mixed=True, words=index.words)).withColumnRenamed("set_id", "list_id")
     semantic = vectors.nearest(t.embeddings, vector_queries(t)).select("query_id", F.lit(0).alias("list_id"), F.col("vec_id").alias("doc_id"), "rank")
     out = hybrid.hybrid_search(hybrid.channels(lexical, semantic), t.documents.select("doc_id", "lang", "n_chars"), places=True)
     return out.select("query_id", "doc_id", "fusion_rank", "final_rank", "lang", "n_chars")
