@@ -409,6 +409,22 @@ def _findings(t: Tables):
     return loop.research(claims, loop.index_retriever(lx.Index.stored(t.documents)), loop.overlap_judge(t.documents.select("doc_id", "text")))
 
 
+@query()
+def agent_trace(t: Tables) -> DataFrame:
+    """What a client is told of a user's events, as agent events of every kind in turn with fields of several kinds."""
+    from lodestrand.operators import trace
+
+    kinds = [*trace.KINDS, "model_start", "private"]
+    i = F.col("event_id")
+    data = F.to_json(F.struct(
+        F.when(i % 4 != 1, i % 5).alias("round"), F.when(i % 3 == 0, "error").when(i % 3 == 1, "ok").alias("status"), F.col("event_type").alias("tool"), F.concat(F.lit("call-"), i).alias("call_id"), F.col("event_type").alias("error_category"),
+        F.repeat(F.col("event_type"), 300).alias("query"), F.col("value").alias("timing_ms"), (i % 7).cast("string").alias("provider_attempts"), F.array(i, i % 3, i, F.lit(0)).alias("chunk_ids"), F.array(F.lit(9), i, i % 4).alias("returned_document_ids"), F.array(F.lit("c1"), F.lit("c2")).alias("claim_ids"),
+        (i % 9).alias("count"), F.when(i % 2 == 0, "completed").otherwise("stalled").alias("completion_status"), F.lit("never told").alias("secret"), F.array(F.lit("finish_research"), F.lit("other")).alias("terminal_tool_names"), F.lit("no_tool_call").alias("terminal_response_category"), (i % 6).alias("terminal_tool_count"),
+    ))
+    e = t.events.select(F.col("user_id").alias("session_id"), i.alias("ord"), F.element_at(F.array(*map(F.lit, kinds)), (i % len(kinds) + 1).cast("int")).alias("kind"), data.alias("data"))
+    return trace.told(e)
+
+
 @query()
 def judge_budget(t: Tables) -> DataFrame:
     """The best 20 documents of each question in three groups, the lower ten as from the web, shrunk to 900 tokens of a public vocabulary."""
