@@ -63,12 +63,13 @@ def split(rows: DataFrame, group: str, key: str, parts: int = 3) -> DataFrame:
     return placed.join(small(groups), group).withColumn("part", F.when(F.col("i") % parts == F.col("g") % parts, "test").otherwise("dev")).drop("g", "i")
 
 
-def parse_warnings(reported: DataFrame, pages: DataFrame, blocks: DataFrame, chunks: DataFrame, elements: DataFrame, references: DataFrame) -> DataFrame:
+def parse_warnings(reported: DataFrame, pages: DataFrame, blocks: DataFrame, chunks: DataFrame, elements: DataFrame, references: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """doc_id, code, page, uid of what is amiss in parsed documents, each once.
 
     reported: doc_id, pages, chars (of body text); pages: doc_id, page, width, height; blocks:
     doc_id, page, uid, source_index, x0, y0, x1, y1, text; chunks: doc_id, uid, text, sections;
     elements: doc_id, page, uid, type, status, caption; references: doc_id, page, uid, status.
+    With images (doc_id, path of what is there), elements also have an image_path, null where they have none.
     """
     row = lambda df, code, page=F.lit(None), uid=F.lit(None): df.select("doc_id", F.lit(code).alias("code"), page.cast("int").alias("page"), uid.cast("string").alias("uid"))
     per = pages.groupBy("doc_id").agg(F.count_distinct("page").alias("there"))
@@ -94,6 +95,9 @@ def parse_warnings(reported: DataFrame, pages: DataFrame, blocks: DataFrame, chu
         row(elements.where(F.col("type").isin("figure", "table") & (F.trim(F.coalesce("caption", F.lit(""))) == "")), "missing_caption", F.col("page"), F.col("uid")),
         row(references.where("status <> 'resolved'"), "unresolved_reference", F.col("page"), F.col("uid")),
     ]
+    if images is not None:
+        lost = elements.where("image_path IS NOT NULL").join(images.select("doc_id", F.col("path").alias("image_path")), ["doc_id", "image_path"], "left_anti")
+        parts.append(row(lost, "missing_element_image", F.col("page"), F.col("uid")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -194,6 +194,22 @@ def parse_warnings(t: Tables) -> DataFrame:
     return quality.parse_warnings(reported, pages, blocks, chunks, elements, references)
 
 
+@query(f"WITH {_B} SELECT doc_id, 'missing_element_image' AS code, page, uid FROM b WHERE ord % 4 = 1 AND ord % 3 <> 0")
+def missing_images(t: Tables) -> DataFrame:
+    """Every fourth line as a figure with an image, of which two in three are not there any more."""
+    from lodestrand.operators import quality
+
+    b, none = _blocks(t), t.documents.where("false")
+    e = b.where("ord % 4 = 1").select("doc_id", "page", "uid", F.lit("figure").alias("type"), F.lit("success").alias("status"), F.lit("Figure").alias("caption"), F.concat("uid", F.lit(".png")).alias("image_path"))
+    there = b.where("ord % 3 = 0").select("doc_id", F.concat("uid", F.lit(".png")).alias("path"))
+    nothing = lambda *columns: none.select("doc_id", *(F.lit(None).cast(kind).alias(n) for n, kind in columns))
+    boxes = [(s, "double") for s in ("x0", "y0", "x1", "y1")]
+    return quality.parse_warnings(
+        nothing(("pages", "int"), ("chars", "int")), nothing(("page", "int"), ("width", "double"), ("height", "double")), nothing(("page", "int"), ("uid", "string"), ("source_index", "int"), *boxes, ("text", "string")),
+        nothing(("uid", "string"), ("text", "string"), ("sections", "array<string>")), e, nothing(("page", "int"), ("uid", "string"), ("status", "string")), there,
+    )
+
+
 _KINDED = """CASE ord % 12 WHEN 0 THEN (ord % 3 + 1) || '.' || (ord % 2 + 1) || ' ' || substring(text, 1, 20) WHEN 1 THEN 'Figure ' || ord || ': ' || text WHEN 2 THEN 'Table IV ' || text WHEN 3 THEN 'Summary:' WHEN 4 THEN '(2) ' || text
 WHEN 5 THEN '- ' || substring(text, 1, 12) WHEN 6 THEN 'y = x (' || ord || ')' WHEN 7 THEN '[3] ' || substring(text, 1, 12) WHEN 8 THEN 'Related Work' WHEN 9 THEN 'a | b | c' ELSE text END"""
 _KT = SQZ.format(c="line")
