@@ -56,3 +56,48 @@ def test_every_operator_is_registered():
 
     names = set(__spark_entry__.queries())
     assert {m[0] for n in names if (m := re.match(r"op\d+", n))} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """The whole run over a table with exact, near and leaking documents, stage by stage in plain code, to the pieces' ids."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from test_dedup import brute_components
+    from test_models import plain_matches
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where(F.length("text") < 4_000)
+    rows = [tuple(r) for r in docs.collect()]
+    more = [(10_000 + i, t, "en", "s", len(t)) for i, t in enumerate([rows[0][1], rows[3][1] + " one more word", f"Before it. {items[0][1]} After it.", "12 34", " ".join(items[1][1].split()[: len(items[1][1].split()) // 2]) + " and so on"])]
+    more += [(20_000, None, "en", "s", None), (20_001, "", None, "s", 0)]
+    rows += more
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "in" / "benchmark.parquet"))
+
+    kept = [(r[0], r[1]) for r in rows if any(ch.isalpha() for ch in r[1] or "")]
+    last = {}
+    for d, t in kept:
+        last[t] = max(last.get(t, -1), d)
+    kept = [(d, t) for d, t in kept if last[t] == d]
+    kept = [(d, t) for d, t in kept if (d, d) in {(x[0], x[2]) for x in brute_components(kept, 5, 80)}]
+    leaks = {d for d, _ in plain_matches(kept, items)}
+    kept = [(d, t) for d, t in kept if d not in leaks]
+    assert leaks and len(kept) < len(rows) - 10
+
+    pieces = {}
+    for p in corpus_pipeline.run(spark, str(tmp_path / "in")).collect():
+        pieces.setdefault(p.doc_id, []).append(p)
+    assert pieces.keys() == {d for d, _ in kept}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for d, t in kept:
+        ids, at = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4"), 0
+        for p in sorted(pieces[d], key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
