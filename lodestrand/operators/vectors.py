@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.operators.bm25 import small
-from lodestrand.runtime import ship
+from lodestrand.runtime import materialize, ship
 
 #: Queries that are compared with a batch of vectors at a time, and that one broadcast holds.
 QUERY_BLOCK, QUERY_ROWS = 512, 50_000
@@ -46,12 +46,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = 15, id_col: str
     pairs = None
     for i in range(parts):
         table = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).toArrow().combine_chunks()
-        found = slim.mapInArrow(_best(_Queries.of(vectors.sparkSession, table, same is not None), top_k), "query_id bigint, vec_id bigint, similarity double")
+        value = _Queries.of(vectors.sparkSession, table, same is not None)
+        found = slim.mapInArrow(_best(value, top_k), "query_id bigint, vec_id bigint, similarity double")
+        if parts > 1:  # one block of queries is alive at a time
+            found = materialize(_cut(found, top_k).drop("rank"), "nearest")
+            value.destroy()
         pairs = found if pairs is None else pairs.unionByName(found)
+    return _cut(pairs, top_k)
+
+
+def _cut(pairs: DataFrame, top_k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
+def faults(vectors: DataFrame, width: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, fault of vectors that a ranking can't use: `null`, `width` (another number of values), `value` (null, infinite or no number), `zero`, and `repeated` ids."""
+    v = F.col(vector_col)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fault = F.when(v.isNull(), "null").when(F.size(v) != width, "width").when(bad, "value").when(~F.exists(v, lambda x: x != 0), "zero")
+    own = vectors.select(F.col(id_col).alias("vec_id"), fault.alias("fault")).where("fault IS NOT NULL")
+    return own.unionByName(vectors.groupBy(F.col(id_col).alias("vec_id")).count().where("count > 1").select("vec_id", F.lit("repeated").alias("fault")))
+
+
 @dataclass
 class _Queries:
     ids: np.ndarray

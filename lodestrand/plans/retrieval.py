@@ -181,6 +181,21 @@ def vector_topk(t: Tables) -> DataFrame:
     return vectors.nearest(t.embeddings, q).withColumn("similarity", F.round("similarity", 6))
 
 
+_SPOILT = """v AS (SELECT vec_id, CASE vec_id % 11 WHEN 3 THEN NULL WHEN 4 THEN e[1:5] WHEN 5 THEN list_transform(e, lambda x: 0.0) WHEN 6 THEN list_transform(e, lambda x: CASE WHEN x > 0 THEN NULL ELSE x END) ELSE e END AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+w AS (SELECT max(len(embedding)) AS w FROM embeddings)"""
+
+
+@query(f"WITH {_SPOILT} SELECT vec_id, fault FROM (SELECT vec_id, CASE WHEN v IS NULL THEN 'null' WHEN len(v) <> w THEN 'width' WHEN len(list_filter(v, lambda x: x IS NULL)) > 0 THEN 'value' WHEN len(list_filter(v, lambda x: x <> 0)) = 0 THEN 'zero' END AS fault FROM v, w) WHERE fault IS NOT NULL UNION ALL SELECT vec_id, 'repeated' FROM embeddings WHERE vec_id % 17 = 2")
+def vector_faults(t: Tables) -> DataFrame:
+    """Vectors of which some are null, short, zero or have a hole, and some come twice."""
+    e, i = t.embeddings, F.col("vec_id") % 11
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    v = F.col("embedding")
+    spoilt = F.when(i == 3, None).when(i == 4, F.slice(v, 1, 5)).when(i == 5, F.transform(v, lambda x: x * 0)).when(i == 6, F.transform(v, lambda x: F.when(x > 0, None).otherwise(x))).otherwise(v)
+    rows = e.withColumn("embedding", spoilt)
+    return vectors.faults(rows.unionByName(rows.where("vec_id % 17 = 2 AND vec_id % 11 NOT IN (3, 4, 5, 6)")).unionByName(e.where("vec_id % 17 = 2 AND vec_id % 11 IN (3, 4, 5, 6)")), width)
+
+
 @query(f"WITH {VEC}, q AS (SELECT vec_id AS query_id, v, label FROM e WHERE vec_id % 100 = 0) SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT q.query_id, e.vec_id, {SIM} AS similarity FROM q JOIN e ON q.label = e.label)) WHERE rank <= 15")
 def vector_scoped_topk(t: Tables) -> DataFrame:
     """As vector_topk, with the filter on the label before the ranking."""
