@@ -65,6 +65,38 @@ def evidence_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: " ".join(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", t or "").casefold())))
 
 
+def caption_description(path: str, caption: str) -> str:
+    """What can be said of a figure without a model: its caption, in one line of 200 characters at most."""
+    line = " ".join(caption.split())
+    if not line:
+        raise ValueError("nothing is known of the figure")
+    return f"Figure: {line}"[:200]
+
+
+def describer(describe: Callable[[str, str], str] = caption_description):
+    """A column function from an image's path and caption to struct(text, error); one figure's failure leaves the others alone.
+
+    error is `no_image` without a path, `empty` for a description without text, or the kind of error that
+    describe raised.
+    """
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+    def run(path: pd.Series, caption: pd.Series) -> pd.DataFrame:
+        out: list[tuple[str | None, str | None]] = []
+        for p, c in zip(path, caption):
+            if not p:
+                out.append((None, "no_image"))
+                continue
+            try:
+                text = (describe(p, c or "") or "").strip()
+                out.append((text, None) if text else (None, "empty"))
+            except Exception as e:  # whatever a model raises is told of its figure alone
+                out.append((None, type(e).__name__))
+        return pd.DataFrame(out, columns=["text", "error"])
+
+    return run
+
+
 def keyword_router(question):
     """Intent by keywords, where no router model is at hand."""
     q = F.lower(F.coalesce(question, F.lit("")))

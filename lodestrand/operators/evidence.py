@@ -103,6 +103,13 @@ def shrink_to_budget(items: DataFrame, budget: int, key: str, floor: int = 160)
     return slim.groupBy(key).applyInPandas(fit, slim.schema)
 
 
+def compressed(items: DataFrame, key: str, n: int = 5, chars: int = 260) -> DataFrame:
+    """key, place, source, excerpt: the n items (key, ord, source, score, content) of the best score of each group, ties as they came, their text in one line and cut."""
+    w = Window.partitionBy(key).orderBy(F.coalesce("score", F.lit(0.0)).desc(), "ord")
+    line = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " "))
+    return items.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(key, "place", "source", F.substring(line, 1, chars).alias("excerpt"))
+
+
 def shrinking(locals_: list[int], webs: list[int], groups: list[tuple[int, int]], floor: int) -> Iterator[tuple[str, int, int]]:
     """Steps that make a judge's payload smaller, in order, as (kind, place, new length; -1: gone).
 

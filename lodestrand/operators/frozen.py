@@ -85,6 +85,11 @@ def adoption(hits: DataFrame, errors: DataFrame) -> DataFrame:
     return gates.withColumn("adopt", F.col("final_hit5_improves") & F.col("final_hit20_non_decreasing") & F.col("zero_rewrite_rerank_errors"))
 
 
+def chunk_candidates(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Stored chunks (chunk_id, document_id, page_number, chunk_index, content) as candidates, with the title of their document (document_id, title); chunks without one go."""
+    return chunks.join(documents.select("document_id", "title"), "document_id").select("chunk_id", "document_id", "title", "page_number", "chunk_index", "content")
+
+
 def web_sources(papers: DataFrame) -> DataFrame:
     """Papers (title, authors, summary, published, entry_url, pdf_url) that can be cited: with a title and an entry URL, one row for each URL (the least title)."""
     there = papers.where("trim(coalesce(title, '')) <> '' AND trim(coalesce(entry_url, '')) <> ''")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
+from lodestrand.operators import evidence
 from lodestrand.operators import frozen as fz
 from lodestrand.operators import gold as gd
 from lodestrand.plans.layout import _MARGIN
@@ -85,6 +86,15 @@ def adoption_gates(t: Tables) -> DataFrame:
     return fz.adoption(_hits(t), t.events.where("event_type = 'none'"))
 
 
+@query("SELECT d.doc_id AS chunk_id, d.doc_id // 3 AS document_id, p.url AS title, d.doc_id % 3 AS page_number, d.doc_id % 3 AS chunk_index, length(coalesce(d.text, '')) AS chars FROM documents d JOIN pages p ON p.page_id = d.doc_id // 3")
+def chunk_candidates(t: Tables) -> DataFrame:
+    """Three documents as chunks of one page's document; those whose page is not there go."""
+    i = F.col("doc_id")
+    chunks = t.documents.select(i.alias("chunk_id"), F.floor(i / 3).alias("document_id"), (i % 3).alias("page_number"), (i % 3).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("content"))
+    found = fz.chunk_candidates(chunks, t.pages.select(F.col("page_id").alias("document_id"), F.col("url").alias("title")))
+    return found.withColumn("chars", F.length("content")).drop("content")
+
+
 @query("SELECT url AS entry_url, min(page_id) AS page_id, min(lpad(CAST(page_id AS VARCHAR), 9, '0')) AS title FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN regexp_replace(url, '[0-9]+', '') WHEN page_id % 11 = 3 THEN ' ' ELSE url END AS url FROM pages WHERE page_id % 13 <> 2) WHERE trim(url) <> '' GROUP BY url")
 def web_sources(t: Tables) -> DataFrame:
     """Pages as papers: some without a title or a URL, some of one URL."""
@@ -170,3 +180,14 @@ def gold_case_faults(t: Tables) -> DataFrame:
 )
 def gold_dataset_faults(t: Tables) -> DataFrame:
     return gd.dataset_faults(*_gold(t))
+
+
+@query(
+    r"""WITH s AS (SELECT source AS case_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(CASE WHEN doc_id % 9 = 0 THEN NULL ELSE n_chars % 50 / 10.0 END, 0.0) DESC, doc_id) AS place, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS line FROM documents)
+    SELECT case_id, place, doc_id AS source, substring(line, 1, 260) AS excerpt FROM s WHERE place <= 5"""
+)
+def compressed_evidence(t: Tables) -> DataFrame:
+    """The five best documents of each source, some without a score and many with equal ones."""
+    score = F.when(F.col("doc_id") % 9 != 0, (F.col("n_chars") % 50) / 10.0)
+    items = t.documents.select(F.col("source").alias("case_id"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("source"), score.alias("score"), F.col("text").alias("content"))
+    return evidence.compressed(items, "case_id")

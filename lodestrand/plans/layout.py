@@ -210,6 +210,20 @@ def missing_images(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {_B}, f AS (SELECT doc_id, uid, CASE WHEN ord % 5 <> 3 THEN uid || '.png' END AS path, CASE WHEN ord % 7 = 2 THEN ' ' ELSE text END AS caption FROM b WHERE ord % 4 = 1), s AS (SELECT *, trim(regexp_replace(caption, '[ \t\n\r\f\x0B\x1C-\x1F\x85\xA0]+', ' ', 'g')) AS line FROM f)
+    SELECT uid, CASE WHEN path IS NOT NULL AND line <> '' THEN rtrim(substring('Figure: ' || line, 1, 200)) END AS text, CASE WHEN path IS NULL THEN 'no_image' WHEN line = '' THEN 'ValueError' END AS error, CASE WHEN path IS NULL OR line = '' THEN 'pending' ELSE 'described' END AS state FROM s"""
+)
+def described_figures(t: Tables) -> DataFrame:
+    """Every fourth line as a figure with its caption, some without an image and some of which nothing is known: those stay pending."""
+    from lodestrand.functions import seams
+
+    o = F.col("ord")
+    f = _blocks(t).where("ord % 4 = 1").select("uid", F.when(o % 5 != 3, F.concat("uid", F.lit(".png"))).alias("path"), F.when(o % 7 == 2, " ").otherwise(F.col("text")).alias("caption"))
+    d = f.select("uid", seams.describer()("path", "caption").alias("d"))
+    return d.select("uid", F.col("d.text").alias("text"), F.col("d.error").alias("error"), F.when(F.col("d.error").isNull(), "described").otherwise("pending").alias("state"))
+
+
 _KINDED = """CASE ord % 12 WHEN 0 THEN (ord % 3 + 1) || '.' || (ord % 2 + 1) || ' ' || substring(text, 1, 20) WHEN 1 THEN 'Figure ' || ord || ': ' || text WHEN 2 THEN 'Table IV ' || text WHEN 3 THEN 'Summary:' WHEN 4 THEN '(2) ' || text
 WHEN 5 THEN '- ' || substring(text, 1, 12) WHEN 6 THEN 'y = x (' || ord || ')' WHEN 7 THEN '[3] ' || substring(text, 1, 12) WHEN 8 THEN 'Related Work' WHEN 9 THEN 'a | b | c' ELSE text END"""
 _KT = SQZ.format(c="line")
