@@ -117,9 +117,9 @@ def bucket_counts(rows: DataFrame, text: Column, n_buckets: int = 10_000, depth:
         yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
 
     vectors = rows.select(text.cast("string").alias("text")).mapInArrow(wordcore.tidy(counted), "counts binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64))
-    if not vectors.getNumPartitions():
+    if not vectors.getNumPartitions():  # else every task gives a vector, though of zeros
         return np.zeros(n_buckets, np.int64)
-    return vectors.treeAggregate(np.zeros(n_buckets, np.int64), lambda a, b: a + b, lambda a, b: a + b, depth)
+    return vectors.treeReduce(lambda a, b: a + b, depth)
 
 
 def gains(source: np.ndarray, target: np.ndarray, scale: int = 1_000) -> np.ndarray:
