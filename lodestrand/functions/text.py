@@ -36,6 +36,10 @@ REDACTIONS = (
 )
 
 
+#: The spaces that DuckDB's trim takes away: Unicode's category Zs.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def _all(column: Column, pattern: str) -> Column:
     return F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
 
@@ -50,9 +54,19 @@ def query_terms(column: Column, n: int = 8) -> Column:
     return F.slice(F.array_distinct(word_tokens(column)), 1, n)
 
 
+def trimmed(column: Column) -> Column:
+    """Without the spaces of any script at either end."""
+    return F.btrim(column, F.lit(SPACES))
+
+
+def folded(column: Column) -> Column:
+    """Lower case, a dotted capital I as a plain i."""
+    return F.lower(F.replace(column, F.lit("\u0130"), F.lit("i")))
+
+
 def squeeze(column: Column) -> Column:
     """White space as single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
+    return trimmed(F.regexp_replace(F.coalesce(column, F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
 
 
 def bounded(column: Column, n: int) -> Column:

@@ -399,14 +399,14 @@ def stripped_markers(answer: Column) -> Column:
 def hint_sentences(text: Column, hints: tuple[str, ...], limit: int = 3, least: int = 13) -> Column:
     """The first sentences that hold one of the hints, in any case; a sentence has at least so many characters."""
     cut = F.split(F.regexp_replace(tx.squeeze(text), r"([.!?。！？]) ", "$1\x01"), "\x01")
-    whole = F.filter(F.transform(cut, F.trim), lambda s: F.length(s) >= least)
-    held = lambda s: F.exists(F.array(*(F.lit(h.lower()) for h in hints)), lambda h: F.contains(F.lower(s), h))
+    whole = F.filter(F.transform(cut, tx.trimmed), lambda s: F.length(s) >= least)
+    held = lambda s: F.exists(F.array(*(F.lit(h.lower()) for h in hints)), lambda h: F.contains(tx.folded(s), h))
     return F.slice(F.filter(whole, held), 1, limit)
 
 
 def mapped_terms(text: Column, terms: dict[str, str]) -> Column:
     """Names of the terms that a text holds, in the map's order, each once."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = tx.folded(F.coalesce(text, F.lit("")))
     return F.array_distinct(F.filter(F.array(*(F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in terms.items())), lambda x: x.isNotNull()))
 
 

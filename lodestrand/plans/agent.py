@@ -390,7 +390,7 @@ def hinted_sentences(t: Tables) -> DataFrame:
     """The sentences that hold common endings, and the terms that a map names."""
     text = F.col("text")
     terms = agent.mapped_terms(text, {"apache license": "licence", "copyright": "licence", "@": "address"})
-    return t.documents.select("doc_id", agent.hint_sentences(text, HINTS).alias("sentences"), F.sort_array(terms).alias("terms")).withColumn("terms", F.reverse("terms"))
+    return t.documents.select("doc_id", agent.hint_sentences(text, HINTS).alias("sentences"), F.sort_array(terms).alias("terms"))
 
 
 @query("SELECT event_id AS call_id, CASE WHEN event_type = 'signup' THEN 'unknown_tool' WHEN event_type = 'error' THEN 'invalid_arguments' WHEN event_type = 'click' THEN 'argument_not_allowed' END AS fault FROM events")
