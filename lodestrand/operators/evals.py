@@ -220,9 +220,9 @@ def smoke_faults(cases: DataFrame, labels: tuple[str, ...]) -> DataFrame:
 
 
 def zipped(cases: DataFrame, results: DataFrame, case_order: str, result_order: str) -> DataFrame:
-    """Cases and results of a run joined by their place in it, the longer list cut: run_id, place, case_id, result_id."""
-    at = lambda df, order: df.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(order)))
-    return at(cases, case_order).join(at(results, result_order), ["run_id", "place"]).select("run_id", "place", "case_id", "result_id")
+    """Cases and results of a run joined by their place in it, the longer list cut, ties by id: run_id, place, case_id, result_id."""
+    at = lambda df, order, tie: df.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(order, tie)))
+    return at(cases, case_order, "case_id").join(at(results, result_order, "result_id"), ["run_id", "place"]).select("run_id", "place", "case_id", "result_id")
 
 
 def case_slice(cases: DataFrame, wanted: DataFrame) -> DataFrame:
