@@ -49,10 +49,14 @@ def resume(cases: DataFrame, path: str, work: Callable[[DataFrame], DataFrame],
 def prefix_claims(prefixes: DataFrame, files: DataFrame) -> DataFrame:
     """key, name: each file goes to its longest matching prefix, each prefix to one file.
 
-    A name is joined on each of its own prefixes, so the work is that of the names' lengths.
+    A name is joined on each of its own prefixes that is as long as some prefix, so the work is that of the names' lengths.
+    The join merges, as neither side is bounded. Of keys with the same prefix the least one has it.
     """
-    own = F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n)))
-    j = files.where("length(name) > 0").select("name", own.alias("prefix")).join(prefixes.select("key", "prefix"), "prefix")
+    one = prefixes.groupBy("prefix").agg(F.min("key").alias("key"))
+    lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    names = files.where("length(name) > 0").select("name").distinct().crossJoin(F.broadcast(lengths))
+    own = F.explode(F.transform(F.filter("lengths", lambda n: (n > 0) & (n <= F.length("name"))), lambda n: F.substring(F.col("name"), F.lit(1), n)))
+    j = names.select("name", own.alias("prefix")).join(one.hint("merge"), "prefix")
     best = j.groupBy("name").agg(F.max_by("key", F.length("prefix")).alias("key"))
     return best.groupBy("key").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n")).where("n = 1").select("key", "name")
 
