@@ -7,11 +7,12 @@ the top left corner of what the two share, so no pair comes twice.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand import runtime
 from lodestrand.operators import layout as lay
+from lodestrand.operators.folds import by_group
 
 _PAGE = ("doc_id", "page")
 _SIDES = ("x0", "y0", "x1", "y1")
@@ -97,16 +98,15 @@ def touching(boxes: list[tuple], tolerance: float) -> list[tuple[tuple, list[int
 
 
 def clusters(drawings: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """doc_id, page, uid, x0, y0, x1, y1, n of clusters of touching drawings with sides over the tolerance; a page's drawings are one call."""
+    """doc_id, page, uid, x0, y0, x1, y1, n of clusters of touching drawings with sides over the tolerance; a page's drawings are one step."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = list(pdf[list(_SIDES)].dropna().itertuples(index=False, name=None))
+    def step(key: tuple, rows: list[dict]) -> list[tuple]:
+        boxes = [b for b in (tuple(r[s] for s in _SIDES) for r in rows) if all(x is not None and x == x for x in b)]
         found = sorted((b, len(m)) for b, m in touching(boxes, tolerance) if b[2] - b[0] > tolerance and b[3] - b[1] > tolerance)
-        doc, page = pdf["doc_id"].iloc[0], pdf["page"].iloc[0]
-        return pd.DataFrame([(doc, page, f"v{i}", *b, n) for i, (b, n) in enumerate(found)], columns=["doc_id", "page", "uid", *_SIDES, "n"])
+        return [(*key, f"v{i}", *b, n) for i, (b, n) in enumerate(found)]
 
     slim = drawings.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), *(F.col(s).cast("double") for s in _SIDES))
-    return slim.groupBy(*_PAGE).applyInPandas(run, "doc_id long, page long, uid string, x0 double, y0 double, x1 double, y1 double, n long")
+    return by_group(slim, _PAGE, step, "doc_id long, page long, uid string, x0 double, y0 double, x1 double, y1 double, n long")
 
 
 def gridded(boxes: DataFrame, drawings: DataFrame) -> DataFrame:
@@ -134,17 +134,25 @@ def figures(images: DataFrame, drawings: DataFrame, blocks: DataFrame, pages: Da
     edge = (F.col("y0") <= 0.12 * F.col("height")) | (F.col("y1") >= 0.88 * F.col("height"))
     signed = Window.partitionBy(*_PAGE, "edge", "signature").orderBy("ord")
     raster = i.withColumn("edge", edge).withColumn("m", F.row_number().over(signed)).where("NOT edge OR m = 1").select(*_PAGE, F.concat(F.lit("r"), "ord").alias("uid"), *_SIDES, F.lit("raster").alias("kind"))
-    drawn = clusters(drawings)
-    vector = drawn.join(gridded(drawn, drawings), [*_PAGE, "uid"], "left_anti").select(*_PAGE, "uid", *_SIDES, F.lit("vector").alias("kind"))
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    page = F.col("width") * F.col("height")
-    sized = raster.unionByName(vector).join(size, list(_PAGE)).where((w > 2) & (h > 2) & (w * h >= least * page) & (w * h <= 0.9 * page))
+    # Both are read several times, and each time would cluster the drawings anew.
+    with runtime.lifetime(images.sparkSession) as keep:
+        drawn = runtime.materialize(clusters(drawings), "drawn")
+        sized = runtime.materialize(_sized(raster, drawn, drawings, size, least), "sized")
+        keep(sized)
     tables = covered_share(sized, blocks.where(F.lower("kind").isin("table", "table_caption"))).where("most >= 0.45").select(*_PAGE, "uid")
     texts = covered_share(sized.where("kind = 'vector'"), blocks).where("total >= 0.55").select(*_PAGE, "uid")
     kept = sized.join(tables, [*_PAGE, "uid"], "left_anti").join(texts, [*_PAGE, "uid"], "left_anti")
     return lay.merged_figures(kept.select(*_PAGE, "y0", "x0", "kind", "x1", "y1", F.greatest("width", "height").alias("side")))
 
 
+def _sized(raster: DataFrame, drawn: DataFrame, drawings: DataFrame, size: DataFrame, least: float) -> DataFrame:
+    """Images and clusters of drawings that are not ruled, of a size that figures have."""
+    vector = drawn.join(gridded(drawn, drawings), [*_PAGE, "uid"], "left_anti").select(*_PAGE, "uid", *_SIDES, F.lit("vector").alias("kind"))
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    page = F.col("width") * F.col("height")
+    return raster.unionByName(vector).join(size, list(_PAGE)).where((w > 2) & (h > 2) & (w * h >= least * page) & (w * h <= 0.9 * page))
+
+
 def equations(expressions: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, page, uid, equation_id, raw, latex, context, status, warnings, sources, x0, y0, x1, y1 of each equation.
 
