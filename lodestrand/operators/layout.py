@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
+from lodestrand.operators.folds import by_group
 
 # Verbs that make a line with a full stop a sentence, and the label of an equation.
 SENTENCE_VERBS = tuple("are be can contains demonstrates does explores has have indicates is may provides shows study studies uses was were will works".split())
@@ -107,7 +109,7 @@ def figure_candidates(regions: DataFrame, least: float = 0.01, most: float = 0.9
 def equation_labels(expressions: DataFrame, labels: DataFrame, gap: float = 120.0) -> DataFrame:
     """doc_id, page, uid, label_uid: each expression, from the top, with the nearest free label to its right on its line.
 
-    A label is taken once, so a page's candidate pairs, which are few, are one call.
+    A label is taken once, so a page's candidate pairs, which are few, are one step.
     """
     l = labels.select(*_PAGE, F.col("uid").alias("label_uid"), *(F.col(k).alias(f"l{k}") for k in ("x0", "y0", "x1", "y1")))
     j = expressions.join(l, list(_PAGE)).where(F.col("uid") != F.col("label_uid"))
@@ -115,17 +117,17 @@ def equation_labels(expressions: DataFrame, labels: DataFrame, gap: float = 120.
     apart = F.greatest(F.lit(0.0), F.col("lx0") - F.col("x1"), F.col("x0") - F.col("lx1"))
     pairs = j.withColumn("apart", apart).where((F.col("lx0") >= F.col("x1") - 5) & (F.abs(F.col("ly0") - F.col("y0")) <= 1.5 * tall) & (F.col("apart") <= gap))
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, choices in pdf.sort_values(["y0", "x0", "uid", "apart", "label_uid"]).groupby(["y0", "x0", "uid"], sort=True):
-            free = choices[~choices["label_uid"].isin(used)]
-            if len(free):
-                best = free.iloc[0]
-                used.add(best["label_uid"])
-                out.append((best["doc_id"], best["page"], best["uid"], best["label_uid"]))
-        return pd.DataFrame(out, columns=["doc_id", "page", "uid", "label_uid"])
+    def take(page: tuple, rows: list[dict]) -> list[tuple]:
+        used: dict[str, tuple] = {}
+        done = set()
+        for r in sorted((r for r in rows if r["x0"] is not None), key=lambda r: (r["y0"], r["x0"], r["uid"], r["apart"], r["label_uid"])):
+            own = (r["y0"], r["x0"], r["uid"])
+            if own not in done and r["label_uid"] not in used:
+                done.add(own)
+                used[r["label_uid"]] = (*page, r["uid"], r["label_uid"])
+        return list(used.values())
 
-    return pairs.select(*_PAGE, "uid", "label_uid", "y0", "x0", "apart").groupBy(*_PAGE).applyInPandas(take, "doc_id long, page long, uid string, label_uid string")
+    return by_group(pairs.select(*_PAGE, "uid", "label_uid", "y0", "x0", "apart"), _PAGE, take, "doc_id long, page long, uid string, label_uid string")
 
 
 def equation_context(expressions: DataFrame, texts: DataFrame, reach: float = 140.0, n: int = 2) -> DataFrame:
@@ -165,20 +167,22 @@ def captioned_tables(blocks: DataFrame, captions: DataFrame, reach: float = 180.
 
     Rows are texts whose tops lie within 2.5; the table ends at the first row, after one that
     fits, of another width or with a text over 60 characters; fewer than two rows are none.
-    A caption's blocks, which are few, are one call.
+    A caption's blocks, which are few, are one step.
     """
     c = captions.select(*_PAGE, F.col("uid").alias("caption_uid"), F.col("y1").alias("cy1"))
     j = blocks.join(c, list(_PAGE)).where((F.col("y0") > F.col("cy1")) & (F.col("y0") - F.col("cy1") <= reach))
 
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
+    def read(at: tuple, found: list[dict]) -> list[tuple]:
+        blocks_ = [SimpleNamespace(**r) for r in found]
+        head = blocks_[0]
         lines: list[list] = []
-        for r in pdf.sort_values(["y0", "x0", "uid"]).itertuples():
+        left = lambda r: (True, 0.0) if r.x0 != r.x0 else (False, r.x0)
+        for r in sorted(blocks_, key=lambda r: (r.y0, left(r), r.uid)):
             if lines and abs(r.y0 - lines[-1][0].y0) <= 2.5:
                 lines[-1].append(r)
             else:
                 lines.append([r])
-        lines = [sorted(x, key=lambda r: (r.x0, r.uid)) for x in lines]
+        lines = [sorted(x, key=lambda r: (left(r), r.uid)) for x in lines]
         first = next((i for i, x in enumerate(lines) if 2 <= len(x) <= 10 and all(0 < len(r.text) <= 40 for r in x)), None)
         rows: list[list[str]] = []
         if first is not None:
@@ -194,10 +198,10 @@ def captioned_tables(blocks: DataFrame, captions: DataFrame, reach: float = 180.
                     break
                 rows.append([r.text for r in cells])
             rows = [[r.text for r in top], *rows] if len(rows) >= 2 else []
-        return pd.DataFrame([(head.doc_id, head.page, head.caption_uid, i, x) for i, x in enumerate(rows)], columns=["doc_id", "page", "caption_uid", "row", "cells"])
+        return [(*at, i, x) for i, x in enumerate(rows)]
 
-    slim = j.select(*_PAGE, "caption_uid", "uid", "text", "x0", "y0", "x1", "width")
-    return slim.groupBy(*_PAGE, "caption_uid").applyInPandas(read, "doc_id long, page long, caption_uid string, row long, cells array<string>")
+    slim = j.select(*_PAGE, "caption_uid", "uid", "text", "y0", *(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("x0", "x1", "width")))
+    return by_group(slim, (*_PAGE, "caption_uid"), read, "doc_id long, page long, caption_uid string, row long, cells array<string>")
 
 
 def text_rows(blocks: DataFrame) -> DataFrame:
