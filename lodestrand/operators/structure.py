@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
+from lodestrand.operators.folds import by_group
 
 
 def box(x0, y0, x1, y1) -> Column:
@@ -80,22 +81,22 @@ def section_stack(blocks: DataFrame, key: str = "doc_id", order: str = "ord") ->
     """key, order, path: headings above each block at any depth, joined by ' > '.
 
     A heading closes those of its level and deeper. The stack depends on order, so a
-    document, a bounded group, is one call.
+    document, a bounded group, is one step; only its headings' texts go there.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(at: tuple, rows: list[dict]) -> list[tuple]:
         stack: list[tuple[int, str]] = []
         out = []
-        for r in pdf.sort_values("ord").itertuples():
-            if not pd.isna(r.level):
-                while stack and stack[-1][0] >= r.level:
+        for r in sorted(rows, key=lambda r: r["ord"]):
+            if r["level"] is not None and r["level"] == r["level"]:
+                while stack and stack[-1][0] >= r["level"]:
                     stack.pop()
-                stack.append((int(r.level), r.text))
-            out.append(" > ".join(t for _, t in stack))
-        return pd.DataFrame({"id": pdf.sort_values("ord")["id"], "ord": pdf.sort_values("ord")["ord"], "path": out})
+                stack.append((int(r["level"]), r["text"]))
+            out.append((*at, r["ord"], " > ".join(t for _, t in stack)))
+        return out
 
-    slim = blocks.select(F.col(key).alias("id"), F.col(order).cast("long").alias("ord"), F.col("level").cast("double").alias("level"), "text")
-    return slim.groupBy("id").applyInPandas(walk, "id long, ord long, path string").select(F.col("id").alias(key), F.col("ord").alias(order), "path")
+    slim = blocks.select(F.col(key).cast("long").alias("id"), F.col(order).cast("long").alias("ord"), F.col("level").cast("double").alias("level"), F.when(F.col("level").isNotNull(), F.col("text")).alias("text"))
+    return by_group(slim, ("id",), walk, "id long, ord long, path string").select(F.col("id").alias(key), F.col("ord").alias(order), "path")
 
 
 def islands(rows: DataFrame, value: str, *keys: str, order: str = "ord") -> DataFrame:
