@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import SENTENCE_PATTERN
+from lodestrand.operators.folds import by_group
 
 # Abbreviations that do not end a sentence, and where prose is cut after a terminator.
 ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "et al.", "fig.", "eq.", "sec.", "no.", "ref.", "tab.", "cf.")
@@ -122,12 +123,11 @@ def block_chunks(blocks: list[tuple[str, str]], target: int = 350, least: int =
 
 
 def chunk_blocks(blocks: DataFrame, key: str = "doc_id", **sizes) -> DataFrame:
-    """doc_id, chunk_index, section, content, tokens from blocks (key, ord, section, text), a document at a call."""
+    """doc_id, chunk_index, section, content, tokens from blocks (key, ord, section, text), a document at a step."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        made = block_chunks(list(zip(pdf["section"].fillna(""), pdf["text"].fillna(""))), **sizes)
-        return pd.DataFrame([(pdf["id"].iloc[0], i, s, c, len(c.split())) for i, (s, c) in enumerate(made)], columns=["doc_id", "chunk_index", "section", "content", "tokens"])
+    def step(at: tuple, rows: list[dict]) -> list[tuple]:
+        made = block_chunks([(r["section"] or "", r["text"] or "") for r in sorted(rows, key=lambda r: r["ord"])], **sizes)
+        return [(*at, i, s, c, len(c.split())) for i, (s, c) in enumerate(made)]
 
     slim = blocks.select(F.col(key).cast("long").alias("id"), "ord", "section", "text")
-    return slim.groupBy("id").applyInPandas(run, "doc_id long, chunk_index long, section string, content string, tokens long")
+    return by_group(slim, ("id",), step, "doc_id long, chunk_index long, section string, content string, tokens long")

@@ -21,7 +21,7 @@ def by_group(rows: DataFrame, keys: tuple[str, ...], step: Callable[[tuple, list
     lists = rows.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in keys))).alias("__rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out = [r for g in batch.to_pylist() for r in step(tuple(g[k] for k in keys), g["__rows"])]
             columns = zip(*out) if out else ([] for _ in made)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made)], schema=made)
