@@ -1,7 +1,8 @@
 """Stateful streams with state of their own kinds and event-time timers: call permits, session compaction, retries.
 
 Each processor keeps its state per key in the RocksDB store, so it may outgrow memory, and
-what is kept of old calls goes by time. Rows of a key are taken in order of time within a
+what is kept of old calls goes by time. Each access to the store is a message to the JVM, so within
+a micro-batch a key's state is worked on in Python and only what has changed at its end is written. Rows of a key are taken in order of time within a
 micro-batch, and a key's rows have to arrive in that order; then the decisions are the same
 over one micro-batch or many. Times are in milliseconds of `ts`, an event-time column with a watermark.
 """
@@ -34,6 +35,31 @@ def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> Iterable:
     return pdf.itertuples(index=False)
 
 
+class _Entries:
+    """A key's map state within a micro-batch: entries are read when asked for, and changes written by flush()."""
+
+    def __init__(self, state, stored: bool):
+        self.state, self.stored, self.now, self.read = state, stored, {}, {}
+
+    def get(self, key: tuple) -> tuple | None:
+        if key in self.now or not self.stored:
+            return self.now.get(key)
+        if key not in self.read:
+            self.read[key] = self.state.getValue(key) if self.state.containsKey(key) else None
+        return self.read[key]
+
+    def put(self, key: tuple, value: tuple | None) -> None:
+        """None takes the entry away."""
+        self.now[key] = value
+
+    def flush(self) -> None:
+        for key, value in self.now.items():
+            if value is not None:
+                self.state.updateValue(key, value)
+            elif self.stored:
+                self.state.removeKey(key)
+
+
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
@@ -52,13 +78,12 @@ class CallPermits(StatefulProcessor):
         self.failures = handle.getMapState("failures", _struct("at long"), _struct("n int"))
         self.permits = handle.getMapState("permits", _struct("call_id long"), _struct("generation long, probe boolean"), self.ttl)
 
-    def _opened(self, at: int, generation: int) -> tuple:
-        self.handle.registerTimer(at + self.open)
-        self.failures.clear()
-        return "open", at, False, generation + 1, False
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, opened_at, probe, generation, told = self.record.get() if self.record.exists() else ("closed", 0, False, 0, False)
+        before = self.record.get()
+        state, opened_at, probe, generation, told = before or ("closed", 0, False, 0, False)
+        permits = _Entries(self.permits, before is not None and self.permits.exists())
+        kept = {k[0]: v[0] for k, v in self.failures.iterator()} if before is not None else {}
+        failures, opened = dict(kept), False
         out: list[tuple] = []
         for r in _in_order(rows, "ts", "seq"):
             now, call = int(r[-1]), (int(r.call_id),)
@@ -71,18 +96,18 @@ class CallPermits(StatefulProcessor):
                     out.append((key[0], r.call_id, now, "refused", generation))
                     continue
                 probe = state == "half_open"
-                self.permits.updateValue(call, (generation, probe))
+                permits.put(call, (generation, probe))
                 out.append((key[0], r.call_id, now, "probe" if probe else "granted", generation))
                 continue
-            if not self.permits.containsKey(call):
+            if (permit := permits.get(call)) is None:
                 out.append((key[0], r.call_id, now, "unknown", generation))
                 continue
-            of, was_probe = self.permits.getValue(call)
-            self.permits.removeKey(call)
+            of, was_probe = permit
+            permits.put(call, None)
             if of != generation:
                 out.append((key[0], r.call_id, now, "stale", generation))
             elif r.kind == "success":
-                self.failures.clear()
+                failures = {}
                 out.append((key[0], r.call_id, now, "closed" if was_probe else "passed", generation))
                 state, probe, generation = "closed", False, generation + int(was_probe)
             elif r.kind != "transient":
@@ -90,19 +115,23 @@ class CallPermits(StatefulProcessor):
                 out.append((key[0], r.call_id, now, "ignored", generation))
             elif was_probe:
                 out.append((key[0], r.call_id, now, "reopened", generation))
-                state, opened_at, probe, generation, told = self._opened(now, generation)
+                state, opened_at, probe, generation, told, failures, opened = "open", now, False, generation + 1, False, {}, True
             else:
-                n = self.failures.getValue((now,))[0] if self.failures.containsKey((now,)) else 0
-                self.failures.updateValue((now,), (n + 1,))
-                known = [(k[0], v[0]) for k, v in self.failures.iterator()]
-                for at, _ in known:
-                    if at < now - self.window:
-                        self.failures.removeKey((at,))
-                if sum(n for at, n in known if at >= now - self.window) >= self.limit:
+                failures = {at: n for at, n in failures.items() if at >= now - self.window}
+                failures[now] = failures.get(now, 0) + 1
+                if sum(failures.values()) >= self.limit:
                     out.append((key[0], r.call_id, now, "opened", generation))
-                    state, opened_at, probe, generation, told = self._opened(now, generation)
+                    state, opened_at, probe, generation, told, failures, opened = "open", now, False, generation + 1, False, {}, True
                 else:
                     out.append((key[0], r.call_id, now, "counted", generation))
+        if opened and state == "open":  # a timer of an older opening would find another state
+            self.handle.registerTimer(opened_at + self.open)
+        permits.flush()
+        for at in kept.keys() - failures.keys():
+            self.failures.removeKey((at,))
+        for at, n in failures.items():
+            if kept.get(at) != n:
+                self.failures.updateValue((at,), (n,))
         self.record.update((state, opened_at, probe, generation, told))
         yield _frame(out, self.schema)
 
@@ -211,12 +240,14 @@ class Retries(StatefulProcessor):
         self.calls = handle.getMapState("calls", _struct("call_id long"), _struct("attempts long, over boolean"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        deadline, used = self.request.get() if self.request.exists() else (None, 0)
+        before = self.request.get()
+        deadline, used = before or (None, 0)
+        calls = _Entries(self.calls, before is not None)
         out: list[tuple] = []
         for r in _in_order(rows, "ts", "call_id"):
             now, call = int(r[-1]), (int(r.call_id),)
             deadline = now + self.timeout if deadline is None else deadline
-            attempts, over = self.calls.getValue(call) if self.calls.containsKey(call) else (0, False)
+            attempts, over = calls.get(call) or (0, False)
             if over:
                 continue
             delay = None
@@ -235,8 +266,9 @@ class Retries(StatefulProcessor):
                     outcome = "retry_budget_exhausted"
                 else:
                     outcome, delay, used = "retry", wait, used + 1
-            self.calls.updateValue(call, (attempts, delay is None))
+            calls.put(call, (attempts, delay is None))
             out.append((key[0], r.call_id, attempts, now, outcome, delay))
+        calls.flush()
         self.request.update((deadline, used))
         yield _frame(out, self.schema).astype({"delay_ms": "Int64"})
 
