@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
-from lodestrand.runtime import shared_dir
+from lodestrand.runtime import materialize, release, shared_dir
 from lodestrand.sources import versions
 
 K1, B = 1.2, 0.75
@@ -27,6 +27,8 @@ FORMAT = 2
 BROADCAST_ROWS = 100_000
 #: Distinct query terms up to which they are a filter of the scan, which then skips row groups of other terms.
 PUSHED_TERMS = 1_000
+#: Rows that a task of a shuffle is given to sort or to add up, at most about.
+TASK_ROWS = 2_000_000
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = "source", text_col: str = "text", mixed: bool = False, words: dict[str, int] | None = None) -> DataFrame:
@@ -48,6 +50,30 @@ def _fields():
     return F.concat(mark("title", 1), mark("body", 0))
 
 
+def _starts(name: str):
+    """Where runs of equal values begin in a sorted array."""
+    return F.filter(F.transform(name, lambda x, i: F.when(~x.eqNullSafe(F.get(F.col(name), i - 1)), i)), lambda i: i.isNotNull())
+
+
+def _runs(name: str, starts: str, t: int):
+    """A sorted array's runs as structs of term, tf_title and tf_body."""
+    n = lambda p, j: (F.coalesce(F.get(F.col(starts), j + 1), F.size(name)) - p).cast("long")
+    return F.transform(starts, lambda p, j: F.struct(F.get(F.col(name), p).alias("term"), (n(p, j) * t).alias("tf_title"), (n(p, j) * (1 - t)).alias("tf_body")))
+
+
+def _counted(read: DataFrame) -> DataFrame:
+    """doc_id, length and what is counted of each field's terms, within the row: no table of a task's terms and documents."""
+    ordered = read.select("doc_id", "length", F.sort_array("title").alias("title"), F.sort_array("body").alias("body"))
+    begun = ordered.select("*", _starts("title").alias("__t"), _starts("body").alias("__b"))
+    return begun.select("doc_id", "length", F.concat(_runs("title", "__t", 1), _runs("body", "__b", 0)).alias("terms"))
+
+
+def _spread(df: DataFrame, rows: int, by_range: bool, *keys: str) -> DataFrame:
+    """The frame dealt by its keys: as Spark does for few rows, else to so many partitions that each gets about TASK_ROWS."""
+    deal = df.repartitionByRange if by_range else df.repartition
+    return deal(*keys) if rows <= df.sparkSession.sparkContext.defaultParallelism * TASK_ROWS else deal(-(-rows // TASK_ROWS), *keys)
+
+
 def postings(docs: DataFrame, **columns) -> DataFrame:
     """term, doc_id, tf_title, tf_body: one row for each term of a document."""
     each = tokens(docs, **columns).select("doc_id", F.explode(_fields()).alias("x"))
@@ -77,6 +103,7 @@ class Index:
     terms: DataFrame  # term, df
     stats: DataFrame  # n_docs, avgdl: one row
     words: dict[str, int] | None = None  # what CJK runs were cut by
+    counted: DataFrame | None = None  # doc_id, length, terms of documents that are not stored yet
 
     @classmethod
     def of(cls, docs: DataFrame, segment: bool = False, **columns) -> Index:
@@ -89,20 +116,32 @@ class Index:
             words = vocabulary(docs.select(nfkc(F.col(columns.get("text_col", "text"))).alias("text")))
             columns = {**columns, "mixed": True, "words": words}
         read = tokens(docs, **columns).withColumn("length", F.size("title") + F.size("body"))
-        each = read.select("doc_id", "length", F.explode(_fields()).alias("x")).select("doc_id", "length", "x.*")
-        found = each.groupBy("term", "doc_id", "length").agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
-        stats = read.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
-        return cls(found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, words)
+        return cls._over(_counted(read), words)
+
+    @classmethod
+    def _over(cls, counted: DataFrame, words: dict[str, int] | None) -> Index:
+        found = _added(_each(counted))
+        stats = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
+        return cls(found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, words, counted)
 
     def save(self, path: str) -> Index:
         """Write the index and read it back; postings lie in order of terms, so a scan for a few terms skips the rest."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        found, counted, stats = self.postings, None, self.stats
+        if self.counted is not None:  # the texts are read once; the order of terms and the statistics come from what was counted
+            counted = materialize(self.counted, "counted")
+            found, stats = _each(counted), Index._over(counted, None).stats
+        rows = found.count() if counted is None else counted.agg(F.sum(F.size("terms"))).first()[0] or 0
+        dealt = _spread(found, rows, True, "term", "doc_id")
+        dealt = dealt if counted is None else _added(dealt)
+        dealt.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         if self.words is not None:
             spark.createDataFrame(list(self.words.items()), "word string, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/words")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")  # last: an index with statistics is whole
+        stats.write.mode("overwrite").parquet(f"{path}/stats")  # last: an index with statistics is whole
+        if counted is not None:
+            release(counted)
         return Index.load(spark, path)
 
     @classmethod
@@ -135,6 +174,15 @@ class Index:
         return cls.load(spark, path)
 
 
+def _each(counted: DataFrame) -> DataFrame:
+    """term, doc_id, length, tf_title, tf_body: a row for each field that holds the term."""
+    return counted.select("doc_id", "length", F.explode("terms").alias("x")).select("x.term", "doc_id", "length", "x.tf_title", "x.tf_body")
+
+
+def _added(each: DataFrame) -> DataFrame:
+    return each.groupBy("term", "doc_id", "length").agg(F.sum("tf_title").alias("tf_title"), F.sum("tf_body").alias("tf_body"))
+
+
 def _facts(spark: SparkSession, files: list[str]) -> list[tuple[str, int, int]]:
     """Name, size and time of each file, by one listing of each folder that holds some."""
     sc = spark.sparkContext
@@ -169,7 +217,9 @@ def bm25(source: DataFrame | Index, terms: DataFrame, top_k: int = 20, scope: Da
     idf = known.crossJoin(F.broadcast(index.stats)).select("term", "avgdl", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
     tf = TITLE_WEIGHT * F.col("tf_title") + BODY_WEIGHT * F.col("tf_body")
     weighed = there.join(side(idf), "term").select("term", "doc_id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))).alias("part"))
-    scored = weighed.join(F.broadcast(wanted) if named else wanted, "term")
+    # A term's postings are shuffled once, by document, and not again for each question that has the term.
+    asked = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(known.select("term", "df"), "term").agg(F.sum(F.col("n") * F.col("df"))).first()[0] or 0
+    scored = _spread(weighed, asked, False, "doc_id").join(F.broadcast(wanted) if named else wanted, "term")
     if scope is not None:
         scored = scored.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
     scored = scored.groupBy("query_id", "set_id", "doc_id").agg(F.round(-F.sum("part"), 9).alias("score"))

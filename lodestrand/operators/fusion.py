@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.operators.bm25 import small
+from lodestrand.runtime import materialize
+
 RRF_K = 60
 
 
@@ -30,8 +33,11 @@ def rrf(rankings: DataFrame, k: int = RRF_K, key: str = "doc_id", places: bool =
 
 
 def late_rows(ranks: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ranks joined with stored rows last; keys that storage lacks go, and other ranks stay as they were."""
-    return ranks.join(rows, key)
+    """Ranks joined with stored rows last; keys that storage lacks go, and other ranks stay as they were.
+
+    Ranks are a few rows a query: they are written down and, where they are few, broadcast, so that texts are not shuffled.
+    """
+    return rows.join(small(materialize(ranks, "ranks")), key).select(key, *(c for c in ranks.columns + rows.columns if c != key))
 
 
 def rerank_merge(fused: DataFrame, reranked: DataFrame, key: str = "doc_id", top_k: int | None = None) -> DataFrame:

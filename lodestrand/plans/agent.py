@@ -430,10 +430,10 @@ def judge_budget(t: Tables) -> DataFrame:
     """The best 20 documents of each question in three groups, the lower ten as from the web, shrunk to 900 tokens of a public vocabulary."""
     import public_tokenizers
 
-    from lodestrand.operators import evidence
+    from lodestrand.operators import evidence, fusion
     from lodestrand.plans.retrieval import bm25_ranking
 
-    r = bm25_ranking(t).select(F.col("query_id").alias("case_id"), "doc_id", "rank").join(t.documents.select("doc_id", "text"), "doc_id")
+    r = fusion.late_rows(bm25_ranking(t).select(F.col("query_id").alias("case_id"), "doc_id", "rank"), t.documents.select("doc_id", "text"))
     c = r.join(t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("question")), "case_id")
     rows = c.select("case_id", "question", (F.col("rank") % 3).alias("grp"), F.when(F.col("rank") <= 10, "local").otherwise("web").alias("kind"), F.col("rank").alias("ord"), F.col("doc_id").alias("source"), F.col("text").alias("content"))
     return evidence.judge_payloads(rows, 900, public_tokenizers.path("byte_bpe_50k.json"))

@@ -139,9 +139,10 @@ def inspection(t: Tables) -> DataFrame:
 @query()
 def offline_answers(t: Tables) -> DataFrame:
     """An extractive answer to each item, where no answering model is at hand."""
+    from lodestrand.operators import fusion
     from lodestrand.plans.retrieval import bm25_ranking
 
-    ranked = bm25_ranking(t).join(t.documents.select("doc_id", "text"), "doc_id")
+    ranked = fusion.late_rows(bm25_ranking(t), t.documents.select("doc_id", "text"))
     return ingest.offline_answer(ranked, t.benchmark.select(F.col("item_id").alias("query_id")))
 
 
