@@ -176,7 +176,9 @@ class Index:
 
 def _each(counted: DataFrame) -> DataFrame:
     """term, doc_id, length, tf_title, tf_body: a row for each field that holds the term."""
-    return counted.select("doc_id", "length", F.explode("terms").alias("x")).select("x.term", "doc_id", "length", "x.tf_title", "x.tf_body")
+    # Not explode(): its filter on the array's size would go below the sort, and sort a text again for each of its words.
+    each = counted.select("doc_id", "length", F.explode_outer("terms").alias("x")).where("x IS NOT NULL")
+    return each.select("x.term", "doc_id", "length", "x.tf_title", "x.tf_body")
 
 
 def _added(each: DataFrame) -> DataFrame:
