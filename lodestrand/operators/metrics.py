@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import numeric as nm
+from lodestrand.operators.bm25 import small
+from lodestrand.runtime import materialize
 
 KS = (3, 5, 10, 20)
 
@@ -22,8 +24,10 @@ def ranking_by_case(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS
     min(relevant, k); gain is 2**grade - 1 over log2(rank + 1).
     """
     cuts = F.explode(F.array(*(F.lit(k) for k in ks))).alias("k")
-    size = gold.groupBy("case_id").agg(F.count(F.lit(1)).alias("relevant"))
-    hits = ranked.join(gold, ["case_id", "key"])
+    # Gold may be a share of all pairs: it is counted by grade and met by the few ranked rows, never sorted.
+    grades = gold.groupBy("case_id", "grade").agg(F.count(F.lit(1)).alias("n"))
+    size = grades.groupBy("case_id").agg(F.sum("n").alias("relevant"))
+    hits = gold.join(small(materialize(ranked.select("case_id", "key", "rank"), "ranked")), ["case_id", "key"])
     hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("case_id").orderBy("rank")))
     found = hits.select("case_id", "rank", "nth", "grade", cuts).where(F.col("rank") <= F.col("k"))
     got = found.groupBy("case_id", "k").agg(
@@ -32,7 +36,9 @@ def ranking_by_case(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS
         F.sum(F.col("nth") / F.col("rank")).alias("precisions"),
         F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("rank") + 1)).alias("dcg"),
     )
-    ideal = gold.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("grade"), "key"))).where(F.col("place") <= max(ks))
+    upto = F.sum("n").over(Window.partitionBy("case_id").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, 0))
+    ideal = grades.withColumn("upto", upto).where(F.col("upto") - F.col("n") < max(ks))
+    ideal = ideal.select("case_id", "grade", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.least("upto", F.lit(max(ks))))).alias("place"))
     ideal = ideal.select("case_id", "place", "grade", cuts).where(F.col("place") <= F.col("k"))
     ideal = ideal.groupBy("case_id", "k").agg(F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("place") + 1)).alias("idcg"))
     every = size.select("case_id", "relevant", cuts)
