@@ -9,8 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +27,7 @@ K1, B = 1.2, 0.75
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
 LEAST_IDF = 1e-6
 #: Goes up when what an index holds, or how texts become tokens, changes.
-FORMAT = 2
+FORMAT = 3
 #: Rows up to which the query side of a join may be broadcast.
 BROADCAST_ROWS = 100_000
 #: Distinct query terms up to which they are a filter of the scan, which then skips row groups of other terms.
@@ -50,22 +55,34 @@ def _fields():
     return F.concat(mark("title", 1), mark("body", 0))
 
 
-def _starts(name: str):
-    """Where runs of equal values begin in a sorted array."""
-    return F.filter(F.transform(name, lambda x, i: F.when(~x.eqNullSafe(F.get(F.col(name), i - 1)), i)), lambda i: i.isNotNull())
+_TERMS = "terms array<struct<term: string, tf_title: bigint, tf_body: bigint>>"
 
 
-def _runs(name: str, starts: str, t: int):
-    """A sorted array's runs as structs of term, tf_title and tf_body."""
-    n = lambda p, j: (F.coalesce(F.get(F.col(starts), j + 1), F.size(name)) - p).cast("long")
-    return F.transform(starts, lambda p, j: F.struct(F.get(F.col(name), p).alias("term"), (n(p, j) * t).alias("tf_title"), (n(p, j) * (1 - t)).alias("tf_body")))
+def _runs(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row, value and number of each run of equal values in sorted lists."""
+    values, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    code = values.dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+    return row[first], values.take(pa.array(first)), np.diff(first, append=len(code))
+
+
+def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, length and terms of rows with sorted tokens: runs of both fields, equal terms of a row as one."""
+    for batch in batches:
+        (rt, vt, nt), (rb, vb, nb) = (_runs(batch.column(name)) for name in ("title", "body"))
+        found = pa.chunked_array([vt, vb]).combine_chunks().dictionary_encode()
+        many = max(len(found.dictionary), 1)
+        key, place = np.unique(np.concatenate([rt, rb]) * many + found.indices.to_numpy(), return_inverse=True)
+        title, body = (np.bincount(place, np.concatenate(n), len(key)).astype("int64") for n in ((nt, 0 * nb), (0 * nt, nb)))
+        structs = pa.StructArray.from_arrays([found.dictionary.take(pa.array(key % many)), pa.array(title), pa.array(body)], ["term", "tf_title", "tf_body"])
+        ends = np.searchsorted(key // many, np.arange(batch.num_rows + 1)).astype("int32")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("length"), pa.ListArray.from_arrays(pa.array(ends), structs)], ["doc_id", "length", "terms"])
 
 
 def _counted(read: DataFrame) -> DataFrame:
-    """doc_id, length and what is counted of each field's terms, within the row: no table of a task's terms and documents."""
-    ordered = read.select("doc_id", "length", F.sort_array("title").alias("title"), F.sort_array("body").alias("body"))
-    begun = ordered.select("*", _starts("title").alias("__t"), _starts("body").alias("__b"))
-    return begun.select("doc_id", "length", F.concat(_runs("title", "__t", 1), _runs("body", "__b", 0)).alias("terms"))
+    """doc_id, length and what a row has of each term, counted within the row: no table of a task's terms and documents."""
+    ordered = read.select("doc_id", F.col("length").cast("int").alias("length"), F.sort_array("title").alias("title"), F.sort_array("body").alias("body"))
+    return ordered.mapInArrow(_row_counts, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, length int, {_TERMS}")
 
 
 def _spread(df: DataFrame, rows: int, by_range: bool, *keys: str) -> DataFrame:
@@ -133,7 +150,8 @@ class Index:
             found, stats = _each(counted), Index._over(counted, None).stats
         rows = found.count() if counted is None else counted.agg(F.sum(F.size("terms"))).first()[0] or 0
         dealt = _spread(found, rows, True, "term", "doc_id")
-        dealt = dealt if counted is None else _added(dealt)
+        if counted is not None and not counted.groupBy("doc_id").count().where("count > 1").isEmpty():
+            dealt = _added(dealt)  # a row's terms are one each; only an id of several rows has more
         dealt.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
@@ -175,7 +193,7 @@ class Index:
 
 
 def _each(counted: DataFrame) -> DataFrame:
-    """term, doc_id, length, tf_title, tf_body: a row for each field that holds the term."""
+    """term, doc_id, length, tf_title, tf_body: a row for each term of a row."""
     # Not explode(): its filter on the array's size would go below the sort, and sort a text again for each of its words.
     each = counted.select("doc_id", "length", F.explode_outer("terms").alias("x")).where("x IS NOT NULL")
     return each.select("x.term", "doc_id", "length", "x.tf_title", "x.tf_body")
@@ -204,15 +222,14 @@ def bm25(source: DataFrame | Index, terms: DataFrame, top_k: int = 20, scope: Da
     them; ties go by doc_id.
     """
     index = source if isinstance(source, Index) else Index.of(source, **columns)
-    wanted = terms.select("query_id", "set_id", "term").distinct()
+    wanted = terms.select("query_id", "set_id", "term").where("term IS NOT NULL").distinct()
     # One check of the query side decides for its terms and their statistics, which are no more rows.
-    few = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).limit(BROADCAST_ROWS + 1).collect()
-    side = F.broadcast if len(few) <= BROADCAST_ROWS else (lambda df: df)
-    named = len(few) <= BROADCAST_ROWS and sum(r["n"] for r in few) <= BROADCAST_ROWS
-    there, known = index.postings, index.terms
-    if len(few) <= PUSHED_TERMS:
-        words = [r[0] for r in few]
-        there, known = there.where(F.col("term").isin(words)), known.where(F.col("term").isin(words))
+    asked = wanted.limit(BROADCAST_ROWS + 1).collect()
+    named = len(asked) <= BROADCAST_ROWS
+    side = F.broadcast if named else (lambda df: df)
+    there, known, words = index.postings, index.terms, {r["term"] for r in asked}
+    if named and len(words) <= PUSHED_TERMS:
+        there, known = there.where(F.col("term").isin(*words)), known.where(F.col("term").isin(*words))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # stats is one row.
     known = known.join(side(wanted.select("term").distinct()), "term", "left_semi")
@@ -220,15 +237,72 @@ def bm25(source: DataFrame | Index, terms: DataFrame, top_k: int = 20, scope: Da
     tf = TITLE_WEIGHT * F.col("tf_title") + BODY_WEIGHT * F.col("tf_body")
     weighed = there.join(side(idf), "term").select("term", "doc_id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))).alias("part"))
     # A term's postings are shuffled once, by document, and not again for each question that has the term.
-    asked = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(known.select("term", "df"), "term").agg(F.sum(F.col("n") * F.col("df"))).first()[0] or 0
-    scored = _spread(weighed, asked, False, "doc_id").join(F.broadcast(wanted) if named else wanted, "term")
-    if scope is not None:
-        scored = scored.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
-    scored = scored.groupBy("query_id", "set_id", "doc_id").agg(F.round(-F.sum("part"), 9).alias("score"))
+    if named and scope is None:
+        scored = _best(_spread(weighed, known.agg(F.sum("df")).first()[0] or 0, False, "doc_id"), asked, wanted, top_k)
+    else:
+        pairs = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(known.select("term", "df"), "term").agg(F.sum(F.col("n") * F.col("df"))).first()[0] or 0
+        scored = _spread(weighed, pairs, False, "doc_id").join(side(wanted), "term")
+        if scope is not None:
+            scored = scored.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+        scored = scored.groupBy("query_id", "set_id", "doc_id").agg(F.round(-F.sum("part"), 9).alias("score"))
     order = Window.partitionBy("query_id", "set_id").orderBy("score", "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Nine places as round() of Spark gives them: the half of a number's shortest digits goes away from 0."""
+    y = x * 1e9
+    out = np.rint(y) / 1e9
+    for i in np.flatnonzero(np.abs(np.abs(y - np.floor(y)) - 0.5) < 1e-3):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    return out
+
+
+def _best(weighed: DataFrame, asked: list, wanted: DataFrame, top_k: int) -> DataFrame:
+    """query_id, set_id, doc_id, score: what can be among a set's best, of weighed postings (term, doc_id, part) dealt by document.
+
+    A part holds all postings of its documents, so it adds up their scores and sends on its
+    own best ones of each set; no row is made for a question and a document.
+    """
+    sets: dict[tuple, list[str]] = {}
+    for r in sorted(asked, key=lambda r: r["term"]):
+        sets.setdefault((r["query_id"], r["set_id"]), []).append(r["term"])
+    names, lists = list(sets), list(sets.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        postings = pa.Table.from_batches(held)
+        term, doc = (postings.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("term", "doc_id"))
+        by_id = pc.sort_indices(doc.dictionary, null_placement="at_start").to_numpy()
+        ids, place = doc.dictionary.take(pa.array(by_id)), np.empty(len(by_id), "int64")
+        place[by_id] = np.arange(len(by_id))
+        code = term.indices.to_numpy()
+        by_term = np.argsort(code, kind="stable")
+        at, part = place[doc.indices.to_numpy()[by_term]], postings.column("part").to_numpy()[by_term]
+        starts = np.searchsorted(code[by_term], np.arange(len(term.dictionary) + 1))
+        slices = {t: slice(*starts[i : i + 2]) for i, t in enumerate(term.dictionary.to_pylist())}
+        found: list[tuple] = []
+        for n, words in enumerate(lists):
+            if own := [slices[w] for w in words if w in slices]:
+                score = np.bincount(np.concatenate([at[s] for s in own]), np.concatenate([part[s] for s in own]), len(ids))
+                docs = np.flatnonzero(score)
+                if len(docs) > top_k:  # what rounding may bring level with the last of the best stays until it is rounded
+                    docs = docs[score[docs] >= np.partition(score[docs], -top_k)[-top_k] - 2e-9]
+                score = _rounded(-score[docs])
+                first = np.lexsort((docs, score))[:top_k]
+                found.append((np.full(len(first), n), docs[first], score[first]))
+        if found:
+            n, docs, score = map(np.concatenate, zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), ids.take(pa.array(docs)), pa.array(score)], ["__set", "doc_id", "score"])
+
+    best = weighed.mapInArrow(run, f"__set int, doc_id {weighed.schema['doc_id'].dataType.simpleString()}, score double")
+    kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in ("query_id", "set_id"))
+    named = wanted.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(names)], f"__set int, {kinds}")
+    return best.join(F.broadcast(named), "__set").select("query_id", "set_id", "doc_id", "score")
+
+
 def term_sets(queries: DataFrame, n: int = 8, id_col: str = "item_id", text_col: str = "text", mixed: bool = False, words: dict[str, int] | None = None) -> DataFrame:
     """query_id, set_id 1, term: the first n distinct tokens of each query; words are those of the index, if it has any."""
     if mixed:
