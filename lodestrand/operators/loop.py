@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as tx
 from lodestrand.operators import bm25 as lx
 from lodestrand.operators.agent import MOST_ACTIONS, fingerprint
+from lodestrand.operators.fusion import late_rows
 from lodestrand.operators.numbering import numbered
 from lodestrand.runtime import lifetime, materialize, release
 
@@ -53,7 +54,7 @@ def overlap_judge(texts: DataFrame) -> Callable[[DataFrame, DataFrame], DataFram
     """A judge without a model: a hit's confidence is the share of its claim's words that the text (doc_id, text) has."""
 
     def judge(hits: DataFrame, claims: DataFrame) -> DataFrame:
-        j = hits.join(claims.select(*_CLAIM, "question"), list(_CLAIM)).join(texts, "doc_id")
+        j = late_rows(hits.join(claims.select(*_CLAIM, "question"), list(_CLAIM)), texts)
         words = F.array_distinct(tx.word_tokens(F.col("question")))
         share = F.size(F.array_intersect(words, tx.word_tokens(F.col("text")))) / F.greatest(F.size(words), F.lit(1))
         return j.select(*_CLAIM, "doc_id", F.round(share, 9).alias("confidence")).where("confidence > 0")
