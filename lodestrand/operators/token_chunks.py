@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from types import SimpleNamespace
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
 from lodestrand.functions.tokens import counter
 from lodestrand.operators.chunking import split_prose
+from lodestrand.operators.folds import by_group
 
 #: Kinds of blocks that are prose; others are chunks of their own elsewhere.
 PROSE = ("paragraph", "list", "abstract", "reference", "unknown")
@@ -36,10 +36,22 @@ class Sizes:
 
 def _fitting(parts: list[str], start: int, most: int, count: Callable[[str], int]) -> int:
     """Where parts from start on, joined by spaces, grow over `most` tokens; one part at least. More parts never have fewer tokens."""
-    hi, step = start + 1, 1
-    while hi < len(parts) and count(" ".join(parts[start : hi + step])) <= most:
-        hi, step = min(hi + step, len(parts)), 2 * step
-    return start + max(1, bisect_right(range(1, min(hi + step, len(parts)) - start + 1), most, key=lambda n: count(" ".join(parts[start : start + n]))))
+    last = len(parts) - start
+    fits = lambda n: count(" ".join(parts[start : start + n])) <= most
+    n = total = 0  # a guess, from what each part has by itself
+    while n < last and (total := total + count(" " + parts[start + n] if n else parts[start])) <= most:
+        n += 1
+    lo, hi, step = max(n, 1), max(n, 1), 1
+    if fits(lo):
+        while hi < last and fits(hi := min(hi + step, last)):
+            lo, step = hi, 2 * step
+    else:
+        while lo > 1 and not fits(lo := max(lo - step, 1)):
+            hi, step = lo, 2 * step
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if fits(mid) else (lo, mid)
+    return start + lo
 
 
 def _last_sentences(sentences: list[str], limit: int, count: Callable[[str], int]) -> int:
@@ -126,7 +138,7 @@ def chunk_by_tokens(blocks: DataFrame, tokenizer_path: str | None, sizes: Sizes
     blocks: doc_id, ord, uid, kind, section_uid, section, subsection, page, text, x0, y0, x1, y1, and
     the column named by title, if any. Only prose kinds are taken, less the blocks of drop (doc_id,
     uid), such as those that an equation has taken. Lines are joined as printed text is. A document's
-    blocks are one call; counts come from a bounded table. chunk_uid is text-<run>-<place in it>;
+    blocks are one step; counts come from a bounded table. chunk_uid is text-<run>-<place in it>;
     embedding_text is title, section, subsection and content, those that there are, a line each.
     """
     b = blocks.where(F.col("kind").isin(*PROSE) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
@@ -137,11 +149,12 @@ def chunk_by_tokens(blocks: DataFrame, tokenizer_path: str | None, sizes: Sizes
         *(F.col(s).cast("double") for s in ("x0", "y0", "x1", "y1")), (F.col(title) if title else F.lit(None)).cast("string").alias("title"),
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, found: list[dict]) -> list[tuple]:
         count = counter(tokenizer_path)
-        rows = list(pdf.astype(object).where(pdf.notna(), None).sort_values(["ord", "uid"]).itertuples(index=False))
+        given = [SimpleNamespace(**{k: None if v != v else v for k, v in r.items()}) for r in found]
+        last = lambda v: (v is None, 0 if v is None else v)
         out = []
-        for g, group in enumerate(_groups(rows), 1):
+        for g, group in enumerate(_groups(sorted(given, key=lambda r: (last(r.ord), (r.uid is None, r.uid or "")))), 1):
             for c, parts in enumerate(section_chunks([r.text for r in group], sizes, count)):
                 own, content = [group[i] for i, _ in parts], "\n\n".join(x for _, x in parts)
                 pages = [r.page for r in own if r.page is not None]
@@ -152,7 +165,7 @@ def chunk_by_tokens(blocks: DataFrame, tokenizer_path: str | None, sizes: Sizes
                         boxes[r.page] = [min(old[0], r.x0), min(old[1], r.y0), max(old[2], r.x1), max(old[3], r.y1)]
                 first = group[0]
                 lines = [x for x in (first.title, first.section, first.subsection, content) if x]
-                out.append((first.doc_id, f"text-{g}-{c}", first.section_uid, first.section, first.subsection, content, count(content), [r.uid for r in own], min(pages, default=None), max(pages, default=None), boxes, "\n".join(lines)))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in SCHEMA.replace("map<long,array<double>>", "map").split(", ")])
+                out.append((*key, f"text-{g}-{c}", first.section_uid, first.section, first.subsection, content, count(content), [r.uid for r in own], min(pages, default=None), max(pages, default=None), list(boxes.items()), "\n".join(lines)))
+        return out
 
-    return slim.groupBy("doc_id").applyInPandas(run, SCHEMA)
+    return by_group(slim, ("doc_id",), run, SCHEMA)
