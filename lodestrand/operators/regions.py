@@ -164,17 +164,14 @@ def equations(expressions: DataFrame, blocks: DataFrame, pages: DataFrame) -> Da
     LaTeX; anything else is partial. sources are the blocks that lie in the expression.
     """
     number = lambda c: F.coalesce(*(F.nullif(F.regexp_extract(c, ALONE, k), F.lit("")) for k in (1, 2)))
-    labels = blocks.withColumn("number", number(F.col("text"))).where("number IS NOT NULL")
-    lone = expressions.join(labels.select(*_PAGE, "uid"), [*_PAGE, "uid"], "left_anti")
-    e = lay.merged_expressions(lone.select(*_PAGE, "y0", "x0", "x1", "y1", "text")).withColumn("uid", F.format_string("e%04d", "place"))
-    named = lay.equation_labels(e, labels).join(labels.select(*_PAGE, F.col("uid").alias("label_uid"), "number", *(F.col(s).alias(f"l{s}") for s in _SIDES)), [*_PAGE, "label_uid"])
-    e = e.join(named, [*_PAGE, "uid"], "left").join(pages.select(*_PAGE, "width"), list(_PAGE))
-    ends = [F.when(F.col("text").rlike(p), F.regexp_extract("text", p, 1)) for p in AT_END]
-    inline = F.when(F.col("number").isNull(), F.coalesce(*ends))
-    cut = F.when(F.col("number").isNotNull(), F.col("text")).when(ends[0].isNotNull(), F.trim(F.regexp_replace("text", AT_END[0], ""))).when(ends[1].isNotNull(), F.trim(F.regexp_replace("text", AT_END[1], ""))).otherwise(F.col("text"))
-    e = e.withColumn("inline", inline).withColumn("raw", F.regexp_replace(cut, r"^\s+|\s+$", ""))
+    # Both are read several times, and each time would look through all blocks anew.
+    with runtime.lifetime(blocks.sparkSession) as keep:
+        labels = runtime.materialize(blocks.select(*_PAGE, "uid", number(F.col("text")).alias("number"), *_SIDES).where("number IS NOT NULL"), "labels")
+        e = runtime.materialize(_expressions(expressions, labels, pages), "expressions")
+        keep(labels, e)
     latex = F.when(F.col("raw").rlike(r"^[\x00-\x7F]*$") & ~F.contains("raw", F.lit("?")) & (F.col("raw") != ""), F.col("raw"))
-    texts = blocks.where((F.trim("text") != "")).join(labels.select(*_PAGE, "uid"), [*_PAGE, "uid"], "left_anti").join(expressions.select(*_PAGE, "uid"), [*_PAGE, "uid"], "left_anti")
+    taken = labels.select(*_PAGE, "uid").unionByName(expressions.select(*_PAGE, "uid"))
+    texts = blocks.where(F.trim("text") != "").join(taken, [*_PAGE, "uid"], "left_anti")
     near = lay.equation_context(e.select(*_PAGE, "uid", "y0", "y1", F.lit(None).cast("string").alias("section")), texts)
     own = contained(blocks, e).groupBy(*_PAGE, F.col("b_uid").alias("uid")).agg(F.sort_array(F.collect_set("a_uid")).alias("sources"))
     box = {"x0": F.least("x0", "lx0"), "y0": F.least("y0", "ly0"), "y1": F.greatest("y1", "ly1"), "x1": F.when(F.col("inline").isNotNull(), F.least("width", F.col("x1") + 60)).otherwise(F.greatest("x1", "lx1"))}
@@ -185,3 +182,15 @@ def equations(expressions: DataFrame, blocks: DataFrame, pages: DataFrame) -> Da
         *_PAGE, "uid", "equation_id", "raw", "latex", F.coalesce("context", F.lit("")).alias("context"), F.when(good, "success").otherwise("partial").alias("status"),
         F.when(good, F.array().cast("array<string>")).otherwise(F.array(F.lit("latex_unreliable"))).alias("warnings"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), *_SIDES,
     )
+
+
+def _expressions(expressions: DataFrame, labels: DataFrame, pages: DataFrame) -> DataFrame:
+    """Expressions that are no label, joined one below the other, with their label or the number at their end, and what is left of the text."""
+    lone = expressions.join(labels.select(*_PAGE, "uid"), [*_PAGE, "uid"], "left_anti")
+    e = lay.merged_expressions(lone.select(*_PAGE, "y0", "x0", "x1", "y1", "text")).withColumn("uid", F.format_string("e%04d", "place"))
+    named = lay.equation_labels(e, labels).join(labels.select(*_PAGE, F.col("uid").alias("label_uid"), "number", *(F.col(s).alias(f"l{s}") for s in _SIDES)), [*_PAGE, "label_uid"])
+    e = e.join(named, [*_PAGE, "uid"], "left").join(pages.select(*_PAGE, "width"), list(_PAGE))
+    ends = [F.when(F.col("text").rlike(p), F.regexp_extract("text", p, 1)) for p in AT_END]
+    inline = F.when(F.col("number").isNull(), F.coalesce(*ends))
+    cut = F.when(F.col("number").isNotNull(), F.col("text")).when(ends[0].isNotNull(), F.trim(F.regexp_replace("text", AT_END[0], ""))).when(ends[1].isNotNull(), F.trim(F.regexp_replace("text", AT_END[1], ""))).otherwise(F.col("text"))
+    return e.withColumn("inline", inline).withColumn("raw", F.regexp_replace(cut, r"^\s+|\s+$", ""))

@@ -11,6 +11,7 @@ from lodestrand.operators import regions as rg
 from lodestrand.plans.registry import Tables, query
 from lodestrand.plans.tables import _B, _blocks
 from lodestrand.plans.texts import SQZ
+from lodestrand.runtime import materialize
 
 _LINE = SQZ.format(c="text")
 _BODY = rf"regexp_replace({_LINE}, '^(?:[0-9]+(?:\.[0-9]+)*\.?|[IVXLCDM]+\.)\s+(\S)', '\1')"
@@ -317,7 +318,9 @@ def figure_regions(t: Tables) -> DataFrame:
 
 def _formulas(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lines of a page in one column: every fourth a formula of its first words, some with a label beside or a number at their end."""
-    b = _blocks(t).where("x1 > x0").withColumn("y0", F.col("ord") % 8 * 60.0).withColumn("y1", F.col("y0") + 20).withColumn("x0", F.lit(50.0)).withColumn("x1", F.lit(250.0)).withColumn("section", F.lit(None).cast("string"))
+    # Written once: the three frames are read several times, and each time would cut all texts into lines.
+    lines = materialize(_blocks(t).where("x1 > x0").select("doc_id", "page", "ord", "uid", "text"), "lines")
+    b = lines.withColumn("y0", F.col("ord") % 8 * 60.0).withColumn("y1", F.col("y0") + 20).withColumn("x0", F.lit(50.0)).withColumn("x1", F.lit(250.0)).withColumn("section", F.lit(None).cast("string"))
     first = F.concat_ws(" = ", F.element_at(F.split("text", " "), 1), F.element_at(F.split("text", " "), -1))
     numbered_ = F.when(F.col("ord") % 8 == 4, F.concat(first, F.lit(" ("), F.col("page") + 1, F.lit(")"))).otherwise(first)
     e = b.where("ord % 4 = 0").withColumn("text", numbered_)
