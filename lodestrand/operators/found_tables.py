@@ -1,18 +1,18 @@
 """Tables of a page by a cascade of strategies: ruled lines, then captions with cells or pipes below, then aligned text.
 
-A strategy is asked only for the pages where those before it found nothing: pages go on by
-anti-join. What a strategy needs to see at once is a page, so each is one call a page.
+A strategy is asked only for the pages where those before it found nothing. What a strategy
+needs to see at once is a page, so a page's boxes are shuffled once and go through all of them in one step.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.runtime import materialize
+from lodestrand.operators.folds import by_group
 
 _PAGE = ["doc_id", "page"]
 # A table's caption, how far below it a table begins, and how near lines and rows count as one.
@@ -197,23 +197,6 @@ def aligned(blocks: list[tuple], width: float, height: float) -> list[tuple]:
     return out
 
 
-def _by_page(pages: DataFrame, blocks: DataFrame, lines: DataFrame | None, find) -> DataFrame:
-    """What find(blocks, lines, width, height) gives for each page."""
-    part = lambda df, kind, text: df.select(*_PAGE, F.lit(kind).alias("kind"), text.alias("text"), *(F.col(s).cast("double").alias(s) for s in ("x0", "y0", "x1", "y1")))
-    rows = part(blocks.where("trim(coalesce(text, '')) <> ''"), "block", F.col("text"))
-    if lines is not None:
-        rows = rows.unionByName(part(lines, "line", F.lit("")))
-    rows = rows.join(pages.select(*_PAGE, F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")), _PAGE)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = {k: sorted(g[["text", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None), key=lambda b: (b[2], b[1], b[0])) for k, g in pdf.groupby("kind")}
-        found = find(boxes.get("block", []), [b[1:] for b in boxes.get("line", [])], pdf["width"].iloc[0], pdf["height"].iloc[0])
-        key = pdf["doc_id"].iloc[0], pdf["page"].iloc[0]
-        return pd.DataFrame([(*key, f[0], i, *f[1:]) for i, f in enumerate(found)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return rows.groupBy(*_PAGE).applyInPandas(run, SCHEMA)
-
-
 def tables(pages: DataFrame, blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, page, method, place, label, x0, y0, x1, y1, headers, rows, reliable, warnings of the tables of pages.
 
@@ -221,8 +204,19 @@ def tables(pages: DataFrame, blocks: DataFrame, lines: DataFrame) -> DataFrame:
     `line` have no other; of the rest, those with one below a caption (`geometric` or `pipe`) have no other; `text` is
     asked for what is left.
     """
-    line = materialize(_by_page(pages, blocks, lines, ruled), "tables-line")
-    rest = pages.join(line.select(*_PAGE).distinct(), _PAGE, "left_anti")
-    caption = materialize(_by_page(rest, blocks, None, lambda b, _, w, h: anchored(b, w)), "tables-caption")
-    rest = rest.join(caption.select(*_PAGE).distinct(), _PAGE, "left_anti")
-    return line.unionByName(caption).unionByName(_by_page(rest, blocks, None, lambda b, _, w, h: aligned(b, w, h)))
+    sides = ("x0", "y0", "x1", "y1")
+    part = lambda df, kind, text: df.select(*_PAGE, F.lit(kind).alias("kind"), text.alias("text"), *(F.col(s).cast("double").alias(s) for s in sides))
+    rows = part(blocks.where("trim(coalesce(text, '')) <> ''"), "block", F.col("text")).unionByName(part(lines, "line", F.lit("")))
+    rows = rows.join(pages.select(*_PAGE, F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")), _PAGE)
+    number = lambda x: math.nan if x is None else x
+
+    def step(key: tuple, here: list[dict]) -> list[tuple]:
+        boxes: dict[str, list[tuple]] = {"block": [], "line": []}
+        for r in here:
+            boxes[r["kind"]].append((r["text"], *(number(r[s]) for s in sides)))
+        texts, drawn = (sorted(b, key=lambda b: (b[2], b[1], b[0])) for b in boxes.values())
+        width, height = number(here[0]["width"]), number(here[0]["height"])
+        found = ruled(texts, [b[1:] for b in drawn], width, height) or anchored(texts, width) or aligned(texts, width, height)
+        return [(*key, f[0], i, *f[1:]) for i, f in enumerate(found)]
+
+    return by_group(rows.withColumns({c: F.col(c).cast("long") for c in _PAGE}), tuple(_PAGE), step, SCHEMA)

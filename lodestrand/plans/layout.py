@@ -337,7 +337,8 @@ def assembled_equations(t: Tables) -> DataFrame:
 def _tabular(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The first twelve words of each page's first line as a table of four rows: ruled, with pipes, below a caption, or bare, by turns of documents."""
     words = F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, 12)
-    p = _blocks(t).where("ord % 8 = 0").select("doc_id", "page", words.alias("w"), (F.col("doc_id") % 4).alias("turn")).where("size(w) = 12")
+    # Written once: it is read for each kind of page, and each time would cut all texts into lines.
+    p = materialize(_blocks(t).where("ord % 8 = 0").select("doc_id", "page", words.alias("w"), (F.col("doc_id") % 4).alias("turn")).where("size(w) = 12"), "tabular")
     cells = p.select("doc_id", "page", "turn", F.posexplode("w").alias("i", "text")).withColumn("text", F.concat("text", F.when(F.col("i") < 3, F.col("i").cast("string")).otherwise("")))
     row, col = F.floor(F.col("i") / 3), F.col("i") % 3
     apart = cells.where("turn <> 1").select("doc_id", "page", "text", (60 + col * 150.0).alias("x0"), (110 + row * 30.0).alias("y0"), (160 + col * 150.0).alias("x1"), (122 + row * 30.0).alias("y1"))
