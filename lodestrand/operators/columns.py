@@ -3,16 +3,17 @@
 A page is cut in bands at the edges of its blocks; in each band the free stretches between
 blocks near the centre are gaps. Gaps of like position are one gutter, weighed by the height
 of their bands. The best gutter makes two columns if both sides have text enough, next to
-each other. A page's blocks are few, so each page is one call.
+each other. A page's blocks are few, so each page is one step.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.operators.folds import by_group
+
 # Fixed values, as shares of the page's width or height, of text, or of each other.
 WIDEST_BLOCK, LEAST_GAP, OFF_CENTRE, ONE_GUTTER, EDGE = 0.65, 0.04, 0.15, 0.04, 0.01
 LEAST_SUPPORT, LEAST_SHARED, LEAST_TEXT, LEAST_SIDE, WIDE_GAP, TALL_GAP = 0.03, 0.2, 0.2, 0.18, 0.12, 0.18
@@ -110,11 +111,12 @@ def diagnose(boxes: np.ndarray, chars: np.ndarray, width: float, height: float)
 def page_columns(blocks: DataFrame) -> DataFrame:
     """doc_id, page, columns, gutter_left, gutter_right, confidence, reason of pages of blocks (doc_id, page, text, x0, y0, x1, y1, width, height)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = diagnose(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["chars"].to_numpy(), float(pdf["width"].iloc[0]), float(pdf["height"].iloc[0]))
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], pdf["page"].iloc[0], *found)], columns=["doc_id", "page", "columns", "gutter_left", "gutter_right", "confidence", "reason"])
+    def step(key: tuple, rows: list[dict]) -> list[tuple]:
+        boxes = np.array([[r[c] for c in ("x0", "y0", "x1", "y1")] for r in rows], float)
+        width, height = np.array([rows[0]["width"], rows[0]["height"]], float)  # null: not a number
+        return [(*key, *diagnose(boxes, np.array([r["chars"] for r in rows]), width, height))]
 
     chars = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
     box = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "width", "height")]
     slim = blocks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), chars.alias("chars"), *box)
-    return slim.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page long, columns long, gutter_left double, gutter_right double, confidence double, reason string")
+    return by_group(slim, ("doc_id", "page"), step, "doc_id long, page long, columns long, gutter_left double, gutter_right double, confidence double, reason string")
