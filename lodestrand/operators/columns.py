@@ -19,13 +19,19 @@ WIDEST_BLOCK, LEAST_GAP, OFF_CENTRE, ONE_GUTTER, EDGE = 0.65, 0.04, 0.15, 0.04,
 LEAST_SUPPORT, LEAST_SHARED, LEAST_TEXT, LEAST_SIDE, WIDE_GAP, TALL_GAP = 0.03, 0.2, 0.2, 0.18, 0.12, 0.18
 
 
+def _union(spans: list[tuple[float, float]]) -> list[list[float]]:
+    out: list[list[float]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
 def union(spans: np.ndarray) -> np.ndarray:
     """Rows (lo, hi) of overlapping or touching intervals as one row each, in order."""
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-    reach = np.maximum.accumulate(spans[:, 1])
-    new = np.append(True, spans[1:, 0] > reach[:-1])
-    at = np.flatnonzero(new)
-    return np.column_stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]])
+    return np.array(_union(spans.tolist())).reshape(-1, 2)
 
 
 def shared_length(a: np.ndarray, b: np.ndarray) -> float:
@@ -36,18 +42,16 @@ def shared_length(a: np.ndarray, b: np.ndarray) -> float:
 
 def gaps(boxes: np.ndarray, width: float, height: float) -> np.ndarray:
     """Rows (left, right, support) of free stretches near the centre of each band of boxes (x0, y0, x1, y1)."""
-    edges = np.unique(np.clip(boxes[:, [1, 3]], 0, height))
+    # Plain Python: a band holds a few boxes, for which a call of numpy costs more than they do.
+    inside = lambda v, most: min(max(v, 0.0), most)
+    rows = [(y0, y1, inside(x0, width), inside(x1, width)) for x0, y0, x1, y1 in boxes.tolist()]
+    edges = sorted({inside(y, height) for r in rows for y in r[:2]})
     out = []
     for lo, hi in zip(edges, edges[1:]):
-        inside = boxes[(boxes[:, 1] < hi) & (boxes[:, 3] > lo)]
-        spans = np.clip(inside[:, [0, 2]], 0, width)
-        spans = spans[spans[:, 0] < spans[:, 1]]
-        if len(spans) < 2:
-            continue
-        spans = union(spans)
-        left, right = spans[:-1, 1], spans[1:, 0]
-        ok = (right - left >= LEAST_GAP * width) & (np.abs((left + right) / 2 - width / 2) <= OFF_CENTRE * width)
-        out += [(a, b, hi - lo) for a, b in zip(left[ok], right[ok])]
+        spans = _union([(x0, x1) for y0, y1, x0, x1 in rows if y0 < hi and y1 > lo and x0 < x1])
+        for (_, left), (right, _) in zip(spans, spans[1:]):
+            if right - left >= LEAST_GAP * width and abs((left + right) / 2 - width / 2) <= OFF_CENTRE * width:
+                out.append((left, right, hi - lo))
     return np.array(out).reshape(-1, 3)
 
 
