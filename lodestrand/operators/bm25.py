@@ -85,7 +85,12 @@ def _counted(read: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_row_counts, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, length int, {_TERMS}")
 
 
-def _spread(df: DataFrame, rows: int, by_range: bool, *keys: str) -> DataFrame:
+def counted(docs: DataFrame, **columns) -> DataFrame:
+    """doc_id, length and terms of documents, a row for each."""
+    return _counted(tokens(docs, **columns).withColumn("length", F.size("title") + F.size("body")))
+
+
+def spread(df: DataFrame, rows: int, by_range: bool, *keys: str) -> DataFrame:
     """The frame dealt by its keys: as Spark does for few rows, else to so many partitions that each gets about TASK_ROWS."""
     deal = df.repartitionByRange if by_range else df.repartition
     return deal(*keys) if rows <= df.sparkSession.sparkContext.defaultParallelism * TASK_ROWS else deal(-(-rows // TASK_ROWS), *keys)
@@ -132,8 +137,7 @@ class Index:
 
             words = vocabulary(docs.select(nfkc(F.col(columns.get("text_col", "text"))).alias("text")))
             columns = {**columns, "mixed": True, "words": words}
-        read = tokens(docs, **columns).withColumn("length", F.size("title") + F.size("body"))
-        return cls._over(_counted(read), words)
+        return cls._over(counted(docs, **columns), words)
 
     @classmethod
     def _over(cls, counted: DataFrame, words: dict[str, int] | None) -> Index:
@@ -149,9 +153,9 @@ class Index:
             counted = materialize(self.counted, "counted")
             found, stats = _each(counted), Index._over(counted, None).stats
         rows = found.count() if counted is None else counted.agg(F.sum(F.size("terms"))).first()[0] or 0
-        dealt = _spread(found, rows, True, "term", "doc_id")
-        if counted is not None and not counted.groupBy("doc_id").count().where("count > 1").isEmpty():
-            dealt = _added(dealt)  # a row's terms are one each; only an id of several rows has more
+        dealt = spread(found, rows, True, "term", "doc_id")
+        if counted is not None and _repeated(counted):
+            dealt = _added(dealt)
         dealt.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
@@ -199,6 +203,16 @@ def _each(counted: DataFrame) -> DataFrame:
     return each.select("x.term", "doc_id", "length", "x.tf_title", "x.tf_body")
 
 
+def _repeated(counted: DataFrame) -> bool:
+    """Whether an id has several rows; else each of its terms has one, as a row's terms are one each."""
+    return not counted.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def each_term(counted: DataFrame) -> DataFrame:
+    """term, doc_id, length, tf_title, tf_body: a row for each term of an id and length."""
+    return _added(_each(counted)) if _repeated(counted) else _each(counted)
+
+
 def _added(each: DataFrame) -> DataFrame:
     return each.groupBy("term", "doc_id", "length").agg(F.sum("tf_title").alias("tf_title"), F.sum("tf_body").alias("tf_body"))
 
@@ -238,10 +252,10 @@ def bm25(source: DataFrame | Index, terms: DataFrame, top_k: int = 20, scope: Da
     weighed = there.join(side(idf), "term").select("term", "doc_id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))).alias("part"))
     # A term's postings are shuffled once, by document, and not again for each question that has the term.
     if named and scope is None:
-        scored = _best(_spread(weighed, known.agg(F.sum("df")).first()[0] or 0, False, "doc_id"), asked, wanted, top_k)
+        scored = _best(spread(weighed, known.agg(F.sum("df")).first()[0] or 0, False, "doc_id"), asked, wanted, top_k)
     else:
         pairs = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(known.select("term", "df"), "term").agg(F.sum(F.col("n") * F.col("df"))).first()[0] or 0
-        scored = _spread(weighed, pairs, False, "doc_id").join(side(wanted), "term")
+        scored = spread(weighed, pairs, False, "doc_id").join(side(wanted), "term")
         if scope is not None:
             scored = scored.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
         scored = scored.groupBy("query_id", "set_id", "doc_id").agg(F.round(-F.sum("part"), 9).alias("score"))

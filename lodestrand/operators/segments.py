@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.operators import bm25
+from lodestrand.runtime import materialize, release
 from lodestrand.sources import versions
 
+#: Keys that went, with the batch that took them, up to which they are broadcast; two numbers each, so about 80 MB.
+GONE_ROWS = 2_000_000
+
 
 @dataclass
 class SegmentLog:
@@ -51,7 +55,8 @@ class SegmentLog:
         if rows is None or gone is None:
             return rows
         last = gone.groupBy(F.col(self.key).alias("__key")).agg(F.max("__seq").alias("__last"))
-        later = rows.join(bm25.small(last), (F.col(self.key) == F.col("__key")) & (F.col("__seq") < F.col("__last")), "left_anti")
+        few = bm25.small(last, GONE_ROWS if isinstance(gone.schema[self.key].dataType, T.IntegralType) else bm25.BROADCAST_ROWS)
+        later = rows.join(few, (F.col(self.key) == F.col("__key")) & (F.col("__seq") < F.col("__last")), "left_anti")
         return later
 
     def rows(self, table: str) -> DataFrame | None:
@@ -59,13 +64,17 @@ class SegmentLog:
         found = self._live(self.state()[1], table)
         return None if found is None else found.drop("__seq")
 
-    def _write(self, folder: str, table: str, rows: DataFrame) -> str:
+    def _write(self, folder: str, table: str, rows: DataFrame, most: int = 0) -> str:
+        """Write rows in the table's order; most is a bound of their number, if one is known, by which they are dealt out."""
         order = self.tables.get(table, (self.key,))
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.path}/{folder}/{table}")
+        bm25.spread(rows, most, True, *order).sortWithinPartitions(*order).write.parquet(f"{self.path}/{folder}/{table}")
         return json.dumps(json.loads(rows.schema.json()))
 
-    def append(self, tables: dict[str, DataFrame], gone: DataFrame | None = None) -> int:
-        """Write a batch: rows of each table, and the keys (column `key`) whose older rows it takes away. Returns the version."""
+    def append(self, tables: dict[str, DataFrame], gone: DataFrame | None = None, most: dict[str, int] | None = None) -> int:
+        """Write a batch: rows of each table, and the keys (column `key`) whose older rows it takes away. Returns the version.
+
+        most: bounds of tables' rows, where they are known.
+        """
         version, manifest = self.state()
         seq, folder = version + 1, f"segment-{uuid.uuid4().hex}"
         if gone is not None and manifest["segments"]:
@@ -73,28 +82,35 @@ class SegmentLog:
             tables = {**tables, "__gone": keys}
         schemas = dict(manifest["schemas"])
         for name, rows in tables.items():
-            schemas[name] = self._write(folder, name, rows.withColumn("__seq", F.lit(seq).cast("bigint")))
+            schemas[name] = self._write(folder, name, rows.withColumn("__seq", F.lit(seq).cast("bigint")), (most or {}).get(name, 0))
         segment = {"folder": folder, "tier": 0, "tables": sorted(tables)}
         made = self._merged({"segments": [*manifest["segments"], segment], "schemas": schemas})
         made["folders"] = [s["folder"] for s in made["segments"]]
         return versions.publish(self.spark, self.path, version, made)
 
     def _merged(self, manifest: dict) -> dict:
-        """The manifest after the merges that are due: the last segments of one tier, as soon as there are `fan` of them."""
+        """The manifest after the merges that are due: the last segments of one tier, as soon as there are `fan` of them.
+
+        Where a merge makes another one due, the segments of both are written once, as the last of them has it.
+        """
         segments = manifest["segments"]
-        while len(segments) >= self.fan and len({s["tier"] for s in segments[-self.fan :]}) == 1:
-            few, rest = segments[-self.fan :], segments[: -self.fan]
-            folder, schemas, there = f"segment-{uuid.uuid4().hex}", manifest["schemas"], []
-            for name in sorted({t for s in few for t in s["tables"]} - {"__gone"}):
-                self._write(folder, name, self._live({"segments": segments, "schemas": schemas}, name, few))
-                there.append(name)
-            if rest and any("__gone" in s["tables"] for s in few):  # without older segments nothing is left to take away
-                gone = self._read({"segments": segments, "schemas": schemas}, "__gone", few)
-                self._write(folder, "__gone", gone.groupBy(self.key).agg(F.max("__seq").alias("__seq")))
-                there.append("__gone")
-            segments = [*rest, {"folder": folder, "tier": few[0]["tier"] + 1, "tables": there}]
-            manifest = {**manifest, "segments": segments}
-        return manifest
+        tiers, due = [s["tier"] for s in segments], 0
+        while len(tiers) >= self.fan and len(set(tiers[-self.fan :])) == 1:
+            due = self.fan if not due else due + self.fan - 1
+            tiers = [*tiers[: -self.fan], tiers[-1] + 1]
+        if not due:
+            return manifest
+        few, rest = segments[-due:], segments[:-due]
+        folder, schemas, there = f"segment-{uuid.uuid4().hex}", manifest["schemas"], []
+        for name in sorted({t for s in few for t in s["tables"]} - {"__gone"}):
+            most = self._read(manifest, name, few).count()  # by the files' footers
+            self._write(folder, name, self._live(manifest, name, few), most)
+            there.append(name)
+        if rest and any("__gone" in s["tables"] for s in few):  # without older segments nothing is left to take away
+            gone = self._read(manifest, "__gone", few)
+            self._write(folder, "__gone", gone.groupBy(self.key).agg(F.max("__seq").alias("__seq")))
+            there.append("__gone")
+        return {**manifest, "segments": [*rest, {"folder": folder, "tier": tiers[-1], "tables": there}]}
 
 
 class LexicalLog:
@@ -111,8 +127,10 @@ class LexicalLog:
         """
         id_col = self.columns.get("id_col", "doc_id")
         docs = docs.where(F.col(id_col).isNotNull())
-        made = bm25.Index.of(docs, **self.columns)
-        lengths = bm25.lengths(docs, **self.columns)
+        # The texts are read once; postings and lengths come from what was counted.
+        counted = materialize(bm25.counted(docs, **self.columns), "counted")
+        most = counted.agg(F.sum(F.size("terms"))).first()[0] or 0
+        postings, lengths = bm25.each_term(counted), counted.select("doc_id", "length")
         if self.owner:
             lengths = lengths.join(docs.select(F.col(id_col).alias("doc_id"), F.col(self.owner).alias("owner")), "doc_id")
         gone = docs.select(F.col(id_col).alias("doc_id"))
@@ -120,7 +138,9 @@ class LexicalLog:
         if purge is not None and held is not None:
             owners = purge.select(F.col(purge.columns[0]).alias("owner")).distinct()
             gone = gone.unionByName(held.join(bm25.small(owners), "owner", "left_semi").select("doc_id"))
-        return self.log.append({"postings": made.postings, "lengths": lengths}, gone)
+        version = self.log.append({"postings": postings, "lengths": lengths}, gone, {"postings": most})
+        release(counted)
+        return version
 
     def delete(self, ids: DataFrame) -> int:
         """Take away the documents of these ids (first column)."""
